@@ -30,13 +30,6 @@ RUN_CHARS = 2_000_000
 _FULL_SCHEMA = "doc_id long, ids array<int>, decoded string"
 
 
-def byte_symbols() -> list[str]:
-    """The visible character that stands for each byte in byte-level vocabularies: printable ones stand for themselves."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    hidden = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
-
-
 class Bpe:
     """A byte-level vocabulary with word ends: proposals, verdicts on pairs, exact merges."""
 
@@ -49,65 +42,73 @@ class Bpe:
         self.ids: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
-        self.longest = max(map(len, self.ids))
-        self.map = byte_symbols()
+        rules = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        #: Neighbour ids to the rank of their merge, and the id that each rank makes.
+        self.rank = {(self.ids[a], self.ids[b]): r for r, (a, b) in enumerate(rules)}
+        self.made = [self.ids[a + b] for a, b in rules]
+        #: Every prefix of a token to its id, or to -1 where it is none.
+        self.prefixes: dict[str, int] = {}
+        for token in self.ids:
+            for stop in range(1, len(token)):
+                self.prefixes.setdefault(token[:stop], -1)
+        self.prefixes.update(self.ids)
+        self.map = vocab.byte_symbols()
         self.good = np.zeros(0, np.int64)  # pairs, as left << 32 | right, that stand as they are; sorted
         self.bad = np.zeros(0, np.int64)
 
-    def symbols(self, word: str) -> list[str]:
-        """The first symbols of a word: its bytes, the last one with the word end."""
+    def symbols(self, word: str) -> list[int]:
+        """The first ids of a word: its bytes, the last one with the word end."""
         out = [self.map[b] for b in word.encode()]
         out[-1] += self.end
-        return out
+        return [self.ids[x] for x in out if x in self.ids]
 
-    def merge(self, parts: list[str]) -> list[str]:
+    def merge(self, parts: list[int]) -> list[int]:
         """Exact: the merge of lowest rank is applied, leftmost first, until none applies."""
-        parts = list(parts)
-        while len(parts) > 1:
-            best = min((self.rank.get(p, 1 << 60) for p in zip(parts, parts[1:])))
-            if best == 1 << 60:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and self.rank.get((parts[i], parts[i + 1])) == best:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        get, none = self.rank.get, len(self.made)
+        ranks = [get(p, none) for p in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i] = self.made[best]
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), none)
         return parts
 
-    def split_symbols(self, text: str) -> list[str]:
-        """A token's first symbols."""
-        if self.end and text.endswith(self.end):
-            inner = text[: -len(self.end)]
-            return [*inner[:-1], inner[-1] + self.end]
-        return list(text)
+    def token_symbols(self, token: int) -> list[int]:
+        """The first ids of a token."""
+        text, end = self.tokens[token], self.end
+        if end and text.endswith(end) and len(text) > len(end):
+            inner = text[: -len(end)]
+            return [self.ids[x] for x in (*inner[:-1], inner[-1] + end)]
+        return [self.ids[x] for x in text]
 
     def propose(self, word: str) -> list[int] | None:
         """The ids of the greedy longest match, None if it gets stuck."""
-        text = "".join(self.map[b] for b in word.encode()) + self.end
-        out, at, inner = [], 0, len(text) - len(self.end)
-        ids, longest = self.ids, self.longest
-        while at < inner:
-            for stop in range(min(len(text), at + longest), at, -1):
-                if (stop <= inner - (1 if self.end else 0) or stop == len(text)) and (i := ids.get(text[at:stop])) is not None:
-                    break
-            else:
+        text = "".join([self.map[b] for b in word.encode()]) + self.end
+        out, at, size, get = [], 0, len(text), self.prefixes.get
+        last = size - len(self.end) - 1 if self.end else size  # a token that reaches further takes the word end too
+        while at < size:
+            stop, token, step = at + 1, -1, at
+            while stop <= size and (found := get(text[at:stop])) is not None:
+                if found >= 0 and (stop <= last or stop == size):
+                    token, step = found, stop
+                stop += 1
+            if token < 0:
                 return None
-            out.append(i)
-            at = stop
+            out.append(token)
+            at = step
         return out
 
     def judge(self, pair: int) -> bool:
         """Whether the merges leave two tokens side by side; -1 on the left stands for a lone token."""
         left, right = pair >> 32, pair & 0xFFFFFFFF
-        want = [self.tokens[right]] if left < 0 else [self.tokens[left], self.tokens[right]]
-        if len(want) == 2 and self.end and want[0].endswith(self.end):
+        want = [right] if left < 0 else [left, right]
+        try:
+            return self.merge([s for t in want for s in self.token_symbols(t)]) == want
+        except KeyError:  # a symbol of its own that no byte stands for
             return False
-        return self.merge([s for t in want for s in self.split_symbols(t)]) == want
 
     def verdicts(self, pairs: np.ndarray) -> np.ndarray:
         """Of each distinct pair, whether it stands; new pairs are judged and remembered."""
@@ -138,16 +139,16 @@ class Bpe:
             distinct, at = np.unique(pairs, return_inverse=True)
             for i in np.unique(owner[wanted][~self.verdicts(distinct)[at]]):
                 found[i] = None
-        return [[self.ids[t] for t in self.merge(self.symbols(w)) if t in self.ids] if x is None else x for w, x in zip(words, found)]
+        return [self.merge(self.symbols(w)) if x is None else x for w, x in zip(words, found)]
 
 
 _HELD: dict = {}
 
 
-def _worker(path: str) -> tuple[Bpe, dict]:
-    """The worker's vocabulary and memo of words; they outlive a task."""
+def _worker(path: str) -> tuple[Bpe, dict, dict]:
+    """The worker's vocabulary, and its memo of words with the one before; they outlive a task."""
     if path not in _HELD:
-        _HELD[path] = (Bpe(path), {})
+        _HELD[path] = (Bpe(path), {}, {})
     return _HELD[path]
 
 
@@ -172,7 +173,7 @@ def _odd_pieces(text: str, bpe: Bpe) -> list[str]:
 
 def _encoded(batch, path: str):
     """Of runs of rows of a batch: their doc_ids, their texts' words, and the memo of (ids, decoded, number) by word."""
-    bpe, memo = _worker(path)
+    bpe, memo, old = _worker(path)
     doc_ids, texts = batch.column("doc_id").to_pylist(), strings(batch)
     at = 0
     while at < len(texts):
@@ -182,12 +183,21 @@ def _encoded(batch, path: str):
             words.append(pieces(texts[at], bpe))
             at += 1
         if len(memo) > vocab.MEMO_WORDS:
+            old.clear()
+            old.update(memo)
             memo.clear()
-        new = list({w for found in words for w in found if w not in memo})
+        new = []
+        for word in {w for found in words for w in found}:
+            if word in memo:
+                continue
+            if word in old:
+                memo[word] = old[word]
+            else:
+                new.append(word)
         for word, ids in zip(new, bpe.encode_words(new)):
             if word in bpe.special:
                 ids = [bpe.special[word]]
-            memo[word] = (" ".join(map(str, ids)), " ".join(bpe.tokens[i] for i in ids), len(ids))
+            memo[word] = (" ".join(map(str, ids)), " ".join([bpe.tokens[i] for i in ids]), len(ids))
         yield doc_ids[first:at], words, memo
 
 

@@ -14,6 +14,7 @@ rows are packed once each; extra columns are ignored; an empty table gives an em
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -142,6 +143,6 @@ _MEMOS: dict = {}
 def _memo(path: str) -> vocab.Memo:
     """The worker's memo of words to ids as bytes; it outlives a task."""
     if path not in _MEMOS:
-        tok = vocab.tokenizer(path)
-        _MEMOS[path] = vocab.Memo(lambda word: np.array(tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
+        ids = vocab.word_ids(path)
+        _MEMOS[path] = vocab.Memo(lambda word: struct.pack(f"<{len(found := ids(word))}I", *found))
     return _MEMOS[path]

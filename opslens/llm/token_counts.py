@@ -53,8 +53,8 @@ _MEMOS: dict = {}
 
 def _memo(path: str) -> vocab.Memo:
     if path not in _MEMOS:
-        tok = vocab.tokenizer(path)
-        _MEMOS[path] = vocab.Memo(lambda word: len(tok.encode(word, add_special_tokens=False).ids))
+        ids = vocab.word_ids(path)
+        _MEMOS[path] = vocab.Memo(lambda word: len(ids(word)))
     return _MEMOS[path]
 
 

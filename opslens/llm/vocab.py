@@ -51,18 +51,36 @@ def end_words(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """Word to value; a missing word is computed, and a full memo starts anew."""
+    """Word to value; a missing word is computed. A full memo becomes the old one, from which words in use come back."""
 
     def __init__(self, make, most: int = MEMO_WORDS):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, word):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[word] = value = self.make(word)
+        self[word] = value
         return value
 
 
+@lru_cache(1)
+def byte_symbols() -> list[str]:
+    """The visible character that stands for each byte in byte-level vocabularies: printable ones stand for themselves."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+def word_ids(path: str):
+    """The function that gives the ids of one plain word, by the library's model."""
+    model, shown = tokenizer(path).model, byte_symbols()
+    return lambda word: [t.id for t in model.tokenize("".join([shown[b] for b in word.encode()]))]
+
+
 @lru_cache(4)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

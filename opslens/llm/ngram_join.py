@@ -171,7 +171,8 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     found = store.save(classes(rows, words, percent), "classes")
     firsts = store.save(found.filter("n > 0").groupBy("class").agg(F.min("key").alias("key")), "firsts")
     dealt = found.select("key", "tiles").join(firsts, "key").select("class", F.explode("tiles").alias("tile"))
-    shared = dealt.groupBy("tile").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).filter("pivot < last").select("tile", "pivot")
+    # Written, as Spark splits a join's large partitions only where both sides come from a shuffle of their own.
+    shared = store.save(dealt.groupBy("tile").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).filter("pivot < last").select("tile", "pivot"), "shared")
     members = store.save(dealt.join(shared, "tile"), "members")
     known = store.save(sets(rows, firsts.join(members.select("class").distinct(), "class"), words), "sets")
     pivots = members.filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()

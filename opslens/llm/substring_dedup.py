@@ -73,7 +73,8 @@ def repeated_spans(docs: DataFrame, k: int, store: Scratch) -> DataFrame:
     copies = occurrences.join(source, ["h", "d"]).filter("key <> source_key or start <> source_start").select("key", "start", "n", "source_key", "source_start")
     edges = store.save(path_edges(docs, kinds.filter("kinds > 1"), k), "edges")
     first = edges.groupBy("h", "edge").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("places")).filter("places > 1")
-    later = edges.join(first.select("h", "edge", F.col("first.key").alias("source_key"), F.col("first.pos").alias("source_pos")), ["h", "edge"])
+    sources = store.save(first.select("h", "edge", F.col("first.key").alias("source_key"), F.col("first.pos").alias("source_pos")), "sources")
+    later = edges.join(sources, ["h", "edge"])
     return copies.unionByName(compact(later.filter("key <> source_key or pos <> source_pos")))
 
 

@@ -172,7 +172,7 @@ def repeated_spans(docs: DataFrame, k: int, store: Scratch) -> DataFrame:
     cut = segments(docs, mixed, k).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
     hits = cut.groupBy("bucket").applyInArrow(_bucket_hits(k), "h long, d long, off int, n int")
     digests = store.save(window_digests(docs, kinds.filter(F.col("kinds") > HOT_KINDS), k), "digests")
-    twice = digests.groupBy("h", "w").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("h", "w")
+    twice = store.save(digests.groupBy("h", "w").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("h", "w"), "twice")
     hot = digests.join(twice, ["h", "w"]).select("h", "d", "off", F.lit(1).alias("n"))
     copies = kinds.filter("copies > 1").select("h", "d", F.lit(0).alias("off"), "n")
     found = hits.unionByName(hot).unionByName(copies).withColumnRenamed("n", "size")

@@ -159,7 +159,8 @@ def shared_runs(docs: DataFrame, sequence, k: int, m: int, store: Scratch) -> Da
                 owner = np.repeat(keys, [len(f[0]) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((h.view(np.int64), d.view(np.int64), owner, start, n), _RUNS.types)], schema=_RUNS)
 
-    repeated = docs.select("text").mapInArrow(heads, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").select("h")
+    # Written, as Spark splits a join's large partitions only where both sides come from a shuffle of their own.
+    repeated = store.save(docs.select("text").mapInArrow(heads, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").select("h"), "repeated")
     return store.save(docs.mapInArrow(whole, RUNS).join(repeated, "h"), "occurrences")
 
 
@@ -167,4 +168,5 @@ def run_kinds(occurrences: DataFrame, store: Scratch) -> DataFrame:
     """Of each kind (h, d) of runs: n, copies, the first occurrence (key, start), and the number of kinds of its h; saved as `kinds`."""
     kinds = occurrences.groupBy("h", "d").agg(F.min(F.struct("key", "start")).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     kinds = store.save(kinds.select("h", "d", "n", "copies", "first.key", "first.start"), "kinds-alone")
-    return store.save(kinds.join(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")), "h"), "kinds")
+    sizes = store.save(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")), "kinds-sizes")
+    return store.save(kinds.join(sizes, "h"), "kinds")

@@ -33,14 +33,14 @@ PERCENT = 90
 #: A band's largest size is this many times its least.
 BAND = 1 / 0.7
 SPARE = 2
-#: Longs of a signature.
+#: Longs of a signature at least, and of its fold.
 SIGNATURE = 8
 BLOCK = 512
 #: Ids of texts that may be broadcast: 8 bytes each. Beyond it the texts are shuffled.
 BROADCAST_IDS = 500_000
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-_TILES = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("tiles", pa.list_(pa.int64()))])
-_SETS = "class long, n long, " + ", ".join(f"s{i} long" for i in range(SIGNATURE)) + ", shingles array<long>"
+_LONGS = pa.list_(pa.int64())
+_CLASSES = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("tiles", _LONGS), ("signature", _LONGS), ("fold", _LONGS)])
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -86,82 +86,114 @@ def tiles(found: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """For each bit the parity of the number of shingles that hash to it."""
-    odd = np.bincount((found >> np.uint64(7)).astype(np.int64) % (64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """For each bit the parity of the number of shingles that hash to it: a bit for each shingle or more, in longs, a power of two of them."""
+    size = max(SIGNATURE, 1 << max(0, len(found) - 1).bit_length() >> 6)
+    odd = np.bincount((found >> np.uint64(7)).astype(np.int64) & (64 * size - 1), minlength=64 * size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def fold(signed: np.ndarray, size: int) -> np.ndarray:
+    """The signature with `size` longs of the same set."""
+    return np.bitwise_xor.reduce(signed.reshape(-1, size), axis=0)
+
+
+def apart(left: np.ndarray, right: np.ndarray) -> int:
+    """In how many shingles two sets differ at least."""
+    size = min(len(left), len(right))
+    return int(np.bitwise_count((fold(left, size) ^ fold(right, size)).view(np.uint64)).sum())
 
 
 def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """key, n (shingles), class (a digest of the set), tiles."""
+    """key, n (shingles), class (a digest of the set), tiles, signature, and the signature's fold to SIGNATURE longs."""
 
     def run(batches):
+        none = np.zeros(0, np.int64)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column("key").to_pylist(), strings(batch)):
                 found = shingles(text, words)
                 name = windows.mix(np.array([np.add.reduce(windows.mix(found), dtype=np.uint64) + np.uint64(len(found))])).view(np.int64)[0]
-                rows.append((key, len(found), int(name), tiles(found, percent).view(np.int64) if len(found) else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, _TILES.types)], schema=_TILES)
+                signed = signature(found)
+                rows.append((key, len(found), int(name), tiles(found, percent).view(np.int64) if len(found) else none, signed, fold(signed, SIGNATURE)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, _CLASSES.types)], schema=_CLASSES)
 
-    return docs.mapInArrow(run, "key long, n long, class long, tiles array<long>")
+    return docs.mapInArrow(run, "key long, n long, class long, tiles array<long>, signature array<long>, fold array<long>")
 
 
 def sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """class, n, signature and sorted shingles of the classes in `wanted` (class, key of a text that has it)."""
+    """class and sorted shingles of the classes in `wanted` (class, key of a text that has it)."""
 
     def run(batches):
         for batch in batches:
-            found = [shingles(t, words) for t in strings(batch)]
-            signs = np.array([signature(f) for f in found]).reshape(-1, SIGNATURE)
-            columns = [batch.column("class"), pa.array([len(f) for f in found], pa.int64()), *(pa.array(signs[:, i]) for i in range(SIGNATURE)), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["class", "n", *(f"s{i}" for i in range(SIGNATURE)), "shingles"])
+            found = [shingles(t, words).view(np.int64) for t in strings(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, pa.list_(pa.int64()))], names=["class", "shingles"])
 
     few = wanted.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(wanted) if few else wanted, "key").mapInArrow(run, _SETS)
+    return docs.join(F.broadcast(wanted) if few else wanted, "key").mapInArrow(run, "class long, shingles array<long>")
 
 
-def _side(table: DataFrame, name: str, columns) -> DataFrame:
-    return table.select(*(F.col(c).alias(f"{name}_{c}") for c in columns))
+def _with(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (a, b) with columns of both classes."""
+    side = lambda x: table.select(F.col("class").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{x}_{c}" for x in "ab" for c in columns))
 
 
-def may_link(percent: int):
-    """Whether the bound on the overlap of a and b allows a link."""
-    apart = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(1, SIGNATURE)), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-    both = F.col("a_n") + F.col("b_n")
-    return (100 + percent) * (both - apart) >= 2 * percent * both
+def _longs(column) -> list[np.ndarray]:
+    return [x.values.to_numpy() for x in column]
+
 
+def near_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures allow a link."""
 
-SIGNED = ("class", "n", *(f"s{i}" for i in range(SIGNATURE)))
+    def run(batches):
+        for batch in batches:
+            differ = np.array([apart(x, y) for x, y in zip(_longs(batch.column("a_signature")), _longs(batch.column("b_signature")))], np.int64)
+            both = batch.column("a_n").to_numpy() + batch.column("b_n").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * (both - differ) >= 2 * percent * both))
+
+    return _with(pairs, known, "n", "signature").mapInArrow(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    near = pairs.join(_side(known, "a", SIGNED), F.col("a") == F.col("a_class")).join(_side(known, "b", SIGNED), F.col("b") == F.col("b_class")).filter(may_link(percent)).select("a", "b")
-    whole = near.join(_side(known, "a", ("class", "shingles")), F.col("a") == F.col("a_class")).join(_side(known, "b", ("class", "shingles")), F.col("b") == F.col("b_class"))
+def linked_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets link."""
 
     def run(batches):
         for batch in batches:
             keep = []
-            for left, right in zip(batch.column("a_shingles"), batch.column("b_shingles")):
-                left, right = left.values.to_numpy(), right.values.to_numpy()
+            for left, right in zip(_longs(batch.column("a_shingles")), _longs(batch.column("b_shingles"))):
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return whole.select("a", "b", "a_shingles", "b_shingles").mapInArrow(run, "a long, b long")
+    return _with(pairs, known, "shingles").mapInArrow(run, "a long, b long")
 
 
-def tile_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes of one tile that are not connected and that the bound allows."""
+def linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, words: int, percent: int, store: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of classes that link, saved."""
+    near = store.save(near_pairs(pairs, known, percent), f"near-{name}")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(known.select("class", "key"), "class")
+    found = store.save(sets(docs, store.save(wanted, f"wanted-{name}"), words), f"sets-{name}")
+    links = store.save(linked_pairs(near, found, percent), f"links-{name}")
+    store.drop(f"near-{name}", f"sets-{name}")
+    return links
+
+
+def tile_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, percent: int, store: Scratch) -> DataFrame:
+    """The pairs (a, b) of classes of one tile that are not connected and whose folded signatures allow a link."""
     labelled = members.select("tile", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    open_ = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high").select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(open_, "tile").join(known.select(*SIGNED), "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    sizes = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    open_ = store.save(sizes.filter("low < high").select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
+    folds = known.select("class", "n", *(F.col("fold")[i].alias(f"s{i}") for i in range(SIGNATURE)))
+    rows = labelled.join(open_, "tile").join(folds, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ("tile", "root", *SIGNED)
-    left = rows.select("tile", F.col("block").alias("i"), other.alias("j"), *(F.col(c).alias(f"a_{c}") for c in columns[1:]))
-    right = rows.select("tile", other.alias("i"), F.col("block").alias("j"), *(F.col(c).alias(f"b_{c}") for c in columns[1:]))
+    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("class", "root", "n", *(f"s{i}" for i in range(SIGNATURE)))]
+    left = rows.select("tile", F.col("block").alias("i"), other.alias("j"), *named("a"))
+    right = rows.select("tile", other.alias("i"), F.col("block").alias("j"), *named("b"))
+    differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SIGNATURE)), F.lit(0))
+    both = F.col("a_n") + F.col("b_n")
     meet = (left["tile"] == right["tile"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
-    return left.join(right, meet & (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & may_link(percent)).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
+    apart_ = (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & ((100 + percent) * (both - differ) >= 2 * percent * both)
+    return left.join(right, meet & apart_).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -174,11 +206,13 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # Written, as Spark splits a join's large partitions only where both sides come from a shuffle of their own.
     shared = store.save(dealt.groupBy("tile").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).filter("pivot < last").select("tile", "pivot"), "shared")
     members = store.save(dealt.join(shared, "tile"), "members")
-    known = store.save(sets(rows, firsts.join(members.select("class").distinct(), "class"), words), "sets")
+    # One row per class that has a tile with another: n, key of its first text, signatures.
+    met = firsts.join(members.select("class").distinct(), "class").select("key")
+    known = store.save(found.drop("tiles").join(met, "key"), "known")
     pivots = members.filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    links = store.save(linked(pivots, known, percent), "links-pivot")
+    links = linked(pivots, known, rows, words, percent, store, "pivot")
     roots = components(links, store, "pivot")
-    more = store.save(linked(tile_pairs(members, roots, known, percent), known, percent), "links-tile")
+    more = linked(tile_pairs(members, roots, known, percent, store), known, rows, words, percent, store, "tile")
     if more.limit(1).count():
         roots = components(links.unionByName(more), store, "all")
     grouped = firsts.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))

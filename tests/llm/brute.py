@@ -43,12 +43,12 @@ def suffix(docs, k=200):
     return out
 
 
-def ngram_join(docs):
+def ngram_join(docs, k=3, percent=90):
     """doc_id, n_shingles, component_id, by all pairs."""
     sets = {}
     for doc_id, text in docs:
         words = (text or "").encode().lower().split()
-        sets[doc_id] = {tuple(words[i : i + 3]) for i in range(len(words) - 2)} if len(words) > 2 else {tuple(words)} if words else set()
+        sets[doc_id] = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} if words else set()
     root = {d: d for d in sets}
 
     def find(d):
@@ -67,7 +67,7 @@ def ngram_join(docs):
                 if o < d:
                     shared[o] = shared.get(o, 0) + 1
         for o, both in shared.items():
-            if 100 * both >= 90 * (len(s) + len(sets[o]) - both):
+            if 100 * both >= percent * (len(s) + len(sets[o]) - both):
                 a, b = find(o), find(d)
                 root[max(a, b)] = min(a, b)
     return [(d, len(s), find(d)) for d, s in sets.items()]

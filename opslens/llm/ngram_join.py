@@ -2,14 +2,14 @@
 
 Texts with one set are one class. Classes fall into bands of set sizes; a partner may be in the same band or the next one.
 Two sets that link differ in a bounded number d of shingles, so if shingles are dealt by hash into d + 1 parts, some part
-of both is the same; a tile is a band, a part and its content. (SPARE parts more than that let parts without shingles be
-left out, as long as a set has no more of those.) Within tiles, signatures bound the overlap from above: a signature holds the
+of both is the same; a tile is a band, a part and its content. (Some spare parts more than that let parts without shingles
+be left out, as long as a set has no more of those.) Within tiles, signatures bound the overlap from above: a signature holds the
 parity of shingle counts by hash, so two sets differ in at least as many shingles as their signatures do in bits. What
 passes is decided by intersecting sorted arrays.
 
 Links serve to connect. So first every class of a tile is held against one of it, the pivot, which connects a large group
-of near copies in as many pairs as it has rows; then all pairs of a tile whose classes are not connected yet are held
-against each other, in blocks of BLOCK by BLOCK classes. No link between unconnected classes is left out.
+of near copies in as many pairs as it has rows; then the classes of a tile that are not connected to its pivot are held
+against all classes of the tile that they are not connected to, in blocks of BLOCK. No link between unconnected classes is left out.
 
 Defined results: null text counts as empty; a text without words has no shingles and is linked with nothing; a text with
 fewer words than a shingle is one shingle; rows that repeat a doc_id or have none are documents of their own, null ids
@@ -32,7 +32,6 @@ WORDS = 3
 PERCENT = 90
 #: A band's largest size is this many times its least.
 BAND = 1 / 0.7
-SPARE = 2
 #: Longs of a signature at least, and of its fold.
 SIGNATURE = 8
 BLOCK = 512
@@ -56,31 +55,40 @@ def shingles(text: str, words: int) -> np.ndarray:
 
 
 @lru_cache(4)
-def bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least sizes of the bands, and how many shingles linked sets of each band may differ in at most."""
+def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least sizes of the bands, how many shingles linked sets of each band may differ in at most, and the spare parts.
+
+    A band has about as many spare parts as are empty in nearly all of its sets: the mean for its smallest sets and three
+    deviations."""
     least = [1]
     while least[-1] < 1 << 40:
         least.append(max(least[-1] + 1, int(least[-1] * BAND)))
-    largest = np.array(least[1:]) - 1
-    return np.array(least[:-1]), 2 * largest * (100 - percent) // (100 + percent)
+    least, largest = np.array(least[:-1]), np.array(least[1:]) - 1
+    differ = 2 * largest * (100 - percent) // (100 + percent)
+    spare = np.full(len(least), 2)
+    for _ in range(8):
+        parts = differ + 1 + spare
+        empty = parts * np.exp(-least / parts)
+        spare = np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64) + 1
+    return least, differ, spare
 
 
 def tiles(found: np.ndarray, percent: int) -> np.ndarray:
     """The tiles that a set falls into."""
-    n, (least, differ) = len(found), bands(percent)
+    n, (least, differ, spares) = len(found), bands(percent)
     band, out = int(np.searchsorted(least, n, "right")) - 1, []
     for b in (band, band + 1):
         if not differ[b] or b > band and 100 * n < percent * int(least[b]):
             continue  # sets that may not differ link as one class
-        parts = int(differ[b]) + 1 + SPARE
+        spare = int(spares[b])
+        parts = int(differ[b]) + 1 + spare
         part = ((found >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.int64)
         order = np.argsort(part, kind="stable")
         part = part[order]
         opens = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         names = np.uint64(b << 32) + part[opens]
-        sums = np.add.reduceat(windows.mix(found[order]), opens)
-        out.append(windows.mix(windows.mix(names) + sums))
-        if parts - len(opens) > SPARE:
+        out.append(windows.mix(windows.mix(names) + np.add.reduceat(windows.mix(found[order]), opens)))
+        if parts - len(opens) > spare:
             out.append(windows.mix(np.uint64(b << 32) + np.setdiff1d(np.arange(parts), part[opens]).astype(np.uint64)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -181,19 +189,18 @@ def linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, words: int, perc
 def tile_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, percent: int, store: Scratch) -> DataFrame:
     """The pairs (a, b) of classes of one tile that are not connected and whose folded signatures allow a link."""
     labelled = members.select("tile", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    sizes = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-    open_ = store.save(sizes.filter("low < high").select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
+    sizes = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "class").alias("main"), F.count(F.lit(1)).alias("size"))
+    open_ = store.save(sizes.filter("low < high").select("tile", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
     folds = known.select("class", "n", *(F.col("fold")[i].alias(f"s{i}") for i in range(SIGNATURE)))
-    rows = labelled.join(open_, "tile").join(folds, "class").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = labelled.join(open_, "tile").join(folds, "class")
     named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("class", "root", "n", *(f"s{i}" for i in range(SIGNATURE)))]
-    left = rows.select("tile", F.col("block").alias("i"), other.alias("j"), *named("a"))
-    right = rows.select("tile", other.alias("i"), F.col("block").alias("j"), *named("b"))
+    left = rows.filter("root <> main").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *named("a"))
+    right = rows.select("tile", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), (F.col("root") == F.col("main")).alias("in_main"), *named("b"))
     differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SIGNATURE)), F.lit(0))
     both = F.col("a_n") + F.col("b_n")
-    meet = (left["tile"] == right["tile"]) & (left["i"] == right["i"]) & (left["j"] == right["j"])
-    apart_ = (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & ((100 + percent) * (both - differ) >= 2 * percent * both)
-    return left.join(right, meet & apart_).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
+    meet = (left["tile"] == right["tile"]) & (left["block"] == right["block"]) & (F.col("in_main") | (F.col("a_class") < F.col("b_class")))
+    may = (F.col("a_root") != F.col("b_root")) & ((100 + percent) * (both - differ) >= 2 * percent * both)
+    return left.join(right, meet & may).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
 
 
 def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -7,9 +7,10 @@ be left out, as long as a set has no more of those.) Within tiles, signatures bo
 parity of shingle counts by hash, so two sets differ in at least as many shingles as their signatures do in bits. What
 passes is decided by intersecting sorted arrays.
 
-Links serve to connect. So first every class of a tile is held against one of it, the pivot, which connects a large group
-of near copies in as many pairs as it has rows; then the classes of a tile that are not connected to its pivot are held
-against all classes of the tile that they are not connected to, in blocks of BLOCK. No link between unconnected classes is left out.
+Links serve to connect. So first every class is held against one class of its tiles, a pivot, which connects a large group
+of near copies in as many pairs as it has rows; then against the pivots of its other tiles that it isn't connected to; then
+the classes of a tile that are not connected to its pivot are held against all classes of the tile that they are not
+connected to, in blocks of BLOCK. No link between unconnected classes is left out.
 
 Defined results: null text counts as empty; a text without words has no shingles and is linked with nothing; a text with
 fewer words than a shingle is one shingle; rows that repeat a doc_id or have none are documents of their own, null ids
@@ -33,7 +34,7 @@ PERCENT = 90
 #: A band's largest size is this many times its least.
 BAND = 1 / 0.7
 #: Longs of a signature at least, and of its fold.
-SIGNATURE = 8
+SIGNATURE = 16
 BLOCK = 512
 #: Ids of texts that may be broadcast: 8 bytes each. Beyond it the texts are shuffled.
 BROADCAST_IDS = 500_000
@@ -186,9 +187,15 @@ def linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, words: int, perc
     return links
 
 
+def rooted(rows: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
+    """The rows with the root of a column's class; a class without links is its own."""
+    known = roots.select(F.col("node").alias(column), F.col("root").alias(name))
+    return rows.join(known, column, "left").withColumn(name, F.coalesce(name, column))
+
+
 def tile_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, percent: int, store: Scratch) -> DataFrame:
     """The pairs (a, b) of classes of one tile that are not connected and whose folded signatures allow a link."""
-    labelled = members.select("tile", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    labelled = rooted(members.select("tile", "class"), roots, "class", "root")
     sizes = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "class").alias("main"), F.count(F.lit(1)).alias("size"))
     open_ = store.save(sizes.filter("low < high").select("tile", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
     folds = known.select("class", "n", *(F.col("fold")[i].alias(f"s{i}") for i in range(SIGNATURE)))
@@ -216,12 +223,16 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # One row per class that has a tile with another: n, key of its first text, signatures.
     met = firsts.join(members.select("class").distinct(), "class").select("key")
     known = store.save(found.drop("tiles").join(met, "key"), "known")
-    pivots = members.filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    links = linked(pivots, known, rows, words, percent, store, "pivot")
+    pivots = store.save(members.filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pivots")
+    # One pivot of each class connects most of a large group; of the other pivots only those count that it isn't connected to.
+    links = linked(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), known, rows, words, percent, store, "pivot")
     roots = components(links, store, "pivot")
-    more = linked(tile_pairs(members, roots, known, percent, store), known, rows, words, percent, store, "tile")
-    if more.limit(1).count():
-        roots = components(links.unionByName(more), store, "all")
+    others = rooted(rooted(pivots, roots, "a", "a_root"), roots, "b", "b_root").filter("a_root <> b_root").select("a", "b")
+    for name, pairs in (("others", lambda: others), ("tile", lambda: tile_pairs(members, roots, known, percent, store))):
+        more = linked(pairs(), known, rows, words, percent, store, name)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            roots = components(links, store, name)
     grouped = firsts.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = grouped.groupBy("root").agg(F.min("key").alias("component"))
     named = grouped.join(least, "root").select("class", "component")

@@ -33,14 +33,16 @@ WORDS = 3
 PERCENT = 90
 #: A band's largest size is this many times its least.
 BAND = 1 / 0.7
-#: Longs of a signature at least, and of its fold.
-SIGNATURE = 16
+#: Longs of a signature at least, and of its fold; longs of the fine one that sets of more than LARGE shingles have besides.
+SIGNATURE = 8
+FINE = 64
+LARGE = 900
 BLOCK = 512
 #: Ids of texts that may be broadcast: 8 bytes each. Beyond it the texts are shuffled.
 BROADCAST_IDS = 500_000
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _LONGS = pa.list_(pa.int64())
-_CLASSES = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("tiles", _LONGS), ("signature", _LONGS), ("fold", _LONGS)])
+_CLASSES = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("tiles", _LONGS), ("signature", _LONGS), ("fold", _LONGS), ("fine", _LONGS)])
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -94,9 +96,9 @@ def tiles(found: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """For each bit the parity of the number of shingles that hash to it: a bit for each shingle or more, in longs, a power of two of them."""
-    size = max(SIGNATURE, 1 << max(0, len(found) - 1).bit_length() >> 6)
+def signature(found: np.ndarray, size: int = 0) -> np.ndarray:
+    """For each bit the parity of the number of shingles that hash to it, in longs: `size`, or so many that there is a bit for each shingle."""
+    size = size or max(SIGNATURE, 1 << max(0, len(found) - 1).bit_length() >> 6)
     odd = np.bincount((found >> np.uint64(7)).astype(np.int64) & (64 * size - 1), minlength=64 * size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -113,7 +115,7 @@ def apart(left: np.ndarray, right: np.ndarray) -> int:
 
 
 def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """key, n (shingles), class (a digest of the set), tiles, signature, and the signature's fold to SIGNATURE longs."""
+    """key, n (shingles), class (a digest of the set), tiles, signature, its fold to SIGNATURE longs, and the fine one of large sets."""
 
     def run(batches):
         none = np.zeros(0, np.int64)
@@ -123,10 +125,10 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 found = shingles(text, words)
                 name = windows.mix(np.array([np.add.reduce(windows.mix(found), dtype=np.uint64) + np.uint64(len(found))])).view(np.int64)[0]
                 signed = signature(found)
-                rows.append((key, len(found), int(name), tiles(found, percent).view(np.int64) if len(found) else none, signed, fold(signed, SIGNATURE)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, _CLASSES.types)], schema=_CLASSES)
+                rows.append((key, len(found), int(name), tiles(found, percent).view(np.int64) if len(found) else none, signed, fold(signed, SIGNATURE), signature(found, FINE) if len(found) > LARGE else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, _CLASSES.types)], schema=_CLASSES)
 
-    return docs.mapInArrow(run, "key long, n long, class long, tiles array<long>, signature array<long>, fold array<long>")
+    return docs.mapInArrow(run, "key long, n long, class long, tiles array<long>, signature array<long>, fold array<long>, fine array<long>")
 
 
 def sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -193,20 +195,31 @@ def rooted(rows: DataFrame, roots: DataFrame, column: str, name: str) -> DataFra
     return rows.join(known, column, "left").withColumn(name, F.coalesce(name, column))
 
 
+def joined_roots(roots: DataFrame, more: DataFrame, store: Scratch, name: str) -> DataFrame:
+    """The roots after more links: what is connected already is one node, so that its links to another count once."""
+    between = rooted(rooted(more, roots, "a", "a_root"), roots, "b", "b_root").filter("a_root <> b_root")
+    tops = components(between.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), store, name)
+    fresh = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").withColumn("root", F.col("node"))
+    return store.save(rooted(roots.unionByName(fresh), tops, "root", "top").select("node", F.col("top").alias("root")), f"roots-{name}")
+
+
 def tile_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, percent: int, store: Scratch) -> DataFrame:
     """The pairs (a, b) of classes of one tile that are not connected and whose folded signatures allow a link."""
     labelled = rooted(members.select("tile", "class"), roots, "class", "root")
     sizes = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "class").alias("main"), F.count(F.lit(1)).alias("size"))
     open_ = store.save(sizes.filter("low < high").select("tile", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
-    folds = known.select("class", "n", *(F.col("fold")[i].alias(f"s{i}") for i in range(SIGNATURE)))
+    folds = known.select("class", "n", "fine", *(F.col("fold")[i].alias(f"s{i}") for i in range(SIGNATURE)))
     rows = labelled.join(open_, "tile").join(folds, "class")
-    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("class", "root", "n", *(f"s{i}" for i in range(SIGNATURE)))]
+    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("class", "root", "n", "fine", *(f"s{i}" for i in range(SIGNATURE)))]
     left = rows.filter("root <> main").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *named("a"))
     right = rows.select("tile", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), (F.col("root") == F.col("main")).alias("in_main"), *named("b"))
     differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SIGNATURE)), F.lit(0))
     both = F.col("a_n") + F.col("b_n")
     meet = (left["tile"] == right["tile"]) & (left["block"] == right["block"]) & (F.col("in_main") | (F.col("a_class") < F.col("b_class")))
-    may = (F.col("a_root") != F.col("b_root")) & ((100 + percent) * (both - differ) >= 2 * percent * both)
+    finely = F.aggregate(F.zip_with("a_fine", "b_fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    bound = lambda d: (100 + percent) * (both - d) >= 2 * percent * both
+    large = F.col("a_fine").isNotNull() & F.col("b_fine").isNotNull()
+    may = (F.col("a_root") != F.col("b_root")) & bound(differ) & (~large | bound(finely))
     return left.join(right, meet & may).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
 
 
@@ -231,8 +244,7 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     for name, pairs in (("others", lambda: others), ("tile", lambda: tile_pairs(members, roots, known, percent, store))):
         more = linked(pairs(), known, rows, words, percent, store, name)
         if more.limit(1).count():
-            links = links.unionByName(more)
-            roots = components(links, store, name)
+            roots = joined_roots(roots, more, store, name)
     grouped = firsts.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = grouped.groupBy("root").agg(F.min("key").alias("component"))
     named = grouped.join(least, "root").select("class", "component")

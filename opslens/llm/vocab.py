@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -21,25 +20,24 @@ END_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 MEMO_WORDS = 300_000
 
 
-@lru_cache(1)
-def _odd() -> re.Pattern:
-    """Special tokens, numbers that are no digits, unassigned characters, four separators and the capital sigma."""
-    spans, first = [], None
-    for i in range(0x80, sys.maxunicode + 2):
-        odd = i <= sys.maxunicode and unicodedata.category(chr(i)) in ("No", "Nl", "Cn", "Cs")
-        if odd and first is None:
-            first = i
-        elif not odd and first is not None:
-            spans.append(f"\\U{first:08x}-\\U{i - 1:08x}")
-            first = None
-    return re.compile(f"[\x1c-\x1fΣ{''.join(spans)}]|{_SPECIAL}")
+_SPECIAL_TOKEN = re.compile(_SPECIAL)
+#: Characters that were seen and are not odd.
+_PLAIN: set[str] = set()
 
 
-_ODD_ASCII = re.compile(f"[\x1c-\x1f]|{_SPECIAL}")
+def _odd(char: str) -> bool:
+    """Numbers that are no digits, unassigned characters, four separators and the capital sigma."""
+    return char == "\u03a3" or "\x1c" <= char <= "\x1f" or char >= "\x80" and unicodedata.category(char) in ("No", "Nl", "Cn", "Cs")
 
 
 def is_plain(text: str) -> bool:
-    return not (_ODD_ASCII if text.isascii() else _odd()).search(text)
+    """Whether a text has no odd character and no special token; its distinct characters are looked at, not each of them."""
+    new = set(text) - _PLAIN
+    if new:
+        if any(map(_odd, new)):
+            return False
+        _PLAIN.update(new)
+    return "<|" not in text or not _SPECIAL_TOKEN.search(text)
 
 
 def byte_words(text: str) -> list[str]:

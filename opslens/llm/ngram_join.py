@@ -231,12 +231,13 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     firsts = store.save(found.filter("n > 0").groupBy("class").agg(F.min("key").alias("key")), "firsts")
     dealt = found.select("key", "tiles").join(firsts, "key").select("class", F.explode("tiles").alias("tile"))
     # Written, as Spark splits a join's large partitions only where both sides come from a shuffle of their own.
-    shared = store.save(dealt.groupBy("tile").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).filter("pivot < last").select("tile", "pivot"), "shared")
+    shared = store.save(dealt.groupBy("tile").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").select("tile"), "shared")
     members = store.save(dealt.join(shared, "tile"), "members")
+    pivot_of = store.save(members.groupBy("tile").agg(F.min("class").alias("pivot")), "pivot-of")
     # One row per class that has a tile with another: n, key of its first text, signatures.
     met = firsts.join(members.select("class").distinct(), "class").select("key")
     known = store.save(found.drop("tiles").join(met, "key"), "known")
-    pivots = store.save(members.filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pivots")
+    pivots = store.save(members.join(pivot_of, "tile").filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pivots")
     # One pivot of each class connects most of a large group; of the other pivots only those count that it isn't connected to.
     links = linked(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), known, rows, words, percent, store, "pivot")
     roots = components(links, store, "pivot")

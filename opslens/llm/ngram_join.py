@@ -2,10 +2,17 @@
 
 Texts with one set are one class. Classes fall into bands of set sizes; a partner may be in the same band or the next one.
 Two sets that link differ in a bounded number d of shingles, so if shingles are dealt by hash into d + 1 parts, some part
-of both is the same; a tile is a band, a part and its content. (Some spare parts more than that let parts without shingles
-be left out, as long as a set has no more of those.) Within tiles, signatures bound the overlap from above: a signature holds the
-parity of shingle counts by hash, so two sets differ in at least as many shingles as their signatures do in bits. What
-passes is decided by intersecting sorted arrays.
+of both is the same; a tile is a band, a part and its content. Where such parts would hold few shingles, so that texts that
+only share a passage often meet, there are half as many, of which some has one difference at most: such a part is dealt
+into PIECES, all but one of which are the same, and a tile holds all pieces but one. (Some spare parts more than that let
+tiles without shingles be left out, as long as a set has no more parts with those.) Within tiles, signatures bound the
+overlap from above: a signature holds the parity of shingle counts by hash, so two sets differ in at least as many shingles
+as their signatures do in bits. What passes is decided by intersecting sorted arrays.
+
+Most tiles have one class. So tiles travel once, packed: a row holds many tiles of a shard (the leading bits of a tile),
+the next TILE_BYTES of each and its text's key. A shard is read row by row, and only tiles that are there twice leave it; a
+tile met twice is held as one number, so that memory goes by a shard's distinct tiles and not by the size of a tile.
+Tiles that agree in these bits alone are one tile, which adds pairs to verify but loses none.
 
 Links serve to connect. So first every class is held against one class of its tiles, a pivot, which connects a large group
 of near copies in as many pairs as it has rows; then against the pivots of its other tiles that it isn't connected to; then
@@ -31,8 +38,17 @@ from .components import components
 
 WORDS = 3
 PERCENT = 90
-#: A band's largest size is this many times its least.
+#: A band's largest size is this many times its least, or more where linked sets may differ more in size.
 BAND = 1 / 0.7
+#: Parts with fewer shingles than this on average are made twice as large and dealt into so many pieces.
+THIN = 5
+PIECES = 4
+#: Tiles that a task packs at once, tiles of a shard that are compared at once, shingles for each shard, least and most bits of a shard.
+PACK = 1 << 21
+SETTLE = 1 << 20
+SHARD = 1 << 17
+SHARD_BITS = (6, 24)
+TILE_BYTES = 5
 #: Longs of a signature at least, and of its fold; longs of the fine one that sets of more than LARGE shingles have besides.
 SIGNATURE = 8
 FINE = 64
@@ -42,7 +58,7 @@ BLOCK = 512
 BROADCAST_IDS = 500_000
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _LONGS = pa.list_(pa.int64())
-_CLASSES = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("tiles", _LONGS), ("signature", _LONGS), ("fold", _LONGS), ("fine", _LONGS)])
+_CLASSES = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("signature", _LONGS), ("fold", _LONGS), ("fine", _LONGS)])
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -58,41 +74,53 @@ def shingles(text: str, words: int) -> np.ndarray:
 
 
 @lru_cache(4)
-def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least sizes of the bands, how many shingles linked sets of each band may differ in at most, and the spare parts.
+def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each band: its least size, the number of parts, how many of these are spare, and the pieces of a part.
 
-    A band has about as many spare parts as are empty in nearly all of its sets: the mean for its smallest sets and three
-    deviations."""
-    least = [1]
+    A band has about as many spare parts as have a tile without shingles in nearly all of its sets: the mean for its
+    smallest sets and three deviations."""
+    least, ratio = [1], max(BAND, 100 / percent)
     while least[-1] < 1 << 40:
-        least.append(max(least[-1] + 1, int(least[-1] * BAND)))
+        least.append(max(least[-1] + 1, int(least[-1] * ratio)))
     least, largest = np.array(least[:-1]), np.array(least[1:]) - 1
     differ = 2 * largest * (100 - percent) // (100 + percent)
-    spare = np.full(len(least), 2)
-    for _ in range(8):
-        parts = differ + 1 + spare
-        empty = parts * np.exp(-least / parts)
-        spare = np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64) + 1
-    return least, differ, spare
+
+    def dealt(enough, pieces):
+        spare = np.full(len(least), 2)
+        for _ in range(8):
+            parts = enough + spare
+            none = np.exp(-least / parts / pieces)
+            bare = parts * (none**pieces + pieces * none ** (pieces - 1) * (1 - none) if pieces > 1 else none)
+            spare = np.ceil(bare + 3 * np.sqrt(bare)).astype(np.int64) + 1
+        return enough + spare, spare
+
+    (parts, spare), (large, more) = dealt(differ + 1, 1), dealt(differ // 2 + 1, PIECES)
+    split = (least < THIN * parts) & (large * PIECES < parts * (PIECES - 1))  # only if tiles hold more by it
+    return least, np.where(differ > 0, np.where(split, large, parts), 0), np.where(split, more, spare), np.where(split, PIECES, 1)
 
 
 def tiles(found: np.ndarray, percent: int) -> np.ndarray:
     """The tiles that a set falls into."""
-    n, (least, differ, spares) = len(found), bands(percent)
+    n, (least, parts, spares, pieces) = len(found), bands(percent)
     band, out = int(np.searchsorted(least, n, "right")) - 1, []
     for b in (band, band + 1):
-        if not differ[b] or b > band and 100 * n < percent * int(least[b]):
+        if not n or not parts[b] or b > band and 100 * n < percent * int(least[b]):
             continue  # sets that may not differ link as one class
-        spare = int(spares[b])
-        parts = int(differ[b]) + 1 + spare
-        part = ((found >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts < 65536 else np.int64)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        opens = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        names = np.uint64(b << 32) + part[opens]
-        out.append(windows.mix(windows.mix(names) + np.add.reduceat(windows.mix(found[order]), opens)))
-        if parts - len(opens) > spare:
-            out.append(windows.mix(np.uint64(b << 32) + np.setdiff1d(np.arange(parts), part[opens]).astype(np.uint64)))
+        size, each = int(parts[b] * pieces[b]), int(pieces[b])
+        piece = ((found >> np.uint64(20)) % np.uint64(size)).astype(np.uint16 if size < 65536 else np.int64)
+        order = np.argsort(piece, kind="stable")
+        piece = piece[order]
+        opens = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
+        content, filled = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        content[piece[opens]], filled[piece[opens]] = np.add.reduceat(windows.mix(found[order]), opens), 1
+        content, filled = content.reshape(-1, each), filled.reshape(-1, each)
+        if each > 1:  # a tile for each piece left out
+            content, filled = content.sum(axis=1, keepdims=True, dtype=np.uint64) - content, filled.sum(axis=1, keepdims=True) - filled
+        names = windows.mix(windows.mix(np.uint64(b << 32) + np.arange(size, dtype=np.uint64)) + content.ravel())
+        full = filled.ravel() > 0
+        out.append(names[full])
+        if (filled == 0).any(axis=1).sum() > spares[b]:
+            out.append(names[~full])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -114,21 +142,100 @@ def apart(left: np.ndarray, right: np.ndarray) -> int:
     return int(np.bitwise_count((fold(left, size) ^ fold(right, size)).view(np.uint64)).sum())
 
 
-def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """key, n (shingles), class (a digest of the set), tiles, signature, its fold to SIGNATURE longs, and the fine one of large sets."""
+def classes(docs: DataFrame, words: int) -> DataFrame:
+    """key, n (shingles), class (a digest of the set), signature, its fold to SIGNATURE longs, and the fine one of large sets."""
 
     def run(batches):
-        none = np.zeros(0, np.int64)
         for batch in batches:
             rows = []
             for key, text in zip(batch.column("key").to_pylist(), strings(batch)):
                 found = shingles(text, words)
                 name = windows.mix(np.array([np.add.reduce(windows.mix(found), dtype=np.uint64) + np.uint64(len(found))])).view(np.int64)[0]
                 signed = signature(found)
-                rows.append((key, len(found), int(name), tiles(found, percent).view(np.int64) if len(found) else none, signed, fold(signed, SIGNATURE), signature(found, FINE) if len(found) > LARGE else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 7, _CLASSES.types)], schema=_CLASSES)
+                rows.append((key, len(found), int(name), signed, fold(signed, SIGNATURE), signature(found, FINE) if len(found) > LARGE else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, _CLASSES.types)], schema=_CLASSES)
+
+    return docs.mapInArrow(run, "key long, n long, class long, signature array<long>, fold array<long>, fine array<long>")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts whose key is in `wanted`, which is broadcast if it is small."""
+    return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "key")
+
+
+def _pack(keys: list[int], found: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """Tiles by shard: the key that others are counted from, and for each tile TILE_BYTES and the distance of its key by byte planes."""
+    tile, owner = np.concatenate(found), np.repeat(np.array(keys, np.int64), [len(x) for x in found])
+    shard = (tile >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
+    order = np.argsort(shard, kind="stable")
+    shard, base = shard[order], int(owner.min())
+    rest = ((tile[order] << np.uint64(bits)) >> np.uint64(64 - 8 * TILE_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TILE_BYTES]
+    away = (owner[order] - base).astype("<u8")
+    away = away.view(np.uint8).reshape(-1, 8)[:, : max(1, -(-int(away.max()).bit_length() // 8))]
+    opens = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    cuts = list(zip(opens, [*opens[1:], len(shard)]))
+    columns = (shard[opens].astype(np.int32), [base] * len(cuts), [rest[i:j].tobytes() for i, j in cuts], [away[i:j].T.tobytes() for i, j in cuts])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "base", "rest", "away"])
+
 
-    return docs.mapInArrow(run, "key long, n long, class long, tiles array<long>, signature array<long>, fold array<long>, fine array<long>")
+def _unpack(base: int, rest: bytes, away: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(rest) // TILE_BYTES
+    tile, owner = np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)
+    tile[:, :TILE_BYTES] = np.frombuffer(rest, np.uint8).reshape(n, TILE_BYTES)
+    owner[:, : len(away) // n] = np.frombuffer(away, np.uint8).reshape(-1, n).T
+    return tile.view("<u8").ravel(), owner.view("<i8").ravel() + base
+
+
+def shared_tiles(texts: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
+    """tile, key of all tiles that two texts or more have."""
+
+    def pack(batches):
+        keys, found, size = [], [], 0
+        for batch in batches:
+            for key, text in zip(batch.column("key").to_pylist(), strings(batch)):
+                own = tiles(shingles(text, words), percent)
+                if len(own):
+                    keys.append(key)
+                    found.append(own)
+                    size += len(own)
+                if size >= PACK:
+                    yield _pack(keys, found, bits)
+                    keys, found, size = [], [], 0
+        if keys:
+            yield _pack(keys, found, bits)
+
+    def settle(held, twice):
+        """What is shared among `held` or known to be, the tiles known to be shared, and what is left."""
+        tile, owner = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(tile, kind="stable")
+        tile, owner = tile[order], owner[order]
+        same = tile[1:] == tile[:-1]
+        out = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        if len(twice):
+            out |= twice[np.minimum(np.searchsorted(twice, tile), len(twice) - 1)] == tile
+        return (tile[out], owner[out]), np.union1d(twice, tile[out]), (tile[~out], owner[~out])
+
+    def meet(batches):
+        at, held, fresh, twice = None, [], 0, np.zeros(0, np.uint64)
+
+        def told(part):
+            return pa.RecordBatch.from_arrays([pa.array(((np.uint64(at << 8 * TILE_BYTES)) + part[0]).view(np.int64)), pa.array(part[1])], names=["tile", "key"])
+
+        for batch in batches:
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (shard != at or fresh >= SETTLE):
+                    part, twice, left = settle(held, twice)
+                    yield told(part)
+                    held, fresh = [left], 0
+                if shard != at:
+                    at, held, fresh, twice = shard, [], 0, np.zeros(0, np.uint64)
+                held.append(_unpack(*row))
+                fresh += len(held[-1][0])
+        if held:
+            yield told(settle(held, twice)[0])
+
+    packed = texts.select("key", "text").mapInArrow(pack, "shard int, base long, rest binary, away binary")
+    return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(meet, "tile long, key long")
 
 
 def sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -139,8 +246,7 @@ def sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             found = [shingles(t, words).view(np.int64) for t in strings(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, pa.list_(pa.int64()))], names=["class", "shingles"])
 
-    few = wanted.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(wanted) if few else wanted, "key").mapInArrow(run, "class long, shingles array<long>")
+    return _texts(docs, wanted).mapInArrow(run, "class long, shingles array<long>")
 
 
 def _with(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -227,16 +333,15 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """One row per document: doc_id, n_shingles, component_id (the least doc_id that it reaches by links)."""
     store = Scratch(docs.sparkSession, "ngram-join")
     rows, ids = windows.keyed(docs, store)
-    found = store.save(classes(rows, words, percent), "classes")
+    found = store.save(classes(rows, words), "classes")
     firsts = store.save(found.filter("n > 0").groupBy("class").agg(F.min("key").alias("key")), "firsts")
-    dealt = found.select("key", "tiles").join(firsts, "key").select("class", F.explode("tiles").alias("tile"))
-    # Written, as Spark splits a join's large partitions only where both sides come from a shuffle of their own.
-    shared = store.save(dealt.groupBy("tile").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").select("tile"), "shared")
-    members = store.save(dealt.join(shared, "tile"), "members")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    bits = min(max((total // SHARD).bit_length(), SHARD_BITS[0]), SHARD_BITS[1])
+    members = store.save(shared_tiles(_texts(rows, firsts.select("key")), words, percent, bits).join(firsts, "key").select("tile", "class"), "members")
     pivot_of = store.save(members.groupBy("tile").agg(F.min("class").alias("pivot")), "pivot-of")
     # One row per class that has a tile with another: n, key of its first text, signatures.
     met = firsts.join(members.select("class").distinct(), "class").select("key")
-    known = store.save(found.drop("tiles").join(met, "key"), "known")
+    known = store.save(found.join(met, "key"), "known")
     pivots = store.save(members.join(pivot_of, "tile").filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pivots")
     # One pivot of each class connects most of a large group; of the other pivots only those count that it isn't connected to.
     links = linked(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), known, rows, words, percent, store, "pivot")

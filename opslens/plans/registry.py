@@ -45,7 +45,7 @@ c AS (SELECT window_start, window_start + 300 AS window_end, count(*) AS event_c
 _FLAGS = f"""{_COUNTS}, g AS (SELECT *, technical_error_count > 0 OR root_signal_count > 0 AS is_anomaly,
   CASE WHEN technical_error_count > 0 AND root_signal_count > 0 THEN 'technical_error_rule+root_signal_rule' WHEN technical_error_count > 0 THEN 'technical_error_rule'
   WHEN root_signal_count > 0 THEN 'root_signal_rule' ELSE 'normal' END AS anomaly_reason FROM c)"""
-#: The regions that the queries on members use: windows with two technical errors or more, so that there are several.
+#: Windows that the SQL below still leaves out: those with fewer technical errors. The queries take all flagged windows.
 _BUSY = 2
 _REGIONS = f"""{_FLAGS}, o AS (SELECT *, CASE WHEN window_start <= max(window_end) OVER (ORDER BY window_start, window_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 60 THEN 0 ELSE 1 END AS opens
   FROM g WHERE is_anomaly), i AS (SELECT *, CAST(sum(opens) OVER (ORDER BY window_start, window_end ROWS UNBOUNDED PRECEDING) AS BIGINT) AS region FROM o)"""
@@ -68,8 +68,7 @@ def _windows(spark, sf_dir) -> DataFrame:
 
 
 def _members(spark, sf_dir) -> DataFrame:
-    busy = _windows(spark, sf_dir).filter(F.col("technical_error_count") >= _BUSY)
-    return incidents.in_regions(_events(spark, sf_dir), time_windows.anomaly_regions(busy))
+    return incidents.in_regions(_events(spark, sf_dir), time_windows.anomaly_regions(_windows(spark, sf_dir)))
 
 
 # --- windows ----------------------------------------------------------------------------------------------------------
@@ -175,8 +174,7 @@ def unassigned_errors(spark, sf_dir):
 
 @_query(f"""WITH {_BUSY_REGIONS} SELECT r.region, count(*) AS n, min(event_s) AS first_s, max(event_s) AS last_s FROM r JOIN f ON event_s >= region_start - 60 AND event_s < region_end + 120 GROUP BY r.region""")
 def context_join(spark, sf_dir):
-    regions = time_windows.anomaly_regions(_windows(spark, sf_dir).filter(F.col("technical_error_count") >= _BUSY))
-    near = incidents.in_regions(_events(spark, sf_dir), regions, before=60, after=120)
+    near = incidents.in_regions(_events(spark, sf_dir), time_windows.anomaly_regions(_windows(spark, sf_dir)), before=60, after=120)
     return near.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("event_s").alias("first_s"), F.max("event_s").alias("last_s"))
 
 

@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and a token-efficiency test for random strings.
 
-The patterns find assignments, access keys and long hex strings. The test takes runs of key characters that hold both
-letters and digits, leaves out known digests (hex of a digest's length) and identifiers (UUIDs, words and numbers joined
-by dashes or underscores), and reports a run if a tiktoken vocabulary needs many tokens for it: text that resembles what
-the vocabulary was made of has several characters per token, a random string has hardly more than one and a half.
+The patterns find assignments, access keys and long hex strings. The test takes runs of key characters that hold letters,
+leaves out known digests (hex of a digest's length) and identifiers (UUIDs, words of one case and numbers joined by dashes
+or underscores), and reports a run if a tiktoken vocabulary needs many tokens for it: text that resembles what the
+vocabulary was made of has several characters per token, a random string has hardly more than one and a half. As words
+beside a random string hide it in the mean, a run that is not reported whole is tested again in stretches between equals
+signs, then between slashes, dashes and underscores, and plus signs as well.
 
 Defined results: null text counts as empty and has no spans; spans are in code points with the end exclusive, ordered by
 start and then kind; of one kind they don't overlap, kinds may; whole texts are scanned, at any length; extra columns are
@@ -31,11 +33,14 @@ PATTERNS = (
 KINDS = ("assign", "access", "hex", "random")
 #: Runs that the test looks at, and most characters per token of a random string.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What is tested of a run besides the whole, from long stretches to short ones.
+STRETCHES = tuple(re.compile(f"[^{joints}]{{16,}}") for joints in ("=", "=/", "=/_-", "=/_+-"))
 MOST_CHARS_PER_TOKEN = 1.9
 DIGEST_CHARS = (32, 40, 48, 56, 64, 96, 128)
 _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
-_NAME = re.compile(r"(?:[A-Za-z]+|[0-9]+)(?:[-_/=+](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*")
+_NAME = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/=+](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*")
+_WORDS = re.compile(r"[-_/=+]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_/=+]+|$))*")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_random", pa.int64())])
 
@@ -51,12 +56,12 @@ def ranks_encoding(path: str, pattern: str):
 
 
 def is_known(run: str) -> bool:
-    """Whether a run is a digest or an identifier: UUID, words and numbers joined, only letters, only digits."""
+    """Whether a run is a digest or an identifier: UUID, words of one case and numbers joined, no letters."""
     if len(run) in DIGEST_CHARS and _DIGEST.fullmatch(run):
         return True
-    if not (re.search("[A-Za-z]", run) and re.search("[0-9]", run)):
+    if not re.search("[A-Za-z]", run):
         return True
-    return bool(_UUID.fullmatch(run) or _NAME.fullmatch(run))
+    return bool(_UUID.fullmatch(run) or _NAME.fullmatch(run) or _WORDS.fullmatch(run))
 
 
 @lru_cache(200_000)
@@ -64,6 +69,19 @@ def is_random(run: str, path: str, pattern: str, most: float) -> bool:
     return not is_known(run) and len(run) < most * len(ranks_encoding(path, pattern).encode_ordinary(run))
 
 
+@lru_cache(200_000)
+def random_stretches(run: str, path: str, pattern: str, most: float) -> tuple[tuple[int, int], ...]:
+    """(start, end) of what is random in a run: all of it, or the longest stretches that are."""
+    if is_random(run, path, pattern, most):
+        return ((0, len(run)),)
+    found: list[tuple[int, int]] = []
+    for stretch in STRETCHES:
+        for m in stretch.finditer(run):
+            if len(m[0]) < len(run) and not any(m.start() < end and start < m.end() for start, end in found) and is_random(m[0], path, pattern, most):
+                found.append(m.span())
+    return tuple(found)
+
+
 def find_spans(text: str, path: str, pattern: str, most: float = MOST_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of every span, in order."""
     found = []
@@ -74,7 +92,7 @@ def find_spans(text: str, path: str, pattern: str, most: float = MOST_CHARS_PER_
             found += [(m.start(), kind, m.end()) for m in _LONG_HEX.finditer(text)]
             continue
         found += [(m.start(), kind, m.end()) for m in regex.finditer(text) if m.end(group) - m.start(group) >= least]
-    found += [(m.start(), 3, m.end()) for m in RUN.finditer(text) if is_random(m[0], path, pattern, most)]
+    found += [(m.start() + start, 3, m.start() + end) for m in RUN.finditer(text) for start, end in random_stretches(m[0], path, pattern, most)]
     return sorted(found)
 
 

@@ -171,17 +171,17 @@ def look_up(history: DataFrame, news: DataFrame, buckets: int) -> DataFrame:
 def exact_dedup(docs: DataFrame, historical=None, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, member.
 
-    historical: boolean column that marks the rows an earlier run has seen; the rows of about every other source by
-    default. Every row takes part either way: the split only decides which digests go into the perfect hash."""
+    historical: boolean column that marks the rows an earlier run has seen; about every other row, by its id, by default.
+    Every row takes part either way: the split only decides which digests go into the perfect hash. Both sides are dealt
+    into the same buckets, so their number comes from the digests of both."""
     spark = docs.sparkSession
     if historical is None:
-        historical = F.pmod(F.xxhash64("source"), F.lit(2)) == 0 if "source" in docs.columns else F.lit(True)
+        historical = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     store = Scratch(spark, "exact-dedup")
     rows = store.save(digest_rows(docs, historical), "digests")
-    past = rows.filter("historical")
-    keys = past.agg(F.approx_count_distinct("text_sha256")).first()[0]
+    keys = rows.agg(F.approx_count_distinct("text_sha256")).first()[0]
     buckets = max(1, -(-keys // bucket_keys))
-    history = store.save(build_history(past, buckets), "history")
+    history = store.save(build_history(rows.filter("historical"), buckets), "history")
     verdicts = look_up(history, rows.filter("not historical"), buckets)
     return rows.join(verdicts, "text_sha256").select(
         "doc_id",

@@ -27,24 +27,34 @@ def unassigned_errors(events: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def candidate_scores(members: DataFrame) -> DataFrame:
-    """The error members of regions with their root-candidate score.
+    """The error members of regions with exception_key (root class, else class, else family) and root-candidate score.
 
-    Level, root keywords, passed-on errors, closeness to the region's first error, and rarity of the family count."""
+    Level, exception class, root keywords, passed-on errors, closeness to the region's first error, and rarity of the key
+    count. First errors and rarities are counted before they are joined, as one region may hold most events."""
     errors = log_text.flagged(members).filter("is_error")
-    by = Window.partitionBy("region")
-    start, same = F.min("event_s").over(by), F.count(F.lit(1)).over(Window.partitionBy("region", "family"))
+    known = lambda c: F.when(F.col(c) != "", F.col(c))
+    errors = errors.withColumn("exception_key", F.coalesce(known("root_exception_class"), known("exception_class"), "family"))
+    keys = errors.groupBy("region", "exception_key").agg(F.count(F.lit(1)).alias("_same"), F.min("event_s").alias("_first"))
+    keys = keys.withColumn("_start", F.min("_first").over(Window.partitionBy("region"))).drop("_first")
     level = F.when(F.col("level") == "FATAL", 7.0).when(F.col("level") == "ERROR", 5.0).otherwise(0.0)
-    late = F.greatest(F.lit(0.0), 3.0 - (F.col("event_s") - start) / 60.0)
-    score = level + F.when(F.col("is_atomic"), 10.0).otherwise(0.0) - F.when(F.col("is_wrapper"), 12.0).otherwise(0.0) + late + 3.0 / F.sqrt(same)
-    return errors.withColumn("score", score)
-
-
-def root_candidates(scored: DataFrame, most: int = 10) -> DataFrame:
-    """Per region the best event of each family first, then others, by score, time and id: region, place, event_id."""
-    order = [F.col("score").desc(), "event_s", "event_id"]
-    first = F.row_number().over(Window.partitionBy("region", "family").orderBy(*order)) == 1
+    named = F.when(known("root_exception_class").isNotNull(), 4.0).when(known("exception_class").isNotNull(), 2.0).otherwise(0.0)
+    late = F.greatest(F.lit(0.0), 3.0 - (F.col("event_s") - F.col("_start")) / 60.0)
+    score = level + named + F.when(F.col("is_atomic"), 10.0).otherwise(0.0) - F.when(F.col("is_wrapper"), 12.0).otherwise(0.0) + late + 3.0 / F.sqrt("_same")
+    return errors.join(keys, ["region", "exception_key"]).withColumn("score", score).drop("_same", "_start")
+
+
+def root_candidates(scored: DataFrame, most: int = 30) -> DataFrame:
+    """Per region the best event of each exception key first, then others, by score, time and id: region, place, event_id.
+
+    The best of each key and the best of all hold every place, and tasks reduce both before they are dealt out by region."""
+    order, columns = [F.col("score").desc(), "event_s", "event_id"], ("event_id", "event_s", "family", "score")
+    best = F.min_by(F.struct(*columns), F.struct(-F.col("score"), "event_s", "event_id")).alias("best")
+    first = scored.groupBy("region", "exception_key").agg(best).select("region", *(F.col(f"best.{c}").alias(c) for c in columns), F.lit(1).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("region").orderBy(*order))
+    others = scored.select("region", *columns).withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+    others = others.join(first.select("region", "event_id"), ["region", "event_id"], "left_anti").select("region", *columns, F.lit(0).alias("first"))
     place = F.row_number().over(Window.partitionBy("region").orderBy(F.col("first").desc(), *order))
-    return scored.withColumn("first", first).withColumn("place", place.cast("long")).filter(F.col("place") <= most).select("region", "place", "event_id", "family", "score")
+    return first.unionByName(others).withColumn("place", place).filter(F.col("place") <= most).select("region", F.col("place").cast("long").alias("place"), "event_id", "family", "score")
 
 
 def exception_summary(members: DataFrame) -> DataFrame:

@@ -38,8 +38,12 @@ DUCK_EVENTS = ADAPTER.format(seconds="CAST(floor(epoch(ts)) AS BIGINT)", events=
 
 
 def from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, event_s (seconds since 1970), user_id, value, level, service, instance, trace_id, message."""
-    return spark.sql(ADAPTER.format(seconds=SPARK_SECONDS, events="{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """event_id, event_s (seconds since 1970), user_id, value, level, service, instance, trace_id, message, and both exception classes.
+
+    A message is one line, so the first class that it names is the exception's and the root's."""
+    rows = spark.sql(ADAPTER.format(seconds=SPARK_SECONDS, events="{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    named = F.regexp_extract("message", CLASS, 1)
+    return rows.withColumns({"exception_class": named, "root_exception_class": named})
 
 
 def read_logs(spark: SparkSession, path: str, include: str = "*.log") -> DataFrame:

@@ -3,7 +3,9 @@
 import compare
 import pytest
 
+from opslens.operators import incidents
 from opslens.plans import registry
+from opslens.sources import log_events
 
 SF = "/root/testdata/sf0.001"
 #: The registered SQL without its limit on windows.
@@ -20,3 +22,29 @@ def test_all_flagged_windows_make_regions(spark, name):
 def test_no_technical_error_is_unassigned(spark):
     left = registry.QUERIES["unassigned_errors"](spark, SF)
     assert not left.join(registry.QUERIES["technical_errors"](spark, SF), "event_id", "left_semi").count()
+
+
+_CLASS = f"regexp_extract(message, '{log_events.CLASS}', 1)"
+_KEY = f"coalesce(nullif({_CLASS}, ''), family)"
+#: The registered scores without the limit on windows, by class.
+_SCORED = registry._SCORED.replace(LIMIT, "").replace("PARTITION BY region, family", f"PARTITION BY region, {_KEY}").replace(
+    " + CASE WHEN is_atomic", f" + CASE WHEN {_CLASS} <> '' THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN is_atomic"
+)
+
+
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
+def test_candidates_by_exception_class(spark, sf):
+    con = compare.tables(sf)
+    assert not compare.differ(spark, con, registry.QUERIES["candidate_scores"], f"WITH {_SCORED} SELECT region, event_id, family, score FROM sc", sf)
+    sql = f"""WITH {_SCORED}, a AS (SELECT *, row_number() OVER (PARTITION BY region, {_KEY} ORDER BY score DESC, event_s, event_id) = 1 AS first FROM sc),
+      p AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY first DESC, score DESC, event_s, event_id) AS place FROM a) SELECT region, place, event_id, family, score FROM p WHERE place <= 30"""
+    assert not compare.differ(spark, con, registry.QUERIES["root_candidates"], sql, sf)
+
+
+def test_each_class_of_a_family_has_a_place(spark):
+    classes = ["RedisCommandTimeoutException"] * 40 + ["JedisDataException", ""]
+    rows = [(1, i, i, "ERROR", f"{c}: redis", c, "") for i, c in enumerate(classes)] + [(1, 99, 99, "ERROR", "redis", "", "RedisRootException")]
+    members = spark.createDataFrame(rows, "region long, event_id long, event_s long, level string, message string, exception_class string, root_exception_class string")
+    found = incidents.root_candidates(incidents.candidate_scores(members)).orderBy("place").collect()
+    assert len(found) == 30 and {r.event_id for r in found[:4]} == {0, 40, 41, 99}
+    assert {r.event_id: r.score for r in found}[99] == 5 + 4 + 3 - 99 / 60 + 3

@@ -71,13 +71,34 @@ def merge_nodes(left: DataFrame, right: DataFrame, default_kind: str = "Componen
     return l.join(r, "id", "full").select("id", F.coalesce(F.when(F.col("ln") != "", F.col("ln")), "rn", "ln").alias("name"), kind.alias("kind"))
 
 
+#: Characters of a name that the search for containment joins on.
+GRAM = 8
+
+
 def resolve_entities(names: DataFrame, nodes: DataFrame) -> DataFrame:
-    """name, id: exact identifier first, then equal normalised names; of several the least id. Unknown names have no id."""
+    """name, id: an equal identifier (id, name, aliases) first, then an equal normalised one, then one that holds the name or
+    is held by it; of several the least id. Unknown names have no id.
+
+    Only names that no equal identifier resolves are searched for containment: the longer side is exploded into grams, of
+    which one must equal the shorter side's beginning."""
     clean = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "(service|svc)$", ""), "[^a-z0-9一-龥]", "")
-    exact = names.join(nodes.select("id", F.col("name").alias("name")), "name").select("name", "id", F.lit(0).alias("rank"))
-    near = names.withColumn("clean", clean(F.col("name"))).join(nodes.select("id", clean(F.col("name")).alias("clean")), "clean").filter("clean <> ''").select("name", "id", F.lit(1).alias("rank"))
-    best = exact.unionByName(near).groupBy("name").agg(F.min(F.struct("rank", "id"))["id"].alias("id"))
-    return names.distinct().join(best, "name", "left")
+    names = names.select("name").distinct()
+    all_names = F.concat(F.array("id", "name"), F.coalesce("aliases", F.array().cast("array<string>"))) if "aliases" in nodes.columns else F.array("id", "name")
+    known = nodes.select("id", F.explode(all_names).alias("known")).select("id", F.lower("known").alias("known"), clean(F.col("known")).alias("clean")).filter("known <> ''").distinct()
+    asked = names.select("name", F.lower(F.trim("name")).alias("known"), clean(F.trim("name")).alias("clean"))
+    exact = asked.join(known.select("id", "known"), "known").select("name", "id", F.lit(0).alias("rank"))
+    near = asked.join(known.select("id", "clean"), "clean").filter("clean <> ''").select("name", "id", F.lit(1).alias("rank"))
+    least = lambda found: found.groupBy("name").agg(F.min(F.struct("rank", "id"))["id"].alias("id"))
+    equal = least(exact.unionByName(near))
+    short = lambda rows, c: rows.withColumn("gram", F.substring(c, 1, GRAM))
+    grams = f"array_distinct(flatten(transform(sequence(1, length({{0}})), i -> transform(sequence(1, {GRAM}), n -> substring({{0}}, i, n)))))"
+    long = lambda rows, c: rows.withColumn("gram", F.explode(F.expr(grams.format(c))))
+    left = asked.join(equal, "name", "left_anti").select("name", F.col("clean").alias("wanted")).filter("wanted <> ''")
+    items = known.select("id", F.col("clean").alias("item")).filter("item <> ''").distinct()
+    holds = short(left, "wanted").join(long(items, "item"), "gram").filter("contains(item, wanted)")
+    held = long(left, "wanted").join(short(items, "item"), "gram").filter("contains(wanted, item)")
+    best = equal.unionByName(least(holds.unionByName(held).select("name", "id", F.lit(2).alias("rank"))))
+    return names.join(best, "name", "left")
 
 
 def candidate_nodes(scored: DataFrame) -> DataFrame:

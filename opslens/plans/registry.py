@@ -306,8 +306,8 @@ def graph_merge(spark, sf_dir):
 
 @_query("""SELECT n_name || ' service' AS name, min('n:' || n_nationkey) AS id FROM nation GROUP BY n_name UNION ALL SELECT 'nowhere', NULL""")
 def entity_resolution(spark, sf_dir):
-    nodes = static_graph(spark, sf_dir)[0].filter("kind = 'Cluster'")
-    names = nodes.select(F.concat("name", F.lit(" service")).alias("name")).unionByName(spark.range(1).select(F.lit("nowhere").alias("name")))
+    nodes = static_graph(spark, sf_dir)[0]
+    names = nodes.filter("kind = 'Cluster'").select(F.concat("name", F.lit(" service")).alias("name")).unionByName(spark.range(1).select(F.lit("nowhere").alias("name")))
     return graph.resolve_entities(names, nodes)
 
 

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,16 +54,41 @@ def path_lengths(trees: list[list[tuple]], x: np.ndarray) -> np.ndarray:
     return total / len(trees)
 
 
-def isolation_scores(vectors: DataFrame, key: str, column: str, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+def grow_forest(vectors: DataFrame, key: str, column: str, trees: int, sample: int, seed: int) -> tuple[list[list[tuple]], int]:
+    """The trees, grown in tasks, and the number of rows that each is grown on.
+
+    At most trees x sample rows, chosen by hash so that they are the same on every run, get a rank; each tree draws ranks."""
+    order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    chosen = vectors.select(key, column).filter(F.col(column).isNotNull()).orderBy(*order).limit(trees * sample)
+    chosen = chosen.select(F.col(column).alias("vector"), (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("rank"))
+    found = chosen.count()
+    size = min(sample, found)
+    if not size:
+        return [], 0
+    limit = max(1, math.ceil(math.log2(max(2, size))))
+
+    def draw(batches):
+        for pdf in batches:
+            for tree in pdf["id"]:
+                yield pd.DataFrame({"tree": tree, "rank": np.random.default_rng([seed, tree]).choice(found, size, replace=False)})
+
+    def grow(pdf):
+        pdf = pdf.sort_values("rank")
+        tree = int(pdf["tree"].iloc[0])
+        nodes = grow_tree(np.array(pdf["vector"].tolist(), np.float64), np.random.default_rng([seed, tree, 1]), limit)
+        return pd.DataFrame({"tree": [tree], **{name: [list(x)] for name, x in zip(("feature", "cut", "left", "right"), zip(*nodes))}})
+
+    drawn = vectors.sparkSession.range(trees).mapInPandas(draw, "tree long, rank long").join(chosen, "rank")
+    grown = drawn.groupBy("tree").applyInPandas(grow, "tree long, feature array<int>, cut array<double>, left array<int>, right array<int>").collect()
+    return [list(zip(*r[1:])) for r in sorted(grown, key=lambda r: r.tree)], size
+
+
+def isolation_scores(vectors: DataFrame, key: str, column: str, trees: int = 300, sample: int = 256, seed: int = 42) -> DataFrame:
     """key and score in (0, 1): the higher, the more easily a row is set apart.
 
-    Trees grow on a bounded sample (at most trees x sample rows, the feature of the method), chosen by hash so that it is
-    the same on every run; scores cover all rows, and the forest that tasks get has at most trees x 2 x sample nodes."""
-    chosen = vectors.select(key, column).filter(F.col(column).isNotNull()).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(trees * sample)
-    found = np.array([r[0] for r in chosen.select(column).toLocalIterator()], np.float64)
-    rng = np.random.default_rng(seed)
-    size = min(sample, len(found))
-    grown = [grow_tree(found[rng.choice(len(found), size, replace=False)], rng, max(1, math.ceil(math.log2(max(2, size))))) for _ in range(trees if size else 0)]
+    Trees grow on a bounded sample, the feature of the method; scores cover all rows, and the forest that tasks get has at
+    most trees x 2 x sample nodes."""
+    grown, size = grow_forest(vectors, key, column, trees, sample, seed)
     usual = normal_path(size) or 1.0
 
     def run(batches):

@@ -2,7 +2,7 @@
 
 A document is its ids and a closing id. Whole multiples of the sequence length are sequences of their own; what is left
 of a document is an item with three demands: tokens, segments (one) and loss-bearing tokens (all but the closing id, or
-as the caller weighs them). Sequences are filled one at a time: of the items that fit, the one whose demands have the
+those that a mask column of the caller marks). Sequences are filled one at a time: of the items that fit, the one whose demands have the
 largest dot product with the room that is left goes in; if none fits, the largest item is cut at the room that is left.
 The last sequence of a partition is cut at powers of two, at which no padding is needed.
 
@@ -14,6 +14,7 @@ rows are packed once each; extra columns are ignored; an empty table gives an em
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 
@@ -39,28 +40,33 @@ class Packer:
     def __init__(self, first_id: int, sequence: int, max_segments: int, max_loss: int):
         self.limits = np.array([sequence, max_segments, max_loss], np.float64)
         self.sequence, self.next_id = sequence, first_id
-        self.items: list[tuple] = []  # doc_id, start, ids, doc_tokens
+        self.items: list[tuple] = []  # doc_id, start, ids, doc_tokens, loss mask
         self.out: list[tuple] = []
 
-    def piece(self, doc_id, start, ids, total, at: int) -> None:
-        loss = len(ids) - (start + len(ids) == total)
-        self.out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next_id, at, loss))
-
-    def add(self, doc_id, ids: np.ndarray) -> None:
-        total, whole, loss = len(ids), 0, int(self.limits[2])
-        step = min(self.sequence, loss) if loss < self.sequence else self.sequence
-        while total - whole >= self.sequence and step == self.sequence:
-            self.piece(doc_id, whole, ids[whole : whole + step], total, 0)
-            self.next_id, whole = self.next_id + 1, whole + step
-        for at in range(whole, total, step):
-            self.items.append((doc_id, at, ids[at : at + step], total))
+    def piece(self, doc_id, start, ids, total, mask, at: int) -> None:
+        self.out.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next_id, at, int(np.count_nonzero(mask))))
+
+    def add(self, doc_id, ids: np.ndarray, mask: np.ndarray | None = None) -> None:
+        """Takes a document; its mask tells which ids bear loss, all but the last one by default."""
+        total, at, most = len(ids), 0, int(self.limits[2])
+        if mask is None:
+            mask = np.arange(total) < total - 1
+        sums = None if total <= min(self.sequence, most) else np.concatenate([[0], np.cumsum(mask)])
+        while at < total:
+            end = total if sums is None else min(total, at + self.sequence, int(np.searchsorted(sums, sums[at] + most, "right")) - 1)
+            if end - at == self.sequence:
+                self.piece(doc_id, at, ids[at:end], total, mask[at:end], 0)
+                self.next_id += 1
+            else:
+                self.items.append((doc_id, at, ids[at:end], total, mask[at:end]))
+            at = end
 
     def pack(self, least: int) -> None:
         """Fills sequences until fewer than `least` items are open."""
         if len(self.items) < max(least, 1):
             return
         items = self.items
-        need = np.array([(len(x[2]), 1, len(x[2]) - (x[1] + len(x[2]) == x[3])) for x in items], np.float64)
+        need = np.array([(len(x[2]), 1, np.count_nonzero(x[4])) for x in items], np.float64)
         open_ = np.ones(len(items), bool)
         weights = 1 / self.limits**2
         while open_.sum() >= max(least, 1):
@@ -76,14 +82,15 @@ class Packer:
                 if not open_.any() or room[2] <= 0:
                     break
                 i = int(np.argmax(np.where(open_, need[:, 0], -1)))
-                doc_id, start, ids, total = items[i]
-                cut = int(min(room[0], room[2], len(ids) - 1))
+                doc_id, start, ids, total, mask = items[i]
+                cut = int(min(room[0], np.searchsorted(np.cumsum(mask), room[2], "right"), len(ids) - 1))
                 if cut <= 0:
                     break
-                held.append((doc_id, start, ids[:cut], total))
-                room -= (cut, 1, cut)
-                items[i] = (doc_id, start + cut, ids[cut:], total)
-                need[i] -= (cut, 0, cut)
+                loss = np.count_nonzero(mask[:cut])
+                held.append((doc_id, start, ids[:cut], total, mask[:cut]))
+                room -= (cut, 1, loss)
+                items[i] = (doc_id, start + cut, ids[cut:], total, mask[cut:])
+                need[i] -= (cut, 0, loss)
             self.place(held)
         self.items = [x for x, o in zip(items, open_) if o]
 
@@ -93,11 +100,11 @@ class Packer:
         whole = left == self.sequence
         room = left if whole else 1 << (left.bit_length() - 1)
         at = 0
-        for doc_id, start, ids, total in held:
+        for doc_id, start, ids, total, mask in held:
             while len(ids):
                 part = ids[: room - at]
-                self.piece(doc_id, start, part, total, at)
-                at, start, ids = at + len(part), start + len(part), ids[len(part) :]
+                self.piece(doc_id, start, part, total, mask[: len(part)], at)
+                at, start, ids, mask = at + len(part), start + len(part), ids[len(part) :], mask[len(part) :]
                 if at == room:
                     left -= room
                     self.next_id, at = self.next_id + 1, 0
@@ -105,9 +112,12 @@ class Packer:
 
 
 def pack_sequences(
-    docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, closing_id: int = 0, pool: int = POOL
+    docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, closing_id: int = 0, pool: int = POOL, loss: str | None = None
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
+
+    loss: column with an array of one boolean or number per id, without the closing id, that marks ids that bear loss; where
+    it is null, all do."""
     most_loss = sequence if max_loss is None else max_loss
 
     def run(batches):
@@ -123,9 +133,13 @@ def pack_sequences(
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found) if found else [()] * len(_ARROW))], schema=_ARROW)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), strings(batch)):
+            masks = batch.column(loss).to_pylist() if loss else itertools.repeat(None)
+            for doc_id, text, mask in zip(batch.column("doc_id").to_pylist(), strings(batch), masks):
                 ids = b"".join(map(memo.__getitem__, split(text))) if vocab.is_plain(text) else encode(text)
-                packer.add(doc_id, np.frombuffer(ids + closing, "<u4"))
+                ids = np.frombuffer(ids + closing, "<u4")
+                if mask is not None and len(mask) != len(ids) - 1:
+                    raise ValueError(f"document {doc_id} has {len(ids) - 1} ids, its loss mask {len(mask)}")
+                packer.add(doc_id, ids, None if mask is None else np.array([*mask, 0], bool))
                 if len(packer.items) >= 2 * pool:
                     packer.pack(pool)
                 if len(packer.out) > 20_000:
@@ -134,7 +148,7 @@ def pack_sequences(
         packer.pack(0)
         yield rows()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text", *([loss] if loss else [])).mapInArrow(run, SCHEMA)
 
 
 _MEMOS: dict = {}

@@ -13,6 +13,7 @@ an empty result."""
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 
@@ -63,18 +64,28 @@ class Bpe:
         return [self.ids[x] for x in out if x in self.ids]
 
     def merge(self, parts: list[int]) -> list[int]:
-        """Exact: the merge of lowest rank is applied, leftmost first, until none applies."""
-        get, none = self.rank.get, len(self.made)
-        ranks = [get(p, none) for p in zip(parts, parts[1:])]
-        while ranks and (best := min(ranks)) < none:
-            i = ranks.index(best)
-            parts[i] = self.made[best]
-            del parts[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
-            if i < len(ranks):
-                ranks[i] = get((parts[i], parts[i + 1]), none)
-        return parts
+        """Exact: the merge of lowest rank is applied, leftmost first, until none applies.
+
+        The merges that may apply stand in a heap by rank and place, and the parts in a linked list, so that a long word
+        takes little more than a pass over it; entries whose parts have changed since are skipped."""
+        rank, made, end = self.rank, self.made, len(parts)
+        parts, after, before = list(parts), list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(r, i) for i, pair in enumerate(zip(parts, parts[1:])) if (r := rank.get(pair)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] < 0 or j >= end or rank.get((parts[i], parts[j])) != r:
+                continue
+            parts[i], parts[j], k = made[r], -1, after[j]
+            after[i] = k
+            if k < end:
+                before[k] = i
+                if (r := rank.get((parts[i], parts[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank.get((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return [x for x in parts if x >= 0]
 
     def token_symbols(self, token: int) -> list[int]:
         """The first ids of a token."""
@@ -142,14 +153,30 @@ class Bpe:
         return [self.merge(self.symbols(w)) if x is None else x for w, x in zip(words, found)]
 
 
-_HELD: dict = {}
+class Words(dict):
+    """The memo of a worker: words to what they give, bounded by bytes. A full one becomes the old one."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe, self.size, self.old = bpe, 0, {}
 
+    def learn(self, words: set[str]) -> None:
+        """Holds all of these words from now on: their ids and decoded text, joined, and the number of ids."""
+        if self.size > vocab.MEMO_BYTES:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        new = [w for w in words if w not in self and w not in self.old]
+        found = {w: self.old[w] for w in words if w in self.old and w not in self}
+        for word, ids in zip(new, self.bpe.encode_words(new)):
+            if word in self.bpe.special:
+                ids = [self.bpe.special[word]]
+            found[word] = (" ".join(map(str, ids)), " ".join([self.bpe.tokens[i] for i in ids]), len(ids))
+        self.update(found)
+        self.size += sum(len(w) + len(x[0]) + len(x[1]) + 2 * vocab.ENTRY_BYTES for w, x in found.items())
 
-def _worker(path: str) -> tuple[Bpe, dict, dict]:
-    """The worker's vocabulary, and its memo of words with the one before; they outlive a task."""
-    if path not in _HELD:
-        _HELD[path] = (Bpe(path), {}, {})
-    return _HELD[path]
+
+def _worker(path: str) -> Words:
+    """The worker's memo with its vocabulary; it outlives a task."""
+    return vocab.held(("bpe", path), lambda: Words(Bpe(path)))
 
 
 def pieces(text: str, bpe: Bpe) -> list[str]:
@@ -173,31 +200,16 @@ def _odd_pieces(text: str, bpe: Bpe) -> list[str]:
 
 def _encoded(batch, path: str):
     """Of runs of rows of a batch: their doc_ids, their texts' words, and the memo of (ids, decoded, number) by word."""
-    bpe, memo, old = _worker(path)
+    memo = _worker(path)
     doc_ids, texts = batch.column("doc_id").to_pylist(), strings(batch)
     at = 0
     while at < len(texts):
         chars, first, words = 0, at, []
         while at < len(texts) and chars < RUN_CHARS:
             chars += len(texts[at])
-            words.append(pieces(texts[at], bpe))
+            words.append(pieces(texts[at], memo.bpe))
             at += 1
-        if len(memo) > vocab.MEMO_WORDS:
-            old.clear()
-            old.update(memo)
-            memo.clear()
-        new = []
-        for word in {w for found in words for w in found}:
-            if word in memo:
-                continue
-            if word in old:
-                memo[word] = old[word]
-            else:
-                new.append(word)
-        for word, ids in zip(new, bpe.encode_words(new)):
-            if word in bpe.special:
-                ids = [bpe.special[word]]
-            memo[word] = (" ".join(map(str, ids)), " ".join([bpe.tokens[i] for i in ids]), len(ids))
+        memo.learn({w for found in words for w in found})
         yield doc_ids[first:at], words, memo
 
 

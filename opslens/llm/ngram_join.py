@@ -1,6 +1,10 @@
 """Jaccard self-join on word shingles, in size-banded tiles with bitmap signatures.
 
-Texts with one set are one class. Classes fall into bands of set sizes; a partner may be in the same band or the next one.
+Texts with one set are one class, named by the least key of its texts. Of a set of n shingles, a partner has all but a few;
+so a set that has more shingles than that for itself alone has no partner. A share of all shingles, those with the least
+hashes, is enough to tell this of most sets, and only the others go on.
+
+Classes fall into bands of set sizes; a partner may be in the same band or the next one.
 Two sets that link differ in a bounded number d of shingles, so if shingles are dealt by hash into d + 1 parts, some part
 of both is the same; a tile is a band, a part and its content. Where such parts would hold few shingles, so that texts that
 only share a passage often meet, there are half as many, of which some has one difference at most: such a part is dealt
@@ -14,10 +18,11 @@ the next TILE_BYTES of each and its text's key. A shard is read row by row, and
 tile met twice is held as one number, so that memory goes by a shard's distinct tiles and not by the size of a tile.
 Tiles that agree in these bits alone are one tile, which adds pairs to verify but loses none.
 
-Links serve to connect. So first every class is held against one class of its tiles, a pivot, which connects a large group
-of near copies in as many pairs as it has rows; then against the pivots of its other tiles that it isn't connected to; then
-the classes of a tile that are not connected to its pivot are held against all classes of the tile that they are not
-connected to, in blocks of BLOCK. No link between unconnected classes is left out.
+Links serve to connect. So classes are held against pivots, one of each tile and turn: the class whose tiles have most
+classes first, as the text that near copies were made from shares more with each of them than they share with each other;
+then the next ones. Each turn takes the tiles whose classes are not all connected yet, and pairs that are not. What is still
+open after PIVOTS turns is held against all classes of the tile that it isn't connected to, in blocks of BLOCK. No link
+between unconnected classes is left out.
 
 Defined results: null text counts as empty; a text without words has no shingles and is linked with nothing; a text with
 fewer words than a shingle is one shingle; rows that repeat a doc_id or have none are documents of their own, null ids
@@ -44,8 +49,8 @@ BAND = 1 / 0.7
 THIN = 5
 PIECES = 4
 #: Tiles that a task packs at once, tiles of a shard that are compared at once, shingles for each shard, least and most bits of a shard.
-PACK = 1 << 21
-SETTLE = 1 << 20
+PACK = 1 << 18
+SETTLE = 1 << 19
 SHARD = 1 << 17
 SHARD_BITS = (6, 24)
 TILE_BYTES = 5
@@ -54,11 +59,16 @@ SIGNATURE = 8
 FINE = 64
 LARGE = 900
 BLOCK = 512
+#: Turns of pivots. The first takes one pivot of each class, the second the same tiles' other ones, the next ones the pivots after those.
+PIVOTS = 5
+#: The share of shingles that tells whether a set has too many for itself is this many times what a partner may lack.
+SHARE = 2.5
 #: Ids of texts that may be broadcast: 8 bytes each. Beyond it the texts are shuffled.
 BROADCAST_IDS = 500_000
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _LONGS = pa.list_(pa.int64())
-_CLASSES = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("signature", _LONGS), ("fold", _LONGS), ("fine", _LONGS)])
+_CLASSES = pa.schema([(x, pa.int64()) for x in ("key", "n", "sampled", "low", "high")])
+_KNOWN = pa.schema([("class", pa.int64()), ("n", pa.int64()), *((x, _LONGS) for x in ("signature", "fold", "fine", "shingles"))])
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -142,20 +152,45 @@ def apart(left: np.ndarray, right: np.ndarray) -> int:
     return int(np.bitwise_count((fold(left, size) ^ fold(right, size)).view(np.uint64)).sum())
 
 
-def classes(docs: DataFrame, words: int) -> DataFrame:
-    """key, n (shingles), class (a digest of the set), signature, its fold to SIGNATURE longs, and the fine one of large sets."""
+def sample(found: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set that are in the share with the least hashes."""
+    share = min(1.0, SHARE * (100 - percent) / 100)
+    return found if share == 1 else found[: np.searchsorted(found, np.uint64(int(share * 2**64)))]
+
+
+def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """key, n (shingles), sampled (those in the share), and two digests of the set."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch.column("key").to_pylist(), strings(batch)):
+                found = shingles(text, words)
+                low = np.add.reduce(windows.mix(found), dtype=np.uint64).view(np.int64)
+                high = np.add.reduce(windows.mix(found ^ _SEEDS[0]), dtype=np.uint64).view(np.int64)
+                rows.append((key, len(found), len(sample(found, percent)), int(low), int(high)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, _CLASSES.types)], schema=_CLASSES)
+
+    return docs.mapInArrow(run, "key long, n long, sampled long, low long, high long")
+
+
+def signed_sets(texts: DataFrame, words: int) -> DataFrame:
+    """class, n, its signature, the fold of that to SIGNATURE longs, the fine one of large sets, and the sorted shingles."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for key, text in zip(batch.column("key").to_pylist(), strings(batch)):
                 found = shingles(text, words)
-                name = windows.mix(np.array([np.add.reduce(windows.mix(found), dtype=np.uint64) + np.uint64(len(found))])).view(np.int64)[0]
                 signed = signature(found)
-                rows.append((key, len(found), int(name), signed, fold(signed, SIGNATURE), signature(found, FINE) if len(found) > LARGE else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, _CLASSES.types)], schema=_CLASSES)
+                rows.append((key, len(found), signed, fold(signed, SIGNATURE), signature(found, FINE) if len(found) > LARGE else None, found.view(np.int64)))
+                if len(rows) == 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KNOWN.types)], schema=_KNOWN)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KNOWN.types)], schema=_KNOWN)
 
-    return docs.mapInArrow(run, "key long, n long, class long, signature array<long>, fold array<long>, fine array<long>")
+    return texts.select("key", "text").mapInArrow(run, "class long, n long, signature array<long>, fold array<long>, fine array<long>, shingles array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -186,14 +221,14 @@ def _unpack(base: int, rest: bytes, away: bytes) -> tuple[np.ndarray, np.ndarray
     return tile.view("<u8").ravel(), owner.view("<i8").ravel() + base
 
 
-def shared_tiles(texts: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
-    """tile, key of all tiles that two texts or more have."""
+def _shared(texts: DataFrame, names, bits: int, tell, columns: str) -> DataFrame:
+    """tell(tile, key) of the tiles that two texts or more have, in parts; names: from a text to its tiles."""
 
     def pack(batches):
         keys, found, size = [], [], 0
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), strings(batch)):
-                own = tiles(shingles(text, words), percent)
+                own = names(text)
                 if len(own):
                     keys.append(key)
                     found.append(own)
@@ -219,7 +254,7 @@ def shared_tiles(texts: DataFrame, words: int, percent: int, bits: int) -> DataF
         at, held, fresh, twice = None, [], 0, np.zeros(0, np.uint64)
 
         def told(part):
-            return pa.RecordBatch.from_arrays([pa.array(((np.uint64(at << 8 * TILE_BYTES)) + part[0]).view(np.int64)), pa.array(part[1])], names=["tile", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in tell(((np.uint64(at << 8 * TILE_BYTES)) + part[0]).view(np.int64), part[1])], names=[x.split()[0] for x in columns.split(", ")])
 
         for batch in batches:
             for shard, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -235,18 +270,31 @@ def shared_tiles(texts: DataFrame, words: int, percent: int, bits: int) -> DataF
             yield told(settle(held, twice)[0])
 
     packed = texts.select("key", "text").mapInArrow(pack, "shard int, base long, rest binary, away binary")
-    return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(meet, "tile long, key long")
+    return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(meet, columns)
 
 
-def sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """class and sorted shingles of the classes in `wanted` (class, key of a text that has it)."""
+def _bits(total: int) -> int:
+    return min(max((int(total) // SHARD).bit_length(), SHARD_BITS[0]), SHARD_BITS[1])
+
+
+def shared_tiles(texts: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
+    """tile, class of all tiles that two texts or more have."""
+    return _shared(texts, lambda text: tiles(shingles(text, words), percent), bits, lambda tile, key: (tile, key), "tile long, class long")
 
-    def run(batches):
-        for batch in batches:
-            found = [shingles(t, words).view(np.int64) for t in strings(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, pa.list_(pa.int64()))], names=["class", "shingles"])
 
-    return _texts(docs, wanted).mapInArrow(run, "class long, shingles array<long>")
+def shared_sample(texts: DataFrame, words: int, percent: int, bits: int) -> DataFrame:
+    """key, n: how many of the sampled shingles of a text others have too, in parts to be summed."""
+    return _shared(texts, lambda text: sample(shingles(text, words), percent), bits, lambda tile, key: np.unique(key, return_counts=True), "key long, n long")
+
+
+def joinable(firsts: DataFrame, rows: DataFrame, words: int, percent: int, store: Scratch) -> DataFrame:
+    """class, n of the classes that have not too many shingles for themselves to have a partner, saved."""
+    total = firsts.agg(F.sum("sampled")).first()[0] or 0
+    texts = _texts(rows, firsts.select(F.col("class").alias("key")))
+    others = store.save(shared_sample(texts, words, percent, _bits(total)).groupBy("key").agg(F.sum("n").alias("others")), "others")
+    enough = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    alone = F.col("sampled") - F.coalesce("others", F.lit(0))
+    return store.save(firsts.join(others, firsts["class"] == others["key"], "left").filter(alone < enough).select("class", firsts["n"]), "joinable")
 
 
 def _with(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -285,13 +333,11 @@ def linked_pairs(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return _with(pairs, known, "shingles").mapInArrow(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, words: int, percent: int, store: Scratch, name: str) -> DataFrame:
+def linked(pairs: DataFrame, known: DataFrame, percent: int, store: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of classes that link, saved."""
     near = store.save(near_pairs(pairs, known, percent), f"near-{name}")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(known.select("class", "key"), "class")
-    found = store.save(sets(docs, store.save(wanted, f"wanted-{name}"), words), f"sets-{name}")
-    links = store.save(linked_pairs(near, found, percent), f"links-{name}")
-    store.drop(f"near-{name}", f"sets-{name}")
+    links = store.save(linked_pairs(near, known, percent), f"links-{name}")
+    store.drop(f"near-{name}")
     return links
 
 
@@ -309,13 +355,35 @@ def joined_roots(roots: DataFrame, more: DataFrame, store: Scratch, name: str) -
     return store.save(rooted(roots.unionByName(fresh), tops, "root", "top").select("node", F.col("top").alias("root")), f"roots-{name}")
 
 
-def tile_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, percent: int, store: Scratch) -> DataFrame:
+def open_tiles(members: DataFrame, roots: DataFrame, turn: int, store: Scratch) -> DataFrame:
+    """The members (tile, class, weight, root) of tiles whose classes are not all connected, with the tile's main root, its size
+    and this turn's pivot (weight, class), which comes after the one of the turn before; saved."""
+    rank = F.struct("weight", "class")
+    next_ = rank if turn < 2 else F.when(rank < F.col("pivot"), rank)
+    labelled = store.save(rooted(members.drop("root", "main", "size", "pivot_root"), roots, "class", "root"), f"labelled-{turn}")
+    found = labelled.groupBy("tile").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", rank).alias("main"), F.count(F.lit(1)).alias("size"),
+        F.max(next_).alias("pivot"), F.max_by("root", next_).alias("pivot_root"),
+    )
+    tops = store.save(found.filter("low < high").drop("low", "high"), f"tops-{turn}")
+    out = store.save(labelled.drop("pivot").join(tops, "tile"), f"open-{turn}")
+    store.drop(f"labelled-{turn}")
+    return out
+
+
+def pivot_pairs(opened: DataFrame, turn: int) -> DataFrame:
+    """The pairs (a, b) of a class and a pivot that are not connected; in the first turn one of each class."""
+    pairs = opened.filter(F.col("pivot").isNotNull() & (F.col("root") != F.col("pivot_root")))
+    if turn == 0:
+        pairs = pairs.groupBy("class").agg(F.max("pivot").alias("pivot"))
+    found = F.col("pivot")["class"]
+    return pairs.select(F.least("class", found).alias("a"), F.greatest("class", found).alias("b")).distinct()
+
+
+def tile_pairs(opened: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes of one tile that are not connected and whose folded signatures allow a link."""
-    labelled = rooted(members.select("tile", "class"), roots, "class", "root")
-    sizes = labelled.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "class").alias("main"), F.count(F.lit(1)).alias("size"))
-    open_ = store.save(sizes.filter("low < high").select("tile", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
     folds = known.select("class", "n", "fine", *(F.col("fold")[i].alias(f"s{i}") for i in range(SIGNATURE)))
-    rows = labelled.join(open_, "tile").join(folds, "class")
+    rows = opened.select("tile", "class", "root", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).join(folds, "class")
     named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("class", "root", "n", "fine", *(f"s{i}" for i in range(SIGNATURE)))]
     left = rows.filter("root <> main").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *named("a"))
     right = rows.select("tile", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), (F.col("root") == F.col("main")).alias("in_main"), *named("b"))
@@ -329,33 +397,39 @@ def tile_pairs(members: DataFrame, roots: DataFrame, known: DataFrame, percent:
     return left.join(right, meet & may).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
 
 
+def connected(members: DataFrame, known: DataFrame, percent: int, store: Scratch) -> DataFrame:
+    """node, root of the classes with links, from the members (tile, class, weight) of tiles."""
+    roots = members.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
+    opened = members
+    for turn in range(PIVOTS + 1):
+        opened = open_tiles(opened, roots, turn, store)
+        pairs = pivot_pairs(opened, turn) if turn < PIVOTS else tile_pairs(opened, known, percent)
+        more = linked(pairs, known, percent, store, str(turn))
+        if more.limit(1).count():
+            roots = joined_roots(roots, more, store, str(turn))
+        store.drop(f"open-{turn - 1}", f"tops-{turn}")
+    return roots
+
+
 def jaccard_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id that it reaches by links)."""
     store = Scratch(docs.sparkSession, "ngram-join")
     rows, ids = windows.keyed(docs, store)
-    found = store.save(classes(rows, words), "classes")
-    firsts = store.save(found.filter("n > 0").groupBy("class").agg(F.min("key").alias("key")), "firsts")
-    total = found.agg(F.sum("n")).first()[0] or 0
-    bits = min(max((total // SHARD).bit_length(), SHARD_BITS[0]), SHARD_BITS[1])
-    members = store.save(shared_tiles(_texts(rows, firsts.select("key")), words, percent, bits).join(firsts, "key").select("tile", "class"), "members")
-    pivot_of = store.save(members.groupBy("tile").agg(F.min("class").alias("pivot")), "pivot-of")
-    # One row per class that has a tile with another: n, key of its first text, signatures.
-    met = firsts.join(members.select("class").distinct(), "class").select("key")
-    known = store.save(found.join(met, "key"), "known")
-    pivots = store.save(members.join(pivot_of, "tile").filter("class <> pivot").select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), "pivots")
-    # One pivot of each class connects most of a large group; of the other pivots only those count that it isn't connected to.
-    links = linked(pivots.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), known, rows, words, percent, store, "pivot")
-    roots = components(links, store, "pivot")
-    others = rooted(rooted(pivots, roots, "a", "a_root"), roots, "b", "b_root").filter("a_root <> b_root").select("a", "b")
-    for name, pairs in (("others", lambda: others), ("tile", lambda: tile_pairs(members, roots, known, percent, store))):
-        more = linked(pairs(), known, rows, words, percent, store, name)
-        if more.limit(1).count():
-            roots = joined_roots(roots, more, store, name)
-    grouped = firsts.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = grouped.groupBy("root").agg(F.min("key").alias("component"))
-    named = grouped.join(least, "root").select("class", "component")
-    out = found.select("key", "class", F.col("n").alias("n_shingles")).join(named, "class", "left")
-    out = out.select("key", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("key")).alias("component_id"))
+    found = store.save(classes(rows, words, percent), "classes")
+    firsts = store.save(found.filter("n > 0").groupBy("n", "low", "high").agg(F.min("key").alias("class"), F.max("sampled").alias("sampled")), "firsts")
+    wanted = joinable(firsts, rows, words, percent, store)
+    total = wanted.agg(F.sum("n")).first()[0] or 0
+    shared = store.save(shared_tiles(_texts(rows, wanted.select(F.col("class").alias("key"))), words, percent, _bits(total)), "shared")
+    # The weight of a class is the size of all of its tiles.
+    sizes = store.save(shared.groupBy("tile").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    weights = store.save(shared.join(sizes, "tile").groupBy("class").agg(F.sum("size").alias("weight")), "weights")
+    members = store.save(shared.join(weights, "class"), "members")
+    store.drop("shared", "sizes")
+    known = store.save(signed_sets(_texts(rows, weights.select(F.col("class").alias("key"))), words), "known")
+    roots = connected(members, known, percent, store)
+    named = firsts.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("n", "low", "high", F.coalesce("root", "class").alias("component"))
+    named = store.save(named, "named")
+    out = found.join(named, ["n", "low", "high"], "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
     if ids is not None:
         out = out.join(ids.select(F.col("key").alias("component_id"), F.col("doc_id").alias("named")), "component_id").select("key", "n_shingles", F.col("named").alias("component_id"))
     return windows.unkeyed(out, ids)

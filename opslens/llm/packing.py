@@ -151,12 +151,11 @@ def pack_sequences(
     return docs.select("doc_id", "text", *([loss] if loss else [])).mapInArrow(run, SCHEMA)
 
 
-_MEMOS: dict = {}
-
-
 def _memo(path: str) -> vocab.Memo:
     """The worker's memo of words to ids as bytes; it outlives a task."""
-    if path not in _MEMOS:
+
+    def make():
         ids = vocab.word_ids(path)
-        _MEMOS[path] = vocab.Memo(lambda word: struct.pack(f"<{len(found := ids(word))}I", *found))
-    return _MEMOS[path]
+        return vocab.Memo(lambda word: struct.pack(f"<{len(found := ids(word))}I", *found))
+
+    return vocab.held(("packing", path), make)

@@ -5,8 +5,8 @@ one part of the labelled rows until it covers no good one there, is pruned from
 it is precise enough on that part; the rows it covers go and the next rule is learned. The list is emitted as one ordered
 Spark conditional expression, so that applying it costs no Python and can be read.
 
-Only a bounded number of labelled rows is used for learning (max_labels, those with the least hash of their doc_id);
-statistics and verdicts cover all rows.
+Only a bounded number of labels is used for learning (max_labels, those with the least hash of their doc_id), each with one
+document; of labels or documents that repeat a doc_id the least counts. Statistics and verdicts cover all rows.
 
 Defined results: null text counts as empty and has no words, which fails the base rule; rows without a label are judged
 like all others; without labels of both kinds the list is empty and only the base rule rejects; repeated rows are judged
@@ -174,11 +174,14 @@ def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, min_precision: float =
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> list[Rule]:
     """The list learned from the labels (doc_id, quality 0 or 1); at most max_labels rows reach the driver."""
-    chosen = labels.filter("quality is not null and doc_id is not null").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labels)
+    chosen = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     # Two longs a row and max_labels rows at most: small enough to broadcast by its bound.
-    rows = document_stats(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi"))
-    known = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", *(F.expr(f).alias(n) for n, f in FEATURES.items()))
-    found = known.limit(2 * max_labels).toPandas().sort_values(["doc_id", "quality", *FEATURES])
+    rows = document_stats(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
+    # One row of each label, whatever the number of documents that have its id.
+    one = rows.groupBy("doc_id").agg(F.min(F.struct(*STATS)).alias("s")).select("doc_id", "s.*")
+    known = one.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", *(F.expr(f).alias(n) for n, f in FEATURES.items()))
+    found = known.toPandas().sort_values("doc_id")
     if not len(found):
         return []
     order = np.random.default_rng(7).permutation(len(found))

@@ -55,29 +55,29 @@ def ranks_encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known(run: str) -> bool:
-    """Whether a run is a digest or an identifier: UUID, words of one case and numbers joined, no letters."""
+def is_known(run: str, assigned: bool = False) -> bool:
+    """Whether a run is a digest (unless it is assigned to a secret's name) or an identifier: UUID, words of one case and numbers joined, no letters."""
     if len(run) in DIGEST_CHARS and _DIGEST.fullmatch(run):
-        return True
+        return not assigned
     if not re.search("[A-Za-z]", run):
         return True
     return bool(_UUID.fullmatch(run) or _NAME.fullmatch(run) or _WORDS.fullmatch(run))
 
 
-@lru_cache(200_000)
-def is_random(run: str, path: str, pattern: str, most: float) -> bool:
-    return not is_known(run) and len(run) < most * len(ranks_encoding(path, pattern).encode_ordinary(run))
+def is_random(run: str, path: str, pattern: str, most: float, assigned: bool = False) -> bool:
+    """Whether a run that is no known digest or identifier has few characters per token. assigned: it is the value of a
+    secret's name, so that hex of a digest's length is not taken for a digest."""
+    return not is_known(run, assigned) and len(run) < most * len(ranks_encoding(path, pattern).encode_ordinary(run))
 
 
-@lru_cache(200_000)
-def random_stretches(run: str, path: str, pattern: str, most: float) -> tuple[tuple[int, int], ...]:
+def random_stretches(run: str, path: str, pattern: str, most: float, assigned: bool = False) -> tuple[tuple[int, int], ...]:
     """(start, end) of what is random in a run: all of it, or the longest stretches that are."""
-    if is_random(run, path, pattern, most):
+    if is_random(run, path, pattern, most, assigned):
         return ((0, len(run)),)
     found: list[tuple[int, int]] = []
     for stretch in STRETCHES:
         for m in stretch.finditer(run):
-            if len(m[0]) < len(run) and not any(m.start() < end and start < m.end() for start, end in found) and is_random(m[0], path, pattern, most):
+            if len(m[0]) < len(run) and not any(m.start() < end and start < m.end() for start, end in found) and is_random(m[0], path, pattern, most, assigned):
                 found.append(m.span())
     return tuple(found)
 
@@ -92,7 +92,11 @@ def find_spans(text: str, path: str, pattern: str, most: float = MOST_CHARS_PER_
             found += [(m.start(), kind, m.end()) for m in _LONG_HEX.finditer(text)]
             continue
         found += [(m.start(), kind, m.end()) for m in regex.finditer(text) if m.end(group) - m.start(group) >= least]
-    found += [(m.start() + start, 3, m.start() + end) for m in RUN.finditer(text) for start, end in random_stretches(m[0], path, pattern, most)]
+    assigned = [(start, end) for start, kind, end in found if kind == 0]
+    memo = vocab.held(("secrets", path, pattern, most), lambda: vocab.Memo(lambda x: random_stretches(x[1:], path, pattern, most, x[0] == "=")))
+    for m in RUN.finditer(text):
+        within = any(start < m.end() and m.start() < end for start, end in assigned)
+        found += [(m.start() + start, 3, m.start() + end) for start, end in memo[("=" if within else " ") + m[0]]]
     return sorted(found)
 
 

@@ -48,14 +48,12 @@ def encode_counts(texts: DataFrame, tokenizer_path: str) -> DataFrame:
     return texts.mapInArrow(run, "content_sha256 binary, n_tokens long")
 
 
-_MEMOS: dict = {}
-
-
 def _memo(path: str) -> vocab.Memo:
-    if path not in _MEMOS:
+    def make():
         ids = vocab.word_ids(path)
-        _MEMOS[path] = vocab.Memo(lambda word: len(ids(word)))
-    return _MEMOS[path]
+        return vocab.Memo(lambda word: len(ids(word)))
+
+    return vocab.held(("token counts", path), make)
 
 
 def read_cache(spark, path: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A word is a pre-token of the tokenizer. The library encodes pre-tokens one by one, so the ids of a text are the ids of
 its words in order. Texts with characters that Python's classes and the library's sort differently, or with special
-tokens, go to the library whole. A memo holds a bounded number of words and starts anew when it is full."""
+tokens, go to the library whole. A memo holds a bounded number of
+bytes and starts anew when it is full; a worker keeps the memos of one operator at a time."""
 
 from __future__ import annotations
 
@@ -17,7 +18,9 @@ _SPECIAL = r"<\|(?:startof|endof)text\|>"
 BYTE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: The words of the tokenizer with word ends, after NFC and lower case.
 END_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-MEMO_WORDS = 300_000
+#: Bytes of the words that a memo holds at most, and what an entry takes besides its word.
+MEMO_BYTES = 40_000_000
+ENTRY_BYTES = 160
 
 
 _SPECIAL_TOKEN = re.compile(_SPECIAL)
@@ -49,22 +52,34 @@ def end_words(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """Word to value; a missing word is computed. A full memo becomes the old one, from which words in use come back."""
+    """Word to value; a missing word is computed. A full memo (by bytes) becomes the old one, from which words in use come back."""
 
-    def __init__(self, make, most: int = MEMO_WORDS):
-        self.make, self.most, self.old = make, most, {}
+    def __init__(self, make, most: int = MEMO_BYTES):
+        self.make, self.most, self.size, self.old = make, most, 0, {}
 
     def __missing__(self, word):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
-        if len(self) >= self.most:
-            self.old = dict(self)
+        if self.size >= self.most:
+            self.old, self.size = dict(self), 0
             self.clear()
+        self.size += len(word) + ENTRY_BYTES
         self[word] = value
         return value
 
 
+_HELD: dict = {}
+
+
+def held(name: tuple, make):
+    """What this worker holds for one operator from task to task; dropped when another operator asks for its own."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 @lru_cache(1)
 def byte_symbols() -> list[str]:
     """The visible character that stands for each byte in byte-level vocabularies: printable ones stand for themselves."""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, clean, strings
-from .vocab import Memo
+from .vocab import Memo, held
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -34,7 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_WORDS = Memo(xxhash.xxh3_64_intdigest)
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
@@ -45,7 +44,7 @@ def words_of(text: str, lower: bool = False) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(held(("word hashes",), lambda: Memo(xxhash.xxh3_64_intdigest)).__getitem__, words), np.uint64, len(words))
 
 
 def byte_hashes(raw: bytes) -> np.ndarray:

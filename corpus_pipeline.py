@@ -3,9 +3,11 @@
 STAGES holds the stages in order; each takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with the
 columns of documents. run() applies them to the documents of sf_dir and writes each result before the next stage reads it.
 
-Defined results: null text counts as empty and fails the quality rules; rows without doc_id are judged like others; rows
-that repeat a doc_id stay or go together, and of those with one text a single one stays; extra columns pass through all
-stages but the last; an empty table gives an empty result."""
+Each stage numbers its rows where ids are null or repeat, and its operator's decisions go back to rows by that number.
+
+Defined results: null text counts as empty and fails the quality rules; rows that have no doc_id or repeat one are judged
+each for itself, like all others, in the order of doc_id (null ids last) and text where the least id decides; extra columns
+pass through all stages but the last; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -17,29 +19,39 @@ from opslens.llm import exact_dedup, ngram_join, packing, quality_rules, secret_
 from opslens.llm.common import Scratch, table
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is among `ids`."""
-    wanted = ids.select(F.col("doc_id").alias("_wanted"))
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_wanted"]), "left_semi")
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The documents with a column that tells rows apart, and its name: the doc_id, or numbers in the order of doc_id and text."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    if not docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count():
+        return docs.withColumn(row, F.col("doc_id")), row
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
+    numbered = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id())
+    return Scratch(docs.sparkSession, "pipeline-rows").save(numbered, name), row
+
+
+def _kept(docs: DataFrame, name: str, choose) -> DataFrame:
+    """The documents whose number (as doc_id) `choose` gives of the documents numbered so."""
+    numbered, row = _numbered(docs, name)
+    chosen = choose(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row))
+    return numbered.join(chosen, row, "left_semi").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned list rejects."""
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, quality_rules.judge(docs, rules).filter("kept"))
+    return _kept(docs, "quality", lambda rows: quality_rules.judge(rows, rules).filter("kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal documents the one that stays."""
-    kept = _only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
-    repeats = kept.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
+    return _kept(docs, "exact", lambda rows: exact_dedup.exact_dedup(rows).filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8) the document with the least id."""
-    groups = ngram_join.jaccard_groups(docs, words=5, percent=80)
-    return _only(docs, groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    return _kept(docs, "near", lambda rows: ngram_join.jaccard_groups(rows, words=5, percent=80).filter("component_id = doc_id"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

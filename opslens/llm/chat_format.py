@@ -11,7 +11,7 @@ a reader gets each text back, and no text can open or close a turn.
 
 Defined results: null text or role counts as empty; null turns sort first; equal turns keep all copies, in order of role
 and text; a null conv_id is a conversation of its own; extra columns are ignored; an empty table gives an empty result.
-A conversation is one output value and so one row, but nothing in it takes more than a pass over its own turns."""
+A conversation is one output value and so one row; its turns are sorted, and what follows is a pass over them."""
 
 from __future__ import annotations
 
@@ -42,8 +42,9 @@ def unescape(text: Column) -> Column:
 def format_chats(turns: DataFrame, loss_role: str = LOSS_ROLE, control=CONTROL) -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, loss_mask.
 
-    loss_mask lists what is trained on: for each text of loss_role the block that holds it, and its first code point and
-    length in that block (block k starts at the k-th turn mark)."""
+    loss_mask tells for each block (block k starts at the k-th turn mark) what of it is trained on: where the first text of
+    loss_role starts, in code points from the start of the block, and the lengths of its texts, between which stands MORE.
+    A block of another role has no lengths."""
     piece = F.struct(
         "turn",
         F.coalesce("role", F.lit("")).alias("role"),
@@ -74,45 +75,40 @@ def format_chats(turns: DataFrame, loss_role: str = LOSS_ROLE, control=CONTROL)
         F.transform("blocks", lambda b: F.concat(heads(b), F.array_join(b["texts"], MORE), F.lit(END + "\n"))), ""
     )
 
-    def spans(block: Column, k: Column) -> Column:
-        empty = F.struct(
-            F.length(heads(block)).alias("next"),
-            F.array().cast("array<struct<block:int,start:int,length:int>>").alias("spans"),
-        )
-        each = F.aggregate(
-            block["texts"],
-            empty,
-            lambda acc, text: F.struct(
-                (acc["next"] + F.length(text) + len(MORE)).alias("next"),
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct(k.cast("int").alias("block"), acc["next"].alias("start"), F.length(text).alias("length"))),
-                ).alias("spans"),
-            ),
-        )
-        return F.when(block["role"] == loss_role, each["spans"]).otherwise(empty["spans"])
-
-    return collected.select("conv_id", "n_turns", formatted.alias("formatted"), F.flatten(F.transform("blocks", spans)).alias("loss_mask"))
+    none = F.array().cast("array<int>")
+    mask = F.transform(
+        "blocks",
+        lambda b: F.struct(
+            F.length(heads(b)).alias("start"), F.when(b["role"] == loss_role, F.transform(b["texts"], lambda t: F.length(t))).otherwise(none).alias("lengths")
+        ),
+    )
+    return collected.select("conv_id", "n_turns", formatted.alias("formatted"), mask.alias("loss_mask"))
 
 
 def read_turns(formatted: Column) -> Column:
     """The turns that a formatted conversation holds, in order: array of (role, text)."""
     blocks = F.filter(F.split(formatted, _java(TURN)), lambda b: b != "")
-    return F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(F.regexp_replace(F.substring_index(b, SAYS, -1), f"{_java(END)}\\n\\z", ""), _java(MORE)),
-                lambda t: F.struct(unescape(F.substring_index(b, SAYS, 1)).alias("role"), unescape(t).alias("text")),
-            ),
-        )
+    # A block's role and texts are values of their own before the texts are gone through, so that a block is read once.
+    read = F.transform(
+        blocks,
+        lambda b: F.struct(
+            unescape(F.substring_index(b, SAYS, 1)).alias("role"),
+            F.split(F.regexp_replace(F.substring_index(b, SAYS, -1), f"{_java(END)}\\n\\z", ""), _java(MORE)).alias("texts"),
+        ),
     )
+    return F.flatten(F.transform(read, lambda r: F.transform(r["texts"], lambda t: F.struct(r["role"].alias("role"), unescape(t).alias("text")))))
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
     """The texts under the loss mask, in order and unescaped."""
-    blocks = F.split(formatted, f"(?={_java(TURN)})")
-    return F.transform(mask, lambda m: unescape(F.substring(F.get(blocks, m["block"]), m["start"] + 1, m["length"])))
+    blocks = F.filter(F.split(formatted, f"(?={_java(TURN)})"), lambda b: b != "")
+    texts = lambda b, m: F.split(F.substring(b, m["start"] + 1, F.length(b)), _java(MORE))
+    # Of what follows the last text (the block's end) its length leaves nothing.
+    return F.flatten(
+        F.zip_with(
+            blocks, mask, lambda b, m: F.when(F.size(m["lengths"]) > 0, F.zip_with(texts(b, m), m["lengths"], lambda t, n: unescape(F.substring(t, F.lit(1), n)))).otherwise(F.array().cast("array<string>"))
+        )
+    )
 
 
 def chat_digests(chats: DataFrame) -> DataFrame:

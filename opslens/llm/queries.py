@@ -31,7 +31,9 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+    """The cache is the lasting one that spark.opslens.tokenCache names, or a new one where it is unset."""
+    cache = spark.conf.get("spark.opslens.tokenCache", None)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048, cache_path=cache)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,12 +28,26 @@ from .common import Scratch, strings
 WORDS = 20
 #: Words of the gram that stands for a window.
 GRAM = 5
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _EDGES = pa.schema([("h", pa.int64()), ("edge", pa.int64()), ("key", pa.int64()), ("pos", pa.int32())])
 _OUT = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
-def _sequence(text: str) -> np.ndarray:
-    return windows.word_hashes(windows.words_of(text))
+def _sequence(text: str) -> tuple[np.ndarray, np.ndarray]:
+    words = windows.word_hashes(windows.words_of(text))
+    return words, words
+
+
+def edge_names(x: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k consecutive numbers: of one, two, four ... of them, each mixed from two halves, and of their sum."""
+    n, size, part, out, done = len(x) - k + 1, 1, x, None, 0
+    while True:
+        if k & size:  # the stretches of this length that follow what is covered
+            at = part[done : done + n]
+            out, done = at if out is None else windows.mix(out * _LEFT + at * _RIGHT + np.uint64(size)), done + size
+        if done == k:
+            return windows.mix(out + np.uint64(k))
+        part, size = windows.mix(part[:-size] * _LEFT + part[size:] * _RIGHT), 2 * size
 
 
 def path_edges(docs: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
@@ -46,7 +60,7 @@ def path_edges(docs: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
             for key, text, found in zip(batch.column("key").to_pylist(), strings(batch), batch.column("runs")):
                 h, start, n = (x.to_numpy(zero_copy_only=False) for x in found.values.flatten())
                 at, size = windows.spread(start.astype(np.int64), n.astype(np.int64)), n.astype(np.int64)
-                edges = windows.Sums(_sequence(text)).hash(at, at + k)
+                edges = edge_names(_sequence(text)[0], k)[at]
                 out.append((np.repeat(h, size), edges.view(np.int64), np.full(len(at), key), at))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), _EDGES.types)], schema=_EDGES)

@@ -7,8 +7,8 @@ length: an interval of all suffixes that begin with a string is extended backwar
 right end that has no value yet gets the length of the string, and its interval is queued for the next length. At length k
 it stops: neighbours without a value share k bytes or more.
 
-A least gram with very many kinds of runs (HOT_KINDS) is not put into one bucket: its windows are digested one by one and
-counted by Spark, which is exact as well and splits over tasks.
+A least gram with very many kinds of runs (HOT_KINDS) would make a bucket that no task can hold: its windows are named by
+128-bit digests of their bytes one by one and counted by Spark, with a count in each task, which splits over tasks.
 
 Defined results: null text counts as empty; matches never cross documents; texts shorter than a window lose nothing; all
 occurrences of a repeated string go, overlapping ones too; rows that repeat a doc_id or have none are documents of their
@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +36,13 @@ BUCKET_KINDS = 4096
 HOT_KINDS = 1024
 _SEGMENTS = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())])
 _HITS = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("off", pa.int32()), ("n", pa.int32())])
-_DIGESTS = pa.schema([("h", pa.int64()), ("w", pa.int64()), ("d", pa.int64()), ("off", pa.int32())])
+_DIGESTS = pa.schema([("h", pa.int64()), ("w", pa.binary()), ("d", pa.int64()), ("off", pa.int32())])
 _OUT = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_bytes", pa.binary())])
 
 
-def _sequence(text: str) -> np.ndarray:
-    return windows.byte_hashes(text.encode())
+def _sequence(text: str) -> tuple[np.ndarray, np.ndarray]:
+    raw = text.encode()
+    return np.frombuffer(raw, np.uint8), windows.byte_hashes(raw)
 
 
 def sort_suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -157,10 +159,11 @@ def window_digests(docs: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
             for text, found in zip(strings(batch), batch.column("runs")):
                 h, d, start, n = _columns(found)
                 at = windows.spread(start, n)
-                w = windows.Sums(_sequence(text)).hash(at, at + k).view(np.int64)
+                raw = memoryview(text.encode())
+                w = [xxhash.xxh3_128_digest(raw[a : a + k]) for a in at.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((np.repeat(h, n), w, np.repeat(d, n), at - np.repeat(start, n)), _DIGESTS.types)], schema=_DIGESTS)
 
-    return _at_kinds(docs, kinds).mapInArrow(run, "h long, w long, d long, off int")
+    return _at_kinds(docs, kinds).mapInArrow(run, "h long, w binary, d long, off int")
 
 
 def repeated_spans(docs: DataFrame, k: int, store: Scratch) -> DataFrame:

@@ -67,7 +67,8 @@ def read_cache(spark, path: str) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int, cache_path: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit, content_sha256. Without a cache_path the cache is a new one."""
     spark = docs.sparkSession
-    path = cache_path or Scratch(spark, "token-counts").path("cache")
+    store = Scratch(spark, "token-counts")
+    path = cache_path or store.path("cache")
     version = tokenizer_digest(tokenizer_path)
     drops_white = bool(vocab.tokenizer(tokenizer_path).model.end_of_word_suffix)
     text = clean()
@@ -77,7 +78,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int, cache_path: s
     misses = digested.groupBy("content_sha256").agg(F.first("text").alias("text")).join(cached().select("content_sha256"), "content_sha256", "left_anti")
     encode_counts(misses, tokenizer_path).select("content_sha256", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(path)
     # Writers that ran at once may both have appended a digest; its counts are equal.
-    known = cached().groupBy("content_sha256").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written, as Spark splits a frequent digest's rows only where both sides of the join come from a shuffle of their own.
+    known = store.save(cached().groupBy("content_sha256").agg(F.max("n_tokens").alias("n_tokens")), "known")
     return digested.drop("text").join(known, "content_sha256").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("content_sha256")).alias("content_sha256")
     )

@@ -86,13 +86,12 @@ def least(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(ahead[:n], behind[w - 1 : w - 1 + n])
 
 
-def runs(x: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """h, d, first window and number of windows of each run of a sequence; none if it is shorter than a window."""
+def runs(x: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """h, first window and number of windows of each run of a sequence; none if it is shorter than a window."""
     if len(x) < k:
-        none = np.zeros(0, np.uint64)
-        return none, none, none.astype(np.int64), none.astype(np.int64)
-    sums = Sums(x)
-    grams, windows, w = sums.grams(m), len(x) - k + 1, k - m + 1
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none
+    grams, windows, w = Sums(x).grams(m), len(x) - k + 1, k - m + 1
     out = []
     for at in range(0, windows, CHUNK):
         part = grams[at : min(at + CHUNK, windows) + w - 1]
@@ -100,8 +99,13 @@ def runs(x: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         n = np.diff(first, append=len(place))
         out.append((part[place[first].astype(np.int64)], first + at, n))
-    h, first, n = (np.concatenate(c) for c in zip(*out))
-    return h, sums.hash(first, first + n + k - 1), first, n
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def digests(content: np.ndarray, first: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """The digest of all that each run covers: of words by their hashes, of bytes as they are."""
+    view, size = memoryview(np.ascontiguousarray(content)).cast("B"), content.itemsize
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, [view[a:b] for a, b in zip((first * size).tolist(), ((first + n + k - 1) * size).tolist())]), np.uint64, len(first))
 
 
 def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -140,19 +144,21 @@ def unkeyed(out: DataFrame, ids: DataFrame | None) -> DataFrame:
 def shared_runs(docs: DataFrame, sequence, k: int, m: int, store: Scratch) -> DataFrame:
     """The runs (h, d, key, start, n) whose least gram stands in two places or more, saved as `occurrences`.
 
-    sequence: from a text to the hashes of its words or bytes. The grams are counted first, with a count in each task, and
-    only then are runs joined to the repeated ones; a very frequent gram is a few count rows, and its runs are join rows
-    that Spark can split."""
+    sequence: from a text to what is digested (its words' hashes or its bytes) and the hashes of it. The grams are counted
+    first, with a count in each task, and only then are runs joined to the repeated ones; a very frequent gram is a few
+    count rows, and its runs are join rows that Spark can split."""
 
     def heads(batches):
         for batch in batches:
-            found = [runs(sequence(t), k, m)[0] for t in strings(batch)]
+            found = [runs(sequence(t)[1], k, m)[0] for t in strings(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
 
     def whole(batches):
         for batch in batches:
-            keys, texts = batch.column("key").to_numpy(zero_copy_only=False), strings(batch)
-            found = [runs(sequence(t), k, m) for t in texts]
+            keys, found = batch.column("key").to_numpy(zero_copy_only=False), []
+            for content, x in map(sequence, strings(batch)):
+                h, start, n = runs(x, k, m)
+                found.append((h, digests(content, start, n, k), start, n))
             if found:
                 h, d, start, n = (np.concatenate(c) for c in zip(*found))
                 owner = np.repeat(keys, [len(f[0]) for f in found])

@@ -70,27 +70,42 @@ def any_of(words) -> str:
     return "|".join(re.sub(r"([.()\[\]+*?|\\])", r"\\\1", w) for w in words)
 
 
-def fault_family(message: Column) -> Column:
-    text, out = F.lower(message), F.when(F.lit(False), F.lit(""))
+#: What a class name of a passed-on error holds.
+WRAPPER_CLASSES = ("downstreamserviceexception", "gateway", "proxyfilter")
+#: Columns whose text tells of a fault, in order.
+TEXTS = ("message", "semantic_message", "root_cause", "raw_block")
+
+
+def event_text(columns, prefix: Column | None = None) -> Column:
+    """The lowered text of an event: those of TEXTS that it has, null as empty."""
+    return F.lower(F.concat_ws(" ", *([prefix] if prefix is not None else []), *(F.coalesce(F.col(c), F.lit("")) for c in TEXTS if c in columns)))
+
+
+def class_name(columns) -> Column:
+    """The lowered class of the root cause, else of the exception, else empty."""
+    known = [F.when(F.col(c) != "", F.lower(F.col(c))) for c in ("root_exception_class", "exception_class") if c in columns]
+    return F.coalesce(*known, F.lit(""))
+
+
+def fault_family(text: Column, named: Column | None = None) -> Column:
+    """The first family whose words a text holds; else the class that is named, else unknown."""
+    text, out = F.lower(text), F.when(F.lit(False), F.lit(""))
     for name, words in FAMILIES:
         out = out.when(text.rlike(any_of(words)), F.lit(name))
-    return out.otherwise(F.lit("unknown"))
+    return out.when(named != "", named).otherwise(F.lit("unknown")) if named is not None else out.otherwise(F.lit("unknown"))
 
 
 def is_error(level: Column) -> Column:
     return F.upper(level).isin("ERROR", "FATAL")
 
 
-def is_atomic(message: Column) -> Column:
-    return F.lower(message).rlike(any_of(ATOMIC))
-
-
-def is_wrapper(message: Column) -> Column:
-    return F.lower(message).rlike(any_of(WRAPPER))
+def is_atomic(text: Column) -> Column:
+    return F.lower(text).rlike(any_of(ATOMIC))
 
 
-def is_technical(level: Column, message: Column) -> Column:
-    return is_error(level) & (fault_family(message).isin(*TECHNICAL) | is_atomic(message))
+def is_wrapper(text: Column, named: Column | None = None) -> Column:
+    held = F.lower(text).rlike(any_of(WRAPPER))
+    return held if named is None else held | named.rlike(any_of(WRAPPER_CLASSES))
 
 
 def mask(message: Column) -> Column:
@@ -112,15 +127,16 @@ def signal_weight(message: Column) -> Column:
 
 
 def level_weight(level: Column) -> Column:
+    """The weight of a level; 1 for one that is not known."""
     out = F.when(F.lit(False), F.lit(0.0))
     for name, weight in LEVEL_WEIGHT.items():
         out = out.when(F.upper(level) == name, F.lit(weight))
-    return out.otherwise(F.lit(0.0))
+    return out.otherwise(F.lit(1.0))
 
 
 def flagged(events: DataFrame) -> DataFrame:
-    """The events with family, is_error, is_technical, is_atomic, is_wrapper."""
-    m, level = F.col("message"), F.col("level")
-    return events.select(
-        "*", fault_family(m).alias("family"), is_error(level).alias("is_error"), is_technical(level, m).alias("is_technical"), is_atomic(m).alias("is_atomic"), is_wrapper(m).alias("is_wrapper")
-    )
+    """The events with family, is_error, is_technical, is_atomic, is_wrapper, told by all texts and class names that they have."""
+    named, text, level = class_name(events.columns), event_text(events.columns), F.col("level")
+    both = F.concat_ws(" ", named, text)
+    found = events.select("*", fault_family(both, named).alias("family"), is_error(level).alias("is_error"), is_atomic(text).alias("is_atomic"), is_wrapper(both, named).alias("is_wrapper"))
+    return found.withColumn("is_technical", F.col("is_error") & (F.col("family").isin(*TECHNICAL) | F.col("is_atomic")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text_rules
+
 # Relations that a dependency search follows, and those that mean membership.
 TRAVERSED = ("CALLS", "DEPENDS_ON", "READS", "WRITES", "PUBLISHES", "CONSUMES", "USES", "CONNECTS_TO", "HOSTED_ON", "HAS_MEMBER", "CONTAINS")
 MEMBERSHIP, REVERSED_MEMBERSHIP = ("HAS_MEMBER", "CONTAINS"), ("BELONGS_TO", "MEMBER_OF")
@@ -81,7 +83,7 @@ def resolve_entities(names: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Only names that no equal identifier resolves are searched for containment: the longer side is exploded into grams, of
     which one must equal the shorter side's beginning."""
-    clean = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "(service|svc)$", ""), "[^a-z0-9一-龥]", "")
+    clean = text_rules.entity_name
     names = names.select("name").distinct()
     all_names = F.concat(F.array("id", "name"), F.coalesce("aliases", F.array().cast("array<string>"))) if "aliases" in nodes.columns else F.array("id", "name")
     known = nodes.select("id", F.explode(all_names).alias("known")).select("id", F.lower("known").alias("known"), clean(F.col("known")).alias("clean")).filter("known <> ''").distinct()

@@ -36,11 +36,11 @@ def candidate_scores(members: DataFrame) -> DataFrame:
     errors = errors.withColumn("exception_key", F.coalesce(known("root_exception_class"), known("exception_class"), "family"))
     keys = errors.groupBy("region", "exception_key").agg(F.count(F.lit(1)).alias("_same"), F.min("event_s").alias("_first"))
     keys = keys.withColumn("_start", F.min("_first").over(Window.partitionBy("region"))).drop("_first")
-    level = F.when(F.col("level") == "FATAL", 7.0).when(F.col("level") == "ERROR", 5.0).otherwise(0.0)
+    level = F.when(F.col("level") == "FATAL", 7.0).when(F.col("level") == "ERROR", 5.0).when(F.col("level") == "WARN", 1.0).otherwise(0.0)
     named = F.when(known("root_exception_class").isNotNull(), 4.0).when(known("exception_class").isNotNull(), 2.0).otherwise(0.0)
-    late = F.greatest(F.lit(0.0), 3.0 - (F.col("event_s") - F.col("_start")) / 60.0)
+    late = F.greatest(F.lit(0.0), 3.0 - F.greatest(F.col("event_s") - F.col("_start"), F.lit(0)) / 60.0)
     score = level + named + F.when(F.col("is_atomic"), 10.0).otherwise(0.0) - F.when(F.col("is_wrapper"), 12.0).otherwise(0.0) + late + 3.0 / F.sqrt("_same")
-    return errors.join(keys, ["region", "exception_key"]).withColumn("score", score).drop("_same", "_start")
+    return errors.join(keys, ["region", "exception_key"]).withColumn("score", F.round(score, 6)).drop("_same", "_start")
 
 
 def root_candidates(scored: DataFrame, most: int = 30) -> DataFrame:
@@ -57,12 +57,13 @@ def root_candidates(scored: DataFrame, most: int = 30) -> DataFrame:
     return first.unionByName(others).withColumn("place", place).filter(F.col("place") <= most).select("region", F.col("place").cast("long").alias("place"), "event_id", "family", "score")
 
 
-def exception_summary(members: DataFrame) -> DataFrame:
-    """Per region and family of its errors: n, first_s, last_s, n_services, n_traces."""
-    errors = log_text.flagged(members).filter("is_error")
-    return errors.groupBy("region", "family").agg(
+def exception_summary(scored: DataFrame) -> DataFrame:
+    """Per region and exception key of scored errors: n, first_s, last_s, n_services, n_traces, and the event with the best
+    score (the earliest of equals, then the least id)."""
+    return scored.groupBy("region", "exception_key").agg(
         F.count(F.lit(1)).alias("n"), F.min("event_s").alias("first_s"), F.max("event_s").alias("last_s"), F.count_distinct("service").alias("n_services"),
         F.count_distinct(F.when(F.col("trace_id") != "", F.col("trace_id"))).alias("n_traces"),
+        F.min_by("event_id", F.struct(-F.col("score"), "event_s", "event_id")).alias("representative"),
     )
 
 
@@ -83,12 +84,25 @@ def pattern_frequency(events: DataFrame) -> DataFrame:
     return events.groupBy("level", "service", log_text.normalise_pattern(F.col("message")).alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.min("event_s").alias("first_s"), F.max("event_s").alias("last_s"))
 
 
-def importance_scores(events: DataFrame) -> DataFrame:
-    """The events with a score from level, signals, rarity of their masked message and trace."""
-    seen = events.groupBy(log_text.mask(F.col("message")).alias("template")).agg(F.count(F.lit(1)).alias("frequency"))
-    known = events.withColumn("template", log_text.mask(F.col("message"))).join(seen, "template")
-    score = log_text.level_weight(F.col("level")) + log_text.signal_weight(F.col("message")) + F.when(F.col("trace_id") != "", 0.5).otherwise(0.0) + 4.0 / F.col("frequency")
-    return known.withColumn("score", score)
+def importance_scores(events: DataFrame, evidence: list[str] = ()) -> DataFrame:
+    """The events with signature, frequency and score: level, signals, root cause, exception class, rarity of the signature
+    (at most 4), trace, and words shared with the evidence (at most 6).
+
+    Signatures are counted before the events are joined to them, as one may hold most events."""
+    from ..functions import text_rules
+
+    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False)) if c in events.columns else F.lit(False)
+    known = events.withColumn("signature", text_rules.signature(events.columns))
+    seen = known.groupBy("signature").agg(F.count(F.lit(1)).alias("frequency"))
+    named = has("root_exception_class") | has("exception_class")
+    said = text_rules.event_message(events.columns)
+    words = F.concat_ws(" ", said, *(F.col(c) for c in ("root_cause", "service", "root_exception_class") if c in events.columns))
+    overlap = F.size(F.array_intersect(text_rules.evidence_tokens(words), F.array(*map(F.lit, evidence)))) if evidence else F.lit(0)
+    score = (
+        log_text.level_weight(F.col("level")) + log_text.signal_weight(said) + F.when(has("root_cause"), 4.0).otherwise(0.0) + F.when(named, 3.0).otherwise(0.0)
+        + F.least(F.lit(4.0), 4.0 / F.sqrt("frequency")) + F.when(has("trace_id"), 0.5).otherwise(0.0) + F.least(F.lit(6.0), 1.5 * overlap)
+    )
+    return known.join(seen, "signature").withColumn("score", score)
 
 
 def temporal_edges(events: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def zscores(long: DataFrame) -> DataFrame:
     """(row, feature, value) with z: distance from the feature's mean in population deviations; 0 where it has none."""
     stats = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"))
-    return long.join(F.broadcast(stats), "feature").select("row", "feature", "value", F.when(F.col("deviation") > 0, (F.col("value") - F.col("mean")) / F.col("deviation")).otherwise(0.0).alias("z"))
+    return long.join(stats, "feature").select("row", "feature", "value", F.when(F.col("deviation") > 0, (F.col("value") - F.col("mean")) / F.col("deviation")).otherwise(0.0).alias("z"))
 
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:

@@ -27,14 +27,17 @@ def window_rows(events: DataFrame, size: int = SIZE, step: int = STEP) -> DataFr
 
 
 def window_counts(events: DataFrame, size: int = SIZE, step: int = STEP) -> DataFrame:
-    """window_start, window_end, event_count, error_count, technical_error_count, root_signal_count, n_services."""
-    count = lambda c: F.sum(F.col(c).cast("long"))
+    """window_start, window_end, event_count, error_count, technical_error_count, root_signal_count, n_services.
+
+    Events are counted by step and service first; only these few rows are spread over windows."""
+    flags = ("is_error", "is_technical", "is_atomic")
+    steps = log_text.flagged(events).groupBy((F.floor(F.col("event_s") / step) * step).alias("event_s"), "service").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("long")).alias(c) for c in flags))
     return (
-        window_rows(log_text.flagged(events), size, step)
+        window_rows(steps, size, step)
         .groupBy("window_start")
         .agg(
-            F.count(F.lit(1)).alias("event_count"), count("is_error").alias("error_count"), count("is_technical").alias("technical_error_count"),
-            count("is_atomic").alias("root_signal_count"), F.count_distinct("service").alias("n_services"),
+            F.sum("n").alias("event_count"), F.sum("is_error").alias("error_count"), F.sum("is_technical").alias("technical_error_count"),
+            F.sum("is_atomic").alias("root_signal_count"), F.count_distinct("service").alias("n_services"),
         )
         .withColumn("window_end", F.col("window_start") + size)
     )

@@ -45,11 +45,9 @@ c AS (SELECT window_start, window_start + 300 AS window_end, count(*) AS event_c
 _FLAGS = f"""{_COUNTS}, g AS (SELECT *, technical_error_count > 0 OR root_signal_count > 0 AS is_anomaly,
   CASE WHEN technical_error_count > 0 AND root_signal_count > 0 THEN 'technical_error_rule+root_signal_rule' WHEN technical_error_count > 0 THEN 'technical_error_rule'
   WHEN root_signal_count > 0 THEN 'root_signal_rule' ELSE 'normal' END AS anomaly_reason FROM c)"""
-#: Windows that the SQL below still leaves out: those with fewer technical errors. The queries take all flagged windows.
-_BUSY = 2
 _REGIONS = f"""{_FLAGS}, o AS (SELECT *, CASE WHEN window_start <= max(window_end) OVER (ORDER BY window_start, window_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 60 THEN 0 ELSE 1 END AS opens
   FROM g WHERE is_anomaly), i AS (SELECT *, CAST(sum(opens) OVER (ORDER BY window_start, window_end ROWS UNBOUNDED PRECEDING) AS BIGINT) AS region FROM o)"""
-_BUSY_REGIONS = _REGIONS.replace("WHERE is_anomaly)", f"WHERE is_anomaly AND technical_error_count >= {_BUSY})") + """,
+_MEMBERS = _REGIONS + """,
 r AS (SELECT region, min(window_start) AS region_start, max(window_end) AS region_end FROM i GROUP BY region),
 m AS (SELECT f.*, region, region_start, region_end FROM f JOIN r ON event_s >= region_start AND event_s < region_end)"""
 _MASK = "message"
@@ -137,14 +135,32 @@ def masked_templates(spark, sf_dir):
     return incidents.masked_templates(_events(spark, sf_dir))
 
 
-@_query()
+_PATTERN = "lower(message)"
+for _p, _shown in (
+    (r"\b(?:19|20)\d{2}[-/]\d{1,2}[-/]\d{1,2}[T\s]\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b", "<ts>"),
+    (r"\b[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\b", "<uuid>"), (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "<ip>"), (r"\b(?:0x)?[0-9a-f]{12,}\b", "<hex>"),
+    (r"""([=:]\s*)['"]?[A-Za-z0-9_.:/-]{8,}['"]?""", r"\1<id>"), *[(r"(^|[^A-Za-z_0-9])[-+]?\d+(?:\.\d+)?(?:ms|s|m|h|kb|mb|gb|%)?($|[^A-Za-z_0-9])", r"\1<num>\2")] * 2,
+):  # SQL has no look-around: a number takes the signs beside it along, and so every second of neighbours is left to a second turn
+    _PATTERN = f"regexp_replace({_PATTERN}, '{_p.replace(chr(39), chr(39) * 2)}', '{_shown}', 'g')"
+_PATTERN = f"trim(regexp_replace({_PATTERN}, '\\s+', ' ', 'g'))"
+
+
+@_query(f"WITH {_EV} SELECT level, service, {_PATTERN} AS pattern, count(*) AS n, min(event_s) AS first_s, max(event_s) AS last_s FROM ev GROUP BY 1, 2, 3")
 def pattern_frequency(spark, sf_dir):
     return incidents.pattern_frequency(_events(spark, sf_dir))
 
 
-@_query()
+@_query(f"""WITH {_EV}, s AS (SELECT *, service || '|' || level || '|' || {_PATTERN} AS signature, regexp_matches(message, '[A-Za-z_$][A-Za-z0-9_.$]*(Exception|Error)') AS named FROM ev),
+  n AS (SELECT *, count(*) OVER (PARTITION BY signature) AS frequency, lower(message) AS t FROM s)
+  SELECT event_id, signature, frequency, CASE level WHEN 'FATAL' THEN 13.0::DOUBLE WHEN 'ERROR' THEN 10.0::DOUBLE WHEN 'WARN' THEN 6.0::DOUBLE WHEN 'INFO' THEN 1.5::DOUBLE WHEN 'DEBUG' THEN 0.4::DOUBLE END
+    + (CASE WHEN regexp_matches(t, 'outofmemory|oom|java heap space|metaspace') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(t, 'deadlock|lock wait timeout') THEN 9 ELSE 0 END
+    + CASE WHEN regexp_matches(t, 'connection refused|connection reset|broken pipe|no route to host') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(t, 'rediscommandtimeoutexception|redisconnectionexception') THEN 8 ELSE 0 END
+    + CASE WHEN regexp_matches(t, 'sqltransientconnectionexception|communicationsexception|hikaripool') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(t, 'timeout|timed out|deadline exceeded') THEN 6 ELSE 0 END
+    + CASE WHEN regexp_matches(t, 'circuit.?breaker.*open|service unavailable|bad gateway|gateway timeout') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(t, 'exception|\\berror\\b|failed|failure|panic|fatal') THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, 'retry(ing)?|backoff|degraded|fallback') THEN 2 ELSE 0 END)::DOUBLE + 0.0::DOUBLE + CASE WHEN named THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END
+    + least(4.0::DOUBLE, 4.0::DOUBLE / sqrt(frequency::DOUBLE)) + CASE WHEN trace_id <> '' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score FROM n""")
 def importance_scores(spark, sf_dir):
-    return incidents.importance_scores(_events(spark, sf_dir)).select("event_id", "template", "frequency", "score")
+    return incidents.importance_scores(_events(spark, sf_dir)).select("event_id", "signature", "frequency", "score")
 
 
 @_query(f"""WITH {_EV}, s AS (SELECT service AS source, lead(service) OVER (PARTITION BY trace_id ORDER BY event_s, event_id) AS target FROM ev WHERE trace_id <> '')
@@ -162,45 +178,46 @@ def trace_timeline(spark, sf_dir):
 # --- incidents --------------------------------------------------------------------------------------------------------
 
 
-@_query(f"WITH {_BUSY_REGIONS} SELECT region, event_id FROM m")
+@_query(f"WITH {_MEMBERS} SELECT region, event_id FROM m")
 def region_members(spark, sf_dir):
     return _members(spark, sf_dir).select("region", "event_id")
 
 
-@_query(f"WITH {_BUSY_REGIONS} SELECT event_id, level, service FROM f WHERE is_error AND event_id NOT IN (SELECT event_id FROM m)")
+@_query(f"WITH {_MEMBERS} SELECT event_id, level, service FROM f WHERE is_error AND event_id NOT IN (SELECT event_id FROM m)")
 def unassigned_errors(spark, sf_dir):
     return incidents.unassigned_errors(_events(spark, sf_dir), _members(spark, sf_dir)).select("event_id", "level", "service")
 
 
-@_query(f"""WITH {_BUSY_REGIONS} SELECT r.region, count(*) AS n, min(event_s) AS first_s, max(event_s) AS last_s FROM r JOIN f ON event_s >= region_start - 60 AND event_s < region_end + 120 GROUP BY r.region""")
+@_query(f"""WITH {_MEMBERS} SELECT r.region, count(*) AS n, min(event_s) AS first_s, max(event_s) AS last_s FROM r JOIN f ON event_s >= region_start - 60 AND event_s < region_end + 120 GROUP BY r.region""")
 def context_join(spark, sf_dir):
     near = incidents.in_regions(_events(spark, sf_dir), time_windows.anomaly_regions(_windows(spark, sf_dir)), before=60, after=120)
     return near.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("event_s").alias("first_s"), F.max("event_s").alias("last_s"))
 
 
-_SCORED = f"""{_BUSY_REGIONS}, e AS (SELECT *, min(event_s) OVER (PARTITION BY region) AS start_s, count(*) OVER (PARTITION BY region, family) AS same FROM m WHERE is_error),
-sc AS (SELECT *, CASE level WHEN 'FATAL' THEN 7.0::DOUBLE ELSE 5.0::DOUBLE END + CASE WHEN is_atomic THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN is_wrapper THEN 12.0::DOUBLE ELSE 0.0::DOUBLE END
-  + greatest(0.0::DOUBLE, 3.0::DOUBLE - (event_s - start_s)::DOUBLE / 60.0::DOUBLE) + 3.0::DOUBLE / sqrt(same::DOUBLE) AS score FROM e)"""
+_SCORED = _MEMBERS + """, k AS (SELECT *, regexp_extract(message, '([A-Za-z_$][A-Za-z0-9_.$]*(Exception|Error))', 1) AS class FROM m WHERE is_error),
+e AS (SELECT *, coalesce(nullif(class, ''), family) AS exception_key, min(event_s) OVER (PARTITION BY region) AS start_s, count(*) OVER (PARTITION BY region, coalesce(nullif(class, ''), family)) AS same FROM k),
+sc AS (SELECT *, round(CASE level WHEN 'FATAL' THEN 7.0::DOUBLE ELSE 5.0::DOUBLE END + CASE WHEN class <> '' THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN is_atomic THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END
+  - CASE WHEN is_wrapper THEN 12.0::DOUBLE ELSE 0.0::DOUBLE END + greatest(0.0::DOUBLE, 3.0::DOUBLE - (event_s - start_s)::DOUBLE / 60.0::DOUBLE) + 3.0::DOUBLE / sqrt(same::DOUBLE), 6) AS score FROM e)"""
 
 
-@_query(f"WITH {_SCORED} SELECT region, event_id, family, score FROM sc")
+@_query(f"WITH {_SCORED} SELECT region, event_id, exception_key, score FROM sc")
 def candidate_scores(spark, sf_dir):
-    return incidents.candidate_scores(_members(spark, sf_dir)).select("region", "event_id", "family", "score")
+    return incidents.candidate_scores(_members(spark, sf_dir)).select("region", "event_id", "exception_key", "score")
 
 
-@_query(f"""WITH {_SCORED}, a AS (SELECT *, row_number() OVER (PARTITION BY region, family ORDER BY score DESC, event_s, event_id) = 1 AS first FROM sc),
-  p AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY first DESC, score DESC, event_s, event_id) AS place FROM a) SELECT region, place, event_id, family, score FROM p WHERE place <= 10""")
+@_query(f"""WITH {_SCORED}, a AS (SELECT *, row_number() OVER (PARTITION BY region, exception_key ORDER BY score DESC, event_s, event_id) = 1 AS first FROM sc),
+  p AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY first DESC, score DESC, event_s, event_id) AS place FROM a) SELECT region, place, event_id, family, score FROM p WHERE place <= 30""")
 def root_candidates(spark, sf_dir):
     return incidents.root_candidates(incidents.candidate_scores(_members(spark, sf_dir)))
 
 
-@_query(f"""WITH {_BUSY_REGIONS} SELECT region, family, count(*) AS n, min(event_s) AS first_s, max(event_s) AS last_s, count(DISTINCT service) AS n_services,
-  count(DISTINCT CASE WHEN trace_id <> '' THEN trace_id END) AS n_traces FROM m WHERE is_error GROUP BY region, family""")
+@_query(f"""WITH {_SCORED} SELECT region, exception_key, count(*) AS n, min(event_s) AS first_s, max(event_s) AS last_s, count(DISTINCT service) AS n_services,
+  count(DISTINCT CASE WHEN trace_id <> '' THEN trace_id END) AS n_traces, arg_min(event_id, struct_pack(a := -score, b := event_s, c := event_id)) AS representative FROM sc GROUP BY region, exception_key""")
 def exception_summary(spark, sf_dir):
-    return incidents.exception_summary(_members(spark, sf_dir))
+    return incidents.exception_summary(incidents.candidate_scores(_members(spark, sf_dir)))
 
 
-@_query(f"""WITH {_BUSY_REGIONS}, t AS (SELECT region, trace_id, count(*) AS n FROM m WHERE trace_id <> '' GROUP BY region, trace_id),
+@_query(f"""WITH {_MEMBERS}, t AS (SELECT region, trace_id, count(*) AS n FROM m WHERE trace_id <> '' GROUP BY region, trace_id),
   p AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY n DESC, trace_id) AS place FROM t) SELECT region, trace_id, n FROM p WHERE place <= 10""")
 def top_traces(spark, sf_dir):
     return incidents.top_traces(_members(spark, sf_dir))
@@ -390,10 +407,11 @@ def incident_upsert(spark, sf_dir):
 # --- models -----------------------------------------------------------------------------------------------------------
 
 
-@_query()
+@_query("""WITH l AS (SELECT vec_id AS row, unnest(range(len(embedding))) AS feature, unnest(embedding)::DOUBLE AS value FROM embeddings), s AS (SELECT feature, avg(value) AS mean, stddev_pop(value) AS deviation FROM l GROUP BY feature)
+  SELECT row, CAST(feature AS INT) AS feature, round(CASE WHEN deviation > 0 THEN (value - mean) / deviation ELSE 0.0 END, 6) AS z FROM l JOIN s USING (feature)""")
 def zscore(spark, sf_dir):
     long = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("feature", "value"))
-    return models.zscores(long.withColumn("value", F.col("value").cast("double")))
+    return models.zscores(long.withColumn("value", F.col("value").cast("double"))).select("row", "feature", F.round("z", 6).alias("z"))
 
 
 @_query()

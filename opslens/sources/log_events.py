@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import io
+import itertools
+import re
+import zipfile
+from pathlib import PurePosixPath
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# The grammar of a log line.
-HEADER = r"^(\d{2,4}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}:\d{2}[.,]\d{3})\s+(TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\s+.*?\[([^\]]*)\]\s+(.*?)\s*:\s?(.*)$"
+from ..functions import text_rules
+
+# The grammar of a log line, of trace ids, of targets and of exception lines.
+HEADER = r"^((?:\d{2}/\d{2}/\d{2}|\d{4}[-/]\d{2}[-/]\d{2})\s+\d{2}:\d{2}:\d{2}\.\d{3})\s+(TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\s+---\s+\[([^\]]+)\]\s+(.*?)\s*:\s*(.*)$"
 TRACE_PREFIX = r"^\[([A-Za-z0-9_.-]{4,64})\]\s*(.*)$"
-INLINE_TRACE = r"(?i)\b(?:trace[_-]?id|x-trace-id|traceid)\s*[=:]\s*([A-Za-z0-9_.-]{4,64})"
-DOWNSTREAM = r"(?i)\b(?:downstream|target|upstream|remote|peer)\s*[=:]\s*([A-Za-z0-9_.:-]+)"
+INLINE_TRACE = r"(?i)\b(?:trace_?id|request_?id|req_?id|uuid|span_?id|correlation_?id)\s*[=:]\s*['\"]?([A-Za-z0-9_.-]{4,64})['\"]?"
+DOWNSTREAM = r"(?i)\b(?:downstream|target\s+physical\s+host|target\s+host|target_?service|calling\s+downstream\s+service)\s*[=:]\s*['\"]?([A-Za-z0-9_.-]{2,64})['\"]?"
 CLASS = r"([A-Za-z_$][\w.$]*(?:Exception|Error))\b"
+EXCEPTION_HEADER = r"(?i)^(?:(Caused by|Suppressed)\s*:\s*)?([A-Za-z_$][\w.$]*(?:Exception|Error))(?::\s*(.*))?$"
+FORMATS = ("yy/MM/dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy/MM/dd HH:mm:ss.SSS")
+#: Limits of a zip file: members, bytes of all of them, and how much one of more than 10 MiB may shrink.
+MAX_MEMBERS, MAX_BYTES, MAX_RATIO, RATIO_FROM = 2000, 1000 << 20, 500, 10 << 20
 
 #: Log fields derived from the events table; the same text runs in Spark and DuckDB, apart from the seconds.
 ADAPTER = """
@@ -46,37 +59,137 @@ def from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"exception_class": named, "root_exception_class": named})
 
 
-def read_logs(spark: SparkSession, path: str, include: str = "*.log") -> DataFrame:
-    """Multi-line log events of all files under a folder, one row per header line.
-
-    A file is read whole, as its lines need their numbers; lines that are no header belong to the last header before them,
-    and lines before the first header are dropped. Files whose names end in -err.log or -debug.log are left out."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", include).text(path, wholetext=True)
-    files = files.select("value", F.col("_metadata.file_path").alias("source_file")).filter("not source_file rlike '-(err|debug)[.]log$'")
-    lines = files.select("source_file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line", "text"))
-    along = Window.partitionBy("source_file").orderBy("line")
-    lines = lines.withColumn("event", F.sum(F.col("text").rlike(HEADER).cast("int")).over(along)).filter("event > 0")
-    events = lines.groupBy("source_file", "event").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("block"))
-    head = F.col("block")[0]["text"]
-    part = lambda i: F.regexp_extract(head, HEADER, i)
-    tail = F.array_join(F.transform(F.slice("block", 2, F.size("block")), lambda x: x["text"]), "\n")
-    name = F.regexp_replace(F.element_at(F.split("source_file", "/"), -1), r"\.log$", "")
-    stamp = F.translate(F.translate(part(1), "/T", "- "), ",", ".")
-    stamp = F.when(F.length(stamp) < 23, F.concat(F.lit("20"), stamp)).otherwise(stamp)
-    message = part(5)
-    said = F.when(message.rlike(TRACE_PREFIX), F.regexp_extract(message, TRACE_PREFIX, 2)).otherwise(message)
-    whole = F.concat_ws("\n", message, tail)
-    trace = F.when(message.rlike(TRACE_PREFIX), F.regexp_extract(message, TRACE_PREFIX, 1)).otherwise(F.regexp_extract(whole, INLINE_TRACE, 1))
-    causes = F.regexp_extract_all(tail, F.lit(r"(?m)^Caused by: " + CLASS), F.lit(1))
-    first = F.regexp_extract(tail, r"(?m)^" + CLASS, 1)
-    return events.select(
-        F.concat_ws(":", "source_file", (F.col("block")[0]["line"] + 1).cast("string")).alias("event_id"),
-        F.to_timestamp_ntz(stamp, F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("event_ts"),
-        part(2).alias("level"), part(3).alias("thread"), part(4).alias("logger"), said.alias("message"), trace.alias("trace_id"),
-        F.regexp_extract(whole, DOWNSTREAM, 1).alias("downstream"),
-        F.regexp_replace(F.regexp_replace(name, "-(err|debug)$", ""), r"-\d+$", "").alias("service"),
-        F.element_at(F.split("source_file", "/"), -2).alias("instance"),
-        first.alias("exception_class"),
-        F.when(F.size(causes) > 0, F.element_at(causes, -1)).otherwise(first).alias("root_exception_class"),
-        "source_file", (F.col("block")[0]["line"] + 1).alias("source_line"),
+def event_time(text: Column) -> Column:
+    """The time of a header in one of the formats; null where none fits."""
+    text = F.regexp_replace(text, r"\s+", " ")
+    zoneless = lambda f: F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz")
+    return F.coalesce(
+        F.when(text.rlike(r"^\d{2}/"), zoneless(FORMATS[0])), F.when(text.rlike(r"^\d{4}-"), zoneless(FORMATS[1])), F.when(text.rlike(r"^\d{4}/"), zoneless(FORMATS[2]))
+    )
+
+
+def exception_entry(line: Column, first: bool = False) -> Column:
+    """What an exception line says as (kind, class, message), null for other lines.
+
+    A line is an exception's header as a whole; the first message, lines that begin with Caused by or Suppressed, and those
+    that say "exception is" may also hold a class anywhere."""
+    line = F.trim(line)
+    part = lambda i: F.regexp_extract(line, EXCEPTION_HEADER, i)
+    kind = lambda said: F.when(F.lower(said).startswith("caused by"), "caused_by").when(F.lower(said).startswith("suppressed"), "suppressed").otherwise("direct")
+    entry = lambda k, c, m: F.struct(k.alias("kind"), c.alias("class"), m.alias("message"))
+    loose = F.regexp_extract(line, CLASS, 1)
+    eligible = F.lit(first) | F.lower(line).rlike("^(caused by:|suppressed:)|exception is")
+    rest = F.regexp_extract(line, CLASS + r"[: ]*(.*)$", 2)
+    skipped = (line == "") | line.startswith("at ") | line.startswith("... ")
+    return F.when(~skipped, F.when(line.rlike(EXCEPTION_HEADER), entry(kind(part(1)), part(2), part(3))).when(eligible & (loose != ""), entry(kind(line), loose, rest)))
+
+
+def with_exceptions(events: DataFrame) -> DataFrame:
+    """The events (message, tail: array of further lines) with exception_class, root_exception_class, root_cause and
+    exception_chain: suppressed entries count only where there are no others; the root is the last cause, else the last entry."""
+    entries = F.concat(F.array(exception_entry(F.col("message"), True)), F.transform("tail", lambda line: exception_entry(line)))
+    found = events.withColumn("_all", F.filter(entries, lambda e: e.isNotNull()))
+    open_ = F.filter("_all", lambda e: e["kind"] != "suppressed")
+    found = found.withColumn("_some", F.when(F.size(open_) > 0, open_).otherwise(F.col("_all")))
+    causes = F.filter("_some", lambda e: e["kind"] == "caused_by")
+    found = found.withColumn("_root", F.coalesce(F.try_element_at(causes, F.lit(-1)), F.try_element_at("_some", F.lit(-1))))
+    root = F.regexp_replace(F.concat(F.col("_root")["class"], F.lit(": "), F.col("_root")["message"]), "[: ]+$", "")
+    return found.select(
+        *events.columns, F.coalesce(F.get("_some", F.lit(0))["class"], F.lit("")).alias("exception_class"), F.coalesce(F.col("_root")["class"], F.lit("")).alias("root_exception_class"),
+        F.coalesce(root, F.lit("")).alias("root_cause"), F.to_json("_all").alias("exception_chain"),
+    )
+
+
+def text_lines(spark: SparkSession, path: str, include=("*.log",), exclude=("*-err.log", "*-debug.log")) -> DataFrame:
+    """source_file, part, line, text of the lines of all files under a folder whose names match, lines counted from 1.
+
+    Files are read in parts, as Spark splits them. Rows of a part are numbered as they are read; only the parts' line counts
+    are summed up in the order of a file."""
+    def named(patterns):
+        return "|".join("^" + re.escape(p).replace(r"\*", ".*").replace(r"\?", ".") + "$" for p in patterns)
+
+    rows = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("_row"), F.regexp_replace("value", r"\r$", "").alias("text")
+    )
+    name = F.element_at(F.split("source_file", "/"), -1)
+    rows = rows.filter(name.rlike(named(include)))
+    rows = rows.filter(~name.rlike(named(exclude))) if exclude else rows
+    parts = rows.groupBy("source_file", "part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("source_file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return rows.join(parts, ["source_file", "part"]).select("source_file", "part", (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("line"), "text")
+
+
+def zip_lines(spark: SparkSession, path: str, max_members: int = MAX_MEMBERS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """source_file (member), part, line, text of the .log and .txt members of zip files; nothing is unpacked to disk.
+
+    A zip file with a member of another kind, a path that leads out, too many members or bytes, or one that shrinks too much
+    is refused as a whole, before any of it is read."""
+
+    def run(batches):
+        for pdf in batches:
+            for archive, content in zip(pdf["path"], pdf["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as file:
+                    members = [m for m in file.infolist() if not m.is_dir()]
+                    if len(members) > max_members or sum(m.file_size for m in members) > max_bytes:
+                        raise ValueError(f"{archive}: more than {max_members} members or {max_bytes} bytes")
+                    for m in members:
+                        name = PurePosixPath(m.filename.replace("\\", "/"))
+                        if name.is_absolute() or ".." in name.parts or name.suffix.lower() not in (".log", ".txt"):
+                            raise ValueError(f"{archive}: refused member {m.filename}")
+                        if m.file_size > RATIO_FROM and m.file_size > MAX_RATIO * max(1, m.compress_size):
+                            raise ValueError(f"{archive}: {m.filename} shrinks too much")
+                    for m in members:
+                        with file.open(m) as lines:
+                            for first, some in enumerate(iter(lambda: list(itertools.islice(lines, 10_000)), [])):
+                                yield pd.DataFrame({
+                                    "source_file": m.filename, "part": 0, "line": range(10_000 * first + 1, 10_000 * first + len(some) + 1),
+                                    "text": [x.decode("utf-8", "replace").rstrip("\r\n") for x in some],
+                                })
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
+    return found.select("path", "content").mapInPandas(run, "source_file string, part long, line long, text string")
+
+
+def assemble(lines: DataFrame) -> DataFrame:
+    """Events from lines (source_file, part, line, text), one row per header line.
+
+    Lines that are no header belong to the last header before them, and lines before a file's first header are dropped. The
+    last header is looked for within a part; what a part begins with takes the last header of the parts before it."""
+    heads = lines.withColumn("_head", F.when(F.col("text").rlike(HEADER), F.col("line")))
+    parts = heads.groupBy("source_file", "part").agg(F.max("_head").alias("_last"))
+    before = Window.partitionBy("source_file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_carried", F.max("_last").over(before)).drop("_last")
+    within = Window.partitionBy("source_file", "part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    owned = heads.withColumn("source_line", F.max("_head").over(within)).join(parts, ["source_file", "part"])
+    owned = owned.withColumn("source_line", F.coalesce("source_line", "_carried")).filter("source_line is not null")
+    events = owned.groupBy("source_file", "source_line").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("block"))
+    part = lambda i: F.regexp_extract(F.col("block")[0], HEADER, i)
+    events = events.select("source_file", "source_line", "block", part(1).alias("_stamp"), *(part(i).alias(n) for i, n in ((2, "level"), (3, "thread"), (4, "logger"), (5, "_said"))))
+    prefixed = F.col("_said").rlike(TRACE_PREFIX)
+    events = events.withColumns({
+        "message": F.when(prefixed, F.regexp_extract("_said", TRACE_PREFIX, 2)).otherwise(F.col("_said")),
+        "raw_block": F.array_join("block", "\n"), "tail": F.slice("block", 2, F.greatest(F.size("block"), F.lit(1))),
+    })
+    whole = F.concat_ws("\n", "message", F.array_join("tail", "\n"))
+    events = events.withColumns({
+        "trace_id": F.when(prefixed, F.regexp_extract("_said", TRACE_PREFIX, 1)).otherwise(F.regexp_extract(whole, INLINE_TRACE, 1)), "downstream": F.regexp_extract(whole, DOWNSTREAM, 1),
+    })
+    name = F.regexp_replace(F.element_at(F.split("source_file", "/"), -1), r"\.(log|txt)$", "")
+    service = F.regexp_replace(F.regexp_replace(name, "-(err|debug)$", ""), r"-\d+$", "")
+    folder = F.coalesce(F.try_element_at(F.split("source_file", "/"), F.lit(-2)), F.lit(""))
+    return with_exceptions(events).select(
+        F.concat_ws(":", "source_file", F.col("source_line").cast("string")).alias("event_id"), event_time(F.col("_stamp")).alias("event_ts"), "level", "thread", "logger", "message",
+        "trace_id", "downstream", F.coalesce(F.when(service != "", service), folder).alias("service"), folder.alias("instance"), "exception_class", "root_exception_class", "root_cause", "exception_chain",
+        text_rules.semantic_message(F.col("message"), F.col("exception_class"), F.col("root_cause")).alias("semantic_message"), "raw_block", "source_file", "source_line",
     )
+
+
+def read_logs(spark: SparkSession, path: str, include=("*.log",), exclude=("*-err.log", "*-debug.log")) -> DataFrame:
+    """Multi-line log events of all files under a folder."""
+    return assemble(text_lines(spark, path, include, exclude))
+
+
+def read_zips(spark: SparkSession, path: str, **limits) -> DataFrame:
+    """Multi-line log events of the members of all zip files under a folder."""
+    return assemble(zip_lines(spark, path, **limits))

@@ -1,8 +1,11 @@
 """Operators on small inputs: log files, text functions, graphs, models, streams."""
 
 import datetime
+import json
+import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from opslens.functions import log_text
@@ -20,20 +23,58 @@ Caused by: io.lettuce.core.RedisCommandTimeoutException: Command timed out after
 	... 12 more
 2026-01-20 14:12:22.000 WARN --- [t1] c.a.Sec : trace_id=abcd1234 downstream=redis-2 slow
 """
+CAUSE = "io.lettuce.core.RedisCommandTimeoutException: Command timed out after 20 seconds"
+
+
+def _told(found):
+    assert [r.source_line for r in found] == [2, 3, 9]
+    assert found[0].message == "request received" and found[0].trace_id == "546d9959" and found[0].exception_chain == "[]"
+    assert found[1].exception_class == "org.springframework.QueryTimeoutException"
+    assert found[1].root_exception_class == "io.lettuce.core.RedisCommandTimeoutException" and found[1].root_cause == CAUSE
+    assert found[1].semantic_message == f"query failed | org.springframework.QueryTimeoutException | {CAUSE}"
+    assert found[1].raw_block.count("\n") == 5 and [e["kind"] for e in json.loads(found[1].exception_chain)] == ["direct", "suppressed", "caused_by"]
+    assert (found[2].trace_id, found[2].downstream, found[2].level) == ("abcd1234", "redis-2", "WARN")
+    assert found[0].event_ts == datetime.datetime(2026, 1, 20, 14, 12, 20, 100000) and found[2].event_ts == datetime.datetime(2026, 1, 20, 14, 12, 22)
 
 
 def test_log_files(spark, tmp_path):
     (tmp_path / "node-1").mkdir()
     (tmp_path / "node-1" / "security-service-7100.log").write_text(LOG)
     (tmp_path / "node-1" / "security-service-7100-err.log").write_text(LOG)
+    (tmp_path / "node-1" / "notes.txt").write_text(LOG)
     found = log_events.read_logs(spark, str(tmp_path)).orderBy("source_line").collect()
-    assert [r.source_line for r in found] == [2, 3, 9]
     assert {(r.service, r.instance) for r in found} == {("security-service", "node-1")}
-    assert found[0].message == "request received" and found[0].trace_id == "546d9959"
-    assert found[1].exception_class == "org.springframework.QueryTimeoutException"
-    assert found[1].root_exception_class == "io.lettuce.core.RedisCommandTimeoutException"
-    assert (found[2].trace_id, found[2].downstream, found[2].level) == ("abcd1234", "redis-2", "WARN")
-    assert found[0].event_ts == datetime.datetime(2026, 1, 20, 14, 12, 20, 100000)
+    _told(found)
+    assert log_events.read_logs(spark, str(tmp_path), include=("*.txt", "*-err.log"), exclude=()).count() == 6
+    # The whole block decides on the family: the suppressed IOException is of the first one that the block names.
+    flagged = {r.source_line: (r.family, r.is_technical) for r in log_text.flagged(log_events.read_logs(spark, str(tmp_path))).collect()}
+    assert flagged[3] == ("disk", True) and flagged[2] == ("unknown", False)
+
+
+def test_long_log_files_in_parts(spark, tmp_path):
+    (tmp_path / "big.log").write_text("".join(f"26/01/20 14:12:20.100 INFO --- [main] c.a.Start :[{i:08d}] one\nmore of {i}\n\nand more\n" for i in range(3000)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = log_events.read_logs(spark, str(tmp_path)).select("source_line", "trace_id", "raw_block").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert len(found) == 3000 and {(r.source_line, r.trace_id) for r in found} == {(4 * i + 1, f"{i:08d}") for i in range(3000)}
+    assert all(r.raw_block.endswith(f"more of {int(r.trace_id)}\n\nand more") for r in found)
+
+
+def test_zip_files(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as file:
+        file.writestr("node-1/security-service-7100.log", LOG)
+    _told(log_events.read_zips(spark, str(tmp_path)).orderBy("source_line").collect())
+    for number, name in enumerate(("../out.log", "/etc/x.log", "run.sh")):
+        (tmp_path / str(number)).mkdir()
+        with zipfile.ZipFile(tmp_path / str(number) / "b.zip", "w") as file:
+            file.writestr(name, LOG)
+        with pytest.raises(Exception, match="refused member"):
+            log_events.read_zips(spark, str(tmp_path / str(number))).count()
+    with pytest.raises(Exception, match="more than 0 members"):
+        log_events.read_zips(spark, str(tmp_path), max_members=0).count()
 
 
 def test_text_functions(spark):

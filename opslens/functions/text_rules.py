@@ -102,7 +102,7 @@ def evidence_tokens(text: Column) -> Column:
 
 def token_similarity(left: Column, right: Column) -> Column:
     """The share of equal or masked places of two token lists; 0 for lists of different or no length."""
-    alike = F.size(F.filter(F.zip_with(left, right, lambda a, b: (a == b) | (a == "<*>")), lambda x: x))
+    alike = F.size(F.filter(F.zip_with(left, right, lambda a, b: (a == b) | (a == "<*>") | (b == "<*>")), lambda x: x))
     return F.when((F.size(left) == F.size(right)) & (F.size(left) > 0), alike / F.size(left)).otherwise(F.lit(0.0))
 
 

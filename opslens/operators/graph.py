@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text_rules
+from .lineage import cut
 
 # Relations that a dependency search follows, and those that mean membership.
 TRAVERSED = ("CALLS", "DEPENDS_ON", "READS", "WRITES", "PUBLISHES", "CONSUMES", "USES", "CONNECTS_TO", "HOSTED_ON", "HAS_MEMBER", "CONTAINS")
@@ -50,13 +51,15 @@ def duplicate_edges(edges: DataFrame) -> DataFrame:
 def bounded_search(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, types=TRAVERSED) -> DataFrame:
     """seed, node, distance: every node within `depth` steps of each seed, at its least distance.
 
-    One join a step: the frontier meets the edges, and what was reached before is left out, so cycles end."""
+    One join a step: the frontier meets the edges, and what was reached before is left out, so cycles end. Each step's frontier
+    and the edges are checkpointed, so that a step costs its own join only. The result has a row for each seed and node."""
     a, b = ("target", "source") if reverse else ("source", "target")
     steps = edges.filter(F.col("type").isin(*types)).select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    steps = cut(steps)
     reached = frontier = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).cast("long").alias("distance"))
     for distance in range(1, depth + 1):
         found = frontier.join(steps, "node").select("seed", F.col("next").alias("node")).distinct()
-        frontier = found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(distance).cast("long"))
+        frontier = cut(found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(distance).cast("long")))
         reached = reached.unionByName(frontier)
     return reached
 

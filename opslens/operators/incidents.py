@@ -110,3 +110,46 @@ def temporal_edges(events: DataFrame) -> DataFrame:
     along = Window.partitionBy("trace_id").orderBy("event_s", "event_id")
     steps = events.filter("trace_id <> ''").withColumn("target", F.lead("service").over(along)).filter("target <> service")
     return steps.groupBy(F.col("service").alias("source"), "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def incident_rows(members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row per region: its number, span, counts, services and traces, its most frequent trace, and its first candidate."""
+    named = F.when(F.col("trace_id") != "", F.col("trace_id"))
+    facts = members.groupBy("region").agg(
+        F.min("event_s").alias("fault_start"), F.max("event_s").alias("fault_end"), F.count(F.lit(1)).alias("n_events"), F.sum(log_text.is_error(F.col("level")).cast("long")).alias("n_errors"),
+        F.array_join(F.sort_array(F.collect_set("service")), ",").alias("services"), F.count_distinct(named).alias("n_traces"),
+    )
+    traces = members.filter("trace_id <> ''").groupBy("region", "trace_id").agg(F.count(F.lit(1)).alias("n"))
+    traces = traces.groupBy("region").agg(F.min_by("trace_id", F.struct(-F.col("n"), "trace_id")).alias("primary_trace"))
+    first = candidates.filter("place = 1").select("region", F.col("event_id").alias("root_event"), F.col("family").alias("root_family"))
+    # One row a region: few, whatever the number of events.
+    number = F.format_string("I%05d", F.row_number().over(Window.orderBy("fault_start", "fault_end", "region")))
+    return facts.join(traces, "region", "left").join(first, "region", "left").withColumn("incident", number)
+
+
+def run_summary(events: DataFrame, members: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row: events, errors, technical errors, classes that were parsed, regions, assigned events, classes of first candidates."""
+    flagged = log_text.flagged(events)
+    whole = flagged.agg(
+        F.count(F.lit(1)).alias("events"), F.sum(F.col("is_error").cast("long")).alias("errors"), F.sum(F.col("is_technical").cast("long")).alias("technical_errors"),
+        F.count_distinct(F.when(F.col("root_exception_class") != "", F.col("root_exception_class"))).alias("classes"),
+    )
+    held = members.agg(F.count_distinct("region").alias("regions"), F.count_distinct("event_id").alias("assigned"))
+    first = candidates.filter("place = 1").agg(F.count_distinct("family").alias("promoted"))
+    # Three tables of one row each.
+    return whole.join(F.broadcast(held)).join(F.broadcast(first))
+
+
+def class_audit(events: DataFrame, members: DataFrame) -> DataFrame:
+    """class, n, assigned, regions: errors by exception class, and in how many regions they lie."""
+    errors = events.filter(log_text.is_error(F.col("level")) & (F.col("root_exception_class") != "")).select("event_id", F.col("root_exception_class").alias("class"))
+    held = errors.join(members.select("event_id", "region"), "event_id")
+    counted = held.groupBy("class").agg(F.count_distinct("event_id").alias("assigned"), F.count_distinct("region").alias("regions"))
+    total = errors.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    return total.join(counted, "class", "left").select("class", "n", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("assigned", "regions")))
+
+
+def trace_events(events: DataFrame, trace_id: str) -> DataFrame:
+    """The events of one trace in order: place, event_id, event_s, level, service."""
+    place = F.row_number().over(Window.orderBy("event_s", "event_id")).cast("long")
+    return events.filter(F.col("trace_id") == trace_id).select(place.alias("place"), "event_id", "event_s", "level", "service")

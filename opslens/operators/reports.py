@@ -78,3 +78,74 @@ def upsert(stored: DataFrame, new: DataFrame, key: str, keep=("status",)) -> Dat
     both = s.join(n, key, "full")
     value = lambda c: F.when(F.col("_new") & ~(F.col("_old").isNotNull() & F.lit(c in keep)), F.col(f"_n_{c}")).otherwise(F.col(f"_s_{c}"))
     return both.select(key, *(value(c).alias(c) for c in names))
+
+
+def node_report(roots: DataFrame, chains: DataFrame, total: int) -> DataFrame:
+    """Of each node: hits as root and in chains, incidents, their share, its three most frequent modes, its latest incident, and its place.
+
+    roots: (id, node, mode, created), one row an incident; chains: (id, node, created)."""
+    hits = roots.select("id", "node", "mode", "created", F.lit(1).alias("root"), F.lit(0).alias("chain")).unionByName(
+        chains.select("id", "node", F.lit(None).cast("string").alias("mode"), "created").distinct().withColumns({"root": F.lit(0), "chain": F.lit(1)})
+    )
+    counted = hits.groupBy("node").agg(F.sum("root").alias("root_hits"), F.sum("chain").alias("chain_hits"), F.count_distinct("id").alias("incidents"), F.max("created").alias("latest"))
+    modes = roots.groupBy("node", "mode").agg(F.count(F.lit(1)).alias("n"))
+    top = modes.groupBy("node").agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "mode"))), 1, 3), lambda x: x["mode"]), ",").alias("modes"))
+    ratio = lambda c: F.round(F.col(c) / max(1, total), 4)
+    return counted.join(top, "node", "left").select("node", "root_hits", "chain_hits", "incidents", ratio("root_hits").alias("root_ratio"), ratio("incidents").alias("incident_ratio"), F.coalesce("modes", F.lit("")).alias("modes"), "latest")
+
+
+def top_nodes(report: DataFrame, most: int) -> DataFrame:
+    """The first nodes of a report with their place: by root hits, incidents, chain hits, name."""
+    order = [F.col("root_hits").desc(), F.col("incidents").desc(), F.col("chain_hits").desc(), F.lower("node"), "node"]
+    return report.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+def affected_nodes(roots: DataFrame, chains: DataFrame, most_roots: int = 5, most: int = 5) -> DataFrame:
+    """node, affected, n, place: of the most frequent roots the nodes that most often stand in the chains of their incidents."""
+    top = roots.groupBy("node").agg(F.count(F.lit(1)).alias("hits")).orderBy(F.col("hits").desc(), "node").limit(most_roots)
+    related = roots.join(F.broadcast(top.select("node")), "node", "left_semi").select("id", "node").distinct()
+    with_ = chains.select("id", F.col("node").alias("affected")).distinct()
+    counted = related.join(with_, "id").filter("affected <> node").groupBy("node", "affected").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "affected")).cast("long")
+    return counted.withColumn("place", place).filter(F.col("place") <= most)
+
+
+def mode_report(roots: DataFrame, label, total: int) -> DataFrame:
+    """label, n, ratio, raw_modes, top_root of fault modes by their label. roots: (id, node, mode)."""
+    labelled = roots.withColumn("label", label)
+    each = labelled.groupBy("label", "node").agg(F.count(F.lit(1)).alias("n"), F.collect_set("mode").alias("modes"))
+    return each.groupBy("label").agg(
+        F.sum("n").alias("n"), F.round(F.sum("n") / max(1, total), 4).alias("ratio"), F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set("modes")))), ",").alias("raw_modes"),
+        F.min_by("node", F.struct(-F.col("n"), "node")).alias("top_root"),
+    )
+
+
+def path_report(chains: DataFrame, roots: DataFrame, total: int) -> DataFrame:
+    """path, length, n, ratio of whole chains, each node at its first place; an incident without a chain counts with its root alone."""
+    first = chains.groupBy("id", "node").agg(F.min("place").alias("place"))
+    paths = first.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "node"))), lambda x: x["node"]).alias("path"))
+    alone = roots.join(paths, "id", "left_anti").select("id", F.array("node").alias("path"))
+    counted = paths.unionByName(alone).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.array_join("path", " → ").alias("path"), F.size("path").cast("long").alias("length"), "n", F.round(F.col("n") / max(1, total), 4).alias("ratio"))
+
+
+def dashboard(incidents: DataFrame) -> DataFrame:
+    """Per project: counts of incidents, of open and critical ones, the share that is resolved, and the latest one."""
+    count = lambda c: F.sum(c.cast("long"))
+    return incidents.groupBy("project").agg(
+        F.count(F.lit(1)).alias("total"), count(F.col("status") == "open").alias("open"), count((F.col("severity") == "critical") & (F.col("status") != "resolved")).alias("open_critical"),
+        F.round(count(F.col("status") == "resolved") / F.count(F.lit(1)), 4).alias("resolution"), F.max_by("id", F.struct("created", "id")).alias("latest"),
+    )
+
+
+def with_batches(incidents: DataFrame, batches: DataFrame) -> DataFrame:
+    """The batches (batch, name) with their incidents' counts, 0 where they have none; incidents of no batch count under a name of their own."""
+    counted = incidents.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.max("created").alias("latest"))
+    known = batches.join(counted, "batch", "full")
+    return known.select("batch", F.coalesce("name", F.concat(F.lit("I"), F.lpad(F.col("batch").cast("string"), 5, "0"))).alias("name"), F.coalesce("n", F.lit(0)).alias("n"), "latest")
+
+
+def step_frequency(rows: DataFrame, steps) -> DataFrame:
+    """step, n, place: how often each troubleshooting step is named. There are as many rows as different steps."""
+    counted = rows.select(F.explode(steps).alias("step")).groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "step")).cast("long"))

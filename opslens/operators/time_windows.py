@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import log_text
+from ..functions import log_text, text_rules
 
 SIZE, STEP = 300, 60
 MERGE_GAP = 60
@@ -101,3 +101,49 @@ def recommended_range(buckets: DataFrame, before: int = 900, after: int = 4200,
 def level_profile(events: DataFrame) -> DataFrame:
     """level, n, first_s, last_s."""
     return events.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.min("event_s").alias("first_s"), F.max("event_s").alias("last_s"))
+
+
+def window_features(events: DataFrame, size: int = SIZE, step: int = STEP, min_events: int = 1) -> DataFrame:
+    """window_id, window_start, feature, n: how often each service's masked message stands in each window that has enough events.
+
+    Events are counted by step and feature first; only counts are spread over windows. Window numbers are given over one row a window."""
+    feature = text_rules.feature_name(F.col("service"), log_text.mask(F.col("message")))
+    steps = events.groupBy((F.floor(F.col("event_s") / step) * step).alias("event_s"), feature.alias("feature")).agg(F.count(F.lit(1)).alias("n"))
+    counted = window_rows(steps, size, step).groupBy("window_start", "feature").agg(F.sum("n").alias("n"))
+    windows = counted.groupBy("window_start").agg(F.sum("n").alias("_all")).filter(F.col("_all") >= min_events)
+    windows = windows.select("window_start", F.format_string("W%06d", F.row_number().over(Window.orderBy("window_start"))).alias("window_id"))
+    return counted.join(windows, "window_start").select("window_id", "window_start", "feature", "n")
+
+
+def contributors(features: DataFrame, most: int = 10) -> DataFrame:
+    """window_id, feature, n, z, place: the features of each window that stand out most, by distance from their mean over all
+    windows in population deviations; windows without a feature count as 0."""
+    n_windows = features.agg(F.count_distinct("window_id").alias("_windows"))
+    stats = features.groupBy("feature").agg(F.sum("n").alias("_sum"), F.sum(F.col("n") * F.col("n")).alias("_squares")).join(F.broadcast(n_windows))
+    mean = F.col("_sum") / F.col("_windows")
+    stats = stats.select("feature", mean.alias("_mean"), F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") / F.col("_windows") - mean * mean)).alias("_deviation"))
+    z = F.round(F.when(F.col("_deviation") > 0, (F.col("n") - F.col("_mean")) / F.col("_deviation")).otherwise(0.0), 6)
+    scored = features.join(stats, "feature").select("window_id", "feature", "n", z.alias("z"))
+    place = F.row_number().over(Window.partitionBy("window_id").orderBy(F.abs("z").desc(), "feature")).cast("long")
+    return scored.withColumn("place", place).filter(F.col("place") <= most)
+
+
+def aligned_features(train: DataFrame, target: DataFrame) -> DataFrame:
+    """feature, n_train, n_target over the features of both, 0 where one lacks it."""
+    both = train.select("feature", F.col("n").alias("n_train"), F.lit(0).cast("long").alias("n_target")).unionByName(target.select("feature", F.lit(0).cast("long").alias("n_train"), F.col("n").alias("n_target")))
+    return both.groupBy("feature").agg(F.sum("n_train").alias("n_train"), F.sum("n_target").alias("n_target"))
+
+
+def in_windows(events: DataFrame, windows: DataFrame, size: int = SIZE, step: int = STEP) -> DataFrame:
+    """The events that one of the windows (window_start) holds: a semi join on the starts that an event's step has."""
+    steps = events.select((F.floor(F.col("event_s") / step) * step).alias("_step")).distinct()
+    starts = steps.select("_step", F.explode(F.sequence(F.col("_step") - (size - step), F.col("_step"), F.lit(step).cast("long"))).alias("window_start"))
+    held = starts.join(windows.select("window_start"), "window_start", "left_semi").select("_step").distinct()
+    return events.withColumn("_step", F.floor(F.col("event_s") / step) * step).join(held, "_step", "left_semi").drop("_step")
+
+
+def with_model(windows: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The windows with a model's flag before the rules' reasons: flagged holds the window_start of those that a model found."""
+    known = windows.join(flagged.select("window_start", F.lit(True).alias("_model")), "window_start", "left").withColumn("_model", F.coalesce("_model", F.lit(False)))
+    reason = F.when(~F.col("_model"), F.col("anomaly_reason")).when(F.col("anomaly_reason") == "normal", F.lit("model")).otherwise(F.concat(F.lit("model+"), F.col("anomaly_reason")))
+    return known.withColumns({"anomaly_reason": reason, "is_anomaly": F.col("_model") | F.col("is_anomaly")}).drop("_model")

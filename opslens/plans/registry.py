@@ -417,3 +417,6 @@ def zscore(spark, sf_dir):
 @_query()
 def isolation_forest(spark, sf_dir):
     return models.contaminated(models.isolation_scores(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
+from . import graph_queries, incident_queries, text_queries  # noqa: E402, F401  put their queries in

@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,3 +105,18 @@ def contaminated(scored: DataFrame, share: float = 0.03) -> DataFrame:
     """The scored rows with is_anomaly: those above the (1 - share) quantile."""
     cut = scored.agg(F.percentile_approx("score", 1 - share, 10_000).alias("cut"))
     return scored.join(F.broadcast(cut)).withColumn("is_anomaly", F.col("score") > F.col("cut")).drop("cut")
+
+
+def reduced(vectors: DataFrame, key: str, column: str, most: int = 20) -> tuple[DataFrame, list[float]]:
+    """(key, vector of at most `most` principal components of the standardised vectors), and the share of variance of each.
+
+    Means and deviations are one row a feature; the components come from the features' covariance matrix, which tasks sum up."""
+    known = vectors.filter(F.col(column).isNotNull()).select(key, F.col(column).cast("array<double>").alias("_v"))
+    stats = known.select(F.posexplode("_v").alias("feature", "value")).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"), F.count(F.lit(1)).alias("n")).orderBy("feature").collect()
+    if not stats:
+        return known.select(key, F.col("_v").alias("vector")), []
+    means, scales = F.array(*(F.lit(r.mean) for r in stats)), F.array(*(F.lit(r.deviation or 1.0) for r in stats))
+    z = F.zip_with(F.zip_with("_v", means, lambda x, m: x - m), scales, lambda x, s: x / s)
+    rows = known.select(key, array_to_vector(z).alias("z"))
+    fitted = PCA(k=min(most, stats[0].n, len(stats)), inputCol="z", outputCol="p").fit(rows)
+    return fitted.transform(rows).select(key, vector_to_array("p").alias("vector")), [float(x) for x in fitted.explainedVariance]

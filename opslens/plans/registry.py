@@ -414,9 +414,16 @@ def zscore(spark, sf_dir):
     return models.zscores(long.withColumn("value", F.col("value").cast("double"))).select("row", "feature", F.round("z", 6).alias("z"))
 
 
+@_query()
+def principal_components(spark, sf_dir):
+    found, shares = models.reduced(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return found.withColumn("explained", F.lit(sum(shares)))
+
+
 @_query()
 def isolation_forest(spark, sf_dir):
-    return models.contaminated(models.isolation_scores(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+    found, _ = models.reduced(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return models.contaminated(models.isolation_scores(found, "vec_id", "vector"))
 
 
 from . import graph_queries, incident_queries, text_queries  # noqa: E402, F401  put their queries in

@@ -18,3 +18,15 @@ def test_forest_has_300_trees(spark):
     x = np.array([[float(i % 7), float(i * i % 31)] for i in range(500)])
     want = 2.0 ** (-models.path_lengths(grown, x) / models.normal_path(size))
     assert np.allclose([scored[i] for i in range(500)], want)
+
+
+def test_principal_components(spark):
+    x = np.random.default_rng(2).normal(size=(200, 6)) @ np.random.default_rng(3).normal(size=(6, 6))
+    x[:, 5] = 1.0  # no variance
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    found, shares = models.reduced(rows.repartition(3), "id", "v", most=3)
+    got = np.array([r.vector for r in found.orderBy("id").collect()])
+    z = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    _, s, v = np.linalg.svd(z, full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(z @ v[:3].T)) and np.allclose(shares, (s**2 / (s**2).sum())[:3])
+    assert models.reduced(rows.limit(0), "id", "v")[0].count() == 0

@@ -9,7 +9,7 @@ from ..functions import text_rules
 from .lineage import cut
 
 # Relations that a dependency search follows, and those that mean membership.
-TRAVERSED = ("CALLS", "DEPENDS_ON", "READS", "WRITES", "PUBLISHES", "CONSUMES", "USES", "CONNECTS_TO", "HOSTED_ON", "HAS_MEMBER", "CONTAINS")
+TRAVERSED = ("CALLS", "DEPENDS_ON", "USES_DB", "READS", "WRITES", "PUBLISHES", "SUBSCRIBES", "CONNECTS_TO", "RUNS_ON", "HAS_MEMBER", "CONTAINS")
 MEMBERSHIP, REVERSED_MEMBERSHIP = ("HAS_MEMBER", "CONTAINS"), ("BELONGS_TO", "MEMBER_OF")
 
 

@@ -11,7 +11,7 @@ from .lineage import cut
 
 # Kinds that only analyses make, relations of dependency and membership, kinds that contain and that don't count as contained.
 DYNAMIC = ("Incident", "Trace", "LogEvent", "Exception", "Window", "Metric", "RCAHypothesis", "UnresolvedDependency")
-DEPENDENCY = ("CALLS", "DEPENDS_ON", "READS", "WRITES", "PUBLISHES", "CONSUMES", "USES", "CONNECTS_TO", "HOSTED_ON")
+DEPENDENCY = ("CALLS", "DEPENDS_ON", "USES_DB", "READS", "WRITES", "PUBLISHES", "SUBSCRIBES", "CONNECTS_TO", "RUNS_ON")
 CONTAINERS = ("Cluster", "Cache", "Database", "Middleware", "Queue", "Component")
 STRUCTURAL = ("System", "Layer", "Function", "API")
 DEFAULT_KIND, DEFAULT_TYPE = "Component", "CALLS"

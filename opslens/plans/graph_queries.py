@@ -40,7 +40,7 @@ def project_part(spark, sf_dir):
     return _rows(graph_edits.project_part(*_graph(spark, sf_dir), "p0")[1])
 
 
-@_query(f"""WITH {_G} SELECT e.source, e.target, e.type FROM e0 e LEFT JOIN n0 s ON s.id = source LEFT JOIN n0 t ON t.id = target WHERE type IN ('CALLS', 'DEPENDS_ON', 'READS', 'WRITES', 'PUBLISHES', 'CONSUMES', 'USES', 'CONNECTS_TO', 'HOSTED_ON', 'HAS_MEMBER')
+@_query(f"""WITH {_G} SELECT e.source, e.target, e.type FROM e0 e LEFT JOIN n0 s ON s.id = source LEFT JOIN n0 t ON t.id = target WHERE type IN ('CALLS', 'DEPENDS_ON', 'USES_DB', 'READS', 'WRITES', 'PUBLISHES', 'SUBSCRIBES', 'CONNECTS_TO', 'RUNS_ON', 'HAS_MEMBER')
   OR type = 'CONTAINS' AND s.kind IN ('Cluster', 'Cache', 'Database', 'Middleware', 'Queue', 'Component') AND t.kind NOT IN ('System', 'Layer', 'Function', 'API')""")
 def traversable_edges(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)

@@ -150,3 +150,22 @@ def incident_batches(spark, sf_dir):
 def step_frequency(spark, sf_dir):
     said = "'1. ' || CASE o_orderkey % 3 WHEN 0 THEN 'check logs' WHEN 1 THEN 'restart ' || o_orderpriority ELSE ' check logs ' END || '；- page ' || o_orderstatus || ';'"
     return reports.step_frequency(_table(spark, sf_dir, "orders").select(F.expr(said).alias("said")), text_rules.steps(F.col("said")))
+
+
+# --- root causes: the errors of every fifth event as incidents of their service, over a small graph of services ----------
+
+
+@_query()
+def root_causes(spark, sf_dir):
+    from ..operators import rca
+
+    rows = _events(spark, sf_dir).filter("level in ('ERROR', 'FATAL') and event_id % 5 = 0")
+    found = rows.select(F.concat(F.lit("I"), F.col("event_id").cast("string")).alias("incident"), "service", F.col("message").alias("evidence"), F.array(F.concat(F.lit("svc-"), ((F.col("user_id") + 1) % 6).cast("string"))).alias("callers"))
+    kinds = F.expr("case when id < 6 then 'Service' when id = 6 then 'Cluster' when id < 10 then 'Instance' when id = 10 then 'Database' else 'Queue' end")
+    names = F.expr("case when id < 6 then 'svc-' || id when id = 6 then 'redis-main' when id < 10 then 'redis-' || (id - 6) when id = 10 then 'mysql-orders' else 'rabbitmq-bus' end")
+    nodes = spark.range(12).select(names.alias("name"), kinds.alias("kind"), F.lit("").alias("description"), F.when(F.col("id").between(7, 9), F.create_map(F.lit("host"), F.concat(F.lit("redis-"), (F.col("id") - 6).cast("string")), F.lit("port"), F.lit("6379"))).alias("meta"))
+    services = spark.range(6).select(F.concat(F.lit("svc-"), F.col("id").cast("string")).alias("source"), "id")
+    target = F.expr("case id when 0 then 'redis-main' when 1 then 'mysql-orders' when 2 then 'rabbitmq-bus' else 'svc-' || (id - 3) end")
+    members = spark.range(1, 4).select(F.lit("redis-main").alias("source"), F.concat(F.lit("redis-"), F.col("id").cast("string")).alias("target"), F.lit("HAS_MEMBER").alias("type"))
+    edges = services.select("source", target.alias("target"), F.lit("DEPENDS_ON").alias("type")).unionByName(members)
+    return rca.hypotheses(found, nodes, edges)

@@ -28,6 +28,10 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string,
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_words", pa.int64())])
 #: Code points of texts that are split at once.
 RUN_CHARS = 2_000_000
+#: Parts of a word that is looked through for each merge.
+SHORT = 64
+#: Bytes that the memo of words holds at most.
+MEMO_BYTES = 120_000_000
 _FULL_SCHEMA = "doc_id long, ids array<int>, decoded string"
 
 
@@ -66,8 +70,25 @@ class Bpe:
     def merge(self, parts: list[int]) -> list[int]:
         """Exact: the merge of lowest rank is applied, leftmost first, until none applies.
 
-        The merges that may apply stand in a heap by rank and place, and the parts in a linked list, so that a long word
-        takes little more than a pass over it; entries whose parts have changed since are skipped."""
+        A short word is looked through for each merge. Of a long one the merges that may apply stand in a heap by rank and
+        place, and the parts in a linked list, so that it takes little more than a pass over it; entries whose parts have
+        changed since are skipped."""
+        return self._merge_short(parts) if len(parts) <= SHORT else self._merge_long(parts)
+
+    def _merge_short(self, parts: list[int]) -> list[int]:
+        get, none = self.rank.get, len(self.made)
+        ranks = [get(p, none) for p in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            parts[i] = self.made[best]
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((parts[i], parts[i + 1]), none)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
         rank, made, end = self.rank, self.made, len(parts)
         parts, after, before = list(parts), list(range(1, end + 1)), list(range(-1, end - 1))
         heap = [(r, i) for i, pair in enumerate(zip(parts, parts[1:])) if (r := rank.get(pair)) is not None]
@@ -161,7 +182,7 @@ class Words(dict):
 
     def learn(self, words: set[str]) -> None:
         """Holds all of these words from now on: their ids and decoded text, joined, and the number of ids."""
-        if self.size > vocab.MEMO_BYTES:
+        if self.size > MEMO_BYTES:
             self.old, self.size = dict(self), 0
             self.clear()
         new = [w for w in words if w not in self and w not in self.old]

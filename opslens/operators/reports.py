@@ -149,3 +149,70 @@ def step_frequency(rows: DataFrame, steps) -> DataFrame:
     """step, n, place: how often each troubleshooting step is named. There are as many rows as different steps."""
     counted = rows.select(F.explode(steps).alias("step")).groupBy("step").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "step")).cast("long"))
+
+
+def batch_summary(incidents: DataFrame, roots: DataFrame, chains: DataFrame) -> DataFrame:
+    """One row: incidents, root_nodes, nodes, resolved, open, resolution. incidents: (id, status); roots, chains: (id, node)."""
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    rows = incidents.agg(F.count(F.lit(1)).alias("incidents"), count(F.col("status") == "resolved").alias("resolved"))
+    named = roots.agg(F.count_distinct("node").alias("root_nodes")).crossJoin(roots.select("node").union(chains.select("node")).agg(F.count_distinct("node").alias("nodes")))
+    return rows.crossJoin(named).select(
+        "incidents", "root_nodes", "nodes", "resolved", (F.col("incidents") - F.col("resolved")).alias("open"), F.round(F.col("resolved") / F.greatest("incidents", F.lit(1)), 4).alias("resolution")
+    )
+
+
+def _percent(ratio):
+    return F.concat(F.bround(100 * ratio, 0).cast("long").cast("string"), F.lit("%"))
+
+
+def _first(rows: DataFrame, order: list, row: str) -> DataFrame:
+    """The first row as one struct column; null where there is none, so that it can be put beside other single rows."""
+    return rows.orderBy(*order).limit(1).agg(F.first(F.struct(*rows.columns)).alias(row))
+
+
+def _leading(nodes: DataFrame, modes: DataFrame) -> DataFrame:
+    node = _first(nodes.filter("root_hits > 0"), [F.col("root_hits").desc(), F.col("incidents").desc(), F.col("chain_hits").desc(), F.lower("node"), "node"], "top")
+    return node.crossJoin(_first(modes, [F.col("n").desc(), "label"], "mode"))
+
+
+def _said(row: DataFrame, items: list) -> DataFrame:
+    """Of one row the structs of `items` that are not null, each with its place from 1."""
+    listed = F.filter(F.array(*items), lambda x: x.isNotNull())
+    return row.select(F.posexplode(listed).alias("place", "x")).select((F.col("place") + 1).cast("long").alias("place"), "x.*")
+
+
+def conclusions(summary: DataFrame, nodes: DataFrame, modes: DataFrame, paths: DataFrame) -> DataFrame:
+    """place, text: at most five sentences on a batch, from batch_summary(), node_report(), mode_report() and path_report().
+
+    All inputs are reduced to one row before they meet. A batch without incidents gets the one sentence that says so."""
+    row = summary.crossJoin(_leading(nodes, modes)).crossJoin(_first(paths, [F.col("n").desc(), "path"], "way"))
+    text = lambda pattern, *values: F.struct(F.format_string(pattern, *values).alias("text"))
+    # The sentences.
+    some = F.col("incidents") > 0
+    return _said(row, [
+        F.when(~some, F.struct(F.lit("本批次未形成可汇总的 RCA 故障记录。").alias("text"))),
+        F.when(some, text("本批次共形成 %d 个 RCA 故障结论，涉及 %d 个根因节点和 %d 个传播节点。", F.col("incidents"), F.col("root_nodes"), F.col("nodes"))),
+        F.when(some & F.col("top").isNotNull(), text("故障最集中于“%s”：%d 次被判定为根因，出现在 %d 个故障和 %d 条传播链中。", F.col("top.node"), F.col("top.root_hits"), F.col("top.incidents"), F.col("top.chain_hits"))),
+        F.when(some & F.col("mode").isNotNull(), text("最主要的故障模式是“%s”，共 %d 次，占本批次故障的 %s。", F.col("mode.label"), F.col("mode.n"), _percent(F.col("mode.ratio")))),
+        F.when(some & F.col("way").isNotNull(), text("最高频传播路径为“%s”，关联 %d 个故障。", F.col("way.path"), F.col("way.n"))),
+        F.when(some, text("当前已解决 %d 个，仍有 %d 个未完成闭环，批次治理完成率为 %s。", F.col("resolved"), F.col("open"), _percent(F.col("resolution")))),
+    ])
+
+
+def recommendations(summary: DataFrame, nodes: DataFrame, modes: DataFrame, steps: DataFrame) -> DataFrame:
+    """place, priority, title, description, node, n: what to do about a batch. steps: step_frequency(); no incidents, no rows."""
+    row = summary.crossJoin(_leading(nodes, modes)).crossJoin(_first(steps.filter("step <> ''"), [F.col("n").desc(), "step"], "step"))
+    some, none = F.col("incidents") > 0, F.lit("")
+    item = lambda priority, title, description, node, n: F.struct(priority.alias("priority"), title.alias("title"), description.alias("description"), node.alias("node"), n.alias("n"))
+    # Titles and descriptions.
+    return _said(row, [
+        F.when(some & F.col("top").isNotNull(), item(
+            F.when(F.col("top.root_ratio") >= 0.5, "P0").otherwise("P1"), F.format_string("优先治理高频根因节点：%s", F.col("top.node")),
+            F.format_string("该节点关联 %d 个故障、%d 次作为根因，应优先核查其健康状态、容量和高可用机制。", F.col("top.incidents"), F.col("top.root_hits")), F.col("top.node"), F.col("top.incidents"))),
+        F.when(some & F.col("mode").isNotNull(), item(
+            F.lit("P1"), F.format_string("建立“%s”专项检测与告警", F.col("mode.label")), F.format_string("该模式出现 %d 次，建议统一监控指标、告警阈值和标准处置手册。", F.col("mode.n")),
+            F.coalesce("mode.top_root", none), F.col("mode.n"))),
+        F.when(some & (F.col("open") > 0), item(
+            F.lit("P1"), F.lit("完成未闭环故障的验证与复盘"), F.format_string("仍有 %d 个故障未标记为已解决，应补充恢复验证、解决说明和复发防护措施。", F.col("open")), none, F.col("open"))),
+        F.when(some & F.col("step").isNotNull(), item(F.lit("P2"), F.lit("固化批次共性排查动作"), F.col("step.step"), none, F.col("step.n"))),
+    ])

@@ -169,3 +169,44 @@ def root_causes(spark, sf_dir):
     members = spark.range(1, 4).select(F.lit("redis-main").alias("source"), F.concat(F.lit("redis-"), F.col("id").cast("string")).alias("target"), F.lit("HAS_MEMBER").alias("type"))
     edges = services.select("source", target.alias("target"), F.lit("DEPENDS_ON").alias("type")).unionByName(members)
     return rca.hypotheses(found, nodes, edges)
+
+
+# --- what a batch says in sentences ---------------------------------------------------------------------------------------
+
+_BATCH = f"""{_NODES}, st AS (SELECT DISTINCT rt.id, o_orderstatus = 'F' AS resolved FROM rt JOIN orders ON o_orderkey = rt.id),
+su AS (SELECT (SELECT count(*) FROM st) AS incidents, (SELECT count(*) FROM st WHERE resolved) AS resolved, (SELECT count(DISTINCT node) FROM rt) AS root_nodes, (SELECT count(DISTINCT node) FROM (SELECT node FROM rt UNION ALL SELECT node FROM ch)) AS nodes),
+tp AS (SELECT * FROM nr WHERE root_hits > 0 ORDER BY root_hits DESC, incidents DESC, chain_hits DESC, lower(node), node LIMIT 1),
+la AS (SELECT CASE mode WHEN 'redis_timeout' THEN 'Redis 访问超时' WHEN 'Timeout' THEN '请求处理超时' WHEN 'connect' THEN '连接异常' ELSE mode END AS label, node FROM rt),
+md AS (SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM rt), 4) AS ratio FROM la GROUP BY label ORDER BY n DESC, label LIMIT 1),
+mt AS (SELECT node FROM la WHERE label = (SELECT label FROM md) GROUP BY node ORDER BY count(*) DESC, node LIMIT 1)"""
+
+
+def _batch(spark, sf_dir):
+    roots, chains, total = _facts(spark, sf_dir)
+    status = F.when(F.col("o_orderstatus") == "F", "resolved").otherwise("open").alias("status")
+    found = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status).join(roots.select("id"), "id", "left_semi")
+    modes = reports.mode_report(roots, text_rules.fault_label(F.col("mode")), total)
+    return reports.batch_summary(found, roots, chains), reports.node_report(roots, chains, total), modes, (chains, roots, total)
+
+
+@_query(f"""WITH {_BATCH}, fi AS (SELECT id, node, min(place) AS place FROM ch GROUP BY 1, 2), pa AS (SELECT id, string_agg(node, ' → ' ORDER BY place, node) AS path FROM fi GROUP BY id UNION ALL SELECT id, node FROM rt WHERE id NOT IN (SELECT id FROM ch)),
+  wy AS (SELECT path, count(*) AS n FROM pa GROUP BY path ORDER BY n DESC, path LIMIT 1)
+  SELECT 1 AS place, '本批次共形成 ' || incidents || ' 个 RCA 故障结论，涉及 ' || root_nodes || ' 个根因节点和 ' || nodes || ' 个传播节点。' AS text FROM su
+  UNION ALL SELECT 2, '故障最集中于“' || node || '”：' || root_hits || ' 次被判定为根因，出现在 ' || incidents || ' 个故障和 ' || chain_hits || ' 条传播链中。' FROM tp
+  UNION ALL SELECT 3, '最主要的故障模式是“' || label || '”，共 ' || n || ' 次，占本批次故障的 ' || CAST(round_even(100 * ratio, 0) AS BIGINT) || '%。' FROM md
+  UNION ALL SELECT 4, '最高频传播路径为“' || path || '”，关联 ' || n || ' 个故障。' FROM wy
+  UNION ALL SELECT 5, '当前已解决 ' || resolved || ' 个，仍有 ' || (incidents - resolved) || ' 个未完成闭环，批次治理完成率为 ' || CAST(round_even(100 * round(resolved / incidents, 4), 0) AS BIGINT) || '%。' FROM su""")
+def batch_conclusions(spark, sf_dir):
+    summary, nodes, modes, ways = _batch(spark, sf_dir)
+    return reports.conclusions(summary, nodes, modes, reports.path_report(*ways))
+
+
+@_query(f"""WITH {_BATCH}, sp AS (SELECT step, count(*) AS n FROM (SELECT CASE o_orderkey % 3 WHEN 1 THEN 'restart ' || o_orderpriority ELSE 'check logs' END AS step FROM orders) GROUP BY step ORDER BY n DESC, step LIMIT 1)
+  SELECT 1 AS place, CASE WHEN root_ratio >= 0.5 THEN 'P0' ELSE 'P1' END AS priority, '优先治理高频根因节点：' || node AS title, '该节点关联 ' || incidents || ' 个故障、' || root_hits || ' 次作为根因，应优先核查其健康状态、容量和高可用机制。' AS description, node, incidents AS n FROM tp
+  UNION ALL SELECT 2, 'P1', '建立“' || label || '”专项检测与告警', '该模式出现 ' || n || ' 次，建议统一监控指标、告警阈值和标准处置手册。', (SELECT node FROM mt), n FROM md
+  UNION ALL SELECT 3, 'P1', '完成未闭环故障的验证与复盘', '仍有 ' || (incidents - resolved) || ' 个故障未标记为已解决，应补充恢复验证、解决说明和复发防护措施。', '', incidents - resolved FROM su
+  UNION ALL SELECT 4, 'P2', '固化批次共性排查动作', step, '', n FROM sp""")
+def batch_recommendations(spark, sf_dir):
+    summary, nodes, modes, _ = _batch(spark, sf_dir)
+    said = F.expr("case o_orderkey % 3 when 1 then 'restart ' || o_orderpriority else 'check logs' end").alias("said")
+    return reports.recommendations(summary, nodes, modes, reports.step_frequency(_table(spark, sf_dir, "orders").select(said), text_rules.steps(F.col("said"))))

@@ -118,9 +118,52 @@ def timeline_limited(spark, sf_dir):
     return compression.limited(rows, rows.filter("level in ('FATAL', 'ERROR') and place % 3 = 0"), 20)
 
 
+@_query(rf"""WITH {_EV}, rt AS (SELECT user_id % 40 AS key, min(event_s) AS root_s, min(event_id) AS first_id FROM ev WHERE level IN ('ERROR', 'FATAL') GROUP BY 1),
+  j AS (SELECT ev.*, root_s, first_id, CASE ev.event_id % 7 WHEN 0 THEN 'root' WHEN 1 THEN 'Upstream_Effect' ELSE '' END AS role, {_CLASS} AS class, CASE WHEN user_id % 2 = 0 THEN 'timeoutexception' ELSE '' END AS named FROM ev LEFT JOIN rt ON rt.key = user_id % 40),
+  b AS (SELECT *, coalesce(event_s = root_s, false) AS a, coalesce(event_id = first_id, false) AS b, named <> '' AND contains(lower(message), named) AS c FROM j)
+  SELECT event_id, CASE level WHEN 'FATAL' THEN 120 WHEN 'ERROR' THEN 90 WHEN 'WARN' THEN 28 ELSE 0 END + CASE WHEN a THEN 140 ELSE 0 END + CASE WHEN b THEN 140 ELSE 0 END + CASE WHEN c THEN 100 ELSE 0 END + CASE WHEN role <> '' THEN 85 ELSE 0 END
+    + CASE WHEN regexp_matches(lower(message), 'connection refused|connection reset|broken pipe|no route to host|outofmemory|oom|java heap space|metaspace|deadlock|lock wait timeout|timeout|timed out|deadline exceeded|disk full|no space left|unavailable|authentication failed|access denied|panic|fatal') THEN 75 ELSE 0 END
+    + CASE WHEN contains(lower(message), 'connection') THEN 65 ELSE 0 END + CASE WHEN class <> '' THEN 30 ELSE 0 END AS relevance, a OR b OR c AS mandatory FROM b""")
+def timeline_relevance(spark, sf_dir):
+    rows = _events(spark, sf_dir).withColumn("key", F.col("user_id") % 40)
+    root = rows.filter("level in ('ERROR', 'FATAL')").groupBy("key").agg(F.min("event_s").alias("root_at"), F.array(F.min("event_id").cast("string")).alias("candidate_ids"))
+    role = F.expr("case event_id % 7 when 0 then 'root' when 1 then 'Upstream_Effect' else '' end").alias("role")
+    named = F.when(F.col("key") % 2 == 0, "TimeoutException").otherwise("").alias("root_exception")
+    said = rows.join(root, "key", "left").select("event_id", "level", F.col("event_s").alias("at"), role, "message", F.lit(None).cast("string").alias("root_cause"), "exception_class", "root_at", named, "candidate_ids", F.array(F.lit("Connection"), F.lit("")).alias("candidate_texts"))
+    return compression.relevance(said).select("event_id", "relevance", "mandatory")
+
+
 # --- order-dependent operators: no SQL, tested beside plain loops -------------------------------------------------------
 
 
+def _diverse(spark, sf_dir):
+    scored = incidents.importance_scores(_events(spark, sf_dir)).withColumn("key", F.col("user_id") % 40)
+    place = (F.row_number().over(Window.partitionBy("key").orderBy("event_s", "event_id")) - 1).cast("long")
+    rows = scored.select("key", place.alias("place"), "event_id", "level", "service", "signature", "message", "trace_id", "score")
+    return rows, compression.diverse(rows, compression.mandatory(rows))
+
+
+@_query()
+def timeline_diverse(spark, sf_dir):
+    return _diverse(spark, sf_dir)[1]
+
+
+@_query()
+def timeline_payload(spark, sf_dir):
+    """The payload of each timeline, its shown events and repeated patterns, in 6000 characters."""
+    rows, shown = _diverse(spark, sf_dir)
+    counts = compression.pattern_members(rows).select("key", "signature", "n")
+    events = rows.join(shown, ["key", "place"]).join(counts, ["key", "signature"]).select("key", F.struct(
+        (F.col("place") + 1).alias("place"), F.col("score").alias("importance"), F.col("n").alias("occurrences"), "message", F.lit("").alias("root_cause"), F.concat_ws("|", "service", "level", "trace_id").alias("details")).alias("e"))
+    patterns = compression.pattern_summaries(rows).select("key", F.struct("rank", F.col("signature").alias("message"), "n").alias("p"))
+    sorted_of = lambda df, c, name: df.groupBy("key").agg(F.sort_array(F.collect_list(c)).alias(name))
+    last = rows.groupBy("key").agg(F.count(F.lit(1)).alias("last"))
+    whole = last.join(sorted_of(events, "e", "events"), "key").join(sorted_of(patterns, "p", "patterns"), "key", "left")
+    whole = whole.withColumn("patterns", F.coalesce("patterns", F.array().cast(whole.schema["patterns"].dataType)))
+    fit = compression.fit_budget(whole, 6000)
+    return fit.select("key", F.size("events").cast("long").alias("n_events"), F.size("patterns").cast("long").alias("n_patterns"), F.col("size").cast("long").alias("chars"), F.to_json("events").alias("events"))
+
+
 @_query()
 def fault_episodes(spark, sf_dir):
     from ..functions import log_text

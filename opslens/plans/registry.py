@@ -426,4 +426,4 @@ def isolation_forest(spark, sf_dir):
     return models.contaminated(models.isolation_scores(found, "vec_id", "vector"))
 
 
-from . import graph_queries, incident_graph_queries, incident_queries, text_queries  # noqa: E402, F401  put their queries in
+from . import architecture_queries, graph_queries, incident_graph_queries, incident_queries, text_queries  # noqa: E402, F401  put their queries in

@@ -7,8 +7,10 @@ length: an interval of all suffixes that begin with a string is extended backwar
 right end that has no value yet gets the length of the string, and its interval is queued for the next length. At length k
 it stops: neighbours without a value share k bytes or more.
 
-A least gram with very many kinds of runs (HOT_KINDS) would make a bucket that no task can hold: its windows are named by
-128-bit digests of their bytes one by one and counted by Spark, with a count in each task, which splits over tasks.
+A least gram with very many kinds of runs (HOT_KINDS) would make a bucket that no task can hold, so its runs are split by
+a second, longer gram: windows with the first gram at the same few offsets share what lies between, and only pieces that
+share that too go together. The offsets are halved until no gram is too frequent; at one offset the gram is the whole
+window. Pieces whose grams and contents are equal are copies, of which one is sorted, as with runs.
 
 Defined results: null text counts as empty; matches never cross documents; texts shorter than a window lose nothing; all
 occurrences of a repeated string go, overlapping ones too; rows that repeat a doc_id or have none are documents of their
@@ -18,6 +20,7 @@ empty table gives an empty result."""
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,9 @@ GRAM = 80
 #: Kinds of runs in a bucket on average, and most kinds of one least gram in a bucket.
 BUCKET_KINDS = 4096
 HOT_KINDS = 1024
-_SEGMENTS = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("n", pa.int32()), ("bytes", pa.binary())])
+_PIECES = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("g", pa.int64()), ("e", pa.int64()), ("bytes", pa.binary())])
+_PIECE = "h long, d long, off int, n int, place int, g long, e long, bytes binary"
 _HITS = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("off", pa.int32()), ("n", pa.int32())])
-_DIGESTS = pa.schema([("h", pa.int64()), ("w", pa.binary()), ("d", pa.int64()), ("off", pa.int32())])
 _OUT = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_bytes", pa.binary())])
 
 
@@ -123,15 +126,15 @@ def _bucket_hits(k: int):
         edge = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1]) | (owner[1:] != owner[:-1])]))
         size = np.diff(edge, append=len(hit))
         edge, size = edge[hit[edge]], size[hit[edge]]
-        rows = pa.array(owner[edge])
-        return pa.table([table["h"].take(rows), table["d"].take(rows), pa.array(off[edge], pa.int32()), pa.array(size, pa.int32())], schema=_HITS)
+        rows, first = pa.array(owner[edge]), table["off"].to_numpy().astype(np.int64)[owner[edge]] + off[edge]
+        return pa.table([table["h"].take(rows), table["d"].take(rows), pa.array(first, pa.int32()), pa.array(size, pa.int32())], schema=_HITS)
 
     return run
 
 
 def _at_kinds(docs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """key, text and the kinds of runs whose first occurrence the text has."""
-    return docs.join(kinds.groupBy("key").agg(F.collect_list(F.struct("h", "d", "start", "n")).alias("runs")), "key")
+    """key, text and the kinds of runs whose first occurrence the text has, with the number of kinds of their grams."""
+    return docs.join(kinds.groupBy("key").agg(F.collect_list(F.struct("h", "d", "start", "n", "kinds")).alias("runs")), "key")
 
 
 def _columns(found) -> list[np.ndarray]:
@@ -139,46 +142,76 @@ def _columns(found) -> list[np.ndarray]:
 
 
 def segments(docs: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
-    """h, d, n, bytes: what each kind of run covers."""
+    """Each kind of run as one piece of itself, with what it covers; its gram is g, whose place isn't known yet."""
 
     def run(batches):
         for batch in batches:
             for text, found in zip(strings(batch), batch.column("runs")):
-                raw, (h, d, start, n) = text.encode(), _columns(found)
+                raw, (h, d, start, n, many) = text.encode(), _columns(found)
                 cut = [raw[a : a + m + k - 1] for a, m in zip(start.tolist(), n.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((h, d, n, cut), _SEGMENTS.types)], schema=_SEGMENTS)
+                none = np.zeros(len(n), np.int64)
+                columns = (h, d, none, n, none - 1, h, d, cut, many)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    return _at_kinds(docs, kinds).mapInArrow(run, "h long, d long, n int, bytes binary")
+    schema = _PIECES.append(pa.field("kinds", pa.int64()))
+    return _at_kinds(docs, kinds).mapInArrow(run, _PIECE + ", kinds long")
 
 
-def window_digests(docs: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
-    """h, w, d, off: each window of each kind of run by its digest."""
+def split(pieces: DataFrame, k: int, m: int, width: int) -> DataFrame:
+    """Pieces by where in a window the first gram stands, in stretches of `width` offsets; g: the hash of what all windows
+    with the gram at these offsets share, e: that of the piece. off, n: the windows of the run that a piece has."""
 
     def run(batches):
         for batch in batches:
-            for text, found in zip(strings(batch), batch.column("runs")):
-                h, d, start, n = _columns(found)
-                at = windows.spread(start, n)
-                raw = memoryview(text.encode())
-                w = [xxhash.xxh3_128_digest(raw[a : a + k]) for a in at.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((np.repeat(h, n), w, np.repeat(d, n), at - np.repeat(start, n)), _DIGESTS.types)], schema=_DIGESTS)
-
-    return _at_kinds(docs, kinds).mapInArrow(run, "h long, w binary, d long, off int")
+            out, names = [], []
+            for h, d, off, n, place, raw in zip(*(batch.column(c).to_pylist() for c in ("h", "d", "off", "n", "place", "bytes"))):
+                if place < 0:
+                    place = windows.least_place(windows.byte_hashes(raw), n, k, m)
+                for cell in range((place - n + 1) // width, place // width + 1):
+                    low, high = cell * width, min(cell * width + width - 1, k - m)
+                    a, b = max(place - n + 1, low), min(place, high)
+                    cut = raw[place - b : place - a + k]
+                    names.append((xxhash.xxh3_64_intdigest(raw[place - low : place - high + k], cell), xxhash.xxh3_64_intdigest(cut)))
+                    out.append((h, d, off + place - b, b - a + 1, b, cut))
+            g, e = np.array(names, np.uint64).reshape(-1, 2).view(np.int64).T
+            h, d, off, n, place, cut = zip(*out) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((h, d, off, n, place, g, e, cut), _PIECES.types)], schema=_PIECES)
+
+    return pieces.mapInArrow(run, _PIECE)
+
+
+def narrowed(pieces: DataFrame, k: int, m: int, store: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """From pieces with the number of `kinds` of their gram: pieces of grams with HOT_KINDS kinds or fewer, after as many
+    splits as that takes, and h, d, off, n of all pieces that occur twice."""
+    ready, copies, width = [], [], k - m + 1
+    while True:
+        hot = F.col("kinds") > (HOT_KINDS if width > 1 else 1 << 62)
+        ready.append(pieces.filter(~hot))
+        if not pieces.filter(hot).limit(1).count():
+            return ready, copies
+        width = -(-width // 2)
+        parts = store.save(split(pieces.filter(hot), k, m, width), f"parts-{width}")
+        alike = parts.groupBy("g", "e").agg(F.min(F.struct("h", "d", "off")).alias("first"), F.count(F.lit(1)).alias("copies"))
+        alike = store.save(alike.select("g", "e", "first.h", "first.d", "first.off", "copies"), f"alike-{width}")
+        sizes = store.save(alike.groupBy("g").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), f"sizes-{width}")
+        copies.append(parts.join(alike.filter("copies > 1").select("g", "e"), ["g", "e"]).select(*_HITS.names))
+        one = parts.join(alike.drop("copies"), ["g", "e", "h", "d", "off"])
+        pieces = store.save(one.join(sizes, "g").select(*_PIECES.names, "kinds"), f"pieces-{width}")
 
 
 def repeated_spans(docs: DataFrame, k: int, store: Scratch) -> DataFrame:
     """key, start, n: stretches of n window starts that occur twice or more."""
-    occurrences = windows.shared_runs(docs, _sequence, k, min(GRAM, k), store)
+    m = min(GRAM, k)
+    occurrences = windows.shared_runs(docs, _sequence, k, m, store)
     kinds = windows.run_kinds(occurrences, store)
-    mixed = kinds.filter(F.col("kinds").between(2, HOT_KINDS))
-    buckets = max(1, -(-mixed.count() // BUCKET_KINDS))
-    cut = segments(docs, mixed, k).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
-    hits = cut.groupBy("bucket").applyInArrow(_bucket_hits(k), "h long, d long, off int, n int")
-    digests = store.save(window_digests(docs, kinds.filter(F.col("kinds") > HOT_KINDS), k), "digests")
-    twice = store.save(digests.groupBy("h", "w").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("h", "w"), "twice")
-    hot = digests.join(twice, ["h", "w"]).select("h", "d", "off", F.lit(1).alias("n"))
-    copies = kinds.filter("copies > 1").select("h", "d", F.lit(0).alias("off"), "n")
-    found = hits.unionByName(hot).unionByName(copies).withColumnRenamed("n", "size")
+    mixed = kinds.filter("kinds > 1")
+    pieces = store.save(segments(docs, mixed, k), "pieces")
+    ready, copies = narrowed(pieces, k, m, store)
+    ready = reduce(DataFrame.unionByName, ready)
+    buckets = max(1, -(-ready.count() // BUCKET_KINDS))
+    hits = ready.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets))).groupBy("bucket").applyInArrow(_bucket_hits(k), "h long, d long, off int, n int")
+    whole = kinds.filter("copies > 1").select("h", "d", F.lit(0).alias("off"), "n")
+    found = reduce(DataFrame.unionByName, copies, hits.unionByName(whole)).withColumnRenamed("n", "size")
     return occurrences.join(found, ["h", "d"]).select("key", (F.col("start") + F.col("off")).alias("start"), F.col("size").alias("n"))
 
 

@@ -102,6 +102,11 @@ def runs(x: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def least_place(x: np.ndarray, n: int, k: int, m: int) -> int:
+    """Where in what a run of n windows covers its least gram stands: the leftmost of the least among those all windows have."""
+    return n - 1 + int(np.argmin(Sums(x).grams(m)[n - 1 : k - m + 1] & ~_PLACE))
+
+
 def digests(content: np.ndarray, first: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
     """The digest of all that each run covers: of words by their hashes, of bytes as they are."""
     view, size = memoryview(np.ascontiguousarray(content)).cast("B"), content.itemsize

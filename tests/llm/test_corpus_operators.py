@@ -146,6 +146,18 @@ def test_hot_least_grams_are_exact(spark, monkeypatch):
     assert _rows(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.suffix([tuple(r) for r in docs.collect()]))
 
 
+@pytest.mark.parametrize("most", [1, 5])
+def test_a_passage_in_many_surroundings_is_split_until_groups_are_small(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "HOT_KINDS", most)
+    random = np.random.default_rng(3)
+    text = lambda n: "".join(random.choice(list("abcd"), n))
+    passage, befores, afters = text(150), [text(70) for _ in range(6)], [text(70) for _ in range(6)]
+    rows = [(i, text(int(random.integers(40))) + befores[i % 6] + passage + afters[i // 7 % 6] + text(int(random.integers(40)))) for i in range(48)]
+    rows += [(100, "x" + passage + "y"), (101, "ab" * 300), (102, "ab" * 150 + "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert _rows(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.suffix(rows))
+
+
 def test_prefix_bounds():
     text = b"abracadabra abracad"
     symbols = np.concatenate([np.frombuffer(text, np.uint8).astype(np.int64) + 1, [0]])

@@ -149,14 +149,9 @@ def unkeyed(out: DataFrame, ids: DataFrame | None) -> DataFrame:
 def shared_runs(docs: DataFrame, sequence, k: int, m: int, store: Scratch) -> DataFrame:
     """The runs (h, d, key, start, n) whose least gram stands in two places or more, saved as `occurrences`.
 
-    sequence: from a text to what is digested (its words' hashes or its bytes) and the hashes of it. The grams are counted
-    first, with a count in each task, and only then are runs joined to the repeated ones; a very frequent gram is a few
-    count rows, and its runs are join rows that Spark can split."""
-
-    def heads(batches):
-        for batch in batches:
-            found = [runs(sequence(t)[1], k, m)[0] for t in strings(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
+    sequence: from a text to what is digested (its words' hashes or its bytes) and the hashes of it. Texts are walked once:
+    all runs are written, their grams are counted, with a count in each task, and only then are runs joined to the repeated
+    ones; a very frequent gram is a few count rows, and its runs are join rows that Spark can split."""
 
     def whole(batches):
         for batch in batches:
@@ -169,9 +164,12 @@ def shared_runs(docs: DataFrame, sequence, k: int, m: int, store: Scratch) -> Da
                 owner = np.repeat(keys, [len(f[0]) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((h.view(np.int64), d.view(np.int64), owner, start, n), _RUNS.types)], schema=_RUNS)
 
+    found = store.save(docs.mapInArrow(whole, RUNS), "runs")
     # Written, as Spark splits a join's large partitions only where both sides come from a shuffle of their own.
-    repeated = store.save(docs.select("text").mapInArrow(heads, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").select("h"), "repeated")
-    return store.save(docs.mapInArrow(whole, RUNS).join(repeated, "h"), "occurrences")
+    repeated = store.save(found.groupBy("h").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").select("h"), "repeated")
+    occurrences = store.save(found.join(repeated, "h"), "occurrences")
+    store.drop("runs", "repeated")
+    return occurrences
 
 
 def run_kinds(occurrences: DataFrame, store: Scratch) -> DataFrame:

@@ -83,8 +83,8 @@ def repeated_spans(docs: DataFrame, k: int, store: Scratch) -> DataFrame:
     """key, start, n, source_key, source_start: stretches of n window starts that occur earlier, at the source."""
     occurrences = windows.shared_runs(docs, _sequence, k, min(GRAM, k), store)
     kinds = windows.run_kinds(occurrences, store)
-    source = kinds.select("h", "d", F.col("key").alias("source_key"), F.col("start").alias("source_start"))
-    copies = occurrences.join(source, ["h", "d"]).filter("key <> source_key or start <> source_start").select("key", "start", "n", "source_key", "source_start")
+    source = kinds.filter("copies > 1").select("h", "d", F.col("key").alias("source_key"), F.col("start").alias("source_start"))
+    copies = windows.join_kinds(occurrences, kinds, source).filter("key <> source_key or start <> source_start").select("key", "start", "n", "source_key", "source_start")
     edges = store.save(path_edges(docs, kinds.filter("kinds > 1"), k), "edges")
     first = edges.groupBy("h", "edge").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("places")).filter("places > 1")
     sources = store.save(first.select("h", "edge", F.col("first.key").alias("source_key"), F.col("first.pos").alias("source_pos")), "sources")

@@ -211,8 +211,8 @@ def repeated_spans(docs: DataFrame, k: int, store: Scratch) -> DataFrame:
     buckets = max(1, -(-ready.count() // BUCKET_KINDS))
     hits = ready.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets))).groupBy("bucket").applyInArrow(_bucket_hits(k), "h long, d long, off int, n int")
     whole = kinds.filter("copies > 1").select("h", "d", F.lit(0).alias("off"), "n")
-    found = reduce(DataFrame.unionByName, copies, hits.unionByName(whole)).withColumnRenamed("n", "size")
-    return occurrences.join(found, ["h", "d"]).select("key", (F.col("start") + F.col("off")).alias("start"), F.col("size").alias("n"))
+    found = store.save(reduce(DataFrame.unionByName, copies, hits.unionByName(whole)).withColumnRenamed("n", "size"), "found")
+    return windows.join_kinds(occurrences, kinds, found).select("key", (F.col("start") + F.col("off")).alias("start"), F.col("size").alias("n"))
 
 
 def remove_repeats(docs: DataFrame, k: int = BYTES, contents: bool = True) -> DataFrame:

@@ -23,6 +23,8 @@ _BACK = pow(_BASE, -1, 1 << 64)
 #: Window starts of a long text that are taken at once; their places fit into the low bits of a key.
 CHUNK = 1 << 23
 _PLACE = np.uint64((1 << 24) - 1)
+#: Most kinds of runs whose rows are broadcast, each with more than this share of all occurrences.
+HOT_SHARE = 1024
 RUNS = "h long, d long, key long, start int, n int"
 _RUNS = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
@@ -178,3 +180,15 @@ def run_kinds(occurrences: DataFrame, store: Scratch) -> DataFrame:
     kinds = store.save(kinds.select("h", "d", "n", "copies", "first.key", "first.start"), "kinds-alone")
     sizes = store.save(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")), "kinds-sizes")
     return store.save(kinds.join(sizes, "h"), "kinds")
+
+
+def join_kinds(occurrences: DataFrame, kinds: DataFrame, found: DataFrame) -> DataFrame:
+    """Occurrences beside what was found for their kinds, by (h, d); all three are written tables.
+
+    At most HOT_SHARE kinds can have more than 1 / HOT_SHARE of all occurrences. What was found for these is broadcast, so
+    that a very frequent run is no key of a shuffle; the others are shuffled."""
+    most = max(1, occurrences.count() // HOT_SHARE)
+    hot = kinds.filter(F.col("copies") > most).select("h", "d")
+    frequent = found.join(F.broadcast(hot), ["h", "d"], "left_semi")
+    others = occurrences.join(F.broadcast(hot), ["h", "d"], "left_anti").join(found, ["h", "d"])
+    return occurrences.join(F.broadcast(frequent), ["h", "d"]).unionByName(others)

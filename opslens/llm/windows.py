@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, clean, strings
+from .common import Scratch, keyed, strings, unkeyed  # noqa: F401  (keyed and unkeyed belong to the windows' operators as well)
 from .vocab import Memo, held
 
 _BASE = 0x9E3779B97F4A7C15
@@ -128,26 +128,6 @@ def covered(size: int, first: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
     return np.cumsum(edge[:size]) > 0
 
 
-def keyed(docs: DataFrame, store: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """(key, text) with distinct keys in the order of doc_id, and (key, doc_id) where the key isn't the doc_id.
-
-    The key is the doc_id, unless ids are null or repeat: then rows are numbered, null ids last."""
-    rows = docs.select("doc_id", clean().alias("text"))
-    odd = rows.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count()
-    if not odd:
-        return rows.withColumnRenamed("doc_id", "key"), None
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    saved = store.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "keyed")
-    return saved.select("key", "text"), saved.select("key", "doc_id")
-
-
-def unkeyed(out: DataFrame, ids: DataFrame | None) -> DataFrame:
-    """The result by doc_id."""
-    if ids is None:
-        return out.withColumnRenamed("key", "doc_id")
-    return ids.join(out, "key").drop("key")
-
-
 def shared_runs(docs: DataFrame, sequence, k: int, m: int, store: Scratch) -> DataFrame:
     """The runs (h, d, key, start, n) whose least gram stands in two places or more, saved as `occurrences`.
 

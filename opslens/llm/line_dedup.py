@@ -7,7 +7,7 @@ comes later from another document is dropped. Frequent hashes, of which a sketch
 HOT_SHARE, don't take part in that shuffle: their first documents are a few aggregated rows, which are broadcast.
 
 A document's keep bitmap is returned run-length coded, as the runs of lines that are dropped; texts meet their bitmaps
-last, in the tasks that read them where the bitmaps are few, else by one shuffle.
+last, by one shuffle at every size.
 
 Defined results: null or empty text is one empty line; lines of one document that share a key all stay or all go; where
 documents repeat a doc_id or have none, each row is a document of its own, in the order of doc_id (null ids last) and text,
@@ -92,7 +92,7 @@ def dedup_lines(docs: DataFrame, texts: bool = False, least_chars: int = LEAST_C
     rows, ids = keyed(docs, store)
     bitmaps = drop_bitmaps(rows, store, least_chars)
     cut = (
-        rows.join(bitmaps, "key", "left")
+        rows.join(bitmaps.hint("merge"), "key", "left")
         .select("key", lines_of(F.col("text")).alias("lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("dropped", F.array().cast(_RUN)).alias("dropped"))
         .select("key", F.size("lines").alias("n_lines"), "lines", "n_dropped", "dropped")
         .select("key", "n_lines", "n_dropped", "dropped", kept_text(F.col("lines"), F.col("n_lines"), F.col("dropped")).alias("kept_text"))

@@ -60,17 +60,17 @@ def strings(batch, name: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(name).to_pylist()]
 
 
-def keyed(docs: DataFrame, store: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """(key, text) with distinct keys in the order of doc_id, and (key, doc_id) where the key isn't the doc_id.
+def keyed(docs: DataFrame, store: Scratch, *more) -> tuple[DataFrame, DataFrame | None]:
+    """(key, text, and the columns `more`) with distinct keys in the order of doc_id, and (key, doc_id) where the key isn't the doc_id.
 
     The key is the doc_id, unless ids are null or repeat: then rows are numbered, null ids last."""
-    rows = docs.select("doc_id", clean().alias("text"))
+    rows = docs.select("doc_id", clean().alias("text"), *more)
     odd = rows.groupBy("doc_id").count().filter("doc_id is null or count > 1").limit(1).count()
     if not odd:
         return rows.withColumnRenamed("doc_id", "key"), None
     order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
     saved = store.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "keyed")
-    return saved.select("key", "text"), saved.select("key", "doc_id")
+    return saved.drop("doc_id"), saved.select("key", "doc_id")
 
 
 def unkeyed(out: DataFrame, ids: DataFrame | None) -> DataFrame:

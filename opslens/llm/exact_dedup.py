@@ -8,8 +8,9 @@ group costs one row per task; a lookup computes the slot and compares the whole
 some slot. Nonmembers form groups of their own.
 
 Defined results: null text counts as empty, all empty texts are one group; of equal texts the longest original stays,
-then the smallest doc_id; rows with a null doc_id come last among equals; extra columns are ignored; an empty table gives
-an empty result; repeated rows with one doc_id count once each."""
+then the smallest doc_id; rows with a null doc_id come last among equals; where ids are null or repeat, rows are numbered by
+doc_id and text, each counts for itself, and of equal ones the first number stays, so that one row of a group stays whatever
+its ids; extra columns are ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, clean
+from .common import Scratch, clean, keyed
 
 #: Distinct digests that a bucket has on average.
 BUCKET_KEYS = 16_384
@@ -33,19 +34,19 @@ def normalised(column: str = "text"):
     return F.regexp_replace(clean(column), "[\\x20\\x09-\\x0D]+", "")
 
 
-def digest_rows(docs: DataFrame, historical) -> DataFrame:
-    """doc_id, text_sha256, n_chars of the original text, and whether the row belongs to the history."""
-    return docs.select(
-        "doc_id",
+def digest_rows(rows: DataFrame) -> DataFrame:
+    """key, text_sha256, n_chars of the original text, and whether the row belongs to the history, of (key, text, historical)."""
+    return rows.select(
+        "key",
         F.sha2(normalised().cast("binary"), 256).alias("text_sha256"),
-        F.length(clean()).cast("long").alias("n_chars"),
-        F.coalesce(historical, F.lit(False)).alias("historical"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.coalesce("historical", F.lit(False)).alias("historical"),
     )
 
 
 def _grouped(rows: DataFrame, buckets: int) -> DataFrame:
     """One row per digest: bucket, winner and number of copies."""
-    best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg_id")))
+    best = F.max(F.struct("n_chars", (-F.col("key")).alias("neg_id")))
     return (
         rows.groupBy("text_sha256")
         .agg(best.alias("best"), F.count(F.lit(1)).alias("copies"))
@@ -174,20 +175,17 @@ def exact_dedup(docs: DataFrame, historical=None, bucket_keys: int = BUCKET_KEYS
     historical: boolean column that marks the rows an earlier run has seen; about every other row, by its id, by default.
     Every row takes part either way: the split only decides which digests go into the perfect hash. Both sides are dealt
     into the same buckets, so their number comes from the digests of both."""
-    spark = docs.sparkSession
     if historical is None:
         historical = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    store = Scratch(spark, "exact-dedup")
-    rows = store.save(digest_rows(docs, historical), "digests")
+    store = Scratch(docs.sparkSession, "exact-dedup")
+    texts, ids = keyed(docs, store, historical.alias("historical"))
+    rows = store.save(digest_rows(texts), "digests")
     keys = rows.agg(F.approx_count_distinct("text_sha256")).first()[0]
     buckets = max(1, -(-keys // bucket_keys))
     history = store.save(build_history(rows.filter("historical"), buckets), "history")
-    verdicts = look_up(history, rows.filter("not historical"), buckets)
-    return rows.join(verdicts, "text_sha256").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.coalesce(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(False)).alias("kept"),
-        "text_sha256",
-        "member",
-    )
+    verdicts = look_up(history, rows.filter("not historical"), buckets).withColumnRenamed("keep_id", "keep_key")
+    if ids is None:
+        told = rows.withColumn("doc_id", F.col("key")).join(verdicts.withColumn("keep_id", F.col("keep_key")), "text_sha256")
+    else:  # one row a digest meets the numbers' ids, so a large group is no key of that join
+        told = rows.join(ids, "key").join(verdicts.join(ids.select(F.col("key").alias("keep_key"), F.col("doc_id").alias("keep_id")), "keep_key"), "text_sha256")
+    return told.select("doc_id", "keep_id", "group_size", (F.col("key") == F.col("keep_key")).alias("kept"), "text_sha256", "member")

@@ -8,14 +8,16 @@ beside a random string hide it in the mean, a run that is not reported whole is
 signs, then between slashes, dashes and underscores, and plus signs as well.
 
 Defined results: null text counts as empty and has no spans; spans are in code points with the end exclusive, ordered by
-start and then kind; of one kind they don't overlap, kinds may; whole texts are scanned, at any length; extra columns are
-ignored; an empty table gives an empty result."""
+start and then kind; of one kind they don't overlap, kinds may; whole texts are scanned, at any length, in time that grows
+with it; repeated rows and rows without a doc_id are scanned each for itself and keep their id; extra columns are ignored
+(redact_documents() passes them through); an empty table gives an empty result."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -74,14 +76,19 @@ def random_stretches(run: str, path: str, pattern: str, most: float, assigned: b
     """(start, end) of what is random in a run: all of it, or the longest stretches that are."""
     if is_random(run, path, pattern, most, assigned):
         return ((0, len(run)),)
-    found: list[tuple[int, int]] = []
+    found: list[tuple[int, int]] = []  # sorted, none meets another
     for stretch in STRETCHES:
-        for m in stretch.finditer(run):
-            if len(m[0]) < len(run) and not any(m.start() < end and start < m.end() for start, end in found) and is_random(m[0], path, pattern, most, assigned):
-                found.append(m.span())
+        fresh = [m.span() for m in stretch.finditer(run) if len(m[0]) < len(run) and not meets(found, *m.span()) and is_random(m[0], path, pattern, most, assigned)]
+        found = sorted(found + fresh)
     return tuple(found)
 
 
+def meets(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of sorted spans that don't meet each other meets [start, end): the last one that begins before the end does, or none."""
+    at = bisect_left(spans, (end,)) - 1
+    return at >= 0 and spans[at][1] > start
+
+
 def find_spans(text: str, path: str, pattern: str, most: float = MOST_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of every span, in order."""
     found = []
@@ -95,8 +102,7 @@ def find_spans(text: str, path: str, pattern: str, most: float = MOST_CHARS_PER_
     assigned = [(start, end) for start, kind, end in found if kind == 0]
     memo = vocab.held(("secrets", path, pattern, most), lambda: vocab.Memo(lambda x: random_stretches(x[1:], path, pattern, most, x[0] == "=")))
     for m in RUN.finditer(text):
-        within = any(start < m.end() and m.start() < end for start, end in assigned)
-        found += [(m.start() + start, 3, m.start() + end) for start, end in memo[("=" if within else " ") + m[0]]]
+        found += [(m.start() + start, 3, m.start() + end) for start, end in memo[("=" if meets(assigned, *m.span()) else " ") + m[0]]]
     return sorted(found)
 
 

@@ -1,12 +1,14 @@
 """Token counts through a digest cache.
 
 The cache is a table of (content digest, tokenizer digest, n_tokens). Contents are normalised in a way that no count
-depends on (runs of white space become one space for tokenizers that drop it), digested, and joined to the cache; of the
-digests that it lacks, one text each is encoded, and the new counts are appended as files of their own, so that a lost
-executor or a repeated task leaves no half-written entry. Equal contents are thus encoded once, ever.
+depends on (runs of white space become one space for tokenizers that drop it), digested, and joined to the cache. Digests
+alone meet the cache; of those that it lacks, one text each is encoded, and the new counts are appended as files of their
+own, so that a lost executor or a repeated task leaves no half-written entry. Equal contents are thus encoded once, ever.
+Few misses (MOST_BROADCAST digests) are broadcast to the texts, so that a warm cache shuffles none; of more, a text for each
+digest and task is shuffled. Of the cache only what the batch's digests name is grouped.
 
-Defined results: null text counts as empty and has 0 tokens; repeated rows count once each; extra columns are ignored; an
-empty table gives an empty result and leaves the cache as it is."""
+Defined results: null text counts as empty and has 0 tokens; repeated rows and rows without a doc_id count once each; extra
+columns are ignored; an empty table gives an empty result and leaves the cache as it is."""
 
 from __future__ import annotations
 
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from . import vocab
 from .common import Scratch, clean, strings
 
+#: Misses that are broadcast, of 32 bytes each.
+MOST_BROADCAST = 500_000
 CACHE = "content_sha256 binary, tokenizer string, n_tokens long"
 
 
@@ -72,14 +76,22 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int, cache_path: s
     version = tokenizer_digest(tokenizer_path)
     drops_white = bool(vocab.tokenizer(tokenizer_path).model.end_of_word_suffix)
     text = clean()
-    digested = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), content_digest(text, drops_white).alias("content_sha256"), text.alias("text"))
-    cached = lambda: read_cache(spark, path).filter(F.col("tokenizer") == version)
-    # One text of each digest: combined within tasks first, so that copies shuffle as one row per task.
-    misses = digested.groupBy("content_sha256").agg(F.first("text").alias("text")).join(cached().select("content_sha256"), "content_sha256", "left_anti")
-    encode_counts(misses, tokenizer_path).select("content_sha256", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(path)
+    texts = docs.select(content_digest(text, drops_white).alias("content_sha256"), text.alias("text"))
+    # Tables are written, as Spark splits a frequent digest's rows only where both sides of a join come from a shuffle of their own.
+    rows = store.save(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), content_digest(text, drops_white).alias("content_sha256")), "rows")
+    wanted = store.save(rows.select("content_sha256").distinct(), "wanted")
+    cached = read_cache(spark, path).filter(F.col("tokenizer") == version).join(wanted, "content_sha256", "left_semi")
     # Writers that ran at once may both have appended a digest; its counts are equal.
-    # Written, as Spark splits a frequent digest's rows only where both sides of the join come from a shuffle of their own.
-    known = store.save(cached().groupBy("content_sha256").agg(F.max("n_tokens").alias("n_tokens")), "known")
-    return digested.drop("text").join(known, "content_sha256").select(
+    known = store.save(cached.groupBy("content_sha256").agg(F.max("n_tokens").alias("n_tokens")), "known")
+    missing = store.save(wanted.join(known, "content_sha256", "left_anti"), "missing")
+    few = missing.count() <= MOST_BROADCAST
+    texts = texts.join(F.broadcast(missing), "content_sha256", "left_semi") if few else texts
+    # One text of each digest: combined within tasks first, so that copies shuffle as one row per task.
+    misses = texts.groupBy("content_sha256").agg(F.first("text").alias("text"))
+    misses = misses if few else misses.join(missing, "content_sha256", "left_semi")
+    new = store.save(encode_counts(misses, tokenizer_path), "new")
+    new.select("content_sha256", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(path)
+    store.drop("wanted", "missing")
+    return rows.join(store.save(known.unionByName(new), "counts"), "content_sha256").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.lower(F.hex("content_sha256")).alias("content_sha256")
     )

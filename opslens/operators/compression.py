@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import log_text, text_rules
+from .lineage import cut, small
 
 MAX_EVENTS, CONTEXT, MAX_PATTERNS = 48, 2, 12
 ANCHOR_LEVELS, ANCHOR_SCORE, REPEATED_SCORE = ("FATAL", "CRITICAL", "ERROR"), 8.0, 7.0
@@ -18,6 +19,18 @@ ANCHOR_LEVELS, ANCHOR_SCORE, REPEATED_SCORE = ("FATAL", "CRITICAL", "ERROR"), 8.
 SPREAD = 64
 
 
+def numbered(rows: DataFrame, key: str, order: list) -> DataFrame:
+    """The rows, checkpointed, with `place` in their key's order from 0.
+
+    Rows are dealt out by ranges of (key, order), so that a long key spans several tasks; of each key only a count a range is summed up."""
+    ranged = rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    ranged = cut(ranged.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)))
+    parts = ranged.groupBy(key, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = small(parts.withColumn("_before", before).drop("_n"))
+    return ranged.join(parts, [key, "_part"]).withColumn("place", F.col("_before") + F.col("_id") - F.col("_first")).drop("_id", "_part", "_first", "_before")
+
+
 def best(rows: DataFrame, keys: list[str], order: list, most: int, rank: str = "rank") -> DataFrame:
     """The first `most` rows of each key with their rank. Each of SPREAD parts of a key keeps its own first ones, then these meet."""
     part = F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD))

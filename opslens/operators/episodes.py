@@ -1,6 +1,5 @@
-"""Operators that depend on the order of events: fault episodes and online message templates.
-
-Both stream over rows that Spark has dealt out and sorted, and hold only what later rows can still meet."""
+"""Fault episodes, which depend on the order of events: rows that Spark has dealt out and sorted are gone through once, and only
+episodes that later rows can still meet are held."""
 
 from __future__ import annotations
 
@@ -8,12 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import log_text
-
 # Seconds in which an error may join an episode: by trace, target, passed-on or root errors, class, and family.
 TRACE_GAP, TARGET_GAP, SHORT_GAP, CLASS_GAP, FAMILY_GAP = 600, 45, 20, 480, 300
 LONGEST = max(TRACE_GAP, TARGET_GAP, SHORT_GAP, CLASS_GAP, FAMILY_GAP)
-THRESHOLD = 0.4
 
 
 def join_score(error: dict, episode: dict) -> int:
@@ -63,51 +59,3 @@ def fault_episodes(errors: DataFrame) -> DataFrame:
 
     kind = dict(errors.dtypes)["event_id"]
     return dealt.repartition("_stretch").sortWithinPartitions("_stretch", "event_s", "event_id").mapInPandas(run, f"event_id {kind}, episode {kind}")
-
-
-def similarity(left: list[str], right: list[str]) -> float:
-    """The share of places of two token lists of one length that are equal or masked on a side."""
-    return sum(a == b or a == "<*>" or b == "<*>" for a, b in zip(left, right)) / len(left) if left else 0.0
-
-
-def mine_templates(events: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """event_id, first_id: the message template of each event, named by the first event that made it, in the order of (event_s, event_id).
-
-    Messages only meet templates of as many tokens, so these are dealt out by their number of tokens; a message takes the
-    most similar template, the oldest of equals, which is masked where they differ."""
-    words = F.split(log_text.mask(F.col("message")), " ")
-    rows = events.select("event_id", "event_s", words.alias("_tokens")).withColumn("_size", F.size("_tokens"))
-
-    def run(batches):
-        size, held, known = None, [], {}
-        for pdf in batches:
-            out = []
-            for event_id, tokens, n in zip(pdf["event_id"], pdf["_tokens"], pdf["_size"]):
-                if n != size:
-                    size, held, known = n, [], {}
-                tokens = list(tokens)
-                at = known.get(tuple(tokens))
-                if at is None:
-                    found = [similarity(tokens, t) for t, _ in held]
-                    at = max(range(len(held)), key=lambda i: (found[i], -i), default=-1)
-                    if at < 0 or found[at] < threshold or tokens == [""]:
-                        at = len(held)
-                        held.append((tokens, event_id))
-                    merged = [a if a == b else "<*>" for a, b in zip(held[at][0], tokens)]
-                    if merged != held[at][0]:
-                        held[at], known = (merged, held[at][1]), {}
-                    if tokens != [""]:
-                        known[tuple(tokens)] = at
-                out.append((event_id, held[at][1]))
-            yield pd.DataFrame(out, columns=["event_id", "first_id"])
-
-    return rows.repartition("_size").sortWithinPartitions("_size", "event_s", "event_id").mapInPandas(run, "event_id long, first_id long")
-
-
-def templates(events: DataFrame, mined: DataFrame) -> DataFrame:
-    """first_id, template_id (in the order of first events), template, n: a place that is not the same in all of a template's messages is masked."""
-    tokens = events.select("event_id", F.posexplode(F.split(log_text.mask(F.col("message")), " ")).alias("place", "token")).join(mined, "event_id")
-    places = tokens.groupBy("first_id", "place").agg(F.min("token").alias("low"), F.max("token").alias("high"), F.count(F.lit(1)).alias("n"))
-    shown = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise("<*>")
-    found = places.groupBy("first_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", shown.alias("token")))), lambda x: x["token"]), " ").alias("template"), F.max("n").alias("n"))
-    return found.withColumn("template_id", F.format_string("E%05d", F.row_number().over(Window.orderBy("first_id"))))

@@ -125,22 +125,18 @@ def delete_batch(nodes: DataFrame, edges: DataFrame, prefix: str) -> tuple[DataF
 
 def quality(nodes: DataFrame, edges: DataFrame, projects: DataFrame) -> DataFrame:
     """check, n: orphans, dangling edges, duplicate edges, nodes without project, edges across projects, unknown projects."""
-    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    ends = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("_linked", F.lit(True))
     owner = lambda end: nodes.select(F.col("id").alias(end), F.col("project").alias(f"_{end}"), F.lit(True).alias(f"_has_{end}"))
     known = edges.join(owner("source"), "source", "left").join(owner("target"), "target", "left")
-    checks = {
-        "orphan_nodes": nodes.join(ends, "id", "left_anti"),
-        "dangling_edges": known.filter("_has_source is null or _has_target is null"),
-        "duplicate_edges": edges.groupBy(*_EDGE).count().filter("count > 1"),
-        "unscoped_nodes": nodes.filter("coalesce(project, '') = ''"),
-        "cross_project_edges": known.filter("_source <> _target"),
-        "unknown_projects": nodes.filter("coalesce(project, '') <> ''").join(projects, "project", "left_anti"),
-    }
-    counted = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n") for name, rows in checks.items()]
-    out = counted[0]
-    for more in counted[1:]:
-        out = out.unionByName(more)
-    return out
+    placed = nodes.join(ends, "id", "left").join(projects.select("project").distinct().withColumn("_listed", F.lit(True)), "project", "left")
+    named = F.coalesce("project", F.lit("")) != ""
+    count = lambda condition, name: F.count_if(condition).alias(name)
+    # One pass for each table and join; three tables of one row each meet.
+    of_nodes = placed.agg(count(F.col("_linked").isNull(), "orphan_nodes"), count(~named, "unscoped_nodes"), count(named & F.col("_listed").isNull(), "unknown_projects"))
+    of_edges = known.agg(count(F.col("_has_source").isNull() | F.col("_has_target").isNull(), "dangling_edges"), count(F.col("_source") != F.col("_target"), "cross_project_edges"))
+    of_copies = edges.groupBy(*_EDGE).count().agg(count(F.col("count") > 1, "duplicate_edges"))
+    every = of_nodes.join(F.broadcast(of_edges)).join(F.broadcast(of_copies))
+    return every.select(F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).alias("n")) for c in every.columns))).alias("x")).select("x.*")
 
 
 def orphan_diagnosis(orphans: DataFrame) -> DataFrame:
@@ -171,6 +167,8 @@ def members(pairs: DataFrame, seeds: DataFrame, depth: int = 6) -> DataFrame:
     for distance in range(1, depth + 1):
         found = frontier.join(pairs, frontier["node"] == pairs["parent"]).select("seed", F.col("member").alias("node")).distinct()
         frontier = cut(found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(distance).cast("long")))
+        if not frontier.limit(1).count():
+            break
         reached = reached.unionByName(frontier)
     return reached
 
@@ -193,6 +191,8 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int, undirected: b
         found = frontier.join(steps, "node").select("seed", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
         found = found.groupBy("seed", "node").agg(F.min("path").alias("path"))
         frontier = cut(found.join(reached.select("seed", "node"), ["seed", "node"], "left_anti"))
+        if not frontier.limit(1).count():
+            break
         reached = reached.unionByName(frontier)
     return reached
 

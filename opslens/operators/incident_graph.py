@@ -31,15 +31,22 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _nodes(parts: list[tuple]) -> DataFrame:
-    """Nodes of (table, id, kind, description), one of each id with the least description."""
-    rows = _all([df.select(i.alias("id"), F.lit(kind).alias("kind"), F.coalesce(d, F.lit("")).alias("description")) for df, i, kind, d in parts]).filter("id <> ''")
+def _spread(df: DataFrame, structs: list[Column]) -> DataFrame:
+    """A row for each struct of each row, from one pass over the table."""
+    return df.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
+
+
+def _nodes(parts: list[tuple[DataFrame, list[tuple]]]) -> DataFrame:
+    """Nodes of tables, each with its (id, kind, description); one of each id with the least description."""
+    node = lambda i, kind, d: F.struct(i.alias("id"), F.lit(kind).alias("kind"), F.coalesce(d, F.lit("")).alias("description"))
+    rows = _all([_spread(df, [node(*x) for x in made]) for df, made in parts]).filter("id <> ''")
     return rows.groupBy("id").agg(F.min(F.struct("kind", "description")).alias("x")).select("id", "x.*")
 
 
-def _edges(parts: list[tuple]) -> DataFrame:
-    """Edges of (table, source, target, type, place), without those that lack an end or lead back."""
-    rows = _all([df.select(a.alias("source"), b.alias("target"), F.lit(kind).alias("type"), p.cast("long").alias("place")) for df, a, b, kind, p in parts])
+def _edges(parts: list[tuple[DataFrame, list[tuple]]]) -> DataFrame:
+    """Edges of tables, each with its (source, target, type, place), without those that lack an end or lead back."""
+    edge = lambda a, b, kind, p: F.struct(a.alias("source"), b.alias("target"), F.lit(kind).alias("type"), p.cast("long").alias("place"))
+    rows = _all([_spread(df, [edge(*x) for x in made]) for df, made in parts])
     return rows.filter("source <> '' and target <> '' and source <> target").groupBy("source", "target", "type").agg(F.min("place").alias("place"))
 
 
@@ -47,7 +54,8 @@ def dynamic_graph(incidents: DataFrame, classes: DataFrame, timeline: DataFrame,
     """Nodes and edges of incidents. incidents: (incident, service, trace_id, root_cause); classes: (incident, place, class);
     timeline: (incident, place, event_id, level, service, message, class); candidates: (incident, place, service, message).
 
-    Services that follow each other in a timeline are linked whatever events without a service stand between them."""
+    Services that follow each other in a timeline are linked whatever events without a service stand between them. Each
+    table is gone through once for all its nodes and once for all its edges."""
     own, none = _id("Incident", "incident"), F.lit(0)
     incidents = incidents.withColumn("root_cause", F.coalesce(F.when(F.col("root_cause") != "", F.col("root_cause")), F.lit(UNKNOWN_CAUSE)))
     classes, candidates = classes.filter(F.col("place") <= MOST), candidates.filter(F.col("place") <= MOST)
@@ -55,21 +63,25 @@ def dynamic_graph(incidents: DataFrame, classes: DataFrame, timeline: DataFrame,
     candidate = _id("RootCandidate", "incident", F.lpad(F.col("place").cast("string"), 2, "0"))
     trace = F.when(F.col("trace_id") != "", _id("Trace", "trace_id"))
     root, named = text_rules.exception_node(F.col("root_cause")), F.when(F.col("class") != "", text_rules.exception_node(F.col("class")))
-    along = Window.partitionBy("incident").orderBy("place")
-    rows = timeline.withColumn("event", event).withColumn("later", F.lead("event").over(along))
-    served = rows.filter("service <> ''").withColumn("later_service", F.lead("service").over(along))
-    traced = rows.join(incidents.select("incident", trace.alias("trace")), "incident")
+    backward = Window.partitionBy("incident").orderBy(F.col("place").desc())
+    rows = timeline.withColumn("event", event)
+    # Read backward, what comes next is what came last: one running pass, however long a timeline is.
+    next_named = F.last(F.when(F.col("service") != "", F.col("service")), ignorenulls=True).over(backward.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = rows.withColumns({"later": F.lag("event").over(backward), "later_service": next_named}).join(incidents.select("incident", trace.alias("trace")), "incident", "left")
     col = F.col
     nodes = _nodes([
-        (incidents, own, "Incident", F.concat_ws(" / ", "service", F.substring("root_cause", 1, 180))), (incidents, col("service"), "Service", F.lit("")), (incidents, root, "Exception", F.substring("root_cause", 1, 500)),
-        (incidents, trace, "Trace", col("trace_id")), (classes, named, "Exception", col("class")), (rows, named, "Exception", col("class")), (rows, col("event"), "LogEvent", F.concat_ws(" ", "level", "service", F.substring("message", 1, 220))),
-        (rows, col("service"), "Service", F.lit("")), (candidates, candidate, "LogEvent", F.substring("message", 1, 500)), (candidates, col("service"), "Service", F.lit("")),
+        (incidents, [(own, "Incident", F.concat_ws(" / ", "service", F.substring("root_cause", 1, 180))), (col("service"), "Service", F.lit("")), (root, "Exception", F.substring("root_cause", 1, 500)), (trace, "Trace", col("trace_id"))]),
+        (classes, [(named, "Exception", col("class"))]),
+        (rows, [(named, "Exception", col("class")), (col("event"), "LogEvent", F.concat_ws(" ", "level", "service", F.substring("message", 1, 220))), (col("service"), "Service", F.lit(""))]),
+        (candidates, [(candidate, "LogEvent", F.substring("message", 1, 500)), (col("service"), "Service", F.lit(""))]),
     ])
+    place = col("place")
     edges = _edges([
-        (incidents, own, col("service"), "ROOT_SERVICE", none), (incidents, own, col("service"), "OBSERVED_AT", none), (incidents, own, root, "HAS_EXCEPTION", none), (classes, own, named, "HAS_EXCEPTION", col("place")),
-        (incidents, own, trace, "HAS_TRACE", none), (rows, own, col("event"), "HAS_EVENT", col("place")), (traced, col("trace"), col("event"), "HAS_EVENT", col("place")), (rows, col("event"), named, "RAISES", col("place")),
-        (rows, col("service"), col("event"), "EMITS", col("place")), (served, col("service"), col("later_service"), "CO_OCCURS_IN_TRACE", col("place")), (rows, col("event"), col("later"), "TEMPORALLY_PRECEDES", col("place")),
-        (candidates, own, candidate, "TRIGGERED_BY", col("place")), (candidates, col("service"), candidate, "EMITS", col("place")),
+        (incidents, [(own, col("service"), "ROOT_SERVICE", none), (own, col("service"), "OBSERVED_AT", none), (own, root, "HAS_EXCEPTION", none), (own, trace, "HAS_TRACE", none)]),
+        (classes, [(own, named, "HAS_EXCEPTION", place)]),
+        (ahead, [(own, col("event"), "HAS_EVENT", place), (col("trace"), col("event"), "HAS_EVENT", place), (col("event"), named, "RAISES", place), (col("service"), col("event"), "EMITS", place),
+                 (F.when(col("service") != "", col("service")), col("later_service"), "CO_OCCURS_IN_TRACE", place), (col("event"), col("later"), "TEMPORALLY_PRECEDES", place)]),
+        (candidates, [(own, candidate, "TRIGGERED_BY", place), (col("service"), candidate, "EMITS", place)]),
     ])
     return nodes, edges
 
@@ -81,13 +93,14 @@ def hypothesis_graph(hypotheses: DataFrame, nodes: DataFrame, most: int = MOST)
     found = hypotheses.filter(F.col("rank") <= most)
     own, node = _id("Incident", "incident"), _id("RCAHypothesis", "incident", F.lpad(F.col("rank").cast("string"), 2, "0"))
     rest = found.select("incident", "rank", F.explode(F.slice("chain", 2, F.greatest(F.size("chain"), F.lit(1)))).alias("affected"))
+    rank, candidate = F.col("rank"), F.col("candidate")
     edges = _edges([
-        (found, own, node, "HAS_HYPOTHESIS", F.col("rank")), (found, node, F.col("candidate"), "CANDIDATE_CAUSE", F.col("rank")), (found.filter("rank = 1"), own, F.col("candidate"), "SUSPECTED_ROOT_CAUSE", F.col("rank")),
-        (rest, node, F.col("affected"), "AFFECTS", F.col("rank")), (found, node, _id("RootCandidate", "incident", F.lit("01")), "SUPPORTED_BY", F.col("rank")),
+        (found, [(own, node, "HAS_HYPOTHESIS", rank), (node, candidate, "CANDIDATE_CAUSE", rank), (F.when(rank == 1, own), candidate, "SUSPECTED_ROOT_CAUSE", rank), (node, _id("RootCandidate", "incident", F.lit("01")), "SUPPORTED_BY", rank)]),
+        (rest, [(node, F.col("affected"), "AFFECTS", rank)]),
     ])
-    made = _nodes([(found, node, "RCAHypothesis", F.col("summary"))])
-    known = nodes.select(F.col("id").alias("target")).distinct()
-    return made, edges.filter("type = 'HAS_HYPOTHESIS'").unionByName(edges.filter("type <> 'HAS_HYPOTHESIS'").join(known, "target", "left_semi").select(edges.columns))
+    made = _nodes([(found, [(node, "RCAHypothesis", F.col("summary"))])])
+    known = nodes.select(F.col("id").alias("target")).distinct().withColumn("_known", F.lit(True))
+    return made, edges.join(known, "target", "left").filter((F.col("type") == "HAS_HYPOTHESIS") | F.col("_known")).select(edges.columns)
 
 
 def stored_hypotheses(edges: DataFrame, incident: str | None = None) -> DataFrame:

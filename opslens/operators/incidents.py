@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import log_text
+from .lineage import cut, small
 
 REGION_STEP = 3600
 
@@ -13,12 +14,35 @@ REGION_STEP = 3600
 def in_regions(events: DataFrame, regions: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
     """The events inside regions [start - before, end + after): joined on the hours that a region touches, then compared.
 
-    The join is on equal hours, so it shuffles by time and needs no product of both sides."""
+    The join is on equal hours, so it needs no product of both sides; the hours of the regions, of which a year has some
+    thousands, are broadcast where they are few, else both sides are shuffled by hour."""
     spans = regions.select("region", "region_start", "region_end", (F.col("region_start") - before).alias("_low"), (F.col("region_end") + after).alias("_high"))
     hours = F.sequence(F.floor(F.col("_low") / REGION_STEP), F.floor((F.col("_high") - 1) / REGION_STEP))
     spans = spans.withColumn("_hour", F.explode(hours))
     keyed = events.withColumn("_hour", F.floor(F.col("event_s") / REGION_STEP))
-    return keyed.join(spans, "_hour").filter("event_s >= _low and event_s < _high").drop("_hour", "_low", "_high")
+    return keyed.join(small(spans), "_hour").filter("event_s >= _low and event_s < _high").drop("_hour", "_low", "_high")
+
+
+#: Seconds of context before and after a fault.
+BEFORE, AFTER = 60, 120
+ROLES = ("context", "related_error", "error", "root_candidate")
+
+
+def incident_context(events: DataFrame, regions: DataFrame, primary: DataFrame, candidates: DataFrame, before: int = BEFORE, after: int = AFTER) -> DataFrame:
+    """region, event_id, role of the events that tell an incident: those from `before` its first primary event to `after` its
+    last, both ends included, those of its primary traces inside the detected range, and the primary ones (region, event_id,
+    event_s, trace_id) themselves. The first candidate (region, place, event_id) is the root candidate, primary events are
+    errors, other errors related ones, the rest context. An event of several arms comes once."""
+    spans = cut(primary.groupBy("region").agg(F.min("event_s").alias("region_start"), (F.max("event_s") + 1).alias("region_end")))
+    near = in_regions(events, spans, before, after).select("region", "event_id", "level")
+    traces = primary.filter("trace_id <> ''").select("region", "trace_id").distinct().join(small(regions.select("region", "region_start", "region_end")), "region")
+    traced = events.select("event_id", "event_s", "level", "trace_id").join(traces, "trace_id").filter("event_s >= region_start and event_s < region_end").select("region", "event_id", "level")
+    rank = lambda c, n: F.when(c, n).otherwise(0)
+    told = near.unionByName(traced).select("region", "event_id", rank(log_text.is_error(F.col("level")), 1).alias("rank"))
+    told = told.unionByName(primary.select("region", "event_id", F.lit(2).alias("rank"))).unionByName(candidates.filter("place = 1").select("region", "event_id", F.lit(3).alias("rank")))
+    # A candidate is a primary event, so no event comes in by its role alone.
+    roles = told.groupBy("region", "event_id").agg(F.max("rank").alias("rank"))
+    return roles.select("region", "event_id", F.element_at(F.array(*map(F.lit, ROLES)), F.col("rank") + 1).alias("role"))
 
 
 def unassigned_errors(events: DataFrame, members: DataFrame) -> DataFrame:
@@ -30,17 +54,18 @@ def candidate_scores(members: DataFrame) -> DataFrame:
     """The error members of regions with exception_key (root class, else class, else family) and root-candidate score.
 
     Level, exception class, root keywords, passed-on errors, closeness to the region's first error, and rarity of the key
-    count. First errors and rarities are counted before they are joined, as one region may hold most events."""
+    count. First errors and rarities are counted before they are joined, as one region may hold most events. The errors are
+    checkpointed, so that what is read of the log is read once."""
     errors = log_text.flagged(members).filter("is_error")
     known = lambda c: F.when(F.col(c) != "", F.col(c))
-    errors = errors.withColumn("exception_key", F.coalesce(known("root_exception_class"), known("exception_class"), "family"))
+    errors = cut(errors.withColumn("exception_key", F.coalesce(known("root_exception_class"), known("exception_class"), "family")))
     keys = errors.groupBy("region", "exception_key").agg(F.count(F.lit(1)).alias("_same"), F.min("event_s").alias("_first"))
     keys = keys.withColumn("_start", F.min("_first").over(Window.partitionBy("region"))).drop("_first")
     level = F.when(F.col("level") == "FATAL", 7.0).when(F.col("level") == "ERROR", 5.0).when(F.col("level") == "WARN", 1.0).otherwise(0.0)
     named = F.when(known("root_exception_class").isNotNull(), 4.0).when(known("exception_class").isNotNull(), 2.0).otherwise(0.0)
     late = F.greatest(F.lit(0.0), 3.0 - F.greatest(F.col("event_s") - F.col("_start"), F.lit(0)) / 60.0)
     score = level + named + F.when(F.col("is_atomic"), 10.0).otherwise(0.0) - F.when(F.col("is_wrapper"), 12.0).otherwise(0.0) + late + 3.0 / F.sqrt("_same")
-    return errors.join(keys, ["region", "exception_key"]).withColumn("score", F.round(score, 6)).drop("_same", "_start")
+    return errors.join(small(keys), ["region", "exception_key"]).withColumn("score", F.round(score, 6)).drop("_same", "_start")
 
 
 def root_candidates(scored: DataFrame, most: int = 30) -> DataFrame:
@@ -114,17 +139,20 @@ def temporal_edges(events: DataFrame) -> DataFrame:
 
 def incident_rows(members: DataFrame, candidates: DataFrame) -> DataFrame:
     """One row per region: its number, span, counts, services and traces, its most frequent trace, and its first candidate."""
-    named = F.when(F.col("trace_id") != "", F.col("trace_id"))
-    facts = members.groupBy("region").agg(
-        F.min("event_s").alias("fault_start"), F.max("event_s").alias("fault_end"), F.count(F.lit(1)).alias("n_events"), F.sum(log_text.is_error(F.col("level")).cast("long")).alias("n_errors"),
-        F.array_join(F.sort_array(F.collect_set("service")), ",").alias("services"), F.count_distinct(named).alias("n_traces"),
+    # Members are counted by trace once; facts of a region come from these counts.
+    counted = cut(members.groupBy("region", F.coalesce("trace_id", F.lit("")).alias("trace_id")).agg(
+        F.min("event_s").alias("first_s"), F.max("event_s").alias("last_s"), F.count(F.lit(1)).alias("n"), F.sum(log_text.is_error(F.col("level")).cast("long")).alias("errors"), F.collect_set("service").alias("services"),
+    ))
+    served = F.array_distinct(F.flatten(F.collect_set("services")))
+    facts = counted.groupBy("region").agg(
+        F.min("first_s").alias("fault_start"), F.max("last_s").alias("fault_end"), F.sum("n").alias("n_events"), F.sum("errors").alias("n_errors"),
+        F.array_join(F.sort_array(served), ",").alias("services"), F.count_if(F.col("trace_id") != "").alias("n_traces"),
+        F.min_by(F.when(F.col("trace_id") != "", F.col("trace_id")), F.struct((F.col("trace_id") == "").alias("_no"), -F.col("n"), "trace_id")).alias("primary_trace"),
     )
-    traces = members.filter("trace_id <> ''").groupBy("region", "trace_id").agg(F.count(F.lit(1)).alias("n"))
-    traces = traces.groupBy("region").agg(F.min_by("trace_id", F.struct(-F.col("n"), "trace_id")).alias("primary_trace"))
     first = candidates.filter("place = 1").select("region", F.col("event_id").alias("root_event"), F.col("family").alias("root_family"))
     # One row a region: few, whatever the number of events.
     number = F.format_string("I%05d", F.row_number().over(Window.orderBy("fault_start", "fault_end", "region")))
-    return facts.join(traces, "region", "left").join(first, "region", "left").withColumn("incident", number)
+    return facts.join(first, "region", "left").withColumn("incident", number)
 
 
 def run_summary(events: DataFrame, members: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Incidents are rows (incident, service, evidence, callers): the service that failed first, the text of its errors, and further
 services with errors in their order. Nodes are (name, kind, description, meta: map), edges (source, target, type) by name.
-Signals meet nodes by joins on equal tokens, endpoints and reachable nodes, so no incident meets a node it has nothing in
-common with."""
+Of an evidence only its signals and endpoints count, so incidents are grouped by these, the service and the callers: what
+follows works on these profiles, a few for each service, however many incidents there are. Signals meet nodes by joins on
+equal tokens, endpoints and reachable nodes, so no profile meets a node it has nothing in common with."""
 
 from __future__ import annotations
 
@@ -12,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text_rules
 from . import graph, graph_edits
-from .lineage import cut
+from .lineage import cut, small
 
 SERVICE_KINDS, HOST_KINDS = ("Service", "API", "Component", "Pod"), ("Host", "Instance", "VM")
 # Modes inside a service, and modes that start at a host.
 INTERNAL = ("JVM_OOM", "AUTH_FAILURE", "CIRCUIT_BREAKER_OPEN")
 AT_HOST = ("JVM_OOM", "DISK_IO_FAILURE", "CPU_OVERLOAD", "NETWORK_FAILURE", "DB_POOL_EXHAUSTED")
+AT_ENDPOINT, UNKNOWN_AT = ("MESSAGE_BROKER_FAILURE", "REDIS_UNREACHABLE", "DATABASE_UNREACHABLE"), "未知组件@"
 REVERSE = (*graph_edits.DEPENDENCY, "HAS_MEMBER", "CONTAINS", "HOSTED_ON", "RUNS_ON", "CONNECTS_TO")
 FORWARD_DEPTH, REVERSE_DEPTH, CALLER_DEPTH = 5, 4, 4
 _REDIS, _REDIS_KINDS = ("redis", "lettuce", "jedis"), ("Cache", "Cluster", "Instance", "Host", "Database", "Middleware")
@@ -50,19 +52,29 @@ def _rules(text: Column) -> list[tuple]:
     ]
 
 
-def fault_signals(incidents: DataFrame) -> DataFrame:
-    """incident, evidence, mode, place, tokens, kinds, base, timeout_only: one row a fault mode that the evidence shows.
+def signals_of(evidence: Column) -> Column:
+    """The fault modes that an evidence shows, as an array of (place, mode, tokens, kinds, base, timeout_only) in their order.
 
     Evidence that shows none is a failure of some dependency where it speaks of timeouts or connections, else of the application."""
-    said = incidents.select("incident", text_rules.compact(F.col("evidence"), 900).alias("evidence"))
-    text = F.lower("evidence")
+    text = F.lower(text_rules.compact(evidence, 900))
     words = lambda w: F.array(*map(F.lit, w)).cast("array<string>")
     signal = lambda place, mode, tokens, kinds, base, late: F.struct(F.lit(place).alias("place"), F.lit(mode).alias("mode"), words(tokens).alias("tokens"), words(kinds).alias("kinds"), F.lit(base).alias("base"), late.alias("timeout_only"))
     shown = F.array_compact(F.array(*(F.when(c, signal(i, m, t, k, b, late)) for i, (m, c, t, k, b, late) in enumerate(_rules(text)))))
     general = signal(90, "DEPENDENCY_FAILURE", (), ("Database", "Cache", "Queue", "Middleware", "Cluster", "Instance", "Host", "Service"), 0.22, text.rlike("timeout|timed out"))
     own = signal(91, "APPLICATION_ERROR", (), ("Service", "API", "Component"), 0.18, F.lit(False))
     rest = F.array(F.when(text.rlike("timeout|timed out|connection refused|connection reset"), general).otherwise(own))
-    return said.withColumn("_s", shown).select("incident", "evidence", F.explode(F.when(F.size("_s") > 0, F.col("_s")).otherwise(rest)).alias("s")).select("incident", "evidence", "s.*")
+    return F.when(F.size(shown) > 0, shown).otherwise(rest)
+
+
+def profiled(incidents: DataFrame) -> DataFrame:
+    """The incidents with their profile: service, callers, signals, endpoints and a digest of these (profile)."""
+    told = incidents.select("incident", "service", "callers", signals_of(F.col("evidence")).alias("signals"), text_rules.endpoint_tokens(F.col("evidence")).alias("endpoints"))
+    return told.withColumn("profile", F.md5(F.to_json(F.struct("service", "callers", "signals", "endpoints"))))
+
+
+def fault_signals(profiles: DataFrame) -> DataFrame:
+    """incident, place, mode, tokens, kinds, base, timeout_only: one row a fault mode."""
+    return profiles.select("incident", F.explode("signals").alias("s")).select("incident", "s.*")
 
 
 def searchable(nodes: DataFrame) -> DataFrame:
@@ -72,7 +84,7 @@ def searchable(nodes: DataFrame) -> DataFrame:
 
 def endpoint_matches(incidents: DataFrame, nodes: DataFrame) -> DataFrame:
     """incident, name, endpoint: nodes that an endpoint of the evidence names; a host alone counts where the evidence gives no port."""
-    named = incidents.select("incident", F.explode(text_rules.endpoint_tokens(F.col("evidence"))).alias("endpoint"))
+    named = incidents.select("incident", F.explode("endpoints").alias("endpoint"))
     known = nodes.select("name", F.explode(text_rules.identifiers(F.col("name"), F.coalesce("meta", F.create_map().cast("map<string,string>")))).alias("id"))
     whole = named.join(known, named["endpoint"] == known["id"])
     hosts = named.filter(~F.contains("endpoint", F.lit(":"))).join(known.withColumn("id", F.split("id", ":")[0]), F.col("endpoint") == F.col("id"))
@@ -150,14 +162,17 @@ def scored_candidates(incidents: DataFrame, nodes: DataFrame, edges: DataFrame)
 
 
 def _fallback(incidents: DataFrame, signals: DataFrame, found: DataFrame, nodes: DataFrame, best: DataFrame) -> DataFrame:
-    """Incidents without candidates: their anchor, else an unresolved node by the service's name, with the first signal."""
+    """Incidents without candidates: their anchor, else an unresolved node by the service's name, with the first signal. Where
+    the evidence names an endpoint of a broker or store that the graph lacks, an unknown component there stands for the anchor."""
     first = signals.groupBy("incident").agg(F.min_by(F.struct("mode", "place", "base", "timeout_only"), "place").alias("s"))
-    left = incidents.select("incident", "service").join(best.select("incident").distinct(), "incident", "left_anti").join(first, "incident").join(found, "incident", "left")
+    left = incidents.select("incident", "service", F.get("endpoints", F.lit(0)).alias("_at")).join(best.select("incident").distinct(), "incident", "left_anti").join(first, "incident").join(found, "incident", "left")
     left = left.join(nodes.select(F.col("name").alias("anchor"), "kind"), "anchor", "left")
     unnamed = F.coalesce("anchor", F.when(F.col("service") != "", F.col("service")), F.lit("未解析的故障组件"))
+    unlocated = F.col("anchor").isNotNull() & F.col("_at").isNotNull() & F.col("s.mode").isin(*AT_ENDPOINT)
     return left.select(
-        "incident", unnamed.alias("name"), F.lit(0).cast("long").alias("signals"), F.coalesce("kind", F.lit("UnresolvedDependency")).alias("kind"), F.col("s.mode").alias("mode"), F.col("s.place").alias("place"),
-        F.least(F.col("s.base") + 0.12, F.lit(0.45)).alias("score"), F.when(F.col("anchor").isNotNull(), F.array("anchor")).alias("path"), F.lit(None).cast("string").alias("endpoint"), "anchor", F.col("s.timeout_only").alias("timeout_only"),
+        "incident", F.when(unlocated, F.concat(F.lit(UNKNOWN_AT), "_at")).otherwise(unnamed).alias("name"), F.lit(0).cast("long").alias("signals"),
+        F.when(unlocated, "UnresolvedDependency").otherwise(F.coalesce("kind", F.lit("UnresolvedDependency"))).alias("kind"), F.col("s.mode").alias("mode"), F.col("s.place").alias("place"),
+        F.when(unlocated, F.least(F.col("s.base") + 0.05, F.lit(0.38))).otherwise(F.least(F.col("s.base") + 0.12, F.lit(0.45))).alias("score"), F.when(F.col("anchor").isNotNull(), F.array("anchor")).alias("path"), F.lit(None).cast("string").alias("endpoint"), "anchor", F.col("s.timeout_only").alias("timeout_only"),
     ).select(*best.columns)
 
 
@@ -175,7 +190,17 @@ def upstream(incidents: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
 
 def hypotheses(incidents: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
     """incident, rank, candidate, kind, mode, score, status, chain, missing: the best candidates with the way that a failure takes
-    from them to the anchor and its callers, and what evidence is missing."""
+    from them to the anchor and its callers, and what evidence is missing.
+
+    Incidents are read twice: for their profiles, and to get back what was found for these, which is broadcast behind a count."""
+    told = profiled(incidents)
+    profiles = cut(told.groupBy("profile").agg(F.first(F.struct("service", "callers", "signals", "endpoints")).alias("x")).select(F.col("profile").alias("incident"), "x.*"))
+    found = profile_hypotheses(profiles, cut(nodes), cut(edges), most)
+    return told.select("incident", "profile").join(small(found.withColumnRenamed("incident", "profile")), "profile").drop("profile")
+
+
+def profile_hypotheses(incidents: DataFrame, nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """hypotheses() of profiles (incident, service, callers, signals, endpoints)."""
     scored = cut(scored_candidates(incidents, nodes, edges))
     # An incident has a candidate a node at most; best ones are chosen per incident.
     place = F.row_number().over(Window.partitionBy("incident").orderBy(F.col("score").desc(), "name")).cast("long")
@@ -183,7 +208,7 @@ def hypotheses(incidents: DataFrame, nodes: DataFrame, edges: DataFrame, most: i
     chain = F.coalesce(F.reverse("path"), F.array("name"))
     goes_on = F.element_at(chain, -1) == F.get("callers", F.lit(0))
     top = top.join(upstream(incidents, nodes, edges), "incident", "left").join(graph.member_counts(edges).select(F.col("parent").alias("name"), "n_members"), "name", "left")
-    ends = incidents.select("incident", (F.size(text_rules.endpoint_tokens(F.col("evidence"))) > 0).alias("_ends"))
+    ends = incidents.select("incident", (F.size("endpoints") > 0).alias("_ends"))
     gaps = F.array_compact(F.array(
         F.when(F.col("path").isNull() & ~F.coalesce(F.col("name") == F.col("anchor"), F.lit(False)), "no_path"), F.when(F.col("timeout_only"), "timeout_only"),
         F.when((F.coalesce("n_members", F.lit(0)) > 0) & ~F.col("_ends"), "member_unknown"), F.when(F.col("kind").isin("Instance", "Host", "Pod") & F.col("endpoint").isNull(), "no_endpoint"), F.when(F.col("signals") == 0, "no_dependency"),

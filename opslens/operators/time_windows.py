@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import log_text, text_rules
+from .compression import best
+from .lineage import cut
 
 SIZE, STEP = 300, 60
 MERGE_GAP = 60
@@ -31,16 +33,37 @@ def window_counts(events: DataFrame, size: int = SIZE, step: int = STEP) -> Data
 
     Events are counted by step and service first; only these few rows are spread over windows."""
     flags = ("is_error", "is_technical", "is_atomic")
-    steps = log_text.flagged(events).groupBy((F.floor(F.col("event_s") / step) * step).alias("event_s"), "service").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("long")).alias(c) for c in flags))
-    return (
-        window_rows(steps, size, step)
-        .groupBy("window_start")
-        .agg(
-            F.sum("n").alias("event_count"), F.sum("is_error").alias("error_count"), F.sum("is_technical").alias("technical_error_count"),
-            F.sum("is_atomic").alias("root_signal_count"), F.count_distinct("service").alias("n_services"),
-        )
-        .withColumn("window_end", F.col("window_start") + size)
+    at = (F.floor(F.col("event_s") / step) * step).alias("step_s")
+    steps = log_text.flagged(events).groupBy(at, "service").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("long")).alias(c) for c in flags))
+    starts = F.sequence(F.col("step_s") - (size - step), F.col("step_s"), F.lit(step).cast("long"))
+    counted = steps.select("*", F.explode(starts).alias("window_start")).groupBy("window_start").agg(
+        F.sum("n").alias("event_count"), F.sum("is_error").alias("error_count"), F.sum("is_technical").alias("technical_error_count"),
+        F.sum("is_atomic").alias("root_signal_count"), F.count_distinct("service").alias("n_services"), F.min("step_s").alias("_low"),
     )
+    # Over one row a window: the first step of all is told by the windows themselves, so events are read once.
+    first = F.min("_low").over(Window.partitionBy())
+    return counted.withColumn("_first", first).filter("window_start >= _first").drop("_low", "_first").withColumn("window_end", F.col("window_start") + size)
+
+
+def window_annotations(events: DataFrame, size: int = SIZE, step: int = STEP, most: int = 10) -> DataFrame:
+    """window_start, services (sorted) and trace_ids (the `most` most frequent ones) of each window's errors and warnings, or of
+    all its events where it has none.
+
+    Events are counted by step, service and trace first, and only counts are spread over windows."""
+    signal = F.upper("level").isin("ERROR", "FATAL", "WARN")
+    at = (F.floor(F.col("event_s") / step) * step).alias("step_s")
+    steps = cut(events.groupBy(at, "service", F.coalesce("trace_id", F.lit("")).alias("trace_id"), signal.alias("signal")).agg(F.count(F.lit(1)).alias("n")))
+    starts = F.sequence(F.col("step_s") - (size - step), F.col("step_s"), F.lit(step).cast("long"))
+    first = steps.agg(F.min("step_s").alias("_first"))
+    rows = steps.select("*", F.explode(starts).alias("window_start")).join(F.broadcast(first)).filter("window_start >= _first")
+    quiet = steps.groupBy("step_s").agg(F.max("signal").alias("signal")).select(F.explode(starts).alias("window_start"), "signal").groupBy("window_start").agg((~F.max("signal")).alias("_quiet"))
+    shown = rows.join(quiet, "window_start").filter("signal or _quiet")
+    services = shown.groupBy("window_start").agg(F.array_join(F.sort_array(F.collect_set("service")), ",").alias("services"))
+    traces = shown.filter("trace_id <> ''").groupBy("window_start", "trace_id").agg(F.sum("n").alias("n"))
+    # A window's traces are ranked by what each of some parts keeps of them.
+    top = best(traces, ["window_start"], [F.col("n").desc(), "trace_id"], most)
+    top = top.groupBy("window_start").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "trace_id"))), lambda x: x["trace_id"]), ",").alias("trace_ids"))
+    return services.join(top, "window_start", "left").withColumn("trace_ids", F.coalesce("trace_ids", F.lit("")))
 
 
 def flag_windows(counts: DataFrame) -> DataFrame:

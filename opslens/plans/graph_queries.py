@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, graph_edits
+from ..operators import graph, graph_edits, lineage
 from .registry import _GRAPH, _query, _table, static_graph
 
 _FIELDS = """CASE kind WHEN 'Service' THEN 'p1' WHEN 'Instance' THEN '' ELSE 'p0' END AS project, CASE kind WHEN 'System' THEN 'manual' WHEN 'Cluster' THEN 'arch.md' ELSE '' END AS source_file, id LIKE 's:%9' AS observed"""
@@ -26,18 +26,32 @@ def _graph(spark, sf_dir):
     return nodes.unionByName(spark.sql(_MADE.format("{e}"), e=events)), edges.unionByName(spark.sql(_LINKED.format("{e}"), e=events))
 
 
+def _cut_graph(spark, sf_dir):
+    """The graph, checkpointed, for queries that read a side of it more than once."""
+    return tuple(map(lineage.cut, _graph(spark, sf_dir)))
+
+
+def _halves(nodes, edges):
+    """Both sides of a graph as rows (item, a, b, c)."""
+    nodes = nodes.select(F.lit("node").alias("item"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("kind").alias("c"))
+    return nodes.unionByName(edges.select(F.lit("edge").alias("item"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("type").alias("c")))
+
+
+_N, _E = "SELECT 'node' AS item, id AS a, name AS b, kind AS c", "SELECT 'edge' AS item, source AS a, target AS b, type AS c"
+
+
 def _rows(df, *extra):
     return df.select("source", "target", "type", *extra)
 
 
-@_query(f"WITH {_G}, k AS (SELECT id FROM n0 WHERE kind NOT IN {_DYN} AND NOT observed) SELECT source, target, type FROM e0 WHERE {_BOTH}")
+@_query(f"WITH {_G}, k AS (SELECT id FROM n0 WHERE kind NOT IN {_DYN} AND NOT observed) {_N} FROM n0 WHERE id IN (SELECT id FROM k) UNION ALL {_E} FROM e0 WHERE {_BOTH}")
 def static_part(spark, sf_dir):
-    return _rows(graph_edits.static_part(*_graph(spark, sf_dir))[1])
+    return _halves(*graph_edits.static_part(*_cut_graph(spark, sf_dir)))
 
 
-@_query(f"WITH {_G}, k AS (SELECT id FROM n0 WHERE project = 'p0' OR name LIKE 'project::p0::%') SELECT source, target, type FROM e0 WHERE {_BOTH}")
+@_query(f"WITH {_G}, k AS (SELECT id FROM n0 WHERE project = 'p0' OR name LIKE 'project::p0::%') {_N} FROM n0 WHERE id IN (SELECT id FROM k) UNION ALL {_E} FROM e0 WHERE {_BOTH}")
 def project_part(spark, sf_dir):
-    return _rows(graph_edits.project_part(*_graph(spark, sf_dir), "p0")[1])
+    return _halves(*graph_edits.project_part(*_cut_graph(spark, sf_dir), "p0"))
 
 
 @_query(f"""WITH {_G} SELECT e.source, e.target, e.type FROM e0 e LEFT JOIN n0 s ON s.id = source LEFT JOIN n0 t ON t.id = target WHERE type IN ('CALLS', 'DEPENDS_ON', 'USES_DB', 'READS', 'WRITES', 'PUBLISHES', 'SUBSCRIBES', 'CONNECTS_TO', 'RUNS_ON', 'HAS_MEMBER')
@@ -73,7 +87,7 @@ _FRESH = "SELECT 'n:' || CAST(n_nationkey AS VARCHAR) AS source, CASE WHEN n_nat
 
 
 def _with_fresh(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
+    nodes, edges = _cut_graph(spark, sf_dir)
     fresh = spark.sql(_FRESH.replace("VARCHAR", "STRING").replace("FROM nation", "FROM {n}"), n=_table(spark, sf_dir, "nation"))
     return nodes, edges, graph_edits.insert_edges(edges, fresh.unionByName(fresh).unionByName(edges))
 
@@ -92,15 +106,15 @@ def missing_ends(spark, sf_dir):
     return graph_edits.missing_ends(nodes, edges).select("id", "name", "kind")
 
 
-@_query(f"WITH {_G}, g AS (SELECT id FROM n0 WHERE kind = 'Cluster') SELECT source, target, type FROM e0 WHERE source NOT IN (SELECT id FROM g) AND target NOT IN (SELECT id FROM g)")
+@_query(f"WITH {_G}, g AS (SELECT id FROM n0 WHERE kind = 'Cluster') {_N} FROM n0 WHERE id NOT IN (SELECT id FROM g) UNION ALL {_E} FROM e0 WHERE source NOT IN (SELECT id FROM g) AND target NOT IN (SELECT id FROM g)")
 def node_delete(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    return _rows(graph_edits.delete_nodes(nodes, edges, nodes.filter("kind = 'Cluster'"))[1])
+    nodes, edges = _cut_graph(spark, sf_dir)
+    return _halves(*graph_edits.delete_nodes(nodes, edges, nodes.filter("kind = 'Cluster'")))
 
 
 @_query(f"WITH {_G} SELECT source, target, CASE WHEN type = 'HAS_MEMBER' THEN 'HOSTED_ON' ELSE type END AS type FROM e0")
 def edge_replace(spark, sf_dir):
-    edges = _graph(spark, sf_dir)[1]
+    edges = lineage.cut(_graph(spark, sf_dir)[1])
     old = edges.filter("type = 'HAS_MEMBER'")
     return _rows(graph_edits.replace_edges(edges, old, old.withColumn("type", F.lit("HOSTED_ON"))))
 
@@ -120,9 +134,9 @@ def edge_rename(spark, sf_dir):
 
 
 @_query(f"""WITH {_G}, l AS (SELECT * FROM n0 WHERE NOT (kind IN {_DYN} AND contains(name, ':b1:'))), e AS (SELECT * FROM e0 WHERE source NOT IN (SELECT id FROM n0 WHERE kind IN {_DYN} AND contains(name, ':b1:')) AND target NOT IN (SELECT id FROM n0 WHERE kind IN {_DYN} AND contains(name, ':b1:')))
-  SELECT id, kind FROM l WHERE kind NOT IN ('Trace', 'Exception') OR id IN (SELECT source FROM e UNION SELECT target FROM e)""")
+  {_N} FROM l WHERE kind NOT IN ('Trace', 'Exception') OR id IN (SELECT source FROM e UNION SELECT target FROM e) UNION ALL {_E} FROM e""")
 def batch_delete(spark, sf_dir):
-    return graph_edits.delete_batch(*_graph(spark, sf_dir), "b1")[0].select("id", "kind")
+    return _halves(*graph_edits.delete_batch(*_cut_graph(spark, sf_dir), "b1"))
 
 
 @_query(f"""WITH {_G}, ends AS (SELECT source AS id FROM e0 UNION SELECT target FROM e0), j AS (SELECT e.*, s.id AS s, t.id AS t, s.project AS sp, t.project AS tp FROM e0 e LEFT JOIN n0 s ON s.id = source LEFT JOIN n0 t ON t.id = target)
@@ -130,7 +144,7 @@ def batch_delete(spark, sf_dir):
   UNION ALL SELECT 'duplicate_edges', count(*) FROM (SELECT 1 FROM e0 GROUP BY source, target, type HAVING count(*) > 1) UNION ALL SELECT 'unscoped_nodes', count(*) FROM n0 WHERE project = ''
   UNION ALL SELECT 'cross_project_edges', count(*) FROM j WHERE sp <> tp UNION ALL SELECT 'unknown_projects', count(*) FROM n0 WHERE project NOT IN ('', 'p0', 'p1')""")
 def graph_quality(spark, sf_dir):
-    return graph_edits.quality(*_graph(spark, sf_dir), spark.range(2).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("project")))
+    return graph_edits.quality(*_cut_graph(spark, sf_dir), spark.range(2).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("project")))
 
 
 @_query(f"""WITH {_G}, o AS (SELECT * FROM n0 WHERE id NOT IN (SELECT source FROM e0 WHERE type <> 'CONTAINS' UNION SELECT target FROM e0 WHERE type <> 'CONTAINS'))
@@ -182,8 +196,11 @@ def single_members(spark, sf_dir):
     return graph_edits.single_members(graph.membership(_graph(spark, sf_dir)[1]))
 
 
-@_query(f"WITH {_G} SELECT id, name, kind, project, CASE WHEN source_file = '' THEN 'manual_import' ELSE source_file END AS source_file, observed FROM n0")
+@_query(f"""WITH {_G} SELECT 'node' AS item, id AS a, name AS b, kind AS c, project, CASE WHEN source_file = '' THEN 'manual_import' ELSE source_file END AS source_file, observed FROM n0
+  UNION ALL SELECT 'edge', source, target, type, NULL, NULL, NULL FROM e0""")
 def graph_round_trip(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    back = graph_edits.imported(graph_edits.export(nodes.withColumn("source_file", F.when(F.col("source_file") != "", F.col("source_file"))), edges))
-    return back[0]
+    sent = lineage.cut(graph_edits.export(nodes.withColumn("source_file", F.when(F.col("source_file") != "", F.col("source_file"))), edges))
+    nodes, edges = graph_edits.imported(sent)
+    both = _halves(nodes, edges)
+    return both.join(nodes.select(F.lit("node").alias("item"), F.col("id").alias("a"), "project", "source_file", "observed"), ["item", "a"], "left")

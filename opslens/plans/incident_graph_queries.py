@@ -30,23 +30,27 @@ hg AS (SELECT source, target, type, min(place) AS place FROM he WHERE target <>
 
 
 def _analysed(spark, sf_dir):
-    """Incidents, classes, timelines and root candidates of the traces that have an error."""
-    rows = _events(spark, sf_dir).filter("trace_id <> ''")
-    along = Window.partitionBy("trace_id").orderBy("event_s", "event_id")
-    service = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("service"))
-    rows = rows.select(F.col("trace_id").alias("incident"), F.row_number().over(along).alias("place"), "event_id", "level", service.alias("service"), "message", F.col("exception_class").alias("class"), F.col("level").isin("ERROR", "FATAL").alias("bad"))
-    first = rows.filter("bad").groupBy("incident").agg(F.min_by(F.struct("service", F.when(F.col("place") % 2 == 0, "").otherwise(F.col("message")).alias("root_cause")), "place").alias("x"))
-    incidents = first.select("incident", "x.*", F.when(F.substring("incident", 4, 20).cast("int") % 3 == 0, "").otherwise(F.col("incident")).alias("trace_id"))
-    timeline = rows.join(first.select("incident"), "incident", "left_semi")
-    ranked = timeline.filter("bad").withColumn("place", F.row_number().over(Window.partitionBy("incident").orderBy("place")))
-    return incidents, ranked.select("incident", "place", "class"), timeline, ranked.select("incident", "place", "service", "message")
+    """Incidents, classes, timelines and root candidates of the traces that have an error: one pass over the log, checkpointed."""
+    trace = Window.partitionBy("trace_id")
+    along = trace.orderBy("event_s", "event_id")
+    service, bad = F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("service")), F.col("level").isin("ERROR", "FATAL")
+    rows = _events(spark, sf_dir).filter("trace_id <> ''").select(
+        F.col("trace_id").alias("incident"), F.row_number().over(along).alias("place"), "event_id", "level", service.alias("service"), "message", F.col("exception_class").alias("class"), bad.alias("bad"),
+        F.max(bad).over(trace).alias("failed"), F.when(bad, F.sum(bad.cast("int")).over(along)).alias("rank"),
+    )
+    timeline = lineage.cut(rows.filter("failed").drop("failed"))
+    first = timeline.filter("rank = 1").select("incident", "service", F.when(F.col("place") % 2 == 0, "").otherwise(F.col("message")).alias("root_cause"))
+    incidents = first.withColumn("trace_id", F.when(F.substring("incident", 4, 20).cast("int") % 3 == 0, "").otherwise(F.col("incident")))
+    ranked = timeline.filter("bad").withColumn("place", F.col("rank"))
+    return incidents, ranked.select("incident", "place", "class"), timeline.drop("bad", "rank"), ranked.select("incident", "place", "service", "message")
 
 
 def _hypotheses(spark, sf_dir):
     incidents, classes, timeline, candidates = _analysed(spark, sf_dir)
     nodes, edges = incident_graph.dynamic_graph(incidents, classes, timeline, candidates)
+    nodes = lineage.cut(nodes)
     said = candidates.filter("place <= 3").select("incident", F.col("place").alias("rank"), F.col("service").alias("candidate"), F.col("message").alias("summary"))
-    said = said.withColumn("chain", F.collect_list("candidate").over(Window.partitionBy("incident").orderBy("rank")))
+    said = lineage.cut(said.withColumn("chain", F.collect_list("candidate").over(Window.partitionBy("incident").orderBy("rank"))))
     return nodes, edges, *incident_graph.hypothesis_graph(said, nodes)
 
 
@@ -67,7 +71,7 @@ def hypothesis_edges(spark, sf_dir):
 
 @_query(f"WITH {_G} SELECT a.source AS incident, a.target AS hypothesis, a.place AS rank, b.target AS candidate FROM hg a LEFT JOIN hg b ON b.source = a.target AND b.type = 'CANDIDATE_CAUSE' WHERE a.type = 'HAS_HYPOTHESIS'")
 def stored_hypotheses(spark, sf_dir):
-    return incident_graph.stored_hypotheses(_hypotheses(spark, sf_dir)[3])
+    return incident_graph.stored_hypotheses(lineage.cut(_hypotheses(spark, sf_dir)[3]))
 
 
 @_query(f"""WITH {_G}, an AS (SELECT id, kind FROM gn UNION SELECT node, 'RCAHypothesis' FROM hy), ae AS (SELECT * FROM ge UNION ALL SELECT * FROM hg), li AS (SELECT source AS id, target AS other, type FROM ae UNION ALL SELECT target, source, type FROM ae), st AS (SELECT own AS incident FROM ic),
@@ -79,6 +83,6 @@ def stored_hypotheses(spark, sf_dir):
   SELECT a.incident, source, target, type, place FROM ae JOIN fo a ON a.id = source JOIN fo b ON b.id = target AND b.incident = a.incident""")
 def incident_parts(spark, sf_dir):
     nodes, edges, made, more = _hypotheses(spark, sf_dir)
-    nodes, edges = lineage.cut(nodes.unionByName(made)), lineage.cut(edges.unionByName(more))
+    nodes, edges = nodes.unionByName(made), lineage.cut(edges.unionByName(more))
     incidents = nodes.filter("kind = 'Incident'").select(F.col("id").alias("incident"))
     return incident_graph.incident_part(nodes, edges, incidents, events=3)[1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text_rules
-from ..operators import incidents, reports, time_windows
+from ..operators import incidents, lineage, reports, time_windows
 from .registry import _COUNTS, _EV, _FLAGS, _MASK, _MEMBERS, _ORDERS, _SCORED, _events, _incidents, _members, _query, _table, _windows
 
 _FEATURES = f"""{_EV}, t AS (SELECT event_s // 60 * 60 AS step, service || '::' || {_MASK} AS feature, count(*) AS n FROM ev GROUP BY 1, 2), w AS (SELECT step - 60 * i AS window_start, feature, n FROM t, (SELECT unnest(range(5)) AS i)),
@@ -50,7 +50,7 @@ cd AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY first DESC, sco
 
 def _first(spark, sf_dir):
     members = _members(spark, sf_dir)
-    return members, incidents.root_candidates(incidents.candidate_scores(members))
+    return members, incidents.root_candidates(lineage.cut(incidents.candidate_scores(members)))
 
 
 @_query(f"""WITH {_CANDIDATES}, x AS (SELECT region, trace_id, count(*) AS n FROM m WHERE trace_id <> '' GROUP BY 1, 2), q AS (SELECT region, arg_min(trace_id, struct_pack(a := -n, b := trace_id)) AS primary_trace FROM x GROUP BY region),
@@ -152,23 +152,103 @@ def step_frequency(spark, sf_dir):
     return reports.step_frequency(_table(spark, sf_dir, "orders").select(F.expr(said).alias("said")), text_rules.steps(F.col("said")))
 
 
-# --- root causes: the errors of every fifth event as incidents of their service, over a small graph of services ----------
-
-
-@_query()
+# --- root causes: every error as an incident of its service; nations are redis clusters of suppliers, regions databases and queues ----
+
+_LATE = "regexp_matches(t, 'timeout|timed out')"
+_REDIS, _REFUSED = "regexp_matches(t, 'redis|lettuce|jedis')", "regexp_matches(t, 'connection refused|redisconnectionexception|cannot connect|connection reset|nic link down')"
+_POOL, _STORE, _DEAD, _WAIT = "regexp_matches(t, 'hikaripool|hikari')", "regexp_matches(t, 'mysql|jdbc|sql')", "regexp_matches(t, 'deadlock|mysqltransactionrollbackexception')", "contains(t, 'lock wait timeout')"
+_PLAIN = f"{_STORE} AND NOT {_DEAD} AND NOT {_WAIT} AND NOT {_POOL}"
+_REDIS_KINDS, _DB_KINDS, _BOXES = "Cache Cluster Instance Host Database Middleware", "Database Cluster Instance Host", "Host Instance Pod VM"
+# Mode, condition on the lowered text t, tokens, kinds, base, whether it is told by a timeout alone.
+_MODES = (
+    ("JVM_OOM", "regexp_matches(t, 'outofmemoryerror|java heap space|metaspace|gc overhead limit')", "", "Service Pod Instance", 0.44, "false"),
+    ("REDIS_UNREACHABLE", f"{_REDIS} AND {_REFUSED}", "redis lettuce jedis", _REDIS_KINDS, 0.46, "false"),
+    ("REDIS_TIMEOUT", f"{_REDIS} AND NOT {_REFUSED} AND regexp_matches(t, 'timeout|timed out|querytimeoutexception|rediscommandtimeoutexception')", "redis lettuce jedis", _REDIS_KINDS, 0.30, "true"),
+    ("DB_POOL_EXHAUSTED", f"{_POOL} AND regexp_matches(t, 'connection is not available|sqltransientconnectionexception|timed out after')", "hikari hikaripool database mysql jdbc", "Database Service Cluster Host", 0.42, "true"),
+    ("DB_DEADLOCK", f"{_STORE} AND {_DEAD}", "mysql database 数据库 jdbc", _DB_KINDS, 0.48, "false"),
+    ("DB_LOCK_TIMEOUT", f"{_STORE} AND NOT {_DEAD} AND {_WAIT}", "mysql database 数据库 jdbc", _DB_KINDS, 0.44, "true"),
+    ("DATABASE_UNREACHABLE", f"{_PLAIN} AND contains(t, 'connection refused')", "mysql database 数据库 jdbc hikari", _DB_KINDS, 0.38, _LATE),
+    ("DATABASE_FAILURE", f"{_PLAIN} AND NOT contains(t, 'connection refused')", "mysql database 数据库 jdbc hikari", _DB_KINDS, 0.38, _LATE),
+    ("MESSAGE_BROKER_FAILURE", "regexp_matches(t, 'kafka|rabbitmq|rocketmq|alreadyclosedexception|amqp')", "kafka rabbitmq rocketmq mq amqp", "Queue Cluster Instance Host Middleware", 0.40, _LATE),
+    ("DISK_IO_FAILURE", "regexp_matches(t, 'read-only file system|readonly filesystem') OR contains(t, 'ioexception') AND regexp_matches(t, 'disk|file system|filesystem|/var/|physical-host')", "disk filesystem physical-host host", _BOXES, 0.46, "false"),
+    ("CPU_OVERLOAD", "regexp_matches(t, 'cpu 100%|cpu load|thread contention') AND regexp_matches(t, 'physical-host|host|pod|node')", "cpu physical-host host load", _BOXES, 0.42, "true"),
+    ("NETWORK_FAILURE", "regexp_matches(t, 'nic link down|network packet loss|hardware host crash') OR regexp_matches(t, 'physical-host|host') AND regexp_matches(t, 'connectexception|unreachable|disconnected|packet loss')", "physical-host host nic network", "Host Instance VM Cluster", 0.48, "false"),
+    ("AUTH_FAILURE", "regexp_matches(t, ' 401 |unauthorized|invalid oauth|expired signature|invalid token|token expired')", "", "Service API Component", 0.40, "false"),
+    ("CIRCUIT_BREAKER_OPEN", "regexp_matches(t, 'circuit breaker|circuitbreaker|hystrix|resilience4j') AND regexp_matches(t, 'open|tripped|short-circuit|fallback')", "", "Service API Component Middleware", 0.30, "false"),
+)
+
+
+def _signal(place: int, mode: str, holds: str, tokens: str, kinds: str, base: float, late: str) -> str:
+    return f"{{place: {place}, mode: '{mode}', holds: {holds}, tokens: string_split('{tokens}', ' '), plain: {str(not tokens).lower()}, kinds: string_split('{kinds}', ' '), base: {base}::DOUBLE, late: {late}}}"
+
+
+_ARCHITECTURE = """SELECT DISTINCT service AS name, 'Service' AS kind, '' AS host FROM {ev} UNION ALL SELECT 'redis-' || replace(lower(n_name), ' ', '-'), 'Cluster', '' FROM {nation}
+  UNION ALL SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'mysql-' ELSE 'rabbitmq-' END || replace(lower(r_name), ' ', '-'), CASE WHEN r_regionkey % 2 = 0 THEN 'Database' ELSE 'Queue' END, '' FROM {region}
+  UNION ALL SELECT 'redis-' || CAST(s_suppkey AS STRING), 'Instance', 'redis-' || CAST(s_suppkey AS STRING) FROM {supplier}"""
+_DEPENDENCIES = """SELECT service AS source, 'redis-' || replace(lower(n_name), ' ', '-') AS target, 'DEPENDS_ON' AS type FROM (SELECT DISTINCT service FROM {ev}) JOIN {nation} ON 'svc-' || CAST(n_nationkey % 6 AS STRING) = service
+  UNION ALL SELECT service, CASE WHEN r_regionkey % 2 = 0 THEN 'mysql-' ELSE 'rabbitmq-' END || replace(lower(r_name), ' ', '-'), 'DEPENDS_ON' FROM (SELECT DISTINCT service FROM {ev}) JOIN {region} ON 'svc-' || CAST(r_regionkey AS STRING) = service
+  UNION ALL SELECT a.service, b.service, 'CALLS' FROM (SELECT DISTINCT service FROM {ev}) a JOIN (SELECT DISTINCT service FROM {ev}) b ON CAST(substr(a.service, 5) AS INT) + 1 = CAST(substr(b.service, 5) AS INT)
+  UNION ALL SELECT 'redis-' || replace(lower(n_name), ' ', '-'), 'redis-' || CAST(s_suppkey AS STRING), 'HAS_MEMBER' FROM {nation} JOIN {supplier} ON s_nationkey = n_nationkey"""
+_PLAIN_NAMES = {"ev": "ev", "nation": "nation", "region": "region", "supplier": "supplier"}
+_RCA = rf"""WITH RECURSIVE {_EV}, nodes AS ({_ARCHITECTURE.format(**_PLAIN_NAMES).replace('STRING', 'VARCHAR')}), edges AS ({_DEPENDENCIES.format(**_PLAIN_NAMES).replace('STRING', 'VARCHAR')}),
+every AS (SELECT 'I' || event_id AS incident, service, message, lower(message) AS t, 'svc-' || ((user_id + 5) % 6) AS caller FROM ev WHERE level IN ('ERROR', 'FATAL')),
+inc AS (SELECT DISTINCT md5(service || '|' || caller || '|' || message) AS incident, service, message, t, caller FROM every),
+shown AS (SELECT *, list_filter([{', '.join(_signal(i, *m) for i, m in enumerate(_MODES))}], lambda x: x.holds) AS found FROM inc),
+sg AS (SELECT incident, unnest(CASE WHEN len(found) > 0 THEN found WHEN regexp_matches(t, 'timeout|timed out|connection refused|connection reset') THEN [{_signal(90, 'DEPENDENCY_FAILURE', 'true', '', 'Database Cache Queue Middleware Cluster Instance Host Service', 0.22, _LATE)}]
+  ELSE [{_signal(91, 'APPLICATION_ERROR', 'true', '', 'Service API Component', 0.18, 'false')}] END, recursive := true) FROM shown),
+en AS (SELECT DISTINCT incident, lower(e) AS endpoint FROM (SELECT incident, unnest(list_concat(list_concat(regexp_extract_all(message, '\b(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?::[0-9]{{2,5}})?\b'), list_filter(regexp_extract_all(message, '\b[a-zA-Z][a-zA-Z0-9_.-]{{1,80}}:[0-9]{{2,5}}\b'), lambda x: NOT regexp_full_match(lower(x), 'https?:[0-9]+'))),
+    regexp_extract_all(message, '(?i)\b(?:host|hostname|node|instance|endpoint|server|redis)\s*[=:]\s*([a-z0-9_.-]+(?::[0-9]{{2,5}})?)', 1))) AS e FROM inc)),
+ids AS (SELECT name, lower(name) AS id FROM nodes UNION SELECT name, host FROM nodes WHERE host <> '' UNION SELECT name, host || ':6379' FROM nodes WHERE host <> ''),
+em AS (SELECT incident, name, min(endpoint) AS endpoint FROM en JOIN ids ON id = endpoint OR NOT contains(endpoint, ':') AND string_split(id, ':')[1] = endpoint GROUP BY ALL),
+tx AS (SELECT name, kind, lower(name || ' ' || kind || '  ' || CASE WHEN host <> '' THEN '{{"host":"' || host || '","port":"6379"}}' ELSE '' END) AS own FROM nodes),
+walk AS (SELECT name AS seed, name AS node, [name] AS path FROM nodes WHERE kind = 'Service' UNION ALL SELECT seed, target, list_append(path, target) FROM walk JOIN edges ON source = node WHERE len(path) < 6 AND NOT list_contains(path, target)),
+pt AS (SELECT seed, node AS name, arg_min(path, struct_pack(a := len(path), b := path)) AS path FROM walk GROUP BY ALL),
+near AS (SELECT incident, service AS anchor, name, path FROM inc JOIN pt ON seed = service),
+ctx AS (SELECT seed, pt.name, string_agg(own, ' ') AS context FROM (SELECT seed, name, unnest(path) AS step FROM pt) pt JOIN tx ON tx.name = step GROUP BY ALL),
+pr AS (SELECT sg.incident, sg.place, tx.name, true AS told FROM sg JOIN tx ON NOT plain AND len(list_filter(tokens, lambda k: contains(own, k))) > 0 UNION ALL SELECT sg.incident, place, name, false FROM sg JOIN near ON near.incident = sg.incident UNION ALL SELECT sg.incident, place, name, false FROM sg JOIN em ON em.incident = sg.incident),
+pu AS (SELECT incident, place, name, bool_or(told) AS told FROM pr GROUP BY ALL),
+pm AS (SELECT sg.*, pu.name, told, tx.kind, near.path, inc.service AS anchor, em.endpoint, list_contains(kinds, tx.kind) AS fits,
+    len(list_filter(tokens, lambda k: contains(coalesce(context, ''), k))) > 0 AS on_way
+  FROM pu JOIN sg ON sg.incident = pu.incident AND sg.place = pu.place JOIN inc ON inc.incident = pu.incident JOIN tx ON tx.name = pu.name LEFT JOIN near ON near.incident = pu.incident AND near.name = pu.name
+  LEFT JOIN ctx ON ctx.seed = inc.service AND ctx.name = pu.name AND near.path IS NOT NULL LEFT JOIN em ON em.incident = pu.incident AND em.name = pu.name),
+pf AS (SELECT *, CASE WHEN plain THEN CASE WHEN fits AND path IS NOT NULL THEN 1 ELSE 0 END WHEN told THEN 2 WHEN fits AND on_way THEN 1 ELSE 0 END AS match FROM pm),
+ps AS (SELECT incident, name, kind, mode, place, path, endpoint, anchor, late, least(greatest(base + CASE match WHEN 2 THEN 0.16::DOUBLE WHEN 1 THEN 0.04::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN fits THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END
+    + CASE WHEN path IS NOT NULL THEN greatest(0.05::DOUBLE, 0.18::DOUBLE - greatest(len(path) - 2, 0) * 0.025::DOUBLE) ELSE 0.0::DOUBLE END + CASE WHEN endpoint IS NOT NULL THEN 0.27::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN kind = 'Cluster' THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END
+    - CASE WHEN kind IN ('Instance', 'Host', 'Pod') AND endpoint IS NULL AND mode NOT IN ('JVM_OOM', 'DISK_IO_FAILURE', 'CPU_OVERLOAD', 'NETWORK_FAILURE', 'DB_POOL_EXHAUSTED') THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END
+    + CASE WHEN name = anchor AND path IS NOT NULL THEN 0.04::DOUBLE ELSE 0.0::DOUBLE END, 0.05::DOUBLE), 0.98::DOUBLE) AS score FROM pf WHERE endpoint IS NOT NULL OR match > 0 AND NOT (kind = 'Service' AND match < 2)
+  UNION ALL SELECT sg.incident, service, 'Service', mode, place - 100, [service], NULL, service, late, least(base + 0.34::DOUBLE, 0.90::DOUBLE) FROM sg JOIN inc ON inc.incident = sg.incident WHERE mode IN ('JVM_OOM', 'AUTH_FAILURE', 'CIRCUIT_BREAKER_OPEN')),
+bs AS (SELECT incident, name, arg_max(ps, struct_pack(a := score, b := -place)) AS b, count(*) AS signals FROM ps GROUP BY ALL),
+cd AS (SELECT incident, name, signals, b.kind, b.mode, b.path, b.endpoint, b.anchor, b.late, CASE WHEN signals > 1 THEN least(b.score + least((signals - 1) * 0.03::DOUBLE, 0.09::DOUBLE), 0.98::DOUBLE) ELSE b.score END AS score FROM bs),
+lf AS (SELECT inc.incident, service, arg_min(sg, place) AS s, (SELECT min(endpoint) FROM en WHERE en.incident = inc.incident) AS spot FROM inc JOIN sg ON sg.incident = inc.incident WHERE inc.incident NOT IN (SELECT incident FROM cd) GROUP BY ALL),
+al AS (SELECT * FROM cd UNION ALL SELECT incident, CASE WHEN lost THEN '未知组件@' || spot ELSE service END, 0, CASE WHEN lost THEN 'UnresolvedDependency' ELSE 'Service' END, s.mode, [service], NULL, service, s.late, CASE WHEN lost THEN least(s.base + 0.05::DOUBLE, 0.38::DOUBLE) ELSE least(s.base + 0.12::DOUBLE, 0.45::DOUBLE) END
+  FROM (SELECT *, spot IS NOT NULL AND s.mode IN ('MESSAGE_BROKER_FAILURE', 'REDIS_UNREACHABLE', 'DATABASE_UNREACHABLE') AS lost FROM lf)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY score DESC, name) AS rank, round(score, 3) AS shown FROM al QUALIFY rank <= 5),
+up AS (SELECT inc.incident, list_reverse(path) AS callers FROM inc JOIN pt ON seed = caller AND pt.name = service AND caller <> service AND len(path) <= 5),
+mc AS (SELECT source AS name, count(DISTINCT target) AS n FROM edges WHERE type = 'HAS_MEMBER' GROUP BY source),
+out AS (SELECT rk.*, callers, coalesce(list_reverse(path), [rk.name]) AS way, coalesce(mc.n, 0) AS members FROM rk LEFT JOIN up ON up.incident = rk.incident LEFT JOIN mc ON mc.name = rk.name)
+SELECT every.incident, rank, out.name AS candidate, kind, mode, shown AS score, CASE WHEN shown >= 0.75 THEN 'probable' WHEN shown >= 0.5 THEN 'suspected' ELSE 'weak' END AS status,
+  array_to_string(CASE WHEN way[len(way)] = callers[1] THEN list_concat(way, callers[2:]) ELSE way END, '>') AS chain,
+  concat_ws(',', CASE WHEN path IS NULL AND out.name <> anchor THEN 'no_path' END, CASE WHEN late THEN 'timeout_only' END, CASE WHEN members > 0 AND out.incident NOT IN (SELECT incident FROM en) THEN 'member_unknown' END,
+    CASE WHEN kind IN ('Instance', 'Host', 'Pod') AND endpoint IS NULL THEN 'no_endpoint' END, CASE WHEN signals = 0 THEN 'no_dependency' END) AS missing
+FROM every JOIN out ON out.incident = md5(every.service || '|' || every.caller || '|' || every.message)"""
+
+
+def _architecture(spark, sf_dir):
+    """Nodes and dependencies of the services that the log names."""
+    t = {n: _table(spark, sf_dir, n) for n in ("nation", "region", "supplier")} | {"ev": _events(spark, sf_dir).select("service").distinct()}
+    names = {n: "{" + n + "}" for n in t}
+    meta = F.when(F.col("host") != "", F.create_map(F.lit("host"), F.col("host"), F.lit("port"), F.lit("6379")))
+    nodes = spark.sql(_ARCHITECTURE.format(**names), **t).select("name", "kind", F.lit("").alias("description"), meta.alias("meta"))
+    return nodes, spark.sql(_DEPENDENCIES.format(**names), **t)
+
+
+@_query(_RCA)
 def root_causes(spark, sf_dir):
     from ..operators import rca
 
-    rows = _events(spark, sf_dir).filter("level in ('ERROR', 'FATAL') and event_id % 5 = 0")
-    found = rows.select(F.concat(F.lit("I"), F.col("event_id").cast("string")).alias("incident"), "service", F.col("message").alias("evidence"), F.array(F.concat(F.lit("svc-"), ((F.col("user_id") + 1) % 6).cast("string"))).alias("callers"))
-    kinds = F.expr("case when id < 6 then 'Service' when id = 6 then 'Cluster' when id < 10 then 'Instance' when id = 10 then 'Database' else 'Queue' end")
-    names = F.expr("case when id < 6 then 'svc-' || id when id = 6 then 'redis-main' when id < 10 then 'redis-' || (id - 6) when id = 10 then 'mysql-orders' else 'rabbitmq-bus' end")
-    nodes = spark.range(12).select(names.alias("name"), kinds.alias("kind"), F.lit("").alias("description"), F.when(F.col("id").between(7, 9), F.create_map(F.lit("host"), F.concat(F.lit("redis-"), (F.col("id") - 6).cast("string")), F.lit("port"), F.lit("6379"))).alias("meta"))
-    services = spark.range(6).select(F.concat(F.lit("svc-"), F.col("id").cast("string")).alias("source"), "id")
-    target = F.expr("case id when 0 then 'redis-main' when 1 then 'mysql-orders' when 2 then 'rabbitmq-bus' else 'svc-' || (id - 3) end")
-    members = spark.range(1, 4).select(F.lit("redis-main").alias("source"), F.concat(F.lit("redis-"), F.col("id").cast("string")).alias("target"), F.lit("HAS_MEMBER").alias("type"))
-    edges = services.select("source", target.alias("target"), F.lit("DEPENDS_ON").alias("type")).unionByName(members)
-    return rca.hypotheses(found, nodes, edges)
+    caller = F.concat(F.lit("svc-"), ((F.col("user_id") + 5) % 6).cast("string"))
+    found = _events(spark, sf_dir).filter("level in ('ERROR', 'FATAL')").select(F.concat(F.lit("I"), F.col("event_id").cast("string")).alias("incident"), "service", F.col("message").alias("evidence"), F.array(caller).alias("callers"))
+    return rca.hypotheses(found, *_architecture(spark, sf_dir)).withColumn("chain", F.array_join("chain", ">"))
 
 
 # --- what a batch says in sentences ---------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import log_text
-from ..operators import graph, incidents, models, reports, time_windows
+from ..operators import graph, incidents, lineage, models, reports, time_windows
 from ..sources import log_events
 
 QUERIES: dict = {}
@@ -65,8 +65,13 @@ def _windows(spark, sf_dir) -> DataFrame:
     return time_windows.flag_windows(time_windows.window_counts(_events(spark, sf_dir)))
 
 
+def _regions(spark, sf_dir) -> DataFrame:
+    """The regions, checkpointed, as they are few and what is asked of their members would plan them anew each time."""
+    return lineage.cut(time_windows.anomaly_regions(_windows(spark, sf_dir)))
+
+
 def _members(spark, sf_dir) -> DataFrame:
-    return incidents.in_regions(_events(spark, sf_dir), time_windows.anomaly_regions(_windows(spark, sf_dir)))
+    return incidents.in_regions(_events(spark, sf_dir), _regions(spark, sf_dir))
 
 
 # --- windows ----------------------------------------------------------------------------------------------------------
@@ -77,6 +82,14 @@ def window_counts(spark, sf_dir):
     return time_windows.window_counts(_events(spark, sf_dir))
 
 
+@_query(f"""WITH {_F}, w AS (SELECT event_s // 60 * 60 - 60 * i AS window_start, service, trace_id, level IN ('ERROR', 'FATAL', 'WARN') AS signal FROM f, (SELECT unnest(range(5)) AS i)), v AS (SELECT * FROM w WHERE window_start >= (SELECT min(event_s) // 60 * 60 FROM f)),
+  b AS (SELECT window_start, bool_or(signal) AS signals FROM v GROUP BY 1), x AS (SELECT v.* FROM v JOIN b ON b.window_start = v.window_start AND (signal OR NOT signals)), t AS (SELECT window_start, trace_id, count(*) AS n FROM x WHERE trace_id <> '' GROUP BY 1, 2),
+  p AS (SELECT window_start, string_agg(trace_id, ',' ORDER BY n DESC, trace_id) AS trace_ids FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY window_start ORDER BY n DESC, trace_id) <= 10) GROUP BY 1)
+  SELECT x.window_start, string_agg(DISTINCT service, ',' ORDER BY service) AS services, coalesce(any_value(trace_ids), '') AS trace_ids FROM x LEFT JOIN p ON p.window_start = x.window_start GROUP BY 1""")
+def window_annotations(spark, sf_dir):
+    return time_windows.window_annotations(_events(spark, sf_dir))
+
+
 @_query(f"WITH {_FLAGS} SELECT * FROM g")
 def window_flags(spark, sf_dir):
     return _windows(spark, sf_dir)
@@ -188,12 +201,6 @@ def unassigned_errors(spark, sf_dir):
     return incidents.unassigned_errors(_events(spark, sf_dir), _members(spark, sf_dir)).select("event_id", "level", "service")
 
 
-@_query(f"""WITH {_MEMBERS} SELECT r.region, count(*) AS n, min(event_s) AS first_s, max(event_s) AS last_s FROM r JOIN f ON event_s >= region_start - 60 AND event_s < region_end + 120 GROUP BY r.region""")
-def context_join(spark, sf_dir):
-    near = incidents.in_regions(_events(spark, sf_dir), time_windows.anomaly_regions(_windows(spark, sf_dir)), before=60, after=120)
-    return near.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("event_s").alias("first_s"), F.max("event_s").alias("last_s"))
-
-
 _SCORED = _MEMBERS + """, k AS (SELECT *, regexp_extract(message, '([A-Za-z_$][A-Za-z0-9_.$]*(Exception|Error))', 1) AS class FROM m WHERE is_error),
 e AS (SELECT *, coalesce(nullif(class, ''), family) AS exception_key, min(event_s) OVER (PARTITION BY region) AS start_s, count(*) OVER (PARTITION BY region, coalesce(nullif(class, ''), family)) AS same FROM k),
 sc AS (SELECT *, round(CASE level WHEN 'FATAL' THEN 7.0::DOUBLE ELSE 5.0::DOUBLE END + CASE WHEN class <> '' THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN is_atomic THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END
@@ -208,7 +215,20 @@ def candidate_scores(spark, sf_dir):
 @_query(f"""WITH {_SCORED}, a AS (SELECT *, row_number() OVER (PARTITION BY region, exception_key ORDER BY score DESC, event_s, event_id) = 1 AS first FROM sc),
   p AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY first DESC, score DESC, event_s, event_id) AS place FROM a) SELECT region, place, event_id, family, score FROM p WHERE place <= 30""")
 def root_candidates(spark, sf_dir):
-    return incidents.root_candidates(incidents.candidate_scores(_members(spark, sf_dir)))
+    return incidents.root_candidates(lineage.cut(incidents.candidate_scores(_members(spark, sf_dir))))
+
+
+@_query(f"""WITH {_SCORED}, a AS (SELECT *, row_number() OVER (PARTITION BY region, exception_key ORDER BY score DESC, event_s, event_id) = 1 AS first FROM sc),
+  top AS (SELECT region, event_id FROM a QUALIFY row_number() OVER (PARTITION BY region ORDER BY first DESC, score DESC, event_s, event_id) = 1), sp AS (SELECT region, min(event_s) AS lo, max(event_s) AS hi FROM sc GROUP BY region),
+  tr AS (SELECT DISTINCT region, trace_id, region_start, region_end FROM sc WHERE trace_id <> ''), al AS (SELECT region, event_id, is_error FROM sp JOIN f ON event_s BETWEEN lo - 60 AND hi + 120
+    UNION SELECT region, event_id, is_error FROM tr JOIN f ON f.trace_id = tr.trace_id AND event_s >= region_start AND event_s < region_end UNION SELECT region, event_id, true FROM sc)
+  SELECT al.region, al.event_id, CASE WHEN top.event_id IS NOT NULL THEN 'root_candidate' WHEN sc.event_id IS NOT NULL THEN 'error' WHEN al.is_error THEN 'related_error' ELSE 'context' END AS role
+  FROM al LEFT JOIN sc ON sc.region = al.region AND sc.event_id = al.event_id LEFT JOIN top ON top.region = al.region AND top.event_id = al.event_id""")
+def context_join(spark, sf_dir):
+    """The events of each region's incident with their roles; its errors are the primary ones."""
+    regions = _regions(spark, sf_dir)
+    scored = lineage.cut(incidents.candidate_scores(incidents.in_regions(_events(spark, sf_dir), regions)))
+    return incidents.incident_context(_events(spark, sf_dir), regions, scored, incidents.root_candidates(scored))
 
 
 @_query(f"""WITH {_SCORED} SELECT region, exception_key, count(*) AS n, min(event_s) AS first_s, max(event_s) AS last_s, count(DISTINCT service) AS n_services,
@@ -426,4 +446,4 @@ def isolation_forest(spark, sf_dir):
     return models.contaminated(models.isolation_scores(found, "vec_id", "vector"))
 
 
-from . import architecture_queries, graph_queries, incident_graph_queries, incident_queries, text_queries  # noqa: E402, F401  put their queries in
+from . import architecture_queries, graph_queries, grounding_queries, incident_graph_queries, incident_queries, text_queries  # noqa: E402, F401  put their queries in

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import text_rules
-from ..operators import compression, episodes, incidents
+from ..operators import compression, episodes, incidents, templates
 from .registry import _EV, ORACLE_SQL, _events, _query, _table
 
 _CLASS = "regexp_extract(message, '([A-Za-z_$][A-Za-z0-9_.$]*(Exception|Error))', 1)"
@@ -82,9 +81,10 @@ ma AS (SELECT key, lo AS place, 'timeline_start' AS reason FROM en UNION SELECT
 
 
 def _timelines(spark, sf_dir):
+    """The scored events in their timelines, checkpointed, as several choices are made of them."""
     scored = incidents.importance_scores(_events(spark, sf_dir)).withColumn("key", F.col("user_id") % 40)
-    place = F.row_number().over(Window.partitionBy("key").orderBy("event_s", "event_id")) - 1
-    return scored.select("key", place.cast("long").alias("place"), "level", "service", "signature", "message", "score")
+    rows = scored.select("key", "event_s", "event_id", "level", "service", "signature", "message", "trace_id", "score")
+    return compression.numbered(rows, "key", ["event_s", "event_id"]).select("key", "place", "event_id", "level", "service", "signature", "message", "trace_id", "score")
 
 
 @_query(f"WITH {_ANCHORS} SELECT key, place, string_agg(reason, ',' ORDER BY reason) AS reasons FROM ma GROUP BY key, place")
@@ -137,9 +137,7 @@ def timeline_relevance(spark, sf_dir):
 
 
 def _diverse(spark, sf_dir):
-    scored = incidents.importance_scores(_events(spark, sf_dir)).withColumn("key", F.col("user_id") % 40)
-    place = (F.row_number().over(Window.partitionBy("key").orderBy("event_s", "event_id")) - 1).cast("long")
-    rows = scored.select("key", place.alias("place"), "event_id", "level", "service", "signature", "message", "trace_id", "score")
+    rows = _timelines(spark, sf_dir)
     return rows, compression.diverse(rows, compression.mandatory(rows))
 
 
@@ -176,5 +174,11 @@ def fault_episodes(spark, sf_dir):
 
 @_query()
 def message_templates(spark, sf_dir):
-    rows = _events(spark, sf_dir)
-    return episodes.templates(rows, episodes.mine_templates(rows))
+    """Templates by similarity alone."""
+    return templates.mined(_events(spark, sf_dir), tree=False)[0]
+
+
+@_query()
+def template_tree(spark, sf_dir):
+    """Templates by the prefix tree."""
+    return templates.mined(_events(spark, sf_dir))[0]

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import itertools
-import re
-import zipfile
-from pathlib import PurePosixPath
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text_rules
+from . import log_files
+from .log_files import MAX_BYTES, MAX_MEMBERS
 
 # The grammar of a log line, of trace ids, of targets and of exception lines.
 HEADER = r"^((?:\d{2}/\d{2}/\d{2}|\d{4}[-/]\d{2}[-/]\d{2})\s+\d{2}:\d{2}:\d{2}\.\d{3})\s+(TRACE|DEBUG|INFO|WARN|ERROR|FATAL)\s+---\s+\[([^\]]+)\]\s+(.*?)\s*:\s*(.*)$"
@@ -22,8 +17,6 @@ DOWNSTREAM = r"(?i)\b(?:downstream|target\s+physical\s+host|target\s+host|target
 CLASS = r"([A-Za-z_$][\w.$]*(?:Exception|Error))\b"
 EXCEPTION_HEADER = r"(?i)^(?:(Caused by|Suppressed)\s*:\s*)?([A-Za-z_$][\w.$]*(?:Exception|Error))(?::\s*(.*))?$"
 FORMATS = ("yy/MM/dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy/MM/dd HH:mm:ss.SSS")
-#: Limits of a zip file: members, bytes of all of them, and how much one of more than 10 MiB may shrink.
-MAX_MEMBERS, MAX_BYTES, MAX_RATIO, RATIO_FROM = 2000, 1000 << 20, 500, 10 << 20
 
 #: Log fields derived from the events table; the same text runs in Spark and DuckDB, apart from the seconds.
 ADAPTER = """
@@ -100,55 +93,38 @@ def with_exceptions(events: DataFrame) -> DataFrame:
     )
 
 
-def text_lines(spark: SparkSession, path: str, include=("*.log",), exclude=("*-err.log", "*-debug.log")) -> DataFrame:
+def text_lines(spark: SparkSession, path: str, include=("*.log",), exclude=("*-err.log", "*-debug.log"), **options) -> DataFrame:
     """source_file, part, line, text of the lines of all files under a folder whose names match, lines counted from 1.
 
-    Files are read in parts, as Spark splits them. Rows of a part are numbered as they are read; only the parts' line counts
-    are summed up in the order of a file."""
-    def named(patterns):
-        return "|".join("^" + re.escape(p).replace(r"\*", ".*").replace(r"\?", ".") + "$" for p in patterns)
-
-    rows = spark.read.option("recursiveFileLookup", True).text(path).select(
-        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("_row"), F.regexp_replace("value", r"\r$", "").alias("text")
-    )
-    name = F.element_at(F.split("source_file", "/"), -1)
-    rows = rows.filter(name.rlike(named(include)))
-    rows = rows.filter(~name.rlike(named(exclude))) if exclude else rows
-    parts = rows.groupBy("source_file", "part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    Files are read in ranges of bytes. Lines of a part are numbered as they are read; only the parts' line counts are summed
+    up in the order of a file. options: encoding, errors and rangeBytes of the source."""
+    rows = log_files.load(spark, path, include=include, exclude=exclude, **options)
+    parts = rows.groupBy("source_file", "part").agg(F.max("line").alias("_n"))
     before = Window.partitionBy("source_file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return rows.join(parts, ["source_file", "part"]).select("source_file", "part", (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("line"), "text")
+    return rows.join(parts, ["source_file", "part"]).select("source_file", "part", (F.col("_before") + F.col("line")).alias("line"), "text")
 
 
-def zip_lines(spark: SparkSession, path: str, max_members: int = MAX_MEMBERS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """source_file (member), part, line, text of the .log and .txt members of zip files; nothing is unpacked to disk.
+def zip_lines(spark: SparkSession, path: str, max_members: int = MAX_MEMBERS, max_bytes: int = MAX_BYTES, **options) -> DataFrame:
+    """source_file (member), part, line, text of the .log and .txt members of zip files, a task a member; nothing is unpacked to disk.
 
     A zip file with a member of another kind, a path that leads out, too many members or bytes, or one that shrinks too much
     is refused as a whole, before any of it is read."""
+    return log_files.load(spark, path, kind="zip", maxMembers=max_members, maxBytes=max_bytes, **options).select("source_file", "part", "line", "text")
+
 
-    def run(batches):
-        for pdf in batches:
-            for archive, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as file:
-                    members = [m for m in file.infolist() if not m.is_dir()]
-                    if len(members) > max_members or sum(m.file_size for m in members) > max_bytes:
-                        raise ValueError(f"{archive}: more than {max_members} members or {max_bytes} bytes")
-                    for m in members:
-                        name = PurePosixPath(m.filename.replace("\\", "/"))
-                        if name.is_absolute() or ".." in name.parts or name.suffix.lower() not in (".log", ".txt"):
-                            raise ValueError(f"{archive}: refused member {m.filename}")
-                        if m.file_size > RATIO_FROM and m.file_size > MAX_RATIO * max(1, m.compress_size):
-                            raise ValueError(f"{archive}: {m.filename} shrinks too much")
-                    for m in members:
-                        with file.open(m) as lines:
-                            for first, some in enumerate(iter(lambda: list(itertools.islice(lines, 10_000)), [])):
-                                yield pd.DataFrame({
-                                    "source_file": m.filename, "part": 0, "line": range(10_000 * first + 1, 10_000 * first + len(some) + 1),
-                                    "text": [x.decode("utf-8", "replace").rstrip("\r\n") for x in some],
-                                })
-
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
-    return found.select("path", "content").mapInPandas(run, "source_file string, part long, line long, text string")
+def precheck(spark: SparkSession, path: str, include=("*.log", "*.txt"), exclude=(), **options) -> DataFrame:
+    """name, n of the files under a folder before they are analysed: lines, header_lines, unparsed_times (headers whose time fits
+    no format), files, and a row `level <name>` a level."""
+    rows = log_files.load(spark, path, include=include, exclude=exclude, **options)
+    stamp = event_time(F.regexp_extract("text", HEADER, 1))
+    head = F.col("text").rlike(HEADER)
+    counted = rows.groupBy("level").agg(F.count(F.lit(1)).alias("lines"), F.count_if(head).alias("headers"), F.count_if(head & stamp.isNull()).alias("unparsed"))
+    # A row a level.
+    listed = lambda name, n: F.struct(name.alias("name"), n.cast("long").alias("n"))
+    sums = counted.select(F.explode(F.array(listed(F.lit("lines"), F.col("lines")), listed(F.lit("header_lines"), F.col("headers")), listed(F.lit("unparsed_times"), F.col("unparsed")), listed(F.concat(F.lit("level "), "level"), F.col("lines")))).alias("x"))
+    files = rows.agg(F.count_distinct("source_file").alias("n")).select(F.lit("files").alias("name"), "n")
+    return sums.select("x.*").filter("name is not null").groupBy("name").agg(F.sum("n").alias("n")).unionByName(files)
 
 
 def assemble(lines: DataFrame) -> DataFrame:
@@ -185,9 +161,9 @@ def assemble(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_logs(spark: SparkSession, path: str, include=("*.log",), exclude=("*-err.log", "*-debug.log")) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, include=("*.log",), exclude=("*-err.log", "*-debug.log"), **options) -> DataFrame:
     """Multi-line log events of all files under a folder."""
-    return assemble(text_lines(spark, path, include, exclude))
+    return assemble(text_lines(spark, path, include, exclude, **options))
 
 
 def read_zips(spark: SparkSession, path: str, **limits) -> DataFrame:

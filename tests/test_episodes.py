@@ -50,24 +50,3 @@ def test_fault_episodes(spark):
     found = episodes.fault_episodes(spark.createDataFrame(rows, SCHEMA).repartition(7))
     assert {r.event_id: r.episode for r in found.collect()} == plain_episodes(rows)
     assert episodes.fault_episodes(spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def test_mined_templates(spark):
-    rnd = random.Random(5)
-    words = ["open", "file", "close", "failed", "for", "user", "disk", "x1"]
-    rows = [(i, i // 2, " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 3, 4])))) for i in range(400)] + [(999, 0, "took 12ms for 10.0.0.1")]
-    held, want = [], {}
-    for event_id, _, message in sorted(rows, key=lambda r: (r[1], r[0])):
-        tokens = message.replace("12ms", "<*>").replace("10.0.0.1", "<*>").split()
-        scores = [sum(a == b or "<*>" in (a, b) for a, b in zip(tokens, t)) / len(t) if len(t) == len(tokens) else 0.0 for t, _ in held]
-        at = max(range(len(held)), key=lambda i: (scores[i], -i), default=-1)
-        if at < 0 or scores[at] < 0.4:
-            held.append((tokens, event_id))
-            at = len(held) - 1
-        held[at] = ([a if a == b else "<*>" for a, b in zip(held[at][0], tokens)], held[at][1])
-        want[event_id] = held[at][1]
-    events = spark.createDataFrame(rows, "event_id long, event_s long, message string").repartition(5)
-    mined = episodes.mine_templates(events)
-    assert {r.event_id: r.first_id for r in mined.collect()} == want
-    shown = {r.first_id: r.template for r in episodes.templates(events, mined).collect()}
-    assert shown == {first: " ".join(tokens) for tokens, first in held}

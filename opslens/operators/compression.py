@@ -224,3 +224,16 @@ def relevance(rows: DataFrame) -> DataFrame:
         score = score + F.when(holds, n).otherwise(0)
     flag = lambda c: F.coalesce(c, F.lit(False))
     return rows.withColumns({"relevance": score.cast("long"), "mandatory": flag(same_time) | flag(candidate) | flag(rooted)})
+
+
+#: Relevance from which an event's neighbours are shown with it.
+AROUND = 50
+
+
+def relevant_context(rows: DataFrame, radius: int = CONTEXT) -> DataFrame:
+    """key, place of the rows (key, place, relevance) that are an anchor, or stand within the radius of one that is relevant
+    enough; anchors are the rows with a relevance above 0. Neighbours are joined by place, so no timeline is one task's work."""
+    anchors = rows.filter("relevance > 0").select("key", "place", "relevance")
+    offsets = F.when(F.col("relevance") >= AROUND, F.sequence(F.lit(-radius), F.lit(radius))).otherwise(F.array(F.lit(0)))
+    near = anchors.select("key", "place", F.explode(offsets).alias("_step")).select("key", (F.col("place") + F.col("_step")).alias("place")).distinct()
+    return near.join(rows.select("key", "place"), ["key", "place"], "left_semi")

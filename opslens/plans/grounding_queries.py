@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog, grounding, lineage
+from ..operators import catalog, checks, grounding, lineage
 from .incident_queries import _ARCHITECTURE, _PLAIN_NAMES, _architecture
 from .registry import _EV, _GRAPH, _events, _query, static_graph
 
@@ -106,6 +106,50 @@ def cluster_scope(spark, sf_dir):
     return grounding.cluster_scope(decisions, nodes, edges, _matches(spark, sf_dir, own))
 
 
+# --- checks: of every supplier one that its address fits, one with another's, one that names nothing, one that lacks a port ---
+
+_IP = "'10.0.' || CAST(s_nationkey AS STRING) || '.' || CAST(s_suppkey % 250 AS STRING)"
+_CHECKS = f"""SELECT 's:' || CAST(s_suppkey AS STRING) AS decision, p AS place, CASE WHEN p = 3 THEN 'no-' || CAST(s_suppkey AS STRING) WHEN p = 2 THEN lower(s_name) ELSE 's:' || CAST(s_suppkey AS STRING) END AS node, CASE WHEN p = 5 THEN ' ' ELSE 'check ' || CAST(p AS STRING) END AS action,
+  CASE p WHEN 1 THEN 'redis-cli -h [ip] -p [port] INFO' WHEN 2 THEN 'ping 10.9.9.9' WHEN 4 THEN 'curl --host=' || {_IP} || ' --port=99' WHEN 6 THEN 'ssh -h elsewhere' ELSE '' END AS template, CASE WHEN p = 1 THEN 'ok' ELSE '' END AS expected FROM {{s}} CROSS JOIN {{p}}"""
+
+
+@_query(f"""WITH c AS ({_CHECKS.format(s='supplier', p='(SELECT unnest(range(1, 10)) AS p)').replace('STRING', 'VARCHAR')}), n AS (SELECT 's:' || s_suppkey AS id, s_name AS name, lower(s_name) AS low, {_IP.replace('STRING', 'VARCHAR')} AS ip, CASE WHEN s_suppkey % 3 = 0 THEN '6379' END AS port FROM supplier),
+  j AS (SELECT c.*, n.*, CASE WHEN port IS NULL THEN ip ELSE ip || ':' || port END AS target FROM c LEFT JOIN n ON c.node = n.id OR c.node = low WHERE place <= 8 AND (n.id IS NULL OR trim(action) <> '')),
+  f AS (SELECT *, CASE WHEN id IS NULL THEN '忽略未绑定到真实架构节点的排查步骤：' || node WHEN place = 2 THEN '排查命令包含未登记 IP 10.9.9.9，已隐藏参考命令' WHEN place = 4 THEN '排查命令包含未登记端口 99，已隐藏参考命令' WHEN place = 6 THEN '排查命令包含未登记主机 elsewhere，已隐藏参考命令' ELSE '' END AS warning,
+    CASE WHEN place = 1 THEN 'redis-cli -h ' || ip || ' -p ' || coalesce(port, '') || ' INFO' ELSE '' END AS command FROM j)
+  SELECT decision, place, id AS node, CASE WHEN id IS NULL THEN '' ELSE action || '；目标：' || name || '（' || target || '）' || CASE WHEN command <> '' THEN '；参考命令：' || command ELSE '' END || CASE WHEN expected <> '' THEN '；预期：' || expected ELSE '' END END AS display, command, warning FROM f""")
+def bound_checks(spark, sf_dir):
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    proposed = spark.sql(_CHECKS.format(s="{s}", p="{p}"), s=supplier, p=spark.range(1, 10).select(F.col("id").alias("p"))).withColumns({"fields": F.array().cast("array<string>"), "template": F.translate("template", "[]", "{}")})
+    runtime = F.create_map(F.lit("ips"), F.array(F.expr(_IP)), F.lit("ports"), F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("6379"))).otherwise(F.array().cast("array<string>")))
+    return checks.bound_checks(proposed, supplier.select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), runtime.alias("runtime")))
+
+
+@_query("""WITH h AS (SELECT l_orderkey AS incident, l_linenumber AS rank, 'P' || l_partkey % 20 AS candidate FROM lineitem), d AS (SELECT o_orderkey AS decision, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' p' || o_custkey % 20 || ' ' END AS candidate, o_orderkey % 4 AS place FROM orders)
+  SELECT decision, coalesce((SELECT min(rank) FROM h WHERE incident = decision AND trim(d.candidate) <> '' AND lower(h.candidate) = trim(d.candidate)), (SELECT min(rank) FROM h WHERE incident = decision AND rank = place)) AS rank FROM d""")
+def chosen_hypotheses(spark, sf_dir):
+    """Of each order's lines as hypotheses the one that a decision names, else the one of its rank."""
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    hypotheses = lines.select(F.col("l_orderkey").alias("incident"), F.col("l_linenumber").alias("rank"), F.concat(F.lit("P"), (F.col("l_partkey") % 20).cast("string")).alias("candidate"))
+    named = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit(" p"), (F.col("o_custkey") % 20).cast("string"), F.lit(" ")))
+    decisions = orders.select(F.col("o_orderkey").alias("decision"), F.col("o_orderkey").alias("incident"), named.alias("candidate"), (F.col("o_orderkey") % 4).alias("place"))
+    return checks.chosen_hypotheses(decisions, hypotheses)
+
+
+@_query(f"""WITH {_GRAPH}, pn AS (SELECT id AS name, kind FROM nodes WHERE kind = 'Instance' UNION ALL SELECT 'I' || r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 'Incident' ELSE 'Trace' END FROM region), kn AS (SELECT id AS name FROM nodes WHERE kind = 'Cluster' AND id <> 'n:3'),
+  al AS (SELECT name FROM pn UNION SELECT name FROM kn), pe AS (SELECT * FROM edges WHERE type <> 'CALLS' UNION ALL SELECT id, id, 'SELF' FROM nodes WHERE kind = 'Instance'), ve AS (SELECT * FROM pe WHERE source <> target AND source IN (SELECT name FROM al) AND target IN (SELECT name FROM al))
+  SELECT 'node' AS item, name AS a, kind AS b, '' AS c FROM pn WHERE kind = 'Incident' OR name IN (SELECT source FROM ve UNION SELECT target FROM ve) UNION ALL SELECT 'edge', source, target, type FROM ve""")
+def pruned_pending(spark, sf_dir):
+    nodes, edges = _tree(spark, sf_dir)
+    machines = nodes.filter("kind = 'Instance'")
+    region = spark.read.parquet(f"{sf_dir}/region.parquet")
+    own = region.select(F.concat(F.lit("I"), F.col("r_regionkey").cast("string")).alias("name"), F.when(F.col("r_regionkey") % 2 == 0, "Incident").otherwise("Trace").alias("kind"))
+    loops = machines.select(F.col("id").alias("source"), F.col("id").alias("target"), F.lit("SELF").alias("type"))
+    kept, valid = checks.pruned_pending(machines.select(F.col("id").alias("name"), "kind").unionByName(own), edges.unionByName(loops), nodes.filter("kind = 'Cluster' and id <> 'n:3'").select(F.col("id").alias("name")))
+    kept = kept.select(F.lit("node").alias("item"), F.col("name").alias("a"), F.col("kind").alias("b"), F.lit("").alias("c"))
+    return kept.unionByName(valid.select(F.lit("edge").alias("item"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("type").alias("c")))
+
+
 # --- catalogs ------------------------------------------------------------------------------------------------------------
 
 _KINDS = "CASE kind WHEN 'System' THEN 'SYS' WHEN 'Cluster' THEN 'CL' WHEN 'Instance' THEN 'IN' WHEN 'Service' THEN 'SV' END"

@@ -235,7 +235,7 @@ FROM every JOIN out ON out.incident = md5(every.service || '|' || every.caller |
 
 def _architecture(spark, sf_dir):
     """Nodes and dependencies of the services that the log names."""
-    t = {n: _table(spark, sf_dir, n) for n in ("nation", "region", "supplier")} | {"ev": _events(spark, sf_dir).select("service").distinct()}
+    t = {n: _table(spark, sf_dir, n) for n in ("nation", "region", "supplier")} | {"ev": lineage.cut(_events(spark, sf_dir).select("service").distinct())}
     names = {n: "{" + n + "}" for n in t}
     meta = F.when(F.col("host") != "", F.create_map(F.lit("host"), F.col("host"), F.lit("port"), F.lit("6379")))
     nodes = spark.sql(_ARCHITECTURE.format(**names), **t).select("name", "kind", F.lit("").alias("description"), meta.alias("meta"))

@@ -133,6 +133,14 @@ def timeline_relevance(spark, sf_dir):
     return compression.relevance(said).select("event_id", "relevance", "mandatory")
 
 
+@_query(f"""WITH rel AS ({ORACLE_SQL['timeline_relevance']}), ev AS ({_EV.removeprefix('ev AS (')[:-1]}), pl AS (SELECT ev.user_id % 40 AS key, row_number() OVER (PARTITION BY ev.user_id % 40 ORDER BY event_s, ev.event_id) - 1 AS place, relevance FROM ev JOIN rel ON rel.event_id = ev.event_id),
+  ne AS (SELECT DISTINCT key, place + d AS place FROM pl, (SELECT unnest(range(-2, 3)) AS d) WHERE relevance > 0 AND (d = 0 OR relevance >= 50)) SELECT pl.key, pl.place FROM pl JOIN ne ON ne.key = pl.key AND ne.place = pl.place""")
+def relevant_context(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("event_id", "event_s", (F.col("user_id") % 40).alias("key"))
+    placed = compression.numbered(rows.join(timeline_relevance(spark, sf_dir), "event_id"), "key", ["event_s", "event_id"])
+    return compression.relevant_context(placed.select("key", "place", "relevance"))
+
+
 # --- order-dependent operators: no SQL, tested beside plain loops -------------------------------------------------------
 
 

@@ -120,3 +120,86 @@ def reduced(vectors: DataFrame, key: str, column: str, most: int = 20) -> tuple[
     rows = known.select(key, array_to_vector(z).alias("z"))
     fitted = PCA(k=min(most, stats[0].n, len(stats)), inputCol="z", outputCol="p").fit(rows)
     return fitted.transform(rows).select(key, vector_to_array("p").alias("vector")), [float(x) for x in fitted.explainedVariance]
+
+
+#: Bins of the scores that a step of the one-class machine counts by.
+BINS = 64
+
+
+class Fourier:
+    """Random Fourier features of a Gaussian kernel: inner products of them are near the kernel, by one over the root of their number."""
+
+    def __init__(self, width: int, gamma: float, features: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.w, self.b = rng.normal(scale=math.sqrt(2 * gamma), size=(width, features)), rng.uniform(0, 2 * math.pi, features)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return math.sqrt(2 / len(self.b)) * np.cos(x @ self.w + self.b)
+
+
+def lowest_mean(bins: np.ndarray, sums: np.ndarray, most: float) -> tuple[np.ndarray, int]:
+    """The mean of what stands in the lowest bins up to `most` rows, of the last of them a share; and that bin's number."""
+    before = np.concatenate([[0.0], np.cumsum(bins)])
+    share = np.clip((most - before[:-1]) / np.maximum(bins, 1), 0, 1)
+    return (share[:, None] * sums).sum(axis=0) / most, int(np.flatnonzero(share > 0).max(initial=0))
+
+
+def one_class_scores(vectors: DataFrame, key: str, column: str, nu: float = 0.03, features: int = 512, steps: int = 25, seed: int = 42) -> DataFrame:
+    """key and score of a one-class machine with a Gaussian kernel (gamma: one over width times variance): the higher, the
+    further outside; a share of nu of the rows lies above 0. Null vectors have no row.
+
+    The kernel is that of random Fourier features, and the plane is found step by step: it moves towards the mean of the rows
+    that lie lowest now, a share of nu of all, which solves the dual problem by its linear parts. Every step is one pass in
+    which tasks sum up their rows by bins of the score, so that BINS sums of `features` numbers come to the driver,
+    however many rows there are; of the last bin a share counts."""
+    known = vectors.filter(F.col(column).isNotNull()).select(key, F.col(column).cast("array<double>").alias("_v"))
+    moments = known.select(F.explode("_v").alias("x"), F.size("_v").alias("d")).agg(F.var_pop("x").alias("variance"), F.max("d").alias("d")).first()
+    kind = f"{key} {dict(vectors.dtypes)[key]}, score double"
+    if moments.d is None:
+        return known.select(key, F.lit(None).cast("double").alias("score"))
+    phi = Fourier(moments.d, 1.0 / (moments.d * (moments.variance or 1.0)), features, seed)
+
+    def summed(plane: np.ndarray, low: float, high: float):
+        def run(batches):
+            counts, sums, ends = np.zeros(BINS), np.zeros((BINS, features)), [math.inf, -math.inf]
+            for pdf in batches:
+                if len(pdf):
+                    z = phi(np.array(pdf["_v"].tolist(), np.float64))
+                    s = z @ plane
+                    at = np.clip((s - low) / (high - low) * BINS, 0, BINS - 1).astype(int)
+                    np.add.at(counts, at, 1)
+                    np.add.at(sums, at, z)
+                    ends = [min(ends[0], s.min()), max(ends[1], s.max())]
+            if counts.any():
+                used = np.flatnonzero(counts)
+                yield pd.DataFrame({"bin": used, "n": counts[used], "sums": list(sums[used]), "low": ends[0], "high": ends[1]})
+
+        parts = known.select("_v").mapInPandas(run, "bin long, n double, sums array<double>, low double, high double")
+        # A row for each task and bin is summed up to a row a bin.
+        add = lambda pdf: pd.DataFrame({"bin": [pdf["bin"].iloc[0]], "n": [pdf["n"].sum()], "sums": [np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)], "low": [pdf["low"].min()], "high": [pdf["high"].max()]})
+        rows = parts.groupBy("bin").applyInPandas(add, parts.schema).collect()
+        counts, sums = np.zeros(BINS), np.zeros((BINS, features))
+        for r in rows:
+            counts[r.bin], sums[r.bin] = r.n, r.sums
+        return counts, sums, min(r.low for r in rows), max(r.high for r in rows)
+
+    counts, sums, _, _ = summed(np.zeros(features), -1.0, 1.0)
+    rows = counts.sum()
+    plane = sums.sum(axis=0) / rows
+    low, high = -math.sqrt(2) * float(np.linalg.norm(plane)), math.sqrt(2) * float(np.linalg.norm(plane))
+    for step in range(1, steps + 1):
+        counts, sums, least, most = summed(plane, low, high)
+        lowest, last = lowest_mean(counts, sums, max(nu * rows, 1.0))
+        plane = plane + 2 / (step + 2) * (lowest - plane)
+        # The bins go where the lowest rows are; what lies above them shares the last one.
+        reach = max(most - least, 1e-9)
+        low, high = least - 0.2 * reach, min(most, low + (last + 1) * (high - low) / BINS) + 0.4 * reach
+
+    def score(batches):
+        for pdf in batches:
+            x = np.array(pdf["_v"].tolist(), np.float64)
+            yield pd.DataFrame({key: pdf[key], "score": -(phi(x) @ plane) if len(x) else []})
+
+    scored = known.mapInPandas(score, kind)
+    offset = scored.agg(F.percentile_approx("score", 1 - nu, 10_000).alias("_offset"))
+    return scored.join(F.broadcast(offset)).select(key, (F.col("score") - F.col("_offset")).alias("score"))

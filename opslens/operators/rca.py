@@ -91,39 +91,47 @@ def endpoint_matches(incidents: DataFrame, nodes: DataFrame) -> DataFrame:
     return whole.unionByName(hosts).groupBy("incident", "name").agg(F.min("endpoint").alias("endpoint"))
 
 
-def anchors(incidents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """incident, anchor: the service's node; a host's where no service is named so."""
-    resolved = _resolved(incidents.select("service").distinct(), nodes)
-    return incidents.join(resolved, "service").filter("anchor is not null").select("incident", "anchor")
+def resolved_services(incidents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """service, as_service, anchor of the services and callers of incidents: the service's node, and where no service is named so
+    the host's."""
+    names = incidents.select(F.explode(F.concat(F.array("service"), F.coalesce("callers", F.array().cast("array<string>")))).alias("service")).filter("service is not null").distinct()
+    listed = nodes.select(F.col("name").alias("id"), "name", "kind", text_rules.identifiers(F.col("name"), F.coalesce("meta", F.create_map().cast("map<string,string>"))).alias("aliases"))
+    named = cut(names.select(F.col("service").alias("name")))
+    first = graph.resolve_entities(named, listed.filter(F.col("kind").isin(*SERVICE_KINDS))).select(F.col("name").alias("service"), F.col("id").alias("as_service"))
+    first = cut(first)
+    # Hosts are looked at for what is left.
+    left = first.filter("as_service is null").select(F.col("service").alias("name"))
+    second = graph.resolve_entities(left, listed.filter(F.col("kind").isin(*HOST_KINDS))).select(F.col("name").alias("service"), F.col("id").alias("_second"))
+    if not left.limit(1).count():
+        return first.withColumn("anchor", F.col("as_service"))
+    return cut(first.join(second, "service", "left").select("service", "as_service", F.coalesce("as_service", "_second").alias("anchor")))
 
 
-def _resolved(names: DataFrame, nodes: DataFrame) -> DataFrame:
-    """service, anchor."""
-    listed = nodes.select(F.col("name").alias("id"), "name", "kind", text_rules.identifiers(F.col("name"), F.coalesce("meta", F.create_map().cast("map<string,string>"))).alias("aliases"))
-    named = names.select(F.col("service").alias("name"))
-    first = graph.resolve_entities(named, listed.filter(F.col("kind").isin(*SERVICE_KINDS))).select(F.col("name").alias("service"), F.col("id").alias("_first"))
-    second = graph.resolve_entities(named, listed.filter(F.col("kind").isin(*HOST_KINDS))).select(F.col("name").alias("service"), F.col("id").alias("_second"))
-    return cut(first.join(second, "service").select("service", F.coalesce("_first", "_second").alias("anchor")))
+def anchors(incidents: DataFrame, resolved: DataFrame) -> DataFrame:
+    """incident, anchor: the node of the service that failed first."""
+    return incidents.join(resolved.select("service", "anchor"), "service").filter("anchor is not null").select("incident", "anchor")
 
 
-def anchor_paths(found: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """anchor, name, path: from a service to what it depends on; for a host from what runs on it to the host."""
+def anchor_paths(found: DataFrame, callers: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """anchor, name, path: from a service to what it depends on; for a host from what runs on it to the host. callers (caller) are
+    searched from as services are, in the same steps."""
     ids = nodes.withColumn("id", F.col("name"))
-    kinds = found.select("anchor").distinct().join(nodes.select(F.col("name").alias("anchor"), "kind"), "anchor")
+    kinds = cut(found.select("anchor").distinct().join(nodes.select(F.col("name").alias("anchor"), "kind"), "anchor"))
     services, hosts = (kinds.filter(c).select(F.col("anchor").alias("id")) for c in (~F.col("kind").isin(*HOST_KINDS), F.col("kind").isin(*HOST_KINDS)))
-    down = graph_edits.shortest_paths(graph_edits.traversable(edges, ids), services, FORWARD_DEPTH)
-    turned = edges.filter(F.col("type").isin(*REVERSE)).select(F.col("target").alias("source"), F.col("source").alias("target"), "type")
-    up = graph_edits.shortest_paths(turned, hosts, REVERSE_DEPTH).withColumn("path", F.reverse("path"))
-    return down.unionByName(up).select(F.col("seed").alias("anchor"), F.col("node").alias("name"), "path")
+    seeds = services.unionByName(callers.select(F.col("caller").alias("id"))).distinct()
+    paths = graph_edits.shortest_paths(graph_edits.traversable(edges, ids), seeds, FORWARD_DEPTH)
+    if hosts.limit(1).count():
+        turned = edges.filter(F.col("type").isin(*REVERSE)).select(F.col("target").alias("source"), F.col("source").alias("target"), "type")
+        paths = paths.unionByName(graph_edits.shortest_paths(turned, hosts, REVERSE_DEPTH).withColumn("path", F.reverse("path")))
+    return cut(paths.select(F.col("seed").alias("anchor"), F.col("node").alias("name"), "path"))
 
 
-def scored_candidates(incidents: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def scored_candidates(incidents: DataFrame, nodes: DataFrame, found: DataFrame, paths: DataFrame) -> DataFrame:
     """incident, name, kind, mode, score, signals (number of signals for the node), path, endpoint, anchor, timeout_only: the
-    best of each incident and node, raised for each further signal."""
+    best of each incident and node, raised for each further signal. found: (incident, anchor); paths: as anchor_paths() gives them."""
     static = nodes.filter(~F.col("kind").isin(*graph_edits.DYNAMIC))
     # What several joins read is checkpointed once.
-    signals, own, found = cut(fault_signals(incidents)), searchable(static), cut(anchors(incidents, static))
-    paths = anchor_paths(found, static, edges)
+    signals, own = cut(fault_signals(incidents)), searchable(static)
     near = cut(found.join(paths, "anchor").select("incident", "anchor", "name", "path"))
     endpoints = cut(endpoint_matches(incidents, static))
     # The texts of a path's nodes, for signals whose tokens stand on the way.
@@ -176,16 +184,11 @@ def _fallback(incidents: DataFrame, signals: DataFrame, found: DataFrame, nodes:
     ).select(*best.columns)
 
 
-def upstream(incidents: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """incident, callers: from the anchor to the first further service with errors that depends on it."""
-    static = nodes.filter(~F.col("kind").isin(*graph_edits.DYNAMIC))
-    asked = incidents.select("incident", F.posexplode("callers").alias("at", "service"))
-    services = asked.join(_resolved(asked.select("service").distinct(), static.filter(F.col("kind").isin(*SERVICE_KINDS))), "service").filter("anchor is not null").withColumnRenamed("anchor", "caller")
-    pairs = cut(services.join(anchors(incidents, static), "incident").filter("caller <> anchor"))
-    ids = static.withColumn("id", F.col("name"))
-    paths = graph_edits.shortest_paths(graph_edits.traversable(edges, ids), pairs.select(F.col("caller").alias("id")).distinct(), CALLER_DEPTH)
-    known = pairs.join(paths, (pairs["caller"] == paths["seed"]) & (pairs["anchor"] == paths["node"]))
-    return cut(known.groupBy("incident").agg(F.min_by(F.reverse("path"), "at").alias("callers")))
+def upstream(found: DataFrame, callers: DataFrame, paths: DataFrame) -> DataFrame:
+    """incident, callers: from the anchor (found) to the first of callers (incident, at, caller) that depends on it."""
+    pairs = callers.join(found, "incident").filter("caller <> anchor")
+    ways = paths.filter(F.size("path") <= CALLER_DEPTH + 1).select(F.col("anchor").alias("caller"), F.col("name").alias("anchor"), "path")
+    return cut(pairs.join(ways, ["caller", "anchor"]).groupBy("incident").agg(F.min_by(F.reverse("path"), "at").alias("callers")))
 
 
 def hypotheses(incidents: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 5) -> DataFrame:
@@ -201,13 +204,19 @@ def hypotheses(incidents: DataFrame, nodes: DataFrame, edges: DataFrame, most: i
 
 def profile_hypotheses(incidents: DataFrame, nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     """hypotheses() of profiles (incident, service, callers, signals, endpoints)."""
-    scored = cut(scored_candidates(incidents, nodes, edges))
+    static = nodes.filter(~F.col("kind").isin(*graph_edits.DYNAMIC))
+    resolved = resolved_services(incidents, static)
+    found = cut(anchors(incidents, resolved))
+    asked = incidents.select("incident", F.posexplode("callers").alias("at", "service")).join(resolved.select("service", F.col("as_service").alias("caller")), "service")
+    callers = cut(asked.filter("caller is not null").select("incident", "at", "caller"))
+    paths = anchor_paths(found, callers, static, edges)
+    scored = cut(scored_candidates(incidents, nodes, found, paths))
     # An incident has a candidate a node at most; best ones are chosen per incident.
     place = F.row_number().over(Window.partitionBy("incident").orderBy(F.col("score").desc(), "name")).cast("long")
     top = scored.withColumn("rank", place).filter(F.col("rank") <= max(1, most))
     chain = F.coalesce(F.reverse("path"), F.array("name"))
     goes_on = F.element_at(chain, -1) == F.get("callers", F.lit(0))
-    top = top.join(upstream(incidents, nodes, edges), "incident", "left").join(graph.member_counts(edges).select(F.col("parent").alias("name"), "n_members"), "name", "left")
+    top = top.join(upstream(found, callers, paths), "incident", "left").join(graph.member_counts(edges).select(F.col("parent").alias("name"), "n_members"), "name", "left")
     ends = incidents.select("incident", (F.size("endpoints") > 0).alias("_ends"))
     gaps = F.array_compact(F.array(
         F.when(F.col("path").isNull() & ~F.coalesce(F.col("name") == F.col("anchor"), F.lit(False)), "no_path"), F.when(F.col("timeout_only"), "timeout_only"),

@@ -446,4 +446,11 @@ def isolation_forest(spark, sf_dir):
     return models.contaminated(models.isolation_scores(found, "vec_id", "vector"))
 
 
+@_query()
+def one_class_svm(spark, sf_dir):
+    found, _ = models.reduced(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    scored = models.one_class_scores(lineage.cut(found), "vec_id", "vector")
+    return scored.withColumn("is_anomaly", F.col("score") > 0)
+
+
 from . import architecture_queries, graph_queries, grounding_queries, incident_graph_queries, incident_queries, text_queries  # noqa: E402, F401  put their queries in

@@ -169,11 +169,6 @@ def steps(text: Column, most: int = 8, limit: int = 500) -> Column:
     return F.slice(F.array_distinct(F.filter(items, lambda x: x != "")), 1, most)
 
 
-def dropped_empty(values: Column) -> Column:
-    """A map without null and blank values."""
-    return F.map_filter(values, lambda _, v: v.isNotNull() & (F.trim(v) != ""))
-
-
 def fault_label(raw: Column) -> Column:
     """The label of a fault mode: by its key, then by what the key holds, else as it is."""
     raw = F.coalesce(raw, F.lit(""))

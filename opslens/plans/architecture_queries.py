@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import architecture
+from ..operators import entities
 from .registry import _query, _table
 
 _NAMES = """c_name || CASE c_custkey % 14 WHEN 0 THEN '系统' WHEN 1 THEN '层' WHEN 2 THEN '服务' WHEN 3 THEN ' userDB' WHEN 4 THEN ' Redis 集群' WHEN 5 THEN ' redis' WHEN 6 THEN ' cluster' WHEN 7 THEN '节点' WHEN 8 THEN ' Kafka' WHEN 9 THEN ' nacos'
@@ -50,3 +51,28 @@ def normalised_nodes(spark, sf_dir):
 def normalised_edges(spark, sf_dir):
     rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("graph"), F.expr(_PAYLOAD).alias("payload"))
     return architecture.normalised_graph(rows)[1].drop("description")
+
+
+_TEXT = """CASE c_custkey % 3 WHEN 0 THEN replace('订单#服务，日志服务名（serviceName）为 `order-#`，负责接收请求。' || chr(10) || '订单#服务调用库存#服务。库存#服务写入库存#数据库。', '#', CAST(c_custkey AS VARCHAR))
+  WHEN 1 THEN replace('安全#服务依赖 Redis#集群，并从 Redis#集群查询配置；Redis#集群包含 redis-1#、redis-2# 2个实例。redis-1# 的 host=h#，ip=10.0.0.' || CAST(c_custkey % 250 AS VARCHAR) || '，port=6379。', '#', CAST(c_custkey AS VARCHAR))
+  ELSE replace('商城#系统由网关层、数据层组成。支付#服务对接银联#平台。支付#服务发布消息到Kafka。', '#', CAST(c_custkey AS VARCHAR)) END"""
+
+
+def _architecture(spark, sf_dir):
+    return entities.extracted(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.expr(_TEXT.replace("VARCHAR", "STRING")).alias("text")))
+
+
+@_query("""WITH v(k, name, kind, layer) AS (VALUES (0, '订单#服务', 'Service', '业务服务层'), (0, '库存#服务', 'Service', '业务服务层'), (0, '库存#数据库', 'Database', '数据层'), (0, '接收请求功能', 'Function', '功能层'),
+    (1, '安全#服务', 'Service', '业务服务层'), (1, 'Redis#集群', 'Cluster', '数据层'), (1, 'redis-1#', 'Instance', '基础设施层'), (1, 'redis-2#', 'Instance', '基础设施层'),
+    (2, '商城#系统', 'System', '系统层'), (2, '网关层', 'Layer', '网关层'), (2, '数据层', 'Layer', '数据层'), (2, '网关', 'API', '网关层'), (2, '支付#服务', 'Service', '业务服务层'), (2, '银联#平台', 'Component', 'Component层'), (2, 'Kafka', 'Queue', '中间件层'))
+  SELECT c_custkey AS doc, replace(name, '#', c_custkey::VARCHAR) AS name, kind, layer, CASE WHEN name = '订单#服务' THEN 'order-' || c_custkey ELSE '' END AS aliases, CASE WHEN name = 'redis-1#' THEN 'h' || c_custkey END AS host,
+    CASE WHEN name = 'redis-1#' THEN '10.0.0.' || c_custkey % 250 END AS ip, CASE WHEN name = 'redis-1#' THEN 6379 END AS port FROM customer JOIN v ON k = c_custkey % 3""")
+def architecture_nodes(spark, sf_dir):
+    return _architecture(spark, sf_dir)[0].withColumn("aliases", F.array_join("aliases", ","))
+
+
+@_query("""WITH v(k, source, target, type) AS (VALUES (0, '订单#服务', '接收请求功能', 'PROVIDES'), (0, '订单#服务', '库存#服务', 'CALLS'), (0, '库存#服务', '库存#数据库', 'WRITES'), (1, '安全#服务', 'Redis#集群', 'READS'), (1, 'Redis#集群', 'redis-1#', 'HAS_MEMBER'), (1, 'Redis#集群', 'redis-2#', 'HAS_MEMBER'),
+    (2, '商城#系统', '网关层', 'CONTAINS'), (2, '商城#系统', '数据层', 'CONTAINS'), (2, '支付#服务', '银联#平台', 'CALLS'), (2, '支付#服务', 'Kafka', 'PUBLISHES'))
+  SELECT c_custkey AS doc, replace(source, '#', c_custkey::VARCHAR) AS source, replace(target, '#', c_custkey::VARCHAR) AS target, type FROM customer JOIN v ON k = c_custkey % 3""")
+def architecture_edges(spark, sf_dir):
+    return _architecture(spark, sf_dir)[1].select("doc", "source", "target", "type")

@@ -155,6 +155,40 @@ def incident_rows(members: DataFrame, candidates: DataFrame) -> DataFrame:
     return facts.join(first, "region", "left").withColumn("incident", number)
 
 
+def incident_records(members: DataFrame, scored: DataFrame, candidates: DataFrame, regions: DataFrame) -> DataFrame:
+    """One row per region with members: incident, start, end, detected_start, detected_end, fault_start, fault_end, max_score,
+    window_count, event_count, error_count, exception_class_count, exception_classes, services, n_traces, primary_trace,
+    root_service, root_cause, root_exception_class, detection_source.
+
+    scored and candidates are what candidate_scores() and root_candidates() give of the members. Classes are in the order of
+    their counts. The root is the first candidate, where a region has no errors its first event. max_score is that of the
+    regions if they carry one (from a model's windows), else 0. A region's traces may be as many as its events, so they are
+    rows of incident_traces() and only counted here."""
+    rows = incident_rows(members, candidates)
+    classes = scored.groupBy("region", "exception_key").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(
+        F.count(F.lit(1)).alias("exception_class_count"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "exception_key"))), lambda x: x["exception_key"]), ",").alias("exception_classes")
+    )
+    said = F.coalesce(*(F.when(F.trim(c) != "", F.col(c)) for c in ("root_cause", "semantic_message", "message") if c in members.columns), F.lit(""))
+    known = F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in ("root_exception_class", "exception_class")), F.lit(""))
+    told = F.struct("service", said.alias("said"), known.alias("class"))
+    # One row a region each: the events of first candidates, and first events.
+    first = scored.join(small(candidates.filter("place = 1").select("region", "event_id")), ["region", "event_id"], "left_semi").select("region", told.alias("root"))
+    opening = members.groupBy("region").agg(F.min_by(told, F.struct("event_s", "event_id")).alias("opening"))
+    score = F.col("max_score") if "max_score" in regions.columns else F.lit(0.0)
+    spans = regions.select("region", F.col("region_start").alias("detected_start"), F.col("region_end").alias("detected_end"), score.cast("double").alias("max_score"), "window_count", "detection_source")
+    whole = rows.join(spans, "region").join(classes, "region", "left").join(opening, "region").join(first, "region", "left").withColumn("root", F.coalesce("root", "opening"))
+    return whole.select(
+        "incident", F.col("fault_start").alias("start"), F.col("fault_end").alias("end"), "detected_start", "detected_end", "fault_start", "fault_end", "max_score", "window_count",
+        F.col("n_events").alias("event_count"), F.col("n_errors").alias("error_count"), F.coalesce("exception_class_count", F.lit(0)).alias("exception_class_count"), F.coalesce("exception_classes", F.lit("")).alias("exception_classes"),
+        "services", "n_traces", F.coalesce("primary_trace", F.lit("")).alias("primary_trace"), F.col("root.service").alias("root_service"), F.col("root.said").alias("root_cause"), F.col("root.class").alias("root_exception_class"), "detection_source",
+    )
+
+
+def incident_traces(members: DataFrame) -> DataFrame:
+    """region, trace_id, n, errors: every trace that a region's events belong to."""
+    return members.filter("trace_id <> ''").groupBy("region", "trace_id").agg(F.count(F.lit(1)).alias("n"), F.sum(log_text.is_error(F.col("level")).cast("long")).alias("errors"))
+
+
 def run_summary(events: DataFrame, members: DataFrame, candidates: DataFrame) -> DataFrame:
     """One row: events, errors, technical errors, classes that were parsed, regions, assigned events, classes of first candidates."""
     flagged = log_text.flagged(events)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text_rules
 from ..operators import incidents, lineage, reports, time_windows
-from .registry import _COUNTS, _EV, _FLAGS, _MASK, _MEMBERS, _ORDERS, _SCORED, _events, _incidents, _members, _query, _table, _windows
+from .registry import _COUNTS, _EV, _FLAGS, _MASK, _MEMBERS, _ORDERS, _SCORED, _events, _incidents, _members, _query, _regions, _table, _windows
 
 _FEATURES = f"""{_EV}, t AS (SELECT event_s // 60 * 60 AS step, service || '::' || {_MASK} AS feature, count(*) AS n FROM ev GROUP BY 1, 2), w AS (SELECT step - 60 * i AS window_start, feature, n FROM t, (SELECT unnest(range(5)) AS i)),
 fw AS (SELECT window_start, feature, CAST(sum(n) AS BIGINT) AS n FROM w WHERE window_start >= (SELECT min(step) FROM t) GROUP BY 1, 2), ids AS (SELECT window_start, printf('W%06d', row_number() OVER (ORDER BY window_start)) AS window_id FROM fw GROUP BY window_start HAVING sum(n) >= 2),
@@ -60,6 +60,27 @@ def incident_rows(spark, sf_dir):
     return incidents.incident_rows(*_first(spark, sf_dir))
 
 
+@_query(f"""WITH {_CANDIDATES}, x AS (SELECT region, trace_id, count(*) AS n FROM m WHERE trace_id <> '' GROUP BY 1, 2), q AS (SELECT region, arg_min(trace_id, struct_pack(a := -n, b := trace_id)) AS primary_trace FROM x GROUP BY region),
+  y AS (SELECT region, min(event_s) AS fault_start, max(event_s) AS fault_end, count(*) AS event_count, count(*) FILTER (is_error) AS error_count, string_agg(DISTINCT service, ',' ORDER BY service) AS services, count(DISTINCT trace_id) FILTER (trace_id <> '') AS n_traces,
+    arg_min(struct_pack(service, message), struct_pack(a := event_s, b := event_id)) AS opening FROM m GROUP BY region),
+  z AS (SELECT region, min(window_start) AS detected_start, max(window_end) AS detected_end, count(*) AS window_count, concat_ws('+', CASE WHEN max(root_signal_count) > 0 THEN 'root_signal_rule' END, CASE WHEN max(technical_error_count) > 0 THEN 'technical_error_rule' END) AS detection_source FROM i GROUP BY region),
+  ek AS (SELECT region, exception_key, count(*) AS n FROM sc GROUP BY 1, 2), ec AS (SELECT region, count(*) AS exception_class_count, string_agg(exception_key, ',' ORDER BY n DESC, exception_key) AS exception_classes FROM ek GROUP BY region)
+  SELECT printf('I%05d', row_number() OVER (ORDER BY fault_start, fault_end, y.region)) AS incident, fault_start AS start, fault_end AS "end", detected_start, detected_end, fault_start, fault_end, 0.0::DOUBLE AS max_score, window_count, event_count, error_count,
+    coalesce(exception_class_count, 0) AS exception_class_count, coalesce(exception_classes, '') AS exception_classes, services, n_traces, coalesce(primary_trace, '') AS primary_trace, coalesce(cd.service, opening.service) AS root_service, coalesce(cd.message, opening.message) AS root_cause,
+    regexp_extract(coalesce(cd.message, opening.message), '([A-Za-z_$][A-Za-z0-9_.$]*(Exception|Error))', 1) AS root_exception_class, detection_source
+  FROM y JOIN z ON z.region = y.region LEFT JOIN q ON q.region = y.region LEFT JOIN ec ON ec.region = y.region LEFT JOIN cd ON cd.region = y.region AND place = 1""")
+def incident_records(spark, sf_dir):
+    regions = _regions(spark, sf_dir)
+    members = incidents.in_regions(_events(spark, sf_dir), regions)
+    scored = lineage.cut(incidents.candidate_scores(members))
+    return incidents.incident_records(members, scored, lineage.cut(incidents.root_candidates(scored)), regions)
+
+
+@_query(f"WITH {_MEMBERS} SELECT region, trace_id, count(*) AS n, count(*) FILTER (is_error) AS errors FROM m WHERE trace_id <> '' GROUP BY 1, 2")
+def incident_traces(spark, sf_dir):
+    return incidents.incident_traces(_members(spark, sf_dir))
+
+
 @_query(f"""WITH {_CANDIDATES} SELECT (SELECT count(*) FROM f) AS events, (SELECT count(*) FROM f WHERE is_error) AS errors, (SELECT count(*) FROM f WHERE is_technical) AS technical_errors,
   (SELECT count(DISTINCT c) FROM (SELECT regexp_extract(message, '([A-Za-z_$][A-Za-z0-9_.$]*(Exception|Error))', 1) AS c FROM f) WHERE c <> '') AS classes, (SELECT count(DISTINCT region) FROM m) AS regions,
   (SELECT count(DISTINCT event_id) FROM m) AS assigned, (SELECT count(DISTINCT family) FROM cd WHERE place = 1) AS promoted""")

@@ -8,7 +8,7 @@ from opslens.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["root_candidates", "incident_rows", "run_summary", "candidate_scores", "context_join", "pattern_tops", "dynamic_edges", "hypothesis_edges", "graph_quality", "root_causes"])
+@pytest.mark.parametrize("name", ["root_candidates", "incident_rows", "incident_records", "run_summary", "candidate_scores", "context_join", "pattern_tops", "dynamic_edges", "hypothesis_edges", "graph_quality", "root_causes"])
 def test_given_tables_are_read_a_few_times(spark, monkeypatch, name):
     """Over everything that is written on the way and the result itself: scans of the largest table, of which equal ones are read once."""
     plans, write = [], DataFrameWriter.parquet

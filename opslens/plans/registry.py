@@ -453,4 +453,4 @@ def one_class_svm(spark, sf_dir):
     return scored.withColumn("is_anomaly", F.col("score") > 0)
 
 
-from . import architecture_queries, graph_queries, grounding_queries, incident_graph_queries, incident_queries, loose_json_queries, runbook_queries, text_queries  # noqa: E402, F401  put their queries in
+from . import architecture_queries, decision_queries, graph_queries, grounding_queries, incident_graph_queries, incident_queries, loose_json_queries, runbook_queries, text_queries  # noqa: E402, F401  put their queries in

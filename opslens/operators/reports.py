@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +39,21 @@ def summary(incidents: DataFrame) -> DataFrame:
     return row.withColumn("resolved_per_1000", F.floor(1000 * F.col("resolved") / F.greatest("total", F.lit(1))))
 
 
+#: Columns of incidents that a search looks into.
+SEARCHED = ("title", "root", "mode", "id", "batch")
+
+
 def page(incidents: DataFrame, number: int, size: int, status: str | None = None, severity: str | None = None, like: str | None = None) -> DataFrame:
-    """One page, newest first: place, id, with total and pages; the page number is clamped. The rows are a top-k, never a full sort."""
+    """One page, newest first: place, id, with total and pages; the page number is clamped. The rows are a top-k, never a full sort.
+
+    `like` is looked for in any case in those of the SEARCHED columns that there are, with % and _ for any text and any sign."""
     rows = incidents
     for name, value in (("status", status), ("severity", severity)):
         rows = rows.filter(F.col(name) == value) if value else rows
-    rows = rows.filter(F.col("root").contains(like)) if like else rows
+    if like and like.strip():
+        pattern = "%" + like.strip().replace("\\", "\\\\") + "%"
+        held = [F.coalesce(F.col(c).cast("string").ilike(pattern), F.lit(False)) for c in SEARCHED if c in incidents.columns]
+        rows = rows.filter(reduce(or_, held, F.lit(False)))
     total = rows.count()
     pages = max(1, -(-total // size))
     first = (min(max(1, number), pages) - 1) * size

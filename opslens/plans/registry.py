@@ -398,6 +398,12 @@ def incident_page(spark, sf_dir):
     return reports.page(_incidents(spark, sf_dir), number=2, size=10, severity="high")
 
 
+@_query(f"""WITH {_ORDERS}, k AS (SELECT *, row_number() OVER (ORDER BY created DESC, id DESC) AS place, count(*) OVER () AS total FROM inc WHERE status = 'open' AND CAST(id AS VARCHAR) ILIKE '%1_3%')
+  SELECT place, id, status, severity, total, CAST(ceil(total / 10.0) AS BIGINT) AS pages FROM k WHERE place <= 10""")
+def incident_search(spark, sf_dir):
+    return reports.page(_incidents(spark, sf_dir).select("id", "status", "severity", "created"), number=1, size=10, status="open", like=" 1_3 ")
+
+
 @_query(f"WITH {_ORDERS} SELECT id, project, status FROM inc ORDER BY created DESC, id DESC LIMIT 8")
 def recent_incidents(spark, sf_dir):
     return _incidents(spark, sf_dir).orderBy(F.col("created").desc(), F.col("id").desc()).limit(8).select("id", "project", "status")

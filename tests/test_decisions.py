@@ -1,6 +1,6 @@
 """Labels of chains, promoted facts and what a decision is told, for nulls, blanks, repeats and empty tables."""
 
-from opslens.operators import decisions
+from opslens.operators import decisions, reports
 
 
 def test_chains(spark):
@@ -37,3 +37,9 @@ def test_projects(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "gone")], "source string, target string")
     got = {r.project: tuple(r)[1:] for r in decisions.project_overview(nodes, edges, spark.createDataFrame([("p",), ("q",)], "project string")).collect()}
     assert got == {"p": (2, 1, 1, 1, 0, 0), "q": (0, 0, 0, 0, 0, 0), None: (4, 3, 3, 1, 2, 1)}
+
+
+def test_search(spark):
+    rows = spark.createDataFrame([(1, "open", "high", 1, "Redis late", None), (2, "open", "high", 2, None, "REDIS-1"), (3, "open", "low", 3, "disk", "a\\b"), (30, "open", "low", 4, None, None)], "id int, status string, severity string, created int, title string, root string")
+    ids = lambda like: [r.id for r in reports.page(rows, 1, 10, like=like).orderBy("place").collect()]
+    assert ids("redis") == [2, 1] and ids("3") == [30, 3] and ids("r_dis%1") == [2] and ids("a\\b") == [3] and ids("none") == [] and len(ids("  ")) == 4

@@ -21,7 +21,9 @@ Tiles that agree in these bits alone are one tile, which adds pairs to verify bu
 Links serve to connect. So classes are held against pivots, one of each tile and turn: the class whose tiles have most
 classes first, as the text that near copies were made from shares more with each of them than they share with each other;
 then the next ones. Each turn takes the tiles whose classes are not all connected yet, and pairs that are not. What is still
-open after PIVOTS turns is held against all classes of the tile that it isn't connected to, in blocks of BLOCK. No link
+open after PIVOTS turns is held against all classes of the tile that it isn't connected to, in blocks of BLOCK. Near copies
+of a text meet in hundreds of tiles; so classes whose tiles have the same heaviest class are a group, in which each pair is
+compared once, if that is less than its tiles have pairs, and tiles only compare classes of different groups. No link
 between unconnected classes is left out.
 
 Defined results: null text counts as empty; a text without words has no shingles and is linked with nothing; a text with
@@ -54,7 +56,7 @@ SETTLE = 1 << 19
 SHARD = 1 << 17
 SHARD_BITS = (6, 24)
 TILE_BYTES = 5
-#: Longs of a signature at least, and of its fold; longs of the fine one that sets of more than LARGE shingles have besides.
+#: Longs of a signature at least, and of its fold; longs of the fine one, by which tiles only tell sets of more than LARGE shingles.
 SIGNATURE = 8
 FINE = 64
 LARGE = 900
@@ -175,7 +177,7 @@ def classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def signed_sets(texts: DataFrame, words: int) -> DataFrame:
-    """class, n, its signature, the fold of that to SIGNATURE longs, the fine one of large sets, and the sorted shingles."""
+    """class, n, its signature, the fold of that to SIGNATURE longs, the fine one, and the sorted shingles."""
 
     def run(batches):
         for batch in batches:
@@ -183,7 +185,7 @@ def signed_sets(texts: DataFrame, words: int) -> DataFrame:
             for key, text in zip(batch.column("key").to_pylist(), strings(batch)):
                 found = shingles(text, words)
                 signed = signature(found)
-                rows.append((key, len(found), signed, fold(signed, SIGNATURE), signature(found, FINE) if len(found) > LARGE else None, found.view(np.int64)))
+                rows.append((key, len(found), signed, fold(signed, SIGNATURE), signature(found, FINE), found.view(np.int64)))
                 if len(rows) == 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KNOWN.types)], schema=_KNOWN)
                     rows = []
@@ -380,21 +382,54 @@ def pivot_pairs(opened: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("class", found).alias("a"), F.greatest("class", found).alias("b")).distinct()
 
 
-def tile_pairs(opened: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes of one tile that are not connected and whose folded signatures allow a link."""
+def groups(opened: DataFrame, store: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The classes of open tiles by the heaviest class that they meet there, their star: (group, class, root), saved, of the
+    stars that have fewer pairs in all than their tiles have together; and the open tiles that such a group doesn't hold
+    whole, with each class's group."""
+    rank = F.struct("weight", "class")
+    tops = opened.groupBy("tile").agg(F.max(rank)["class"].alias("top"), F.max("weight").alias("most"))
+    stars = opened.select("tile", "class", "root").join(tops, "tile").groupBy("class").agg(F.max(F.struct("most", "top"))["top"].alias("star"), F.first("root").alias("root"))
+    stars = store.save(stars, "stars")
+    # This and what follows counts pairs as doubles: a hint what is cheaper, no result.
+    parts = store.save(opened.select("tile", "class").join(stars, "class").groupBy("tile", "star").agg(F.count(F.lit(1)).cast("double").alias("n")), "parts")
+    by_tiles = parts.groupBy("star").agg(F.sum(F.col("n") * F.col("n")).alias("by_tiles"))
+    at_once = stars.groupBy("star").agg(F.count(F.lit(1)).cast("double").alias("n")).join(by_tiles, "star").filter(F.col("n") * F.col("n") <= F.col("by_tiles")).select("star")
+    held = store.save(stars.join(at_once, "star").withColumnRenamed("star", "group"), "groups")
+    whole = parts.join(at_once.withColumn("held", F.lit(True)), "star", "left").groupBy("tile").agg((F.count(F.lit(1)) == 1).alias("one"), F.max_by(F.when(F.col("held"), F.col("star")), "n").alias("main_group"))
+    mixed = whole.filter(~F.col("one") | F.col("main_group").isNull()).select("tile", "main_group")
+    return held, opened.join(mixed, "tile").join(held.select("class", "group"), "class", "left")
+
+
+def _meet(rows: DataFrame, known: DataFrame, percent: int, more) -> DataFrame:
+    """The pairs (a, b) of classes of one tile, one of them on the left, that are not connected and whose folded signatures
+    allow a link; rows: tile, class, root, group, size, left. more: a further condition, from the columns of a and b."""
     folds = known.select("class", "n", "fine", *(F.col("fold")[i].alias(f"s{i}") for i in range(SIGNATURE)))
-    rows = opened.select("tile", "class", "root", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).join(folds, "class")
-    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("class", "root", "n", "fine", *(f"s{i}" for i in range(SIGNATURE)))]
-    left = rows.filter("root <> main").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *named("a"))
-    right = rows.select("tile", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), (F.col("root") == F.col("main")).alias("in_main"), *named("b"))
+    rows = rows.select("tile", "class", "root", "group", "left", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")).join(folds, "class")
+    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("class", "root", "group", "n", "fine", *(f"s{i}" for i in range(SIGNATURE)))]
+    left = rows.filter("left").select("tile", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *named("a"))
+    right = rows.select("tile", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), F.col("left").alias("b_left"), *named("b"))
     differ = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(SIGNATURE)), F.lit(0))
     both = F.col("a_n") + F.col("b_n")
-    meet = (left["tile"] == right["tile"]) & (left["block"] == right["block"]) & (F.col("in_main") | (F.col("a_class") < F.col("b_class")))
+    meet = (left["tile"] == right["tile"]) & (left["block"] == right["block"]) & (~F.col("b_left") | (F.col("a_class") < F.col("b_class")))
     finely = F.aggregate(F.zip_with("a_fine", "b_fine", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     bound = lambda d: (100 + percent) * (both - d) >= 2 * percent * both
-    large = F.col("a_fine").isNotNull() & F.col("b_fine").isNotNull()
-    may = (F.col("a_root") != F.col("b_root")) & bound(differ) & (~large | bound(finely))
-    return left.join(right, meet & may).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
+    may = more & (F.col("a_root") != F.col("b_root")) & bound(differ) & (F.col("a_fine").isNull() | F.col("b_fine").isNull() | bound(finely))
+    return left.join(right, meet & may).select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
+
+
+def group_pairs(held: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs of _meet of classes of one group, each once."""
+    roots = held.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("size"))
+    rows = held.join(roots, "group").select(F.col("group").alias("tile"), "class", "root", "group", "size", (F.col("root") != F.col("main")).alias("left"))
+    return _meet(rows, known, percent, F.lit(True))
+
+
+def tile_pairs(mixed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs of _meet of classes of one tile that are not of one group."""
+    alone = F.when(F.col("main_group").isNull(), F.col("root") != F.col("main")).otherwise(F.coalesce(F.col("group") != F.col("main_group"), F.lit(True)))
+    rows = mixed.withColumn("left", alone)
+    known = known.withColumn("fine", F.when(F.col("n") > LARGE, F.col("fine")))  # most classes have many tiles
+    return _meet(rows, known, percent, F.coalesce(F.col("a_group") != F.col("b_group"), F.lit(True))).distinct()
 
 
 def connected(members: DataFrame, known: DataFrame, percent: int, store: Scratch) -> DataFrame:
@@ -403,7 +438,11 @@ def connected(members: DataFrame, known: DataFrame, percent: int, store: Scratch
     opened = members
     for turn in range(PIVOTS + 1):
         opened = open_tiles(opened, roots, turn, store)
-        pairs = pivot_pairs(opened, turn) if turn < PIVOTS else tile_pairs(opened, known, percent)
+        if turn < PIVOTS:
+            pairs = pivot_pairs(opened, turn)
+        else:
+            held, mixed = groups(opened, store)
+            pairs = group_pairs(held, known, percent).union(tile_pairs(mixed, known, percent))
         more = linked(pairs, known, percent, store, str(turn))
         if more.limit(1).count():
             roots = joined_roots(roots, more, store, str(turn))

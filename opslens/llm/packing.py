@@ -28,6 +28,8 @@ from .common import strings
 
 SEQUENCE = 1024
 MAX_SEGMENTS = 256
+#: Bytes of the memo of words: texts have a long tail of words, and one that comes back after the memo has dropped it is encoded anew.
+MEMO_BYTES = 100_000_000
 #: Items that a task keeps open; each is shorter than a sequence.
 POOL = 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -72,7 +74,7 @@ class Packer:
         while open_.sum() >= max(least, 1):
             room, held = self.limits.copy(), []
             while room[0] > 0 and room[1] > 0:
-                fits = open_ & (need <= room).all(axis=1)
+                fits = open_ & (need[:, 0] <= room[0]) & (need[:, 1] <= room[1]) & (need[:, 2] <= room[2])
                 if fits.any():
                     i = int(np.argmax(np.where(fits, need @ (room * weights), -1)))
                     held.append(items[i])
@@ -156,6 +158,6 @@ def _memo(path: str) -> vocab.Memo:
 
     def make():
         ids = vocab.word_ids(path)
-        return vocab.Memo(lambda word: struct.pack(f"<{len(found := ids(word))}I", *found))
+        return vocab.Memo(lambda word: struct.pack(f"<{len(found := ids(word))}I", *found), MEMO_BYTES)
 
     return vocab.held(("packing", path), make)

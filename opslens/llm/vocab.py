@@ -14,8 +14,9 @@ from functools import lru_cache
 
 #: Texts with none of these are split alike by Python and by the library: letters and digits are the same, and so is lower case.
 _SPECIAL = r"<\|(?:startof|endof)text\|>"
-#: The words of the byte-level tokenizers.
-BYTE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The words of the byte-level tokenizers. Letters come first, as most words are letters, and no other alternative begins with one;
+#: those of ASCII are told by a set, which is faster than classes.
+BYTE_WORDS = re.compile(r" ?[A-Za-z]++[^\W\d_]*+| ?[^\W\d_]++|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: The words of the tokenizer with word ends, after NFC and lower case.
 END_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: Bytes of the words that a memo holds at most, and what an entry takes besides its word.
@@ -91,7 +92,15 @@ def byte_symbols() -> list[str]:
 def word_ids(path: str):
     """The function that gives the ids of one plain word, by the library's model."""
     model, shown = tokenizer(path).model, byte_symbols()
-    return lambda word: [t.id for t in model.tokenize("".join([shown[b] for b in word.encode()]))]
+
+    def ids(word):
+        if word.isascii() and word.isprintable():  # of these characters only the space is shown as another one
+            symbols = word.replace(" ", shown[32])
+        else:
+            symbols = "".join([shown[b] for b in word.encode()])
+        return [t.id for t in model.tokenize(symbols)]
+
+    return ids
 
 
 @lru_cache(4)

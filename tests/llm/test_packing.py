@@ -1,11 +1,13 @@
-"""Packing under a limit of loss-bearing tokens that binds."""
+"""Packing under a limit of loss-bearing tokens that binds; how words are split and held."""
 
 import collections
+import random
+import re
 
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from opslens.llm import packing
+from opslens.llm import packing, vocab
 
 
 def test_loss_masks(spark):
@@ -27,3 +29,22 @@ def test_loss_masks(spark):
         loss[r.sequence_id] += r.loss_tokens
     assert at == {d: len(m) for d, m in masks.items()}
     assert max(tokens.values()) <= 1024 and 290 <= max(loss.values()) <= 300 and max(tokens.values()) > 301
+
+
+def test_memo_holds_a_long_tail_of_words(monkeypatch):
+    encoded = []
+    monkeypatch.setattr(vocab, "word_ids", lambda path: lambda word: encoded.append(word) or [len(word)])
+    monkeypatch.setattr(vocab, "_HELD", {})
+    memo = packing._memo("any")
+    for _ in range(2):
+        for i in range(500_000):
+            memo[f" word{i}"]
+    assert len(encoded) == 500_000
+
+
+def test_byte_words():
+    plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab'stmdrvel  \n\t_09ÄéßñЖ中́.,!-² ªⅣ😀İ") for _ in range(rng.randint(0, 14)))
+        assert vocab.byte_words(text) == plain.findall(text)

@@ -147,7 +147,12 @@ def _of_sentence() -> tuple[list[Column], Column]:
 
 
 def _ranked(finds: list[Column], begin: int) -> Column:
-    return F.flatten(F.array(*(F.transform(f, lambda x, r=begin + i: F.struct(F.lit(r).alias("rank"), x["name"].alias("name"), x["kind"].alias("kind"), x["layer"].alias("layer"))) for i, f in enumerate(finds))))
+    """The finds of rules with their places: ranks from `begin`."""
+
+    def ranked(names: Column, rank: int) -> Column:
+        return F.transform(names, lambda x: F.struct(F.lit(rank).alias("rank"), x["name"].alias("name"), x["kind"].alias("kind"), x["layer"].alias("layer")))
+
+    return F.flatten(F.array(*(ranked(names, begin + i) for i, names in enumerate(finds))))
 
 
 def _addresses(sentences: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of a table that is broadcast; they are counted first.
 MOST_BROADCAST = 100_000
+#: Tasks a core that rows are dealt out to before long work.
+TASKS_A_CORE = 3
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,12 @@ def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows in TASKS_A_CORE partitions a core at least, for steps that work long on few bytes: a file of a few MB is one task otherwise."""
+    least = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+
+
 def sweep(spark: SparkSession) -> None:
     """Removes all tables that cut() has written for this session. Frames that read them can't be used any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))

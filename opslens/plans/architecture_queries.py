@@ -58,8 +58,8 @@ _TEXT = """CASE c_custkey % 3 WHEN 0 THEN replace('订单#服务，日志服务
   ELSE replace('商城#系统由网关层、数据层组成。支付#服务对接银联#平台。支付#服务发布消息到Kafka。', '#', CAST(c_custkey AS VARCHAR)) END"""
 
 
-def _architecture(spark, sf_dir):
-    return entities.extracted(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.expr(_TEXT.replace("VARCHAR", "STRING")).alias("text")))
+def _texts(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc"), F.expr(_TEXT.replace("VARCHAR", "STRING")).alias("text"))
 
 
 @_query("""WITH v(k, name, kind, layer) AS (VALUES (0, '订单#服务', 'Service', '业务服务层'), (0, '库存#服务', 'Service', '业务服务层'), (0, '库存#数据库', 'Database', '数据层'), (0, '接收请求功能', 'Function', '功能层'),
@@ -68,11 +68,11 @@ def _architecture(spark, sf_dir):
   SELECT c_custkey AS doc, replace(name, '#', c_custkey::VARCHAR) AS name, kind, layer, CASE WHEN name = '订单#服务' THEN 'order-' || c_custkey ELSE '' END AS aliases, CASE WHEN name = 'redis-1#' THEN 'h' || c_custkey END AS host,
     CASE WHEN name = 'redis-1#' THEN '10.0.0.' || c_custkey % 250 END AS ip, CASE WHEN name = 'redis-1#' THEN 6379 END AS port FROM customer JOIN v ON k = c_custkey % 3""")
 def architecture_nodes(spark, sf_dir):
-    return _architecture(spark, sf_dir)[0].withColumn("aliases", F.array_join("aliases", ","))
+    return entities.extracted(_texts(spark, sf_dir))[0].withColumn("aliases", F.array_join("aliases", ","))
 
 
 @_query("""WITH v(k, source, target, type) AS (VALUES (0, '订单#服务', '接收请求功能', 'PROVIDES'), (0, '订单#服务', '库存#服务', 'CALLS'), (0, '库存#服务', '库存#数据库', 'WRITES'), (1, '安全#服务', 'Redis#集群', 'READS'), (1, 'Redis#集群', 'redis-1#', 'HAS_MEMBER'), (1, 'Redis#集群', 'redis-2#', 'HAS_MEMBER'),
     (2, '商城#系统', '网关层', 'CONTAINS'), (2, '商城#系统', '数据层', 'CONTAINS'), (2, '支付#服务', '银联#平台', 'CALLS'), (2, '支付#服务', 'Kafka', 'PUBLISHES'))
   SELECT c_custkey AS doc, replace(source, '#', c_custkey::VARCHAR) AS source, replace(target, '#', c_custkey::VARCHAR) AS target, type FROM customer JOIN v ON k = c_custkey % 3""")
 def architecture_edges(spark, sf_dir):
-    return _architecture(spark, sf_dir)[1].select("doc", "source", "target", "type")
+    return entities.relations(_texts(spark, sf_dir)).select("doc", "source", "target", "type")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text_rules
 from . import compression
 from .graph_edits import DYNAMIC
+from .lineage import cut
 
 #: Hypotheses, exception classes and root candidates of an incident that are written.
 MOST = 3
@@ -129,6 +130,19 @@ def incident_part(nodes: DataFrame, edges: DataFrame, incidents: DataFrame, even
         near = near.filter((F.col("type") == "TEMPORALLY_PRECEDES") | ~F.col("kind").isin(*DYNAMIC)).select("incident", F.col("other").alias("id"))
         parts += [shown, near]
     found = _all(parts).distinct().join(kinds.select("id"), "id", "left_semi").select("incident", "id")
-    ends = found.select("incident", F.col("id").alias("source"))
-    between = edges.join(ends, "source").join(found.select("incident", F.col("id").alias("target")), ["incident", "target"]).select("incident", *edges.columns)
-    return found, between
+    found = cut(found)
+    return found, _between(edges, found)
+
+
+def _between(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """incident and edge for each incident that has both ends of the edge among its nodes (incident, id).
+
+    An edge meets the incidents of that end which fewer have, and then looks whether they have the other. From the end of a
+    service, which most incidents have and most events lead to, it would meet them all."""
+    held = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    count = lambda end: held.select(F.col("id").alias(end), F.col("n").alias(f"_{end}"))
+    shown = edges.join(count("source"), "source").join(count("target"), "target")
+    rarer = F.col("_source") <= F.col("_target")
+    shown = shown.select(*edges.columns, F.when(rarer, F.col("source")).otherwise(F.col("target")).alias("id"), F.when(rarer, F.col("target")).otherwise(F.col("source")).alias("other"))
+    met = shown.join(found, "id").join(found.select("incident", F.col("id").alias("other")), ["incident", "other"])
+    return met.select("incident", *edges.columns)

@@ -77,14 +77,57 @@ def identifier_matches(details: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(small(found), "row").select("incident", "id", "identifier").groupBy("incident", "id").agg(F.min("identifier").alias("identifier"))
 
 
+def _hung(steps: DataFrame, rounds: int) -> tuple[list[DataFrame], DataFrame]:
+    """node, parent of the nodes that one edge alone joins to the rest, round by round as those before go; and the steps that stay."""
+    hung = []
+    for _ in range(rounds):
+        single = steps.groupBy("node").agg(F.min("next").alias("parent"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+        # Of two nodes that have only each other the lesser stays.
+        both = single.select(F.col("node").alias("parent"), F.lit(True).alias("both"))
+        found = cut(single.join(both, "parent", "left").filter("both is null or node > parent").select("node", "parent"))
+        if not found.limit(1).count():
+            break
+        hung.append(found)
+        steps = cut(steps.join(found.select("node"), "node", "left_anti").join(found.select(F.col("node").alias("next")), "next", "left_anti").select("node", "next"))
+    return hung, steps
+
+
 def pair_paths(edges: DataFrame, pairs: DataFrame, reach: int = REACH) -> DataFrame:
     """source, target, path: the shortest undirected path of each pair, the least by ids of several, of 2 * reach steps at most.
 
-    The search goes from both ends, for all pairs at once, a step a side in turns, and ends where a side finds nothing new.
-    Both sides keep the least path a node, read in the direction from source to target."""
+    From a node that hangs on the rest by one edge there is one way up to where ways part, so those are taken off first, and
+    only what stays is searched, once for each two places where ends of pairs hang. A tree is not searched at all."""
     steps = edges.select(F.col("source").alias("node"), F.col("target").alias("next")).unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("next")))
-    steps = cut(steps.filter("node <> next").distinct())
+    hung, steps = _hung(cut(steps.filter("node <> next").distinct()), 2 * reach)
     pairs = cut(pairs.select("source", "target").distinct())
+    ends = pairs.select(F.col("source").alias("end")).unionByName(pairs.select(F.col("target").alias("end"))).distinct()
+    ways = cut(ends.select("end", F.array("end").alias("way"), F.col("end").alias("top")))
+    for found in hung:
+        above = ways.join(found.withColumnRenamed("node", "top"), "top", "left")
+        ways = cut(above.select("end", F.when(F.col("parent").isNull(), F.col("way")).otherwise(F.concat("way", F.array("parent"))).alias("way"), F.coalesce("parent", "top").alias("top")))
+    up = lambda end: ways.select(F.col("end").alias(end), F.col("way").alias(f"_{end}"), F.col("top").alias(f"{end}_top"))
+    pairs = cut(pairs.join(up("source"), "source").join(up("target"), "target"))
+    place = lambda way: F.array_position(way, F.get(F.array_intersect("_source", "_target"), F.lit(0))).cast("int")
+    near = pairs.filter("source_top = target_top").select("source", "target", F.concat(F.slice("_source", F.lit(1), place("_source")), F.reverse(F.slice("_target", F.lit(1), place("_target") - 1))).alias("path"))
+    kept = steps.select("node").distinct()
+    far = pairs.filter("source_top <> target_top").join(kept.select(F.col("node").alias("source_top")), "source_top", "left_semi").join(kept.select(F.col("node").alias("target_top")), "target_top", "left_semi")
+    between = _searched(steps, far.select(F.col("source_top").alias("source"), F.col("target_top").alias("target")), reach)
+    if between is not None:
+        between = between.select(F.col("source").alias("source_top"), F.col("target").alias("target_top"), "path")
+        without = lambda way: F.slice(way, F.lit(1), F.size(way) - 1)
+        far = far.join(between, ["source_top", "target_top"]).select("source", "target", F.concat(without("_source"), "path", F.reverse(without("_target"))).alias("path"))
+        near = near.unionByName(far)
+    return near.filter(F.size("path") <= 2 * reach + 1)
+
+
+def _searched(steps: DataFrame, pairs: DataFrame, reach: int) -> DataFrame | None:
+    """The paths of pair_paths() by steps (node, next) in both directions; none where there are no pairs.
+
+    The search goes from both ends, for all pairs at once, a step a side in turns, and ends where a side finds nothing new.
+    Both sides keep the least path a node, read in the direction from source to target."""
+    pairs = cut(pairs.distinct())
+    if not pairs.limit(1).count():
+        return None
 
     def begin(column):
         return cut(pairs.select(F.col(column).alias("seed")).distinct().select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")))
